@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from . import classification as cls
 from . import oracle_sql as sql
+from . import retrieval as ret
 
 QUERIES = {
     "accuracy_by_lang": cls.accuracy_by_lang,
     "f1_mcc_by_lang": cls.f1_mcc_by_lang,
     "pearson_spearman": cls.pearson_spearman,
     "weighted_mse": cls.weighted_mse,
+    "topk_cosine": ret.topk_cosine,
+    "retrieval_metrics": ret.retrieval_metrics,
+    "retrieval_by_source": ret.retrieval_by_source,
+    "bitext_metrics": ret.bitext_metrics,
+    "contrastive_loss": ret.contrastive_loss,
+    "pool_tokens": ret.pool_tokens,
 }
 
 ORACLE = {
@@ -17,4 +24,10 @@ ORACLE = {
     "f1_mcc_by_lang": sql.F1_MCC_BY_LANG,
     "pearson_spearman": sql.PEARSON_SPEARMAN,
     "weighted_mse": sql.WEIGHTED_MSE,
+    "topk_cosine": sql.TOPK_COSINE,
+    "retrieval_metrics": sql.RETRIEVAL_METRICS,
+    "retrieval_by_source": sql.RETRIEVAL_BY_SOURCE,
+    "bitext_metrics": sql.BITEXT_METRICS,
+    "contrastive_loss": sql.CONTRASTIVE_LOSS,
+    "pool_tokens": sql.POOL_TOKENS,
 }

@@ -81,3 +81,130 @@ s AS (SELECT avg((p - g) * (p - g)) AS mse, sum(w * (p - g) * (p - g)) / sum(w)
 t AS (SELECT mse, sqrt(mse) AS rmse, mse_weighted, sqrt(mse_weighted) AS rmse_weighted FROM s)
 {long_sql('t', [], ['mse', 'mse_weighted', 'rmse', 'rmse_weighted'])}
 """
+
+# ---------------------------------------------------------------- vectors and retrieval
+
+UNIT = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e),
+u AS (SELECT vec_id, label, list_transform(v, lambda x: x / greatest(nrm, 1e-12)) AS u FROM n)"""
+
+
+def _ranked(src_filter: str, dst_filter: str, k: int, ignore_identical: bool) -> str:
+    cond = "q.vec_id <> c.vec_id" if ignore_identical else "TRUE"
+    return f"""pairs AS (
+  SELECT q.vec_id AS qid, c.vec_id AS docid, round(list_dot_product(q.u, c.u), 9) AS s
+  FROM u q JOIN u c ON {cond} WHERE {src_filter} AND {dst_filter}),
+ranked AS (
+  SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid DESC) AS rank
+  FROM (SELECT qid, docid, CASE WHEN isnan(s) THEN -1.0 ELSE s END AS score FROM pairs)),
+hits AS (SELECT * FROM ranked WHERE rank <= {k})"""
+
+
+TOPK_COSINE = f"""
+WITH {UNIT},
+{_ranked('TRUE', 'TRUE', 10, True)}
+SELECT qid, docid, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM hits
+"""
+
+
+def _retrieval_sql(by: list[str], ks: list[int]) -> str:
+    keys = "".join(f"{b}, " for b in by)
+    per_k = []
+    for k in ks:
+        per_k.append(f"""
+    min(CASE WHEN rank <= {k} AND rel > 0 THEN rank END) AS first_{k},
+    sum(CASE WHEN rank <= {k} AND rel > 0 THEN cum / rank ELSE 0 END) AS ap_{k},
+    sum(CASE WHEN rank <= {k} THEN rel / log2(rank + 1) ELSE 0 END) AS dcg_{k},
+    sum(CASE WHEN rank <= {k} AND rel > 0 THEN 1 ELSE 0 END) AS hit_{k}""")
+    metrics = []
+    names = []
+    for k in ks:
+        idcg = f"list_sum(list_transform(range(1, least(j.n_rel, {k}) + 1), lambda i: 1.0 / log2(i + 1)))"
+        metrics.append(f"""
+    coalesce(1.0 / first_{k}, 0.0) AS mrr_at_{k},
+    ap_{k} / j.n_rel AS map_at_{k},
+    CASE WHEN {idcg} = 0 THEN 0 ELSE dcg_{k} / {idcg} END AS ndcg_at_{k},
+    hit_{k} / j.n_rel AS recall_at_{k},
+    hit_{k} / {float(k)} AS precision_at_{k}""")
+        names += [f"mrr_at_{k}", f"map_at_{k}", f"ndcg_at_{k}", f"recall_at_{k}", f"precision_at_{k}"]
+    jkeys = "".join(f"j.{b}, " for b in by)
+    group = ("GROUP BY " + ", ".join(by)) if by else ""
+    aggs = ",\n    ".join(
+        (f"sum({m}) / (SELECT count(*) FROM judged j2 WHERE j2.n_rel > 0"
+         + "".join(f" AND j2.{b} IS NOT DISTINCT FROM pq.{b}" for b in by) + f") AS {m}")
+        if m.startswith("mrr") else f"avg({m}) AS {m}" for m in names)
+    return f"""cumd AS (
+  SELECT *, sum(CASE WHEN rel > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY qid ORDER BY rank
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM hr),
+agg AS (SELECT qid, {",".join(per_k)}
+  FROM cumd GROUP BY qid),
+pq AS (SELECT {jkeys}a.qid, {",".join(metrics)}
+  FROM agg a JOIN judged j ON a.qid = j.qid WHERE j.n_rel > 0),
+means AS (SELECT {keys}{aggs}
+  FROM pq {group})
+{long_sql('means', by, names)}"""
+
+
+_LABELLED = """lab AS (SELECT vec_id, label FROM embeddings),
+cnt AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
+judged AS (SELECT l.vec_id AS qid, l.label AS source, c.n - 1 AS n_rel FROM lab l JOIN cnt c ON l.label = c.label),
+hr AS (SELECT h.qid, h.docid, h.rank, lq.label AS source, CAST(lq.label = ld.label AS INTEGER) AS rel
+       FROM hits h JOIN lab lq ON lq.vec_id = h.qid JOIN lab ld ON ld.vec_id = h.docid)"""
+
+RETRIEVAL_METRICS = f"""
+WITH {UNIT},
+{_ranked('TRUE', 'TRUE', 10, True)},
+{_LABELLED},
+{_retrieval_sql([], [1, 3, 5, 10])}
+"""
+
+RETRIEVAL_BY_SOURCE = f"""
+WITH {UNIT},
+{_ranked('TRUE', 'TRUE', 10, True)},
+{_LABELLED},
+{_retrieval_sql(['source'], [1, 3, 5, 10])}
+"""
+
+BITEXT_METRICS = f"""
+WITH {UNIT},
+{_ranked('q.vec_id % 2 = 0', 'c.vec_id % 2 = 1', 10, False)},
+lab AS (SELECT vec_id, label FROM embeddings),
+tcount AS (SELECT label, count(*) AS n FROM lab WHERE vec_id % 2 = 1 GROUP BY label),
+judged AS (SELECT l.vec_id AS qid, t.n AS n_rel FROM lab l JOIN tcount t ON l.label = t.label WHERE l.vec_id % 2 = 0),
+top1 AS (SELECT h.qid, h.docid, CAST(lq.label = ld.label AS DOUBLE) AS rel
+         FROM hits h JOIN lab lq ON lq.vec_id = h.qid JOIN lab ld ON ld.vec_id = h.docid WHERE h.rank = 1),
+s AS (SELECT sum(rel) AS correct, count(DISTINCT docid) AS docs, (SELECT count(*) FROM judged WHERE n_rel > 0) AS nq FROM top1),
+m AS (SELECT correct / nq AS accuracy, correct / docs AS precision, correct / nq AS recall FROM s),
+w AS (SELECT accuracy, precision, recall,
+             CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m)
+{long_sql('w', [], ['accuracy', 'precision', 'recall', 'f1'])}
+"""
+
+CONTRASTIVE_LOSS = f"""
+WITH {UNIT},
+q AS (SELECT vec_id // 40 AS batch_id, vec_id AS qid, vec_id + 1 AS pos, u FROM u WHERE vec_id % 2 = 0),
+d AS (SELECT vec_id // 40 AS batch_id, vec_id AS docid, u FROM u WHERE vec_id % 2 = 1),
+s AS (SELECT q.batch_id, q.qid, q.pos, d.docid, 20.0 * list_dot_product(q.u, d.u) AS s
+      FROM q JOIN d ON q.batch_id = d.batch_id),
+m AS (SELECT batch_id, qid, max(s) AS mx FROM s GROUP BY batch_id, qid),
+l AS (SELECT s.batch_id, s.qid, m.mx + ln(sum(exp(s.s - m.mx))) AS lse,
+             sum(CASE WHEN s.docid = s.pos THEN s.s END) AS spos
+      FROM s JOIN m ON s.batch_id = m.batch_id AND s.qid = m.qid GROUP BY s.batch_id, s.qid, m.mx)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, qid, round(lse - spos, 6) AS loss FROM l
+"""
+
+POOL_TOKENS = """
+WITH t AS (
+  SELECT vec_id, least(label + 1, 8) AS n, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+x AS (SELECT vec_id, n, tok, d, v[tok * 8 + d + 1] AS h
+      FROM t, range(0, 8) r1(tok), range(0, 8) r2(d)),
+p AS (
+  SELECT vec_id, d,
+    max(CASE WHEN tok = 0 THEN h END) AS first_token,
+    max(CASE WHEN tok = n - 1 THEN h END) AS last_token,
+    sum(CASE WHEN tok < n THEN h ELSE 0 END) / greatest(max(n), 1e-9) AS mean,
+    sum(CASE WHEN tok < n THEN (tok + 1) * h ELSE 0 END) / greatest(max(n) * (max(n) + 1) / 2.0, 1e-9) AS weightedmean
+  FROM x GROUP BY vec_id, d)
+SELECT vec_id, method, CAST(d AS BIGINT) AS dim, round(value, 6) AS value FROM p
+UNPIVOT (value FOR method IN (first_token, last_token, mean, weightedmean))
+"""
