@@ -30,48 +30,59 @@ def _range_sorted(df: DataFrame, keys: Sequence[str], parts: int | None) -> Data
     return cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols))
 
 
-def _offsets(rp: DataFrame, value: str | None) -> dict[int, float]:
-    agg = F.count(F.lit(1)) if value is None else F.sum(F.coalesce(F.col(value), F.lit(0)))
-    rows = rp.groupBy(F.spark_partition_id().alias("pid")).agg(agg.alias("t")).collect()
-    totals = {r["pid"]: (r["t"] or 0) for r in rows}
-    out, run = {}, 0
+def _offsets(rp: DataFrame, values: list[str] | None) -> dict[int, list]:
+    if values is None:
+        aggs = [F.count(F.lit(1)).alias("t0")]
+    else:
+        aggs = [F.sum(F.coalesce(F.col(v), F.lit(0))).alias(f"t{i}") for i, v in enumerate(values)]
+    rows = rp.groupBy(F.spark_partition_id().alias("pid")).agg(*aggs).collect()
+    width = len(aggs)
+    totals = {r["pid"]: [r[f"t{i}"] or 0 for i in range(width)] for r in rows}
+    out, run = {}, [0] * width
     for pid in sorted(totals):
-        out[pid] = run
-        run += totals[pid]
+        out[pid] = list(run)
+        run = [a + b for a, b in zip(run, totals[pid])]
     return out
 
 
-def prefix_sum(df: DataFrame, order: Sequence[str], value: str, out: str, by=None,
+def prefix_sum(df: DataFrame, order: Sequence[str], value, out, by=None,
                parts: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``value`` in ``order`` (restarting per ``by`` key).
+    """Inclusive running sum of ``value`` (one name or a list) in ``order``, restarting per ``by`` key.
 
     ``order`` must make rows unique within a key, otherwise tie order is unspecified.
     """
     by, order = as_list(by), list(order)
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     rp = _range_sorted(df, by + order, parts)
-    offsets = _offsets(rp, value)
-    vtype = dict(rp.dtypes)[value]
-    integral = vtype in ("tinyint", "smallint", "int", "bigint")
-    out_type = T.LongType() if integral else T.DoubleType()
-    schema = T.StructType(rp.schema.fields + [T.StructField(out, out_type, True)])
+    offsets = _offsets(rp, values)
+    types = dict(rp.dtypes)
+    integral = [types[v] in ("tinyint", "smallint", "int", "bigint") for v in values]
+    schema = T.StructType(rp.schema.fields + [
+        T.StructField(o, T.LongType() if it else T.DoubleType(), True) for o, it in zip(outs, integral)])
 
     def run_sum(batches):
         pid = TaskContext.get().partitionId()
-        run = offsets.get(pid, 0)
+        run = list(offsets.get(pid, [0] * len(values)))
         for pdf in batches:
-            v = pdf[value].fillna(0).to_numpy(dtype=np.int64 if integral else np.float64)
-            cs = np.cumsum(v) + run
-            if len(cs):
-                run = cs[-1]
-            pdf[out] = cs
+            for i, (v, o) in enumerate(zip(values, outs)):
+                arr = pdf[v].fillna(0).to_numpy(dtype=np.int64 if integral[i] else np.float64)
+                cs = np.cumsum(arr) + run[i]
+                if len(cs):
+                    run[i] = cs[-1]
+                pdf[o] = cs
             yield pdf
 
     res = rp.mapInPandas(run_sum, schema)
     if not by:
         return res
-    # restart per key: subtract the running total reached before the key's first row
-    start = res.groupBy(*by).agg(F.min(F.col(out) - F.coalesce(F.col(value), F.lit(0))).alias("_start"))
-    return res.join(start, by, "inner").withColumn(out, F.col(out) - F.col("_start")).drop("_start")
+    # restart per key: subtract the running totals reached before the key's first row
+    start = res.groupBy(*by).agg(*[F.min(F.col(o) - F.coalesce(F.col(v), F.lit(0))).alias(f"_start{i}")
+                                   for i, (v, o) in enumerate(zip(values, outs))])
+    res = res.join(start, by, "inner")
+    for i, o in enumerate(outs):
+        res = res.withColumn(o, F.col(o) - F.col(f"_start{i}"))
+    return res.drop(*[f"_start{i}" for i in range(len(outs))])
 
 
 def with_row_id(df: DataFrame, order: Sequence[str], out: str = "row_id", by=None,
@@ -85,7 +96,7 @@ def with_row_id(df: DataFrame, order: Sequence[str], out: str = "row_id", by=Non
     rp = _range_sorted(df, by + order, parts)
     offsets = _offsets(rp, None)
     spark = df.sparkSession
-    off = spark.createDataFrame([(int(p), int(o)) for p, o in offsets.items()], "pid int, off long")
+    off = spark.createDataFrame([(int(p), int(o[0])) for p, o in offsets.items()], "pid int, off long")
     mono = F.monotonically_increasing_id()
     tagged = rp.select("*", F.spark_partition_id().alias("_pid"),
                        (mono - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("_local"))

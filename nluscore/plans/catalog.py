@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import classification as cls
 from . import oracle_sql as sql
+from . import qa
 from . import retrieval as ret
 
 QUERIES = {
@@ -17,6 +18,10 @@ QUERIES = {
     "bitext_metrics": ret.bitext_metrics,
     "contrastive_loss": ret.contrastive_loss,
     "pool_tokens": ret.pool_tokens,
+    "answer_em_f1": qa.answer_em_f1,
+    "squad_v1_summary": qa.squad_v1_summary,
+    "squad_v2_summary": qa.squad_v2_summary,
+    "best_threshold": qa.best_threshold,
 }
 
 ORACLE = {
@@ -30,4 +35,8 @@ ORACLE = {
     "bitext_metrics": sql.BITEXT_METRICS,
     "contrastive_loss": sql.CONTRASTIVE_LOSS,
     "pool_tokens": sql.POOL_TOKENS,
+    "answer_em_f1": sql.ANSWER_EM_F1,
+    "squad_v1_summary": sql.SQUAD_V1_SUMMARY,
+    "squad_v2_summary": sql.SQUAD_V2_SUMMARY,
+    "best_threshold": sql.BEST_THRESHOLD,
 }

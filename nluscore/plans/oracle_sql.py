@@ -208,3 +208,111 @@ p AS (
 SELECT vec_id, method, CAST(d AS BIGINT) AS dim, round(value, 6) AS value FROM p
 UNPIVOT (value FOR method IN (first_token, last_token, mean, weightedmean))
 """
+
+# ---------------------------------------------------------------- QA answers
+
+# ASCII-safe normalisation (all fixture text is letters, digits, whitespace and ASCII punctuation)
+PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
+
+
+def toks_sql(x: str) -> str:
+    return (f"list_filter(string_split_regex(regexp_replace(lower({x}), '{PUNCT_CLASS}', '', 'g'), '\\s+'), "
+            f"lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))")
+
+
+TURN_PAIRS = """x AS (
+  SELECT conv_id, turn, role, text,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role,
+         lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_text
+  FROM conversations),
+nxt AS (
+  SELECT a.conv_id, a.turn, (SELECT b.text FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn > a.turn
+                               AND b.role = 'assistant' ORDER BY b.turn LIMIT 1) AS next_asst
+  FROM conversations a WHERE a.role = 'assistant'),
+golds AS (
+  SELECT x.conv_id, x.turn, x.text AS pred,
+         list_filter([CASE WHEN x.prev_role = 'user' THEN x.prev_text END, n.next_asst], lambda g: g IS NOT NULL) AS golds
+  FROM x JOIN nxt n ON x.conv_id = n.conv_id AND x.turn = n.turn WHERE x.role = 'assistant'),
+refs AS (SELECT * FROM golds WHERE len(golds) > 0),
+gl AS (SELECT conv_id, turn, pred, unnest(golds) AS gold, generate_subscripts(golds, 1) AS gi FROM refs),"""
+
+
+def _score_sql(src: str, ids: list[str], v2: bool) -> str:
+    """Relational token overlap: unnest tokens, count, join on token, sum(least)."""
+    idc = ", ".join(ids)
+    jn = " AND ".join(f"g.{i} = p.{i}" for i in ids)
+    f1 = ("CASE WHEN len(pt) = 0 OR len(gt) = 0 THEN CAST(len(pt) = len(gt) AS DOUBLE) "
+          "WHEN same = 0 THEN 0.0 ELSE 2.0 * (same / len(pt)) * (same / len(gt)) / ((same / len(pt)) + (same / len(gt))) END"
+          if v2 else
+          "CASE WHEN same = 0 THEN 0.0 ELSE 2.0 * (same / len(pt)) * (same / len(gt)) / ((same / len(pt)) + (same / len(gt))) END")
+    return f"""tk AS (SELECT {idc}, gi, pred, gold, {toks_sql('pred')} AS pt, {toks_sql('gold')} AS gt FROM {src}),
+pc AS (SELECT {idc}, t, count(*) AS c FROM (SELECT DISTINCT {idc}, pt FROM tk), unnest(pt) u(t) GROUP BY ALL),
+gc AS (SELECT {idc}, gi, t, count(*) AS c FROM (SELECT {idc}, gi, gt FROM tk), unnest(gt) u(t) GROUP BY ALL),
+common AS (SELECT g.{idc.replace(', ', ', g.')}, g.gi, sum(least(g.c, p.c)) AS same
+           FROM gc g JOIN pc p ON {jn} AND g.t = p.t GROUP BY ALL),
+per_gold AS (
+  SELECT tk.{idc.replace(', ', ', tk.')}, tk.gi, tk.pred,
+         CAST(array_to_string(pt, ' ') = array_to_string(gt, ' ') AS DOUBLE) AS em,
+         pt, gt, coalesce(c.same, 0) AS same
+  FROM tk LEFT JOIN common c ON {" AND ".join(f"tk.{i} = c.{i}" for i in ids)} AND tk.gi = c.gi),
+scored AS (SELECT {idc}, any_value(pred) AS pred, max(em) AS exact, max({f1}) AS f1 FROM per_gold GROUP BY {idc}),"""
+
+
+ANSWER_EM_F1 = f"""
+WITH {TURN_PAIRS}
+{_score_sql('gl', ['conv_id', 'turn'], False)}
+fin AS (SELECT 1)
+SELECT conv_id, turn, round(exact, 6) AS exact_match, round(f1, 6) AS f1 FROM scored
+"""
+
+SQUAD_V1_SUMMARY = f"""
+WITH {TURN_PAIRS}
+{_score_sql('gl', ['conv_id', 'turn'], False)}
+w AS (SELECT 100.0 * avg(exact) AS exact_match, 100.0 * avg(f1) AS f1 FROM scored)
+{long_sql('w', [], ['exact_match', 'f1'])}
+"""
+
+V2_BASE = f"""b AS (
+  SELECT l.doc_id, l.quality = 1 AS has_ans,
+         CASE WHEN l.quality = 1 THEN substr(d.text, 1, 40) END AS gold_raw,
+         CASE WHEN l.toxic = 1 THEN '' ELSE substr(d.text, 1, CAST(20 + d.doc_id % 40 AS INTEGER)) END AS pred,
+         CAST(d.n_chars % 100 AS DOUBLE) / 100.0 AS na_prob
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+gl AS (SELECT doc_id, 1 AS gi, pred,
+              CASE WHEN gold_raw IS NOT NULL AND len({toks_sql('gold_raw')}) > 0 THEN gold_raw ELSE '' END AS gold
+       FROM b),"""
+
+SQUAD_V2_SUMMARY = f"""
+WITH {V2_BASE}
+{_score_sql('gl', ['doc_id'], True)}
+r AS (SELECT s.*, b.has_ans, b.na_prob FROM scored s JOIN b ON s.doc_id = b.doc_id),
+w AS (SELECT 100.0 * avg(exact) AS exact, 100.0 * avg(f1) AS f1, count(*) AS total,
+             100.0 * avg(CASE WHEN has_ans THEN exact END) AS HasAns_exact,
+             100.0 * avg(CASE WHEN has_ans THEN f1 END) AS HasAns_f1,
+             count(*) FILTER (WHERE has_ans) AS HasAns_total,
+             100.0 * avg(CASE WHEN NOT has_ans THEN exact END) AS NoAns_exact,
+             100.0 * avg(CASE WHEN NOT has_ans THEN f1 END) AS NoAns_f1,
+             count(*) FILTER (WHERE NOT has_ans) AS NoAns_total FROM r),
+l AS ({long_sql('w', [], ['exact', 'f1', 'total', 'HasAns_exact', 'HasAns_f1', 'HasAns_total', 'NoAns_exact', 'NoAns_f1', 'NoAns_total'])})
+SELECT * FROM l
+WHERE NOT (metric LIKE 'HasAns%' AND (SELECT HasAns_total FROM w) = 0)
+  AND NOT (metric LIKE 'NoAns%' AND (SELECT NoAns_total FROM w) = 0)
+"""
+
+BEST_THRESHOLD = f"""
+WITH {V2_BASE}
+{_score_sql('gl', ['doc_id'], True)}
+r AS (SELECT s.doc_id, s.exact, s.f1, b.has_ans, b.na_prob, b.pred FROM scored s JOIN b ON s.doc_id = b.doc_id),
+d AS (SELECT *, CASE WHEN has_ans THEN exact WHEN pred <> '' THEN -1.0 ELSE 0.0 END AS de,
+                CASE WHEN has_ans THEN f1 WHEN pred <> '' THEN -1.0 ELSE 0.0 END AS df FROM r),
+c AS (SELECT *, sum(de) OVER (ORDER BY na_prob, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ce,
+                sum(df) OVER (ORDER BY na_prob, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cf FROM d),
+st AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT has_ans) AS start, max(ce) AS mce, max(cf) AS mcf FROM c),
+te AS (SELECT na_prob AS te FROM c WHERE ce = (SELECT mce FROM st) ORDER BY na_prob, doc_id LIMIT 1),
+tf AS (SELECT na_prob AS tf FROM c WHERE cf = (SELECT mcf FROM st) ORDER BY na_prob, doc_id LIMIT 1),
+w AS (SELECT 100.0 * (start + greatest(mce, 0.0)) / n AS best_exact,
+             CASE WHEN mce > 0 THEN (SELECT te FROM te) ELSE 0.0 END AS best_exact_thresh,
+             100.0 * (start + greatest(mcf, 0.0)) / n AS best_f1,
+             CASE WHEN mcf > 0 THEN (SELECT tf FROM tf) ELSE 0.0 END AS best_f1_thresh FROM st)
+{long_sql('w', [], ['best_exact', 'best_exact_thresh', 'best_f1', 'best_f1_thresh'])}
+"""
