@@ -33,10 +33,13 @@ def accuracy(df: DataFrame, pred: str, gold: str, by=None, weight: str | None =
     return df.groupBy(*by).agg(*aggs)
 
 
-def subset_accuracy(df: DataFrame, pred: str, gold: str, by=None) -> DataFrame:
-    """M3: multi-label subset accuracy, i.e. equality of the (sorted) label sets."""
+def subset_accuracy(df: DataFrame, pred: str, gold: str, by=None, as_sets: bool = False) -> DataFrame:
+    """M3: multi-label subset accuracy: equal multi-hot vectors (or equal label sets with ``as_sets``)."""
     by = as_list(by)
-    hit = (F.array_sort(F.col(pred)) == F.array_sort(F.col(gold))).cast("double")
+    p, g = F.col(pred), F.col(gold)
+    if as_sets:
+        p, g = F.array_sort(F.array_distinct(p)), F.array_sort(F.array_distinct(g))
+    hit = (p == g).cast("double")
     return df.groupBy(*by).agg(F.avg(hit).alias("subset_accuracy"), F.count(F.lit(1)).alias("samples"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import classification as cls
 from . import oracle_sql as sql
+from . import labels as lab
 from . import qa
 from . import retrieval as ret
 
@@ -22,6 +23,11 @@ QUERIES = {
     "squad_v1_summary": qa.squad_v1_summary,
     "squad_v2_summary": qa.squad_v2_summary,
     "best_threshold": qa.best_threshold,
+    "label_vocab": lab.label_vocab,
+    "unseen_labels": lab.unseen_labels,
+    "multilabel_f1": lab.multilabel_f1,
+    "corpus_dedupe": lab.corpus_dedupe,
+    "choice_accuracy": lab.choice_accuracy,
 }
 
 ORACLE = {
@@ -39,4 +45,9 @@ ORACLE = {
     "squad_v1_summary": sql.SQUAD_V1_SUMMARY,
     "squad_v2_summary": sql.SQUAD_V2_SUMMARY,
     "best_threshold": sql.BEST_THRESHOLD,
+    "label_vocab": sql.LABEL_VOCAB,
+    "unseen_labels": sql.UNSEEN_LABELS,
+    "multilabel_f1": sql.MULTILABEL_F1,
+    "corpus_dedupe": sql.CORPUS_DEDUPE,
+    "choice_accuracy": sql.CHOICE_ACCURACY,
 }

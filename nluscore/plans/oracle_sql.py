@@ -316,3 +316,57 @@ w AS (SELECT 100.0 * (start + greatest(mce, 0.0)) / n AS best_exact,
              CASE WHEN mcf > 0 THEN (SELECT tf FROM tf) ELSE 0.0 END AS best_f1_thresh FROM st)
 {long_sql('w', [], ['best_exact', 'best_exact_thresh', 'best_f1', 'best_f1_thresh'])}
 """
+
+# ---------------------------------------------------------------- labels, multi-label, dedupe, choice
+
+SPLIT_SQL = ("CASE WHEN event_id % 10 < 8 THEN 'train' WHEN event_id % 10 = 8 THEN 'validation' "
+             "ELSE 'test' END")
+
+LABEL_VOCAB = f"""
+WITH ev AS (SELECT event_type, {SPLIT_SQL} AS split FROM events),
+v AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS label_id
+      FROM (SELECT DISTINCT event_type AS label FROM ev WHERE event_type IS NOT NULL AND event_type <> '-1'))
+SELECT e.split, e.event_type AS label, v.label_id, count(*) AS n
+FROM ev e JOIN v ON e.event_type = v.label GROUP BY e.split, e.event_type, v.label_id
+"""
+
+UNSEEN_LABELS = f"""
+WITH ev AS (SELECT {SPLIT_SQL} AS split, concat_ws(':', CAST(user_id AS VARCHAR), json_extract_string(props, '$.k')) AS label FROM events)
+SELECT DISTINCT split, label FROM ev
+WHERE split <> 'train' AND label NOT IN (SELECT label FROM ev WHERE split = 'train')
+"""
+
+MULTILABEL_F1 = """
+WITH v AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS id
+           FROM (SELECT DISTINCT event_type AS label FROM events WHERE event_type IS NOT NULL)),
+e AS (SELECT event_id // 4 AS grp, event_id % 2 AS odd, v.id FROM events JOIN v ON events.event_type = v.label),
+g AS (SELECT grp,
+        coalesce(list_sort(list_distinct(list(id) FILTER (WHERE odd = 0))), []::BIGINT[]) AS gold,
+        coalesce(list_sort(list_distinct(list(id) FILTER (WHERE odd = 1))), []::BIGINT[]) AS pred
+      FROM e GROUP BY grp),
+c AS (SELECT gold = pred AS same, len(list_intersect(gold, pred)) AS tp, len(gold) AS ng, len(pred) AS np FROM g),
+w AS (SELECT avg(CAST(same AS DOUBLE)) AS subset_accuracy, count(*) AS samples,
+             2.0 * sum(tp) / (2.0 * sum(tp) + (sum(np) - sum(tp)) + (sum(ng) - sum(tp))) AS f1_micro FROM c)
+""" + long_sql('w', [], ['subset_accuracy', 'samples', 'f1_micro'])
+
+CORPUS_DEDUPE = """
+WITH f AS (SELECT text, min(doc_id) AS first_id FROM documents GROUP BY text),
+r AS (SELECT first_id, CAST(dense_rank() OVER (ORDER BY first_id) - 1 AS BIGINT) AS corpus_id FROM f)
+SELECT d.doc_id, r.corpus_id, d.doc_id = f.first_id AS is_first
+FROM documents d JOIN f ON d.text = f.text JOIN r ON f.first_id = r.first_id
+"""
+
+CHOICE_ACCURACY = """
+WITH a AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx
+           FROM conversations WHERE role = 'assistant'),
+n AS (SELECT count(*) AS n FROM a),
+ex AS (SELECT u.conv_id, u.turn AS uturn, u.text AS question, a.idx, (u.conv_id + u.turn) % 3 AS label
+       FROM conversations u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'),
+cand AS (SELECT ex.*, t.j, (ex.idx + t.j) % (SELECT n FROM n) AS cidx FROM ex, range(0, 3) t(j)),
+sc AS (SELECT c.conv_id, c.uturn, c.label, (c.label + c.j) % 3 AS choice,
+              -abs(length(c.question || ' ' || a.text) - 2 * length(c.question)) AS score
+       FROM cand c JOIN a ON a.idx = c.cidx),
+best AS (SELECT conv_id, uturn, label, choice AS pred,
+                row_number() OVER (PARTITION BY conv_id, uturn ORDER BY score DESC, choice ASC) AS r FROM sc),
+w AS (SELECT avg(CAST(pred = label AS DOUBLE)) AS accuracy, count(*) AS samples FROM best WHERE r = 1)
+""" + long_sql('w', [], ['accuracy', 'samples'])
