@@ -1,41 +1,46 @@
 """Extractive QA scoring.
 
-Answers are short, so token overlap is computed per row on arrays (JVM higher-order functions):
-no explode and no shuffle beyond the single id join of predictions with references.
+Everything is per row on arrays: JVM normalisation, a linear Arrow-batched overlap count, JVM
+F1 arithmetic; no explode and no shuffle beyond the single id join of predictions with references.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import answer_tokens, normalize_answer
 from .metrics_table import as_list, safe_ratio, to_long
 from .prefix import prefix_sum
 
 
-def tag_occurrences(sorted_tokens: Column) -> Column:
-    """``[a, a, b]`` → ``[a#1, a#2, b#1]`` for a *sorted* array, so that set operations count multiplicity.
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def common_token_counts(pred_tokens: pd.Series, gold_tokens: pd.Series) -> pd.Series:
+    """Per gold, the size of the multiset intersection with the prediction's tokens.
 
-    ``sorted_tokens`` must be cheap to evaluate (a column or a lambda variable's field).
+    A small Arrow-batched helper (linear Counter intersection); the arrays come from JVM normalisation.
     """
-    return F.transform(sorted_tokens, lambda x, i: F.concat(
-        x, F.lit("\u0001"), (i + 1 - F.array_position(sorted_tokens, x)).cast("string")))
-
-
-def common_tokens(p_sorted: Column, g_sorted: Column) -> Column:
-    """Size of the multiset intersection of two sorted token arrays (hash-based intersect)."""
-    return F.size(F.array_intersect(tag_occurrences(p_sorted), tag_occurrences(g_sorted)))
-
-
-def token_f1(p_sorted: Column, g_sorted: Column, v2: bool = False) -> Column:
-    """Q9: token F1. v1: 0 when nothing is shared; v2: 1 when both are empty, 0 when one is."""
-    same = common_tokens(p_sorted, g_sorted)
-    np_, ng = F.size(p_sorted), F.size(g_sorted)
-    prec, rec = same / np_, same / ng
+    out = []
+    for p, golds in zip(pred_tokens, gold_tokens):
+        if golds is None:
+            out.append(None)
+            continue
+        cp = Counter(p) if p is not None else Counter()
+        out.append([sum((cp & Counter(g)).values()) if g is not None else 0 for g in golds])
+    return pd.Series(out)
+
+
+def f1_from_counts(same: Column, n_pred: Column, n_gold: Column, v2: bool = False) -> Column:
+    """Q9: token F1 from the overlap size. v1: 0 when nothing is shared; v2: 1 when both are
+    empty, 0 when only one is."""
+    prec, rec = same / n_pred, same / n_gold
     f1 = F.when(same == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
     if v2:
-        f1 = F.when((np_ == 0) | (ng == 0), (np_ == ng).cast("double")).otherwise(f1)
+        f1 = F.when((n_pred == 0) | (n_gold == 0), (n_pred == n_gold).cast("double")).otherwise(f1)
     return f1
 
 
@@ -67,14 +72,15 @@ def score_answers(preds: DataFrame, refs: DataFrame, ids, pred: str = "predictio
         kept = F.filter(F.col("_golds"), lambda x: normalize_answer(x) != "")
         g = F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("")))
     j = r.join(preds.select(*ids, F.col(pred).alias("_pred")), ids, "left" if version == 1 else "inner")
-    # normalise and sort every text once; the scoring lambdas then only read these columns
+    # normalise every text once; the scoring lambdas only read these columns
     j = (j.withColumn("_pnorm", normalize_answer(F.col("_pred")))
-          .withColumn("_ptok", F.array_sort(answer_tokens(F.col("_pred"))))
+          .withColumn("_ptok", answer_tokens(F.col("_pred")))
           .withColumn("_g", F.transform(g, lambda x: F.struct(
-              normalize_answer(x).alias("norm"), F.array_sort(answer_tokens(x)).alias("toks")))))
-    per_gold = F.transform(F.col("_g"), lambda x: F.struct(
+              normalize_answer(x).alias("norm"), answer_tokens(x).alias("toks")))))
+    j = j.withColumn("_same", common_token_counts(F.col("_ptok"), F.transform(F.col("_g"), lambda x: x["toks"])))
+    per_gold = F.zip_with(F.col("_g"), F.col("_same"), lambda x, c: F.struct(
         (x["norm"] == F.col("_pnorm")).cast("double").alias("em"),
-        token_f1(F.col("_ptok"), x["toks"], version == 2).alias("f1")))
+        f1_from_counts(c, F.size(F.col("_ptok")), F.size(x["toks"]), version == 2).alias("f1")))
     j = j.withColumn("_s", per_gold)
     em = F.array_max(F.transform(F.col("_s"), lambda s: s["em"]))
     f1 = F.array_max(F.transform(F.col("_s"), lambda s: s["f1"]))
