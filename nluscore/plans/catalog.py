@@ -7,6 +7,7 @@ from . import oracle_sql as sql
 from . import labels as lab
 from . import qa
 from . import retrieval as ret
+from . import tokens as tok
 
 QUERIES = {
     "accuracy_by_lang": cls.accuracy_by_lang,
@@ -28,6 +29,10 @@ QUERIES = {
     "multilabel_f1": lab.multilabel_f1,
     "corpus_dedupe": lab.corpus_dedupe,
     "choice_accuracy": lab.choice_accuracy,
+    "doc_windows": tok.doc_windows,
+    "span_labels": tok.span_labels,
+    "align_tags": tok.align_tags,
+    "entity_report": tok.entity_report,
 }
 
 ORACLE = {
@@ -50,4 +55,8 @@ ORACLE = {
     "multilabel_f1": sql.MULTILABEL_F1,
     "corpus_dedupe": sql.CORPUS_DEDUPE,
     "choice_accuracy": sql.CHOICE_ACCURACY,
+    "doc_windows": sql.DOC_WINDOWS,
+    "span_labels": sql.SPAN_LABELS,
+    "align_tags": sql.ALIGN_TAGS,
+    "entity_report": sql.ENTITY_REPORT,
 }

@@ -370,3 +370,99 @@ best AS (SELECT conv_id, uturn, label, choice AS pred,
                 row_number() OVER (PARTITION BY conv_id, uturn ORDER BY score DESC, choice ASC) AS r FROM sc),
 w AS (SELECT avg(CAST(pred = label AS DOUBLE)) AS accuracy, count(*) AS samples FROM best WHERE r = 1)
 """ + long_sql('w', [], ['accuracy', 'samples'])
+
+# ---------------------------------------------------------------- tokens, windows, tags, entities
+# (fixture text holds only ' ' and '\n' as whitespace, so RE2's ASCII \s equals Python's split)
+
+
+def _tok_sql(src: str) -> str:
+    return f"""runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\s+|\\S+')) AS run,
+                 generate_subscripts(regexp_extract_all(text, '\\s+|\\S+'), 1) AS i FROM {src}),
+offs AS (SELECT doc_id, i, run, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(run) AS st FROM runs),
+tok AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, st, st + length(run) AS en
+        FROM offs WHERE NOT regexp_matches(run, '^\\s')),
+nt AS (SELECT d.doc_id, count(t.pos) AS n FROM (SELECT DISTINCT doc_id FROM {src}) d
+       LEFT JOIN tok t ON d.doc_id = t.doc_id GROUP BY d.doc_id),
+win AS (SELECT doc_id, n, w AS window_id, w * 96 AS tok_start, least(w * 96 + 128, n) AS tok_end
+        FROM (SELECT doc_id, n, unnest(range(0, 1 + CAST(ceil(greatest(n - 128, 0) / 96.0) AS BIGINT))) AS w FROM nt))"""
+
+
+DOC_WINDOWS = f"""
+WITH {_tok_sql('documents')}
+SELECT win.doc_id, CAST(window_id AS BIGINT) AS window_id, CAST(tok_start AS BIGINT) AS tok_start,
+       CAST(tok_end AS BIGINT) AS tok_end, CAST(s.st AS BIGINT) AS char_start, CAST(e.en AS BIGINT) AS char_end,
+       CAST(tok_end - tok_start AS BIGINT) AS n_tokens
+FROM win
+LEFT JOIN tok s ON s.doc_id = win.doc_id AND s.pos = win.tok_start AND win.tok_end > win.tok_start
+LEFT JOIN tok e ON e.doc_id = win.doc_id AND e.pos = win.tok_end - 1 AND win.tok_end > win.tok_start
+"""
+
+SPAN_LABELS = f"""
+WITH ex AS (SELECT d.doc_id, b.item_id, instr(d.text, b.text) - 1 AS sc, instr(d.text, b.text) - 1 + length(b.text) AS ec
+            FROM documents d JOIN benchmark b ON length(b.text) > 0 AND instr(d.text, b.text) > 0),
+ctx AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ex)),
+{_tok_sql('ctx')},
+lab AS (
+  SELECT x.doc_id, x.item_id, w.window_id, x.sc, x.ec, min(t.st) AS wst, max(t.en) AS wen,
+         count(t.pos) FILTER (WHERE t.st <= x.sc) AS nbs, count(t.pos) FILTER (WHERE t.en < x.ec) AS nbe
+  FROM ex x JOIN win w ON w.doc_id = x.doc_id
+  LEFT JOIN tok t ON t.doc_id = w.doc_id AND t.pos >= w.tok_start AND t.pos < w.tok_end
+  GROUP BY x.doc_id, x.item_id, w.window_id, x.sc, x.ec)
+SELECT doc_id, item_id, CAST(window_id AS BIGINT) AS window_id,
+       CAST(CASE WHEN wst <= sc AND wen >= ec THEN nbs ELSE 0 END AS BIGINT) AS start_position,
+       CAST(CASE WHEN wst <= sc AND wen >= ec THEN nbe + 1 ELSE 0 END AS BIGINT) AS end_position
+FROM lab
+"""
+
+_WORDS = """w0 AS (SELECT doc_id, coalesce(lang, '_') AS lang, unnest(regexp_extract_all(text, '\\S+')) AS word,
+              generate_subscripts(regexp_extract_all(text, '\\S+'), 1) - 1 AS wid FROM documents),
+w AS (SELECT *, regexp_matches(word, '^\\p{Lu}') AS gcap,
+             regexp_matches(word, '^\\p{Lu}') AND length(word) > 3 AS pcap FROM w0),
+t AS (SELECT *,
+        CASE WHEN gcap THEN (CASE WHEN coalesce(lag(gcap) OVER (PARTITION BY doc_id ORDER BY wid), false)
+                                  THEN 'I-' ELSE 'B-' END) || lang ELSE 'O' END AS gtag,
+        CASE WHEN pcap THEN (CASE WHEN coalesce(lag(pcap) OVER (PARTITION BY doc_id ORDER BY wid), false)
+                                  THEN 'I-' ELSE 'B-' END) || lang ELSE 'O' END AS ptag
+      FROM w)"""
+
+ALIGN_TAGS = f"""
+WITH {_WORDS},
+v AS (SELECT gtag AS tag, dense_rank() OVER (ORDER BY gtag) - 1 AS id FROM (SELECT DISTINCT gtag FROM t)),
+b AS (SELECT v.tag, v.id, coalesce(vi.id, v.id) AS all_id FROM v LEFT JOIN v vi ON vi.tag = regexp_replace(v.tag, '^B-', 'I-')),
+np AS (SELECT doc_id, wid, gtag, CAST(ceil(length(word) / 4.0) AS BIGINT) AS np FROM t),
+cum AS (SELECT *, sum(np) OVER (PARTITION BY doc_id ORDER BY wid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - np AS before
+        FROM np),
+pieces AS (SELECT doc_id, wid, gtag, before, unnest(range(0, np)) AS j FROM cum),
+body AS (SELECT p.doc_id, p.before + p.j + 1 AS pos, p.wid AS word_id,
+                CASE WHEN p.j = 0 THEN b.id ELSE -100 END AS label_id,
+                CASE WHEN p.j = 0 THEN b.id ELSE b.all_id END AS label_all_id
+         FROM pieces p JOIN b ON p.gtag = b.tag),
+tot AS (SELECT d.doc_id, coalesce(sum(np.np), 0) AS total FROM documents d LEFT JOIN np ON np.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(word_id AS BIGINT) AS word_id,
+       CAST(label_id AS BIGINT) AS label_id, CAST(label_all_id AS BIGINT) AS label_all_id FROM body
+UNION ALL SELECT doc_id, 0, NULL, -100, -100 FROM tot
+UNION ALL SELECT doc_id, CAST(total + 1 AS BIGINT), NULL, -100, -100 FROM tot
+"""
+
+ENTITY_REPORT = f"""
+WITH {_WORDS},
+gi AS (SELECT doc_id, lang, wid - row_number() OVER (PARTITION BY doc_id ORDER BY wid) AS g, wid FROM w WHERE gcap),
+pi AS (SELECT doc_id, lang, wid - row_number() OVER (PARTITION BY doc_id ORDER BY wid) AS g, wid FROM w WHERE pcap),
+ge AS (SELECT doc_id, lang, min(wid) AS s, max(wid) AS e FROM gi GROUP BY doc_id, lang, g),
+pe AS (SELECT doc_id, lang, min(wid) AS s, max(wid) AS e FROM pi GROUP BY doc_id, lang, g),
+tp AS (SELECT ge.lang FROM ge JOIN pe ON ge.doc_id = pe.doc_id AND ge.s = pe.s AND ge.e = pe.e AND ge.lang = pe.lang),
+types AS (SELECT lang FROM ge UNION SELECT lang FROM pe),
+c AS (SELECT ty.lang AS type,
+             CAST((SELECT count(*) FROM ge WHERE ge.lang = ty.lang) AS DOUBLE) AS ng,
+             CAST((SELECT count(*) FROM pe WHERE pe.lang = ty.lang) AS DOUBLE) AS np,
+             CAST((SELECT count(*) FROM tp WHERE tp.lang = ty.lang) AS DOUBLE) AS ntp FROM types ty),
+ca AS (SELECT type, ng, np, ntp FROM c UNION ALL SELECT 'overall', sum(ng), sum(np), sum(ntp) FROM c),
+m AS (SELECT type, ng,
+        CASE WHEN np = 0 THEN 0.0 ELSE ntp / np END AS p, CASE WHEN ng = 0 THEN 0.0 ELSE ntp / ng END AS r FROM ca),
+f AS (SELECT type, ng AS number, p AS precision, r AS recall, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1 FROM m),
+l AS ({long_sql('f', ['type'], ['precision', 'recall', 'f1', 'number'])})
+SELECT * FROM l WHERE NOT (type = 'overall' AND metric = 'number')
+UNION ALL
+SELECT 'overall', 'accuracy', round(avg(CAST(gtag = ptag AS DOUBLE)), 6) FROM t
+"""
