@@ -168,3 +168,102 @@ def best_threshold(raw: DataFrame, order, n_no_answer: DataFrame | None = None)
         (100.0 * best_f / F.col("n")).alias("best_f1"),
         F.when(F.col("mcf") > 0, F.col("tf")).otherwise(0.0).alias("best_f1_thresh"))
     return to_long(wide, [])
+
+
+# ---------------------------------------------------------------- post-processing (Q1-Q7)
+
+def _top_indexes(logits: Column, n: int) -> Column:
+    """Q1: indexes of the n largest logits (ties: lower index first)."""
+    keyed = F.transform(logits, lambda x, i: F.struct((-x).alias("k"), i.alias("i")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["i"])
+
+
+def span_candidates(features: DataFrame, n_best: int = 20, max_answer_len: int = 30,
+                    max_context: str | None = None) -> DataFrame:
+    """Q1/Q2/J5/Q3 per feature, in array form: rows ``(example_id, feature, kind, s, e, score,
+    start_logit, end_logit, char_start, char_end)``; kind 0 = span, 1 = the feature's null score.
+
+    ``features``: example_id, feature (order within the example), start_logits, end_logits,
+    offsets (array<struct<start,end>>, null outside the context) and optionally a
+    ``max_context`` array<boolean> per position. Only the feature's best ``n_best`` spans are kept.
+    """
+    sl, el, off = F.col("start_logits"), F.col("end_logits"), F.col("offsets")
+    nof = F.size(off)
+    pairs = F.flatten(F.transform(_top_indexes(sl, n_best), lambda s: F.transform(
+        _top_indexes(el, n_best), lambda e: F.struct(s.alias("s"), e.alias("e")))))
+
+    def valid(p):
+        s, e = p["s"], p["e"]
+        ok = ((s < nof) & (e < nof) & F.element_at(off, s + 1).isNotNull() & F.element_at(off, e + 1).isNotNull()
+              & (e >= s) & (e - s + 1 <= max_answer_len))
+        if max_context:
+            ok = ok & F.coalesce(F.element_at(F.col(max_context), s + 1), F.lit(False))
+        return ok
+
+    cands = F.transform(F.filter(pairs, valid), lambda p: F.struct(
+        F.lit(0).alias("kind"), p["s"].alias("s"), p["e"].alias("e"),
+        (F.element_at(sl, p["s"] + 1) + F.element_at(el, p["e"] + 1)).alias("score"),
+        F.element_at(sl, p["s"] + 1).alias("start_logit"), F.element_at(el, p["e"] + 1).alias("end_logit"),
+        F.element_at(off, p["s"] + 1)["start"].alias("char_start"), F.element_at(off, p["e"] + 1)["end"].alias("char_end")))
+    ordered = F.array_sort(cands, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
+                           .when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1)
+                           .when(a["e"] < b["e"], -1).when(a["e"] > b["e"], 1).otherwise(0))
+    null = F.struct(F.lit(1).alias("kind"), F.lit(0).alias("s"), F.lit(0).alias("e"),
+                    (F.element_at(sl, 1) + F.element_at(el, 1)).alias("score"),
+                    F.element_at(sl, 1).alias("start_logit"), F.element_at(el, 1).alias("end_logit"),
+                    F.lit(0).alias("char_start"), F.lit(0).alias("char_end"))
+    x = features.select("example_id", "feature", F.concat(F.slice(ordered, 1, n_best), F.array(null)).alias("_c"))
+    # inline_outer: a plain generator makes Catalyst infer size(_c) > 0 below the projection and
+    # evaluate the whole candidate expression twice; _c is never empty (it holds the null score)
+    return x.select("example_id", "feature", F.inline_outer("_c"))
+
+
+def nbest(cands: DataFrame, contexts: DataFrame, n_best: int = 20, with_null: bool = True) -> DataFrame:
+    """Q3-Q6: per example the ``n_best`` spans by score (ties: span before null, then feature, start,
+    end), the minimum null score (v2) kept even when cut, answer text sliced from the context,
+    the fake ``"empty"`` answer when nothing non-empty is left, and softmax probabilities.
+
+    ``contexts``: example_id, context. Returns example_id, rank (0-based), kind, text, score,
+    start_logit, end_logit, probability.
+    """
+    from pyspark.sql import Window
+    spans = cands.filter(F.col("kind") == 0)
+    parts = spans
+    if with_null:
+        wn = Window.partitionBy("example_id").orderBy(F.col("score").asc(), F.col("feature").asc())
+        nulls = (cands.filter(F.col("kind") == 1).withColumn("_r", F.row_number().over(wn))
+                      .filter(F.col("_r") == 1).drop("_r"))
+        parts = spans.unionByName(nulls)
+    w = Window.partitionBy("example_id").orderBy(F.col("score").desc(), F.col("kind").asc(), F.col("feature").asc(),
+                                                 F.col("s").asc(), F.col("e").asc())
+    ranked = parts.withColumn("rank", F.row_number().over(w) - 1)
+    kept = ranked.filter((F.col("rank") < n_best) | (F.col("kind") == 1))
+    kept = kept.join(contexts.select("example_id", "context"), "example_id", "left")
+    kept = kept.withColumn("text", F.when(F.col("kind") == 1, F.lit("")).otherwise(
+        F.coalesce(F.substring(F.col("context"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")), F.lit(""))))
+    we = Window.partitionBy("example_id")
+    kept = kept.withColumn("_n", F.count(F.lit(1)).over(we)).withColumn(
+        "_blank", F.max((F.col("text") != "").cast("int")).over(we))
+    fake = (kept.filter((F.col("_n") == 1) & (F.col("_blank") == 0)).select("example_id").distinct()
+                .select("example_id", F.lit(-1).alias("rank"), F.lit(2).alias("kind"), F.lit("empty").alias("text"),
+                        F.lit(0.0).cast("float").alias("score"), F.lit(0.0).cast("float").alias("start_logit"),
+                        F.lit(0.0).cast("float").alias("end_logit")))
+    allr = kept.select("example_id", "rank", "kind", "text", "score", "start_logit", "end_logit").unionByName(fake)
+    mx = F.max(F.col("score").cast("double")).over(we)
+    ex = F.exp(F.col("score").cast("double") - mx)
+    out = allr.withColumn("probability", ex / F.sum(ex).over(we))
+    wr = Window.partitionBy("example_id").orderBy("rank")
+    return out.withColumn("rank", F.row_number().over(wr) - 1)
+
+
+def pick_answer(nb: DataFrame, v2: bool = True, null_score_diff_threshold: float = 0.0) -> DataFrame:
+    """Q7: v1 = first of the n-best; v2 = best non-empty answer unless the null score beats it by more
+    than the threshold (then ''); emits ``score_diff`` (null odds). No non-empty answer → '' (R14)."""
+    if not v2:
+        return nb.groupBy("example_id").agg(F.min_by("text", "rank").alias("prediction_text"))
+    g = nb.groupBy("example_id").agg(
+        F.min_by(F.struct("text", "start_logit", "end_logit"), F.when(F.col("text") != "", F.col("rank"))).alias("_b"),
+        F.max(F.when(F.col("kind") == 1, F.col("score"))).alias("_null"))
+    diff = F.col("_null") - F.col("_b.start_logit") - F.col("_b.end_logit")
+    pred = F.when(F.col("_b").isNull(), F.lit("")).when(diff > null_score_diff_threshold, F.lit("")).otherwise(F.col("_b.text"))
+    return g.select("example_id", pred.alias("prediction_text"), diff.cast("double").alias("score_diff"))

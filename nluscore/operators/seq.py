@@ -76,7 +76,7 @@ def entity_counts(df: DataFrame, gold: str, pred: str, by=None) -> DataFrame:
     def tagged(c, g, p, t):
         return F.transform(c, lambda e: F.struct(e["type"].alias("type"), F.lit(g).alias("g"), F.lit(p).alias("p"), F.lit(t).alias("tp")))
     allv = F.concat(tagged(F.col(gold), 1, 0, 0), tagged(F.col(pred), 0, 1, 0), tagged(tp, 0, 0, 1))
-    x = df.select(*by, F.explode(allv).alias("_e"))
+    x = df.select(*by, F.explode_outer(allv).alias("_e")).filter(F.col("_e").isNotNull())
     return x.groupBy(*by, F.col("_e.type").alias("type")).agg(
         F.sum("_e.g").alias("n_gold"), F.sum("_e.p").alias("n_pred"), F.sum("_e.tp").alias("n_tp"))
 

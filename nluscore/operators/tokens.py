@@ -124,7 +124,8 @@ def align_tags(df: DataFrame, words: str, tags: str, piece_len: int, vocab: Data
     special = F.lit(None).cast("struct<word_id:int,piece:int,tag:string>")
     seq = F.concat(F.array(special), pieces, F.array(special))
     keep = [c for c in df.columns if c not in (words, tags)]
-    x = df.select(*keep, F.posexplode(seq).alias("pos", "_t"))
+    # the _outer form keeps Catalyst from inferring a size filter that would evaluate seq twice
+    x = df.select(*keep, F.posexplode_outer(seq).alias("pos", "_t"))
     x = x.select(*keep, "pos", F.col("_t.word_id").alias("word_id"), F.col("_t.piece").alias("piece"),
                  F.col("_t.tag").alias("_tag"))
     v = (b2i if b2i is not None else vocab.withColumn("label_all_id", F.col("label_id")))

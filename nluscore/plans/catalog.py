@@ -24,6 +24,8 @@ QUERIES = {
     "squad_v1_summary": qa.squad_v1_summary,
     "squad_v2_summary": qa.squad_v2_summary,
     "best_threshold": qa.best_threshold,
+    "nbest_answers": qa.nbest_answers,
+    "qa_predictions": qa.qa_predictions,
     "label_vocab": lab.label_vocab,
     "unseen_labels": lab.unseen_labels,
     "multilabel_f1": lab.multilabel_f1,
@@ -50,6 +52,8 @@ ORACLE = {
     "squad_v1_summary": sql.SQUAD_V1_SUMMARY,
     "squad_v2_summary": sql.SQUAD_V2_SUMMARY,
     "best_threshold": sql.BEST_THRESHOLD,
+    "nbest_answers": sql.NBEST_ANSWERS,
+    "qa_predictions": sql.QA_PREDICTIONS,
     "label_vocab": sql.LABEL_VOCAB,
     "unseen_labels": sql.UNSEEN_LABELS,
     "multilabel_f1": sql.MULTILABEL_F1,

@@ -466,3 +466,50 @@ SELECT * FROM l WHERE NOT (type = 'overall' AND metric = 'number')
 UNION ALL
 SELECT 'overall', 'accuracy', round(avg(CAST(gtag = ptag AS DOUBLE)), 6) FROM t
 """
+
+# ---------------------------------------------------------------- QA n-best
+
+_NBEST = """f AS (SELECT vec_id // 2 AS example_id, CAST(vec_id % 2 AS INTEGER) AS feature, embedding AS sl,
+             list_reverse(embedding) AS el FROM embeddings),
+pos AS (SELECT * FROM range(0, 64) t(i)),
+sv AS (SELECT f.example_id, f.feature, p.i AS s, f.sl[p.i + 1] AS v FROM f, pos p),
+ev AS (SELECT f.example_id, f.feature, p.i AS e, f.el[p.i + 1] AS v FROM f, pos p),
+st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id, feature ORDER BY v DESC, s) AS r FROM sv) WHERE r <= 20),
+en AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id, feature ORDER BY v DESC, e) AS r FROM ev) WHERE r <= 20),
+cand AS (SELECT st.example_id, st.feature, 0 AS kind, st.s, en.e, st.v + en.v AS score, st.v AS start_logit, en.v AS end_logit,
+                st.feature * 100 + (st.s - 1) * 5 AS cs, st.feature * 100 + (en.e - 1) * 5 + 4 AS ce
+         FROM st JOIN en ON st.example_id = en.example_id AND st.feature = en.feature
+         WHERE st.s BETWEEN 1 AND 62 AND en.e BETWEEN 1 AND 62 AND en.e >= st.s AND en.e - st.s + 1 <= 30),
+ctop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id, feature ORDER BY score DESC, s, e) AS r2
+                        FROM cand) WHERE r2 <= 20),
+nul AS (SELECT example_id, feature, 1 AS kind, 0 AS s, 0 AS e, sl[1] + el[1] AS score, sl[1] AS start_logit,
+               el[1] AS end_logit, 0 AS cs, 0 AS ce,
+               row_number() OVER (PARTITION BY example_id ORDER BY sl[1] + el[1], feature) AS r FROM f),
+allc AS (SELECT example_id, feature, kind, s, e, score, start_logit, end_logit, cs, ce FROM ctop
+         UNION ALL SELECT example_id, feature, kind, s, e, score, start_logit, end_logit, cs, ce FROM nul WHERE r = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, kind, feature, s, e) - 1 AS rank FROM allc),
+kept AS (SELECT rk.*, CASE WHEN kind = 1 THEN '' ELSE coalesce(substr(d.text, cs + 1, ce - cs), '') END AS text
+         FROM rk LEFT JOIN documents d ON d.doc_id = rk.example_id WHERE rank < 20 OR kind = 1),
+cnt AS (SELECT example_id, count(*) AS n, max(CAST(text <> '' AS INTEGER)) AS nb FROM kept GROUP BY example_id),
+fin AS (SELECT example_id, rank, kind, text, score, start_logit, end_logit FROM kept
+        UNION ALL SELECT example_id, -1, 2, 'empty', 0.0::FLOAT, 0.0::FLOAT, 0.0::FLOAT FROM cnt WHERE n = 1 AND nb = 0),
+prob AS (SELECT *, exp(CAST(score AS DOUBLE) - max(CAST(score AS DOUBLE)) OVER (PARTITION BY example_id)) AS ex FROM fin),
+nb AS (SELECT example_id, row_number() OVER (PARTITION BY example_id ORDER BY rank) - 1 AS rank, kind, text, score,
+              start_logit, end_logit, ex / sum(ex) OVER (PARTITION BY example_id) AS probability FROM prob)"""
+
+NBEST_ANSWERS = f"""
+WITH {_NBEST}
+SELECT example_id, CAST(rank AS BIGINT) AS rank, text, round(CAST(score AS DOUBLE), 6) AS score,
+       round(probability, 6) AS probability FROM nb
+"""
+
+QA_PREDICTIONS = f"""
+WITH {_NBEST},
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY rank) AS r
+                        FROM nb WHERE text <> '') WHERE r = 1),
+nulls AS (SELECT example_id, score AS null_score FROM nb WHERE kind = 1),
+d AS (SELECT n.example_id, b.text, n.null_score - b.start_logit - b.end_logit AS diff
+      FROM nulls n LEFT JOIN best b ON n.example_id = b.example_id)
+SELECT example_id, CASE WHEN text IS NULL THEN '' WHEN diff > 0 THEN '' ELSE text END AS prediction_text,
+       round(CAST(diff AS DOUBLE), 6) AS score_diff FROM d
+"""

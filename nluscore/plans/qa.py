@@ -69,3 +69,36 @@ def squad_v2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q16: best no-answer thresholds for exact and f1 (running sum over na_prob order, W7)."""
     return Q.best_threshold(_v2_raw(spark, sf_dir), ["doc_id"])
+
+
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two features per example (vec_id div 2); start logits = embedding, end logits = reversed.
+    Positions 1..62 are context tokens of 5 characters each (feature f starts at char f*100);
+    position 0 ([CLS]) and 63 ([SEP]) have no offsets. Context = documents.text of doc_id = example_id."""
+    e = load(spark, sf_dir, "embeddings")
+    f = F.col("vec_id") % 2
+    offsets = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.when(
+        (p >= 1) & (p <= 62), F.struct((f * 100 + (p - 1) * 5).cast("int").alias("start"),
+                                       (f * 100 + (p - 1) * 5 + 4).cast("int").alias("end"))))
+    feats = e.select((F.col("vec_id") / 2).cast("long").alias("example_id"), f.cast("int").alias("feature"),
+                     F.col("embedding").alias("start_logits"), F.reverse("embedding").alias("end_logits"),
+                     offsets.alias("offsets"))
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), F.col("text").alias("context"))
+    return feats, docs
+
+
+def nbest_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1-Q6: n-best (20) answer spans per example with the null answer, texts and probabilities."""
+    feats, docs = _features(spark, sf_dir)
+    nb = Q.nbest(Q.span_candidates(feats, 20, 30), docs, 20, with_null=True)
+    return nb.select("example_id", F.col("rank").cast("long").alias("rank"), "text",
+                     F.round(F.col("score").cast("double"), 6).alias("score"),
+                     F.round("probability", 6).alias("probability"))
+
+
+def qa_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q7: v2 answer per example (null threshold 0.0) and its null odds."""
+    feats, docs = _features(spark, sf_dir)
+    nb = Q.nbest(Q.span_candidates(feats, 20, 30), docs, 20, with_null=True)
+    p = Q.pick_answer(nb, v2=True, null_score_diff_threshold=0.0)
+    return p.select("example_id", "prediction_text", F.round("score_diff", 6).alias("score_diff"))

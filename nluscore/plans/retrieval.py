@@ -94,7 +94,7 @@ def pool_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     for how in ("first_token", "last_token", "mean", "weightedmean"):
         p = V.pool_tokens(df, "tokens", "mask_len", how)
         outs.append(p.select("vec_id", F.lit(how).alias("method"),
-                             F.posexplode("pooled").alias("dim", "value")))
+                             F.posexplode_outer("pooled").alias("dim", "value")))
     u = outs[0]
     for o in outs[1:]:
         u = u.unionByName(o)
