@@ -25,3 +25,46 @@ def macro_average(long_df: DataFrame, by, config_col: str = "config", label: str
         agg = agg.join(total, keys, "inner").drop("_k")
         agg = agg.filter(F.col("_n") == F.col("_all")).drop("_all")
     return agg.select(*by, F.lit(label).alias(config_col), "metric", F.round("value", 6).alias("value"))
+
+
+def fill_spec(spec: DataFrame, results: DataFrame, keys, value: str = "value") -> DataFrame:
+    """Every (task, config, metric) the spec asks for, from the results; missing → 0.
+
+    The spec is a small table (suite definition); it drives the join so that absent results still
+    produce a row.
+    """
+    keys = as_list(keys)
+    from ..session import broadcast_if_small
+    r = results.select(*keys, F.col(value).alias("_v"))
+    return broadcast_if_small(spec).join(r, keys, "left").withColumn(
+        value, F.coalesce(F.col("_v"), F.lit(0.0))).drop("_v")
+
+
+def task_scores(filled: DataFrame, model: str = "model", factor: float = 100.0) -> DataFrame:
+    """Per model and task, the mean over its configs of the task's first metric × factor."""
+    first = filled.filter(F.col("metric_rank") == 0)
+    return first.groupBy(model, "task").agg((F.avg("value") * factor).alias("value"))
+
+
+def suite_scores(tasks: DataFrame, suites: DataFrame, model: str = "model") -> DataFrame:
+    """Suite averages over listed tasks (suites: suite, task)."""
+    j = tasks.join(suites, "task", "inner")
+    return j.groupBy(model, "suite").agg(F.avg("value").alias("value"))
+
+
+def language_scores(filled: DataFrame, model: str = "model", factor: float = 100.0) -> DataFrame:
+    """Per model and language, mean over tasks of the first metric × factor (R13: union of
+    languages, a language no task has stays absent rather than dividing by zero)."""
+    first = filled.filter(F.col("metric_rank") == 0)
+    return first.groupBy(model, "lang").agg((F.avg("value") * factor).alias("value"))
+
+
+def language_detail(filled: DataFrame, model: str = "model", factor: float = 100.0) -> DataFrame:
+    """Per task a row per model with one column per language (first metric × factor)."""
+    first = filled.filter(F.col("metric_rank") == 0)
+    return first.groupBy(model, "task").pivot("lang").agg(F.first(F.col("value") * factor))
+
+
+def config_language(spec_rows: list[tuple[str, str, str]], spark) -> DataFrame:
+    """(task, config, lang) spec table from a list literal."""
+    return spark.createDataFrame(spec_rows, "task string, config string, lang string")

@@ -6,8 +6,10 @@ from . import classification as cls
 from . import oracle_sql as sql
 from . import labels as lab
 from . import qa
+from . import report as rep
 from . import retrieval as ret
 from . import tokens as tok
+from . import tuples as tup
 
 QUERIES = {
     "accuracy_by_lang": cls.accuracy_by_lang,
@@ -35,6 +37,8 @@ QUERIES = {
     "span_labels": tok.span_labels,
     "align_tags": tok.align_tags,
     "entity_report": tok.entity_report,
+    "training_tuples": tup.training_tuples,
+    "suite_report": rep.suite_report,
 }
 
 ORACLE = {
@@ -63,4 +67,6 @@ ORACLE = {
     "span_labels": sql.SPAN_LABELS,
     "align_tags": sql.ALIGN_TAGS,
     "entity_report": sql.ENTITY_REPORT,
+    "training_tuples": sql.TRAINING_TUPLES,
+    "suite_report": sql.SUITE_REPORT,
 }

@@ -513,3 +513,52 @@ d AS (SELECT n.example_id, b.text, n.null_score - b.start_logit - b.end_logit AS
 SELECT example_id, CASE WHEN text IS NULL THEN '' WHEN diff > 0 THEN '' ELSE text END AS prediction_text,
        round(CAST(diff AS DOUBLE), 6) AS score_diff FROM d
 """
+
+# ---------------------------------------------------------------- training tuples
+
+TRAINING_TUPLES = """
+WITH m AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx,
+                  count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+q AS (SELECT vec_id, label, idx, n, (vec_id + 42 + 1) % (n - 1) AS j FROM m WHERE n > 1),
+pos AS (SELECT q.vec_id AS query_id, 0 AS position, p.vec_id AS doc_id
+        FROM q JOIN m p ON p.label = q.label AND p.idx = CASE WHEN q.j < q.idx THEN q.j ELSE q.j + 1 END),
+cnt AS (SELECT label, count(*) AS c FROM embeddings GROUP BY label),
+neg AS (SELECT q.vec_id AS query_id, t.t + 1 AS position, d.vec_id AS doc_id
+        FROM q JOIN cnt c ON c.label = (q.label + 1) % 10 CROSS JOIN range(0, 3) t(t)
+        JOIN m d ON d.label = c.label AND d.idx = (1 * 3 + t.t) % c.c
+        WHERE c.c >= 3)
+SELECT query_id, CAST(position AS BIGINT) AS position, doc_id FROM pos
+UNION ALL SELECT query_id, CAST(position AS BIGINT), doc_id FROM neg
+"""
+
+# ---------------------------------------------------------------- suite report
+
+
+def _suite_sql() -> str:
+    tasks = {"quality": ["accuracy"], "quality_pair": ["f1", "accuracy"], "entities": ["f1", "precision", "recall"]}
+    langs = ["de", "en", "es", "fr", "sw"]
+    spec = " UNION ALL ".join(
+        f"SELECT '{t}' AS task, '{lang}' AS lang, '{m}' AS metric, {i} AS metric_rank"
+        for t, ms in tasks.items() for lang in langs for i, m in enumerate(ms))
+    suites = " UNION ALL ".join(
+        f"SELECT '{s}' AS suite, '{t}' AS task" for s, ts in
+        {"suite_a": ["quality", "quality_pair"], "suite_b": ["quality_pair", "entities"]}.items() for t in ts)
+    return f"""
+WITH acc AS (SELECT 'quality' AS task, config, metric, value FROM ({ACCURACY_BY_LANG}) x WHERE config <> 'avg'),
+pair AS (SELECT 'quality_pair' AS task, config, metric, value FROM ({F1_MCC_BY_LANG}) x),
+ent AS (SELECT 'entities' AS task, type AS config, metric, value FROM ({ENTITY_REPORT}) x WHERE type <> 'overall'),
+res AS (SELECT * FROM acc UNION ALL SELECT * FROM pair UNION ALL SELECT * FROM ent),
+spec AS ({spec}),
+suites AS ({suites}),
+filled AS (SELECT s.task, s.lang, s.metric, s.metric_rank, coalesce(r.value, 0.0) AS value
+           FROM spec s LEFT JOIN res r ON r.task = s.task AND r.config = s.lang AND r.metric = s.metric),
+first AS (SELECT * FROM filled WHERE metric_rank = 0),
+tasks AS (SELECT task, avg(value) * 100.0 AS value FROM first GROUP BY task)
+SELECT 'fixture' AS model, 'task' AS section, task AS name, round(value, 6) AS value FROM tasks
+UNION ALL SELECT 'fixture', 'suite', s.suite, round(avg(t.value), 6) FROM tasks t JOIN suites s ON s.task = t.task GROUP BY s.suite
+UNION ALL SELECT 'fixture', 'lang', lang, round(avg(value) * 100.0, 6) FROM first GROUP BY lang
+UNION ALL SELECT 'fixture', 'detail', task || '.' || lang, round(value * 100.0, 6) FROM first
+"""
+
+
+SUITE_REPORT = _suite_sql()
