@@ -8,6 +8,7 @@ from . import labels as lab
 from . import qa
 from . import report as rep
 from . import retrieval as ret
+from . import streaming as stream
 from . import tokens as tok
 from . import tuples as tup
 
@@ -39,6 +40,7 @@ QUERIES = {
     "entity_report": tok.entity_report,
     "training_tuples": tup.training_tuples,
     "suite_report": rep.suite_report,
+    "topk_stream": stream.topk_stream,
 }
 
 ORACLE = {
@@ -69,4 +71,5 @@ ORACLE = {
     "entity_report": sql.ENTITY_REPORT,
     "training_tuples": sql.TRAINING_TUPLES,
     "suite_report": sql.SUITE_REPORT,
+    "topk_stream": sql.TOPK_COSINE,
 }
