@@ -9,6 +9,7 @@ with an Aho-Corasick automaton (built once per Python worker and chunk). No shuf
 from __future__ import annotations
 
 import math
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,8 +88,12 @@ def find_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     for c in range(chunks):
         pc = p if chunks == 1 else p.filter(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c)
         items = [(int(r["item_id"]), r["p"]) for r in pc.toLocalIterator()]
+        if not items:
+            continue
         b = spark.sparkContext.broadcast(items)
-        parts.append(d.mapInPandas(_scan(b, (id(b), c)), SCHEMA))
+        parts.append(d.mapInPandas(_scan(b, uuid.uuid4().hex), SCHEMA))
+    if not parts:
+        return spark.createDataFrame([], SCHEMA)
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -77,18 +77,17 @@ def retrieval_metrics(hits: DataFrame, judged: DataFrame, ks: Sequence[int], by=
     """V8-V12 averaged per ``by`` key → long ``(by..., metric, value)``.
 
     MRR divides by the number of judged queries (queries without hits count 0); the other
-    metrics average over judged queries that have hits.
+    metrics average over judged queries that have hits. Per-query rows and judged queries are
+    unioned and reduced by one grouped aggregate (no join of aggregates).
     """
     by = as_list(by)
     pq = per_query_metrics(hits, judged, ks, by)
     names = [f"{m}_at_{k}" for k in ks for m in ("mrr", "map", "ndcg", "recall", "precision")]
-    means = pq.groupBy(*by).agg(*[F.avg(n).alias(n) if not n.startswith("mrr") else F.sum(n).alias(n) for n in names])
-    nj = judged.filter(F.col("n_rel") > 0).groupBy(*by).agg(F.count(F.lit(1)).alias("_nq"))
-    keys = by or ["_k"]
-    if not by:
-        means, nj = means.withColumn("_k", F.lit(0)), nj.withColumn("_k", F.lit(0))
-    wide = means.join(nj, keys, "inner")
-    wide = wide.select(*by, *[(F.col(n) / F.col("_nq")).alias(n) if n.startswith("mrr") else F.col(n) for n in names])
+    jq = judged.filter(F.col("n_rel") > 0).select(*by, F.lit(1).alias("_judged"))
+    u = pq.drop("qid").withColumn("_judged", F.lit(0)).unionByName(jq, allowMissingColumns=True)
+    nq = F.sum("_judged")
+    aggs = [(F.sum(n) / nq).alias(n) if n.startswith("mrr") else F.avg(n).alias(n) for n in names]
+    wide = u.groupBy(*by).agg(*aggs)
     return to_long(wide, by, names)
 
 
@@ -96,16 +95,14 @@ def bitext_metrics(hits: DataFrame, judged: DataFrame, by=None) -> DataFrame:
     """From the rank-1 hit: accuracy = recall = sum(rel)/|judged|,
     precision = sum(rel)/|distinct rank-1 docs|, F1 (0 when both are 0)."""
     by = as_list(by)
-    top1 = hits.filter(F.col("rank") == 1)
-    a = top1.groupBy(*by).agg(F.sum(F.col("rel").cast("double")).alias("_correct"),
-                              F.countDistinct("docid").alias("_docs"))
-    nj = judged.filter(F.col("n_rel") > 0).groupBy(*by).agg(F.count(F.lit(1)).alias("_nq"))
-    keys = by or ["_k"]
-    if not by:
-        a, nj = a.withColumn("_k", F.lit(0)), nj.withColumn("_k", F.lit(0))
-    j = a.join(nj, keys, "inner")
+    top1 = hits.filter(F.col("rank") == 1).select(*by, F.col("rel").cast("double").alias("_rel"), "docid",
+                                                  F.lit(0).alias("_judged"))
+    jq = judged.filter(F.col("n_rel") > 0).select(*by, F.lit(1).alias("_judged"))
+    u = top1.unionByName(jq, allowMissingColumns=True)
+    a = u.groupBy(*by).agg(F.sum("_rel").alias("_correct"), F.countDistinct("docid").alias("_docs"),
+                           F.sum("_judged").alias("_nq"))
     rec = safe_ratio(F.col("_correct"), F.col("_nq"))
     prec = safe_ratio(F.col("_correct"), F.col("_docs"))
-    wide = j.select(*by, rec.alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
+    wide = a.select(*by, rec.alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
                     safe_ratio(2 * prec * rec, prec + rec).alias("f1"))
     return to_long(wide, by)
