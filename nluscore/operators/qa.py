@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,50 +173,76 @@ def best_threshold(raw: DataFrame, order, n_no_answer: DataFrame | None = None)
 
 # ---------------------------------------------------------------- post-processing (Q1-Q7)
 
-def _top_indexes(logits: Column, n: int) -> Column:
-    """Q1: indexes of the n largest logits (ties: lower index first)."""
-    keyed = F.transform(logits, lambda x, i: F.struct((-x).alias("k"), i.alias("i")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["i"])
+_CAND_FIELDS = [("kind", T.IntegerType()), ("s", T.IntegerType()), ("e", T.IntegerType()), ("score", T.FloatType()),
+                ("start_logit", T.FloatType()), ("end_logit", T.FloatType()), ("char_start", T.IntegerType()),
+                ("char_end", T.IntegerType())]
+_CAND_TYPE = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in _CAND_FIELDS])
+
+
+def _top(v: np.ndarray, n: int) -> np.ndarray:
+    """Indexes of the n largest values, ties to the lower index (NaN last)."""
+    return np.lexsort((np.arange(len(v)), -v))[:n]
+
+
+def _candidates_udf(n_best: int, max_answer_len: int, use_max_context: bool):
+    @F.pandas_udf(_CAND_TYPE)
+    def cands(sl_s: pd.Series, el_s: pd.Series, off_s: pd.Series, mc_s: pd.Series) -> pd.DataFrame:
+        cols = {n: [] for n, _ in _CAND_FIELDS}
+        for sl, el, off, mc in zip(sl_s, el_s, off_s, mc_s):
+            sl = np.asarray(sl, dtype=np.float32)
+            el = np.asarray(el, dtype=np.float32)
+            nof = len(off)
+            has = np.array([o is not None for o in off], dtype=bool)
+            ost = np.array([o["start"] if o is not None else 0 for o in off], dtype=np.int64)
+            oen = np.array([o["end"] if o is not None else 0 for o in off], dtype=np.int64)
+            s = _top(sl, n_best)[:, None]
+            e = _top(el, n_best)[None, :]
+            s, e = np.broadcast_arrays(s, e)
+            s, e = s.ravel(), e.ravel()
+            ok = (s < nof) & (e < nof)
+            if nof:
+                ok &= has[np.minimum(s, nof - 1)] & has[np.minimum(e, nof - 1)]
+            ok &= (e >= s) & (e - s + 1 <= max_answer_len)
+            if use_max_context and mc is not None:
+                mcv = np.asarray([bool(x) if x is not None else False for x in mc])
+                ok &= mcv[np.minimum(s, len(mcv) - 1)] & (s < len(mcv))
+            s, e = s[ok], e[ok]
+            sc = sl[s] + el[e]
+            order = np.lexsort((e, s, -sc))[:n_best]
+            s, e, sc = s[order], e[order], sc[order]
+            null = sl[0] + el[0] if len(sl) and len(el) else np.float32("nan")
+            cols["kind"].append(np.concatenate((np.zeros(len(s), np.int32), [1])).astype(np.int32))
+            cols["s"].append(np.concatenate((s, [0])).astype(np.int32))
+            cols["e"].append(np.concatenate((e, [0])).astype(np.int32))
+            cols["score"].append(np.concatenate((sc, [null])).astype(np.float32))
+            cols["start_logit"].append(np.concatenate((sl[s], sl[:1] if len(sl) else [np.nan])).astype(np.float32))
+            cols["end_logit"].append(np.concatenate((el[e], el[:1] if len(el) else [np.nan])).astype(np.float32))
+            cols["char_start"].append(np.concatenate((ost[s], [0])).astype(np.int32))
+            cols["char_end"].append(np.concatenate((oen[e], [0])).astype(np.int32))
+        return pd.DataFrame(cols)
+    return cands
 
 
 def span_candidates(features: DataFrame, n_best: int = 20, max_answer_len: int = 30,
                     max_context: str | None = None) -> DataFrame:
-    """Q1/Q2/J5/Q3 per feature, in array form: rows ``(example_id, feature, kind, s, e, score,
-    start_logit, end_logit, char_start, char_end)``; kind 0 = span, 1 = the feature's null score.
+    """Q1/Q2/J5/Q3 per feature: rows ``(example_id, feature, kind, s, e, score, start_logit,
+    end_logit, char_start, char_end)``; kind 0 = span, 1 = the feature's null score.
 
     ``features``: example_id, feature (order within the example), start_logits, end_logits,
     offsets (array<struct<start,end>>, null outside the context) and optionally a
-    ``max_context`` array<boolean> per position. Only the feature's best ``n_best`` spans are kept.
+    ``max_context`` array<boolean> per position. Per feature: top ``n_best`` start and end indexes
+    (ties: lower index), the valid pairs (both in context, ordered, at most ``max_answer_len``
+    tokens), the best ``n_best`` of them (score desc, start, end) and the null score — one
+    vectorised numpy step per feature, no shuffle.
     """
-    sl, el, off = F.col("start_logits"), F.col("end_logits"), F.col("offsets")
-    nof = F.size(off)
-    pairs = F.flatten(F.transform(_top_indexes(sl, n_best), lambda s: F.transform(
-        _top_indexes(el, n_best), lambda e: F.struct(s.alias("s"), e.alias("e")))))
-
-    def valid(p):
-        s, e = p["s"], p["e"]
-        ok = ((s < nof) & (e < nof) & F.element_at(off, s + 1).isNotNull() & F.element_at(off, e + 1).isNotNull()
-              & (e >= s) & (e - s + 1 <= max_answer_len))
-        if max_context:
-            ok = ok & F.coalesce(F.element_at(F.col(max_context), s + 1), F.lit(False))
-        return ok
-
-    cands = F.transform(F.filter(pairs, valid), lambda p: F.struct(
-        F.lit(0).alias("kind"), p["s"].alias("s"), p["e"].alias("e"),
-        (F.element_at(sl, p["s"] + 1) + F.element_at(el, p["e"] + 1)).alias("score"),
-        F.element_at(sl, p["s"] + 1).alias("start_logit"), F.element_at(el, p["e"] + 1).alias("end_logit"),
-        F.element_at(off, p["s"] + 1)["start"].alias("char_start"), F.element_at(off, p["e"] + 1)["end"].alias("char_end")))
-    ordered = F.array_sort(cands, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
-                           .when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1)
-                           .when(a["e"] < b["e"], -1).when(a["e"] > b["e"], 1).otherwise(0))
-    null = F.struct(F.lit(1).alias("kind"), F.lit(0).alias("s"), F.lit(0).alias("e"),
-                    (F.element_at(sl, 1) + F.element_at(el, 1)).alias("score"),
-                    F.element_at(sl, 1).alias("start_logit"), F.element_at(el, 1).alias("end_logit"),
-                    F.lit(0).alias("char_start"), F.lit(0).alias("char_end"))
-    x = features.select("example_id", "feature", F.concat(F.slice(ordered, 1, n_best), F.array(null)).alias("_c"))
-    # inline_outer: a plain generator makes Catalyst infer size(_c) > 0 below the projection and
-    # evaluate the whole candidate expression twice; _c is never empty (it holds the null score)
-    return x.select("example_id", "feature", F.inline_outer("_c"))
+    mc = F.col(max_context) if max_context else F.lit(None).cast("array<boolean>")
+    c = _candidates_udf(n_best, max_answer_len, bool(max_context))(
+        F.col("start_logits"), F.col("end_logits"), F.col("offsets"), mc)
+    x = features.select("example_id", "feature", c.alias("_c"))
+    z = F.arrays_zip(*[F.col(f"_c.{n}").alias(n) for n, _ in _CAND_FIELDS])
+    # inline_outer: a plain generator makes Catalyst infer size(...) > 0 below the projection and
+    # evaluate the candidate step twice; the array is never empty (it holds the null score)
+    return x.select("example_id", "feature", F.inline_outer(z))
 
 
 def nbest(cands: DataFrame, contexts: DataFrame, n_best: int = 20, with_null: bool = True) -> DataFrame:

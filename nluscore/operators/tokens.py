@@ -109,29 +109,56 @@ def span_labels(windows: DataFrame, start_char: str, end_char: str, starts: str
                    .withColumn("end_position", F.when(inside, n_end_before + first_ctx_pos).otherwise(cls_index)))
 
 
+_PIECES_TYPE = T.StructType([T.StructField("word_id", T.ArrayType(T.IntegerType())),
+                             T.StructField("piece", T.ArrayType(T.IntegerType())),
+                             T.StructField("tag", T.ArrayType(T.StringType()))])
+
+
+def _pieces_udf(piece_len: int):
+    @F.pandas_udf(_PIECES_TYPE)
+    def pieces(words: pd.Series, tags: pd.Series) -> pd.DataFrame:
+        wid, pc, tg = [], [], []
+        for w, t in zip(words, tags):
+            if w is None or len(w) == 0:
+                wid.append(np.zeros(0, np.int32)), pc.append(np.zeros(0, np.int32)), tg.append([])
+                continue
+            lens = np.fromiter((len(x) for x in w), dtype=np.int64, count=len(w))
+            n = np.maximum(-(-lens // piece_len), 1)
+            ids = np.repeat(np.arange(len(w), dtype=np.int32), n)
+            first = np.repeat(np.cumsum(n) - n, n)
+            wid.append(ids)
+            pc.append((np.arange(len(ids)) - first).astype(np.int32))
+            tg.append(np.asarray(t, dtype=object)[ids].tolist() if t is not None else [None] * len(ids))
+        return pd.DataFrame({"word_id": wid, "piece": pc, "tag": tg})
+    return pieces
+
+
 def align_tags(df: DataFrame, words: str, tags: str, piece_len: int, vocab: DataFrame,
                b2i: DataFrame | None = None) -> DataFrame:
     """Sub-token labels. Words are cut into pieces of ``piece_len`` characters between [CLS] and
     [SEP]; specials → -100; the first piece of a word → its tag id; other pieces → -100
     (``label_id``) or the tag's B→I id (``label_all_id``, L8).
 
+    The piece layout of a row is one vectorised numpy step; the vocabulary is a counted broadcast.
     Returns one row per sub-token: ``(..., pos, word_id, piece, label_id, label_all_id)``.
     """
     from ..session import broadcast_if_small
-    pieces = F.flatten(F.transform(F.arrays_zip(F.col(words).alias("w"), F.col(tags).alias("t")), lambda z, i: F.transform(
-        F.sequence(F.lit(0), F.ceil(F.length(z["w"]) / piece_len).cast("int") - 1),
-        lambda j: F.struct(i.alias("word_id"), j.alias("piece"), z["t"].alias("tag")))))
-    special = F.lit(None).cast("struct<word_id:int,piece:int,tag:string>")
-    seq = F.concat(F.array(special), pieces, F.array(special))
     keep = [c for c in df.columns if c not in (words, tags)]
-    # the _outer form keeps Catalyst from inferring a size filter that would evaluate seq twice
-    x = df.select(*keep, F.posexplode_outer(seq).alias("pos", "_t"))
-    x = x.select(*keep, "pos", F.col("_t.word_id").alias("word_id"), F.col("_t.piece").alias("piece"),
-                 F.col("_t.tag").alias("_tag"))
+    x = df.withColumn("_p", _pieces_udf(piece_len)(F.col(words), F.col(tags)))
+    z = F.arrays_zip(F.col("_p.word_id").alias("word_id"), F.col("_p.piece").alias("piece"), F.col("_p.tag").alias("tag"))
+    body = x.select(*keep, F.posexplode_outer(z).alias("pos", "_t")).filter(F.col("_t").isNotNull()).select(
+        *keep, (F.col("pos") + 1).alias("pos"), F.col("_t.word_id").alias("word_id"),
+        F.col("_t.piece").alias("piece"), F.col("_t.tag").alias("_tag"))
+    null_int = F.lit(None).cast("int")
+    specials = x.select(*keep, F.explode(F.array(F.lit(0), F.size("_p.word_id") + 1)).alias("pos"),
+                        null_int.alias("word_id"), null_int.alias("piece"), F.lit(None).cast("string").alias("_tag"))
     v = (b2i if b2i is not None else vocab.withColumn("label_all_id", F.col("label_id")))
     v = v.select(F.col("label").alias("_tag"), F.col("label_id").alias("_id"), F.col("label_all_id").alias("_all"))
-    x = x.join(broadcast_if_small(v), "_tag", "left")
-    lab = F.when(F.col("word_id").isNull(), F.lit(IGNORED)).when(F.col("piece") == 0, F.col("_id")).otherwise(F.lit(IGNORED))
-    lab_all = F.when(F.col("word_id").isNull(), F.lit(IGNORED)).when(F.col("piece") == 0, F.col("_id")).otherwise(F.col("_all"))
-    return x.select(*keep, "pos", "word_id", "piece", lab.cast("long").alias("label_id"),
-                    lab_all.cast("long").alias("label_all_id"))
+    y = body.join(broadcast_if_small(v), "_tag", "left")
+    lab = F.when(F.col("piece") == 0, F.col("_id")).otherwise(F.lit(IGNORED))
+    lab_all = F.when(F.col("piece") == 0, F.col("_id")).otherwise(F.col("_all"))
+    body_out = y.select(*keep, "pos", "word_id", "piece", lab.cast("long").alias("label_id"),
+                        lab_all.cast("long").alias("label_all_id"))
+    spec_out = specials.select(*keep, "pos", "word_id", "piece", F.lit(IGNORED).cast("long").alias("label_id"),
+                               F.lit(IGNORED).cast("long").alias("label_all_id"))
+    return body_out.unionByName(spec_out)

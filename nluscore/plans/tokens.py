@@ -7,31 +7,56 @@ words longer than 3 characters.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions.text import split_ws
 from ..operators import labels as L
 from ..operators import seq as S
 from ..operators import tokens as T
 from ..operators.passages import find_passages
+from ..session import spread
 from .tables import load
 
 WINDOW, OVERLAP = 128, 32
 PIECE = 4
 
 
+@lru_cache(maxsize=1 << 16)
+def _upper_initial(ch: str) -> bool:
+    return unicodedata.category(ch) == "Lu"
+
+
+def _word_tags_udf(min_len: int):
+    @F.pandas_udf(ST.ArrayType(ST.StringType()))
+    def tags(words: pd.Series, lang: pd.Series) -> pd.Series:
+        out = []
+        for w, lg in zip(words, lang):
+            typ = lg if lg is not None else "_"
+            prev, row = False, []
+            for x in (w if w is not None else []):
+                cap = len(x) > min_len and _upper_initial(x[0])
+                row.append(("I-" if prev else "B-") + typ if cap else "O")
+                prev = cap
+            out.append(row)
+        return pd.Series(out)
+    return tags
+
+
 def word_tags(words: Column, lang: Column, min_len: int = 0) -> Column:
-    cap = F.transform(words, lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) > min_len))
-    prev = F.concat(F.array(F.lit(False)), F.slice(cap, 1, F.greatest(F.size(cap) - 1, F.lit(0))))
-    typ = F.coalesce(lang, F.lit("_"))
-    return F.zip_with(cap, prev, lambda c, p: F.when(c, F.concat(F.when(p, F.lit("I-")).otherwise(F.lit("B-")), typ))
-                      .otherwise(F.lit("O")))
+    """B-/I-<lang> for runs of words starting with an upper-case letter (Unicode Lu) longer than
+    ``min_len`` characters, else O."""
+    return _word_tags_udf(min_len)(words, lang)
 
 
 def doc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """128-token windows sharing 32 tokens, with token and character bounds."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     w = T.window_bounds(T.window_tokens(T.tokenize_offsets(docs), "n_tokens", WINDOW, OVERLAP))
     return w.select("doc_id", *[F.col(c).cast("long").alias(c) for c in
                                 ("window_id", "tok_start", "tok_end", "char_start", "char_end")],
@@ -40,7 +65,7 @@ def doc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: a benchmark passage found in a document is the answer; label every window of that document."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     bench = load(spark, sf_dir, "benchmark").select("item_id", "text")
     found = find_passages(docs, bench)
     ex = (found.join(bench.select("item_id", F.length("text").alias("alen")), "item_id")
@@ -55,7 +80,7 @@ def span_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tagged_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     d = docs.withColumn("words", split_ws("text"))
     return (d.withColumn("gold_tags", word_tags(F.col("words"), F.col("lang")))
              .withColumn("pred_tags", word_tags(F.col("words"), F.col("lang"), 3)))

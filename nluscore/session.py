@@ -78,3 +78,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     """Broadcast hint only after counting the side: above ``max_rows`` Spark picks a shuffle join."""
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition on ``keys`` only when the input has fewer partitions than the cluster's
+    parallelism (e.g. one small file with one row group). At scale the scan already has many
+    splits and this is a no-op; filters and column pruning still reach the scan below it."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
