@@ -96,22 +96,114 @@ def extract_entities(df: DataFrame, tags: str, out: str = "entities", suffix: bo
     return x.withColumn(out, z).drop("_ch")
 
 
-def entity_counts(df: DataFrame, gold: str, pred: str, by=None) -> DataFrame:
-    """Per (by, type): gold, pred and true-positive entity counts (J10 as a per-row set intersection)."""
+# Strict schemes (N2): prefixes each scheme allows, and the chunk grammar it implies.
+# start(prev, cur), inside(prev, cur) and end_ok(last) decide a chunk; a malformed chunk is dropped.
+_SCHEMES = {
+    "IOB1": {"allowed": "IOB"},
+    "IOB2": {"allowed": "IOB"},
+    "IOE1": {"allowed": "IOE"},
+    "IOE2": {"allowed": "IOE"},
+    "IOBES": {"allowed": "IOBES"},
+    "BILOU": {"allowed": "BILOU"},
+}
+
+
+def _strict_rules(scheme: str):
+    same = lambda p, c: p[1] == c[1]
+    if scheme == "IOB1":
+        start = lambda p, c: (c[0] == "I" and (p[0] == "O" or not same(p, c))) or (c[0] == "B" and p[0] in "IB" and same(p, c))
+        inside = lambda p, c: c[0] == "I" and p[0] in "IB" and same(p, c)
+        end_ok = lambda last: True
+    elif scheme == "IOB2":
+        start = lambda p, c: c[0] == "B"
+        inside = lambda p, c: c[0] == "I" and p[0] in "BI" and same(p, c)
+        end_ok = lambda last: True
+    elif scheme in ("IOE1", "IOE2"):
+        start = lambda p, c: c[0] in "IE" and (p[0] in "OE" or not same(p, c))
+        inside = lambda p, c: c[0] in "IE" and p[0] == "I" and same(p, c)
+        end_ok = (lambda last: True) if scheme == "IOE1" else (lambda last: last[0] == "E")
+    else:
+        b, i, e, s = ("B", "I", "E", "S") if scheme == "IOBES" else ("B", "I", "L", "U")
+        start = lambda p, c: c[0] in (b, s)
+        inside = lambda p, c: p[0] in (b, i) and c[0] in (i, e) and same(p, c)
+        end_ok = lambda last: last[0] in (e, s)
+    return start, inside, end_ok
+
+
+def strict_chunks(tags: list[str], scheme: str, suffix: bool = False) -> list[tuple[str, int, int]]:
+    """Chunks of one sequence under a strict scheme; an unknown scheme or a prefix the scheme
+    does not allow is an error."""
+    if scheme not in _SCHEMES:
+        raise ValueError(f"scheme should be one of {sorted(_SCHEMES)}, got {scheme!r}")
+    allowed = _SCHEMES[scheme]["allowed"]
+    toks = []
+    for t in tags:
+        pre, rest = (t[-1:], t[:-1]) if suffix else (t[:1], t[1:])
+        if pre not in allowed:
+            raise ValueError(f"tag {t!r} not valid in {scheme}")
+        toks.append((pre, rest.strip("-") or "_"))
+    start, inside, end_ok = _strict_rules(scheme)
+    out, i, prev = [], 0, ("O", "_")
+    n = len(toks)
+    while i < n:
+        cur = toks[i]
+        if cur[0] != "O" and start(prev, cur):
+            j = i + 1
+            while j < n and inside(toks[j - 1], toks[j]):
+                j += 1
+            if end_ok(toks[j - 1]):
+                out.append((cur[1], i, j - 1))
+            i = j
+        else:
+            i += 1
+        prev = toks[i - 1]
+    return out
+
+
+def _strict_udf(scheme: str, suffix: bool):
+    @F.pandas_udf(_CHUNKS_TYPE)
+    def chunks(tags: pd.Series) -> pd.DataFrame:
+        t, st, en = [], [], []
+        for seq in tags:
+            c = strict_chunks(list(seq) if seq is not None else [], scheme, suffix)
+            t.append([x[0] for x in c])
+            st.append(np.array([x[1] for x in c], dtype=np.int32))
+            en.append(np.array([x[2] for x in c], dtype=np.int32))
+        return pd.DataFrame({"type": t, "start": st, "end": en})
+    return chunks
+
+
+def extract_entities_strict(df: DataFrame, tags: str, scheme: str, out: str = "entities",
+                            suffix: bool = False) -> DataFrame:
+    """Like ``extract_entities`` under a strict scheme (IOB1, IOB2, IOE1, IOE2, IOBES, BILOU)."""
+    if scheme not in _SCHEMES:
+        raise ValueError(f"scheme should be one of {sorted(_SCHEMES)}, got {scheme!r}")
+    x = df.withColumn("_ch", _strict_udf(scheme, suffix)(F.col(tags)))
+    z = F.arrays_zip(F.col("_ch.type").alias("type"), F.col("_ch.start").alias("start"), F.col("_ch.end").alias("end"))
+    return x.withColumn(out, z).drop("_ch")
+
+
+def entity_counts(df: DataFrame, gold: str, pred: str, by=None, weight: str | None = None) -> DataFrame:
+    """Per (by, type): gold, pred and true-positive entity counts (J10 as a per-row set intersection);
+    with ``weight`` each sentence's entities count with its weight (N7)."""
     by = as_list(by)
     tp = F.array_intersect(F.col(gold), F.col(pred))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+
     def tagged(c, g, p, t):
-        return F.transform(c, lambda e: F.struct(e["type"].alias("type"), F.lit(g).alias("g"), F.lit(p).alias("p"), F.lit(t).alias("tp")))
+        return F.transform(c, lambda e: F.struct(e["type"].alias("type"), (w * g).alias("g"), (w * p).alias("p"),
+                                                 (w * t).alias("tp")))
     allv = F.concat(tagged(F.col(gold), 1, 0, 0), tagged(F.col(pred), 0, 1, 0), tagged(tp, 0, 0, 1))
     x = df.select(*by, F.explode_outer(allv).alias("_e")).filter(F.col("_e").isNotNull())
     return x.groupBy(*by, F.col("_e.type").alias("type")).agg(
         F.sum("_e.g").alias("n_gold"), F.sum("_e.p").alias("n_pred"), F.sum("_e.tp").alias("n_tp"))
 
 
-def entity_report(df: DataFrame, gold: str, pred: str, by=None, zero_division: float = 0.0) -> DataFrame:
+def entity_report(df: DataFrame, gold: str, pred: str, by=None, zero_division: float = 0.0,
+                  weight: str | None = None) -> DataFrame:
     """Per type precision, recall, f1, number (support); micro ``overall`` precision, recall, f1."""
     by = as_list(by)
-    c = entity_counts(df, gold, pred, by)
+    c = entity_counts(df, gold, pred, by, weight)
     overall = c.groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("n_gold", "n_pred", "n_tp")]).withColumn(
         "type", F.lit("overall"))
     allc = c.unionByName(overall)

@@ -8,7 +8,7 @@ equi-join on ``(group, idx)``: no per-instance lists, no pairs within a group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,49 @@ def pick_negatives(inst: DataFrame, members: DataFrame, item: str, group: str, k
     return out.withColumn("position", F.col("t") + 1).drop("_nidx", "t", "m")
 
 
+def borrow_negatives(inst: DataFrame, members: DataFrame, item: str, pos_group: str, neg_group: str,
+                     self_idx: str, k: int, epoch: int, seed: int = 42) -> DataFrame:
+    """X4 (J12): instances with 0 < m < k negatives (and ``safe`` off) keep their own m negatives and
+    borrow from other instances: 2k instance slots are drawn by a seeded hash (self skipped); from
+    each drawn instance the candidate ``(item + seed + epoch) mod |its positives + negatives|`` is
+    taken, until k. Everything is index arithmetic and equi-joins on unique keys.
+
+    Returns ``(item, position, negative)`` with positions 1..k (own negatives first).
+    """
+    spark = inst.sparkSession
+    ids = with_row_id(inst.select(item), [item], "_slot")
+    n_inst = ids.count()
+    sizes = members.select(F.col(members.columns[0]).alias("_g"), F.col("n").alias("_n")).distinct()
+    x = inst.join(sizes.withColumnRenamed("_n", "m"), F.col(neg_group) == F.col("_g"), "left").drop("_g")
+    x = x.withColumn("m", F.coalesce(F.col("m"), F.lit(0))).filter(F.col("m") < k).join(ids, item)
+    # own negatives, positions 1..m
+    own = x.filter(F.col("m") > 0).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    own = _fetch(own.withColumn("_nidx", F.col("t")), members, neg_group, "_nidx", "negative").select(
+        item, (F.col("t") + 1).alias("position"), "negative")
+    # borrowed candidates: draw order d, skipping self
+    d = x.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1)))).withColumn(
+        "_other", F.pmod(F.xxhash64(F.col(item), F.lit(seed), F.col("d")), F.lit(n_inst)))
+    d = d.filter(F.col("_other") != F.col("_slot"))
+    others = ids.join(inst.select(item, F.col(pos_group).alias("_og"), F.col(neg_group).alias("_ong"),
+                                  F.col(self_idx).alias("_oself")), item).select(
+        F.col("_slot").alias("_other"), "_og", "_ong", "_oself")
+    d = d.join(others, "_other")
+    d = (d.join(sizes.select(F.col("_g").alias("_og"), F.col("_n").alias("_np")), "_og", "left")
+          .join(sizes.select(F.col("_g").alias("_ong"), F.col("_n").alias("_nn")), "_ong", "left"))
+    npos = F.coalesce(F.col("_np"), F.lit(0)) - 1
+    ntot = npos + F.coalesce(F.col("_nn"), F.lit(0))
+    d = d.filter(ntot > 0).withColumn("_c", F.pmod(F.col(item) + seed + epoch, ntot))
+    from_pos = F.col("_c") < npos
+    pidx = F.when(F.col("_c") < F.col("_oself"), F.col("_c")).otherwise(F.col("_c") + 1)
+    d = d.withColumn("_grp", F.when(from_pos, F.col("_og")).otherwise(F.col("_ong"))).withColumn(
+        "_nidx", F.when(from_pos, pidx).otherwise(F.col("_c") - npos))
+    b = _fetch(d, members, "_grp", "_nidx", "negative")
+    w = Window.partitionBy(item).orderBy("d")
+    b = b.withColumn("_r", F.row_number().over(w)).withColumn("position", F.col("m") + F.col("_r")).filter(
+        F.col("position") <= k).select(item, "position", "negative")
+    return own.unionByName(b)
+
+
 def training_tuples(positives: DataFrame, negatives: DataFrame, query: str) -> DataFrame:
     """``(query, docs = [positive, *negatives])`` from the picks (negatives ordered by position)."""
     negs = negatives.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "negative"))),

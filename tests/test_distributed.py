@@ -99,3 +99,23 @@ def test_contrastive_loss_matches_numpy(spark):
         s = 20 * qn[i] @ dn[3 * b:3 * b + 3].T
         want = np.log(np.exp(s).sum()) - s[i - 3 * b]
         assert abs(got[i] - want) < 1e-9
+
+
+def test_borrow_negatives_positions_and_sources(spark):
+    from nluscore.operators import tuples as X
+    # labels 0..2; label 2 has a single member, so instances pointing at it lack negatives
+    rows = [(i, i % 3 if i < 9 else 2) for i in range(10)]
+    e = spark.createDataFrame(rows, "vec_id long, label int").filter("vec_id < 9 or label = 2")
+    e = e.filter(~((F.col("label") == 2) & (F.col("vec_id") != 2)))   # label 2 = {2}
+    members = X.index_members(e, "label", "vec_id", "vec_id")
+    inst = members.select(F.col("_item").alias("q"), F.col("label").alias("pg"), F.col("idx").alias("si"),
+                          F.when(F.col("label") == 0, 2).otherwise(0).alias("ng"))
+    got = X.borrow_negatives(inst, members, "q", "pg", "ng", "si", 3, 1, 42).collect()
+    by_q = {}
+    for r in got:
+        by_q.setdefault(r["q"], []).append((r["position"], r["negative"]))
+    # label-0 instances have one own negative (vec 2) at position 1 and borrow the rest
+    for q, lst in by_q.items():
+        lst.sort()
+        assert [p for p, _ in lst] == list(range(1, len(lst) + 1)) and len(lst) <= 3
+        assert lst[0][1] == 2

@@ -194,3 +194,30 @@ def test_spearman_ties(spark):
 def test_argmax_first_max_and_nan(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0],), ([float("nan"), 5.0],), ([2.0],)], "a array<double>")
     assert [r[0] for r in df.select(TX.argmax("a")).collect()] == [1, 0, 0]
+
+
+# ---------------------------------------------------------------- strict schemes
+
+@pytest.mark.parametrize("scheme,tags,want", [
+    ("IOB2", ["B-A", "I-A", "I-B", "B-B", "O", "I-A"], [("A", 0, 1), ("B", 3, 3)]),
+    ("IOB1", ["I-A", "I-A", "B-A", "O", "I-B"], [("A", 0, 1), ("A", 2, 2), ("B", 4, 4)]),
+    ("IOE2", ["I-A", "E-A", "I-B", "O", "E-A"], [("A", 0, 1), ("A", 4, 4)]),
+    ("IOE1", ["I-A", "E-A", "I-A", "O"], [("A", 0, 1), ("A", 2, 2)]),
+    ("IOBES", ["B-A", "I-A", "E-A", "S-B", "B-A", "I-A", "O"], [("A", 0, 2), ("B", 3, 3)]),
+    ("BILOU", ["U-A", "B-B", "L-B", "B-A", "O"], [("A", 0, 0), ("B", 1, 2)]),
+])
+def test_strict_schemes(scheme, tags, want):
+    assert S.strict_chunks(tags, scheme) == want
+
+
+def test_strict_rejects_bad_prefix_and_scheme():
+    with pytest.raises(ValueError):
+        S.strict_chunks(["S-A"], "IOB2")
+    with pytest.raises(ValueError):
+        S.strict_chunks(["B-A"], "XYZ")
+
+
+def test_strict_udf(spark):
+    df = spark.createDataFrame([(["B-A", "I-A", "O", "B-B"],)], "t array<string>")
+    got = [tuple(e) for e in S.extract_entities_strict(df, "t", "IOB2").first()["entities"]]
+    assert got == [("A", 0, 1), ("B", 3, 3)]
