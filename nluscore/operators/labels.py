@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import broadcast_if_small
 from .metrics_table import as_list
@@ -18,13 +19,28 @@ UNLABELLED = -1
 IGNORED = -100
 
 
+# vocabularies up to this many labels are numbered on the driver after a bounded fetch
+MAX_DRIVER_VOCAB = 1_000_000
+
+
 def label_list(df: DataFrame, col: str, multi: bool = False, drop=(UNLABELLED,)) -> DataFrame:
-    """L1/L2: distinct sorted labels with 0-based ids; the ``-1`` sentinel never enters."""
+    """L1/L2: distinct sorted labels with 0-based ids; the ``-1`` sentinel never enters.
+
+    One aggregation pass; at most ``MAX_DRIVER_VOCAB + 1`` labels are fetched to number them,
+    a larger label set is numbered with distributed row ids (W7) instead.
+    """
     x = df.select(F.explode(F.col(col)).alias("label") if multi else F.col(col).alias("label"))
     x = x.filter(F.col("label").isNotNull())
     if drop:
         x = x.filter(~F.col("label").cast("string").isin([str(d) for d in drop]))
-    return with_row_id(x.distinct(), ["label"], "label_id")
+    d = x.distinct()
+    rows = d.limit(MAX_DRIVER_VOCAB + 1).collect()
+    if len(rows) > MAX_DRIVER_VOCAB:
+        return with_row_id(d, ["label"], "label_id")
+    labels = sorted(r["label"] for r in rows)
+    schema = T.StructType([T.StructField("label", d.schema["label"].dataType, False),
+                           T.StructField("label_id", T.LongType(), False)])
+    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(labels)], schema)
 
 
 def label_union(dfs: list[DataFrame], col: str, multi: bool = False) -> DataFrame:

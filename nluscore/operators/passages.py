@@ -73,7 +73,7 @@ def _scan(bitems, key):
 
 def find_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", passage: str = "text",
-                  chunk_bytes: int = DEFAULT_CHUNK_BYTES) -> DataFrame:
+                  chunk_bytes: int | None = None) -> DataFrame:
     """``(doc_id, item_id, start)`` for every document containing a (non-empty) passage; ``start``
     is the 0-based character offset of the first occurrence, as Python ``str.find``."""
     spark = docs.sparkSession
@@ -82,7 +82,8 @@ def find_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     st = p.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("p")).alias("b")).first()
     if not st["n"]:
         return spark.createDataFrame([], SCHEMA)
-    chunks = max(1, math.ceil((st["b"] or 0) / chunk_bytes))
+    budget = chunk_bytes or int(spark.conf.get("spark.nluscore.passages.chunkBytes", str(DEFAULT_CHUNK_BYTES)))
+    chunks = max(1, math.ceil((st["b"] or 0) / budget))
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = []
     for c in range(chunks):

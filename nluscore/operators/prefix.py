@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +27,13 @@ def _num_parts(df: DataFrame) -> int:
 def _range_sorted(df: DataFrame, keys: Sequence[str], parts: int | None) -> DataFrame:
     n = parts or _num_parts(df)
     cols = [F.col(k).asc_nulls_first() for k in keys]
-    return cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols))
+    # range bounds are sampled by a first job; keep the input for the checkpoint job so it is
+    # computed once, and release it as soon as the checkpoint has cut the lineage
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cut_lineage(src.repartitionByRange(n, *cols).sortWithinPartitions(*cols))
+    finally:
+        src.unpersist()
 
 
 def _offsets(rp: DataFrame, values: list[str] | None) -> dict[int, list]:

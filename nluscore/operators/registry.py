@@ -69,7 +69,12 @@ def problem_metrics(df: DataFrame, problem_type: str, pred: str, gold: str, by=N
         wide = C.f1_micro_multilabel(x, "_pi", "_gi", by).withColumnRenamed("f1_micro", "f1")
     else:
         x = df.withColumn("_p", argmax(pred) if ptype.startswith("array") else F.col(pred))
-        wide = C.class_metrics(x, "_p", gold, by).select(*as_list(by), m)
+        wide = C.class_metrics(x, "_p", gold, by)
+        if m == "f1":
+            # decision R16: binary F1 needs two classes; with more, report macro F1
+            n_cls = x.select(F.col(gold).alias("_c")).union(x.select(F.col("_p").alias("_c"))).distinct().limit(3).count()
+            wide = wide.withColumn("f1", F.col("f1") if n_cls <= 2 else F.col("f1_macro"))
+        wide = wide.select(*as_list(by), m)
     return to_long(wide, by)
 
 

@@ -113,10 +113,12 @@ def merge_top_k(parts: list[DataFrame], k: int) -> DataFrame:
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, qid: str = "qid", docid: str = "docid",
           vec: str = "embedding", qvec: str | None = None, metric: str = "cos_sim",
-          ignore_identical: bool = False, chunk_bytes: int = DEFAULT_CHUNK_BYTES) -> DataFrame:
+          ignore_identical: bool = False, chunk_bytes: int | None = None) -> DataFrame:
     """V4: exact top-k per query → ``(qid, docid, score, rank)``.
 
     Scores are rounded to 9 digits before ranking so equal vectors tie; NaN scores become -1.
+    The query-chunk budget is ``chunk_bytes`` or the session setting ``spark.nluscore.topk.chunkBytes``
+    (default 64 MB); the corpus is read once per chunk.
     """
     if metric not in ("cos_sim", "dot"):
         raise ValueError(f"metric must be cos_sim or dot, not {metric!r}")
@@ -127,7 +129,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, qid: str = "qid",
     nq, dim = int(stats["n"]), int(stats["dim"] or 0)
     if nq == 0:
         return spark.createDataFrame([], TOPK_SCHEMA + ", rank int")
-    chunks = max(1, math.ceil(nq * max(dim, 1) * 8 / chunk_bytes))
+    budget = chunk_bytes or int(spark.conf.get("spark.nluscore.topk.chunkBytes", str(DEFAULT_CHUNK_BYTES)))
+    chunks = max(1, math.ceil(nq * max(dim, 1) * 8 / budget))
     c = corpus.select(F.col(docid).cast("long").alias("docid"), F.col(vec).alias("v"))
     parts = []
     for i in range(chunks):
