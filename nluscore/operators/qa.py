@@ -294,3 +294,14 @@ def pick_answer(nb: DataFrame, v2: bool = True, null_score_diff_threshold: float
     diff = F.col("_null") - F.col("_b.start_logit") - F.col("_b.end_logit")
     pred = F.when(F.col("_b").isNull(), F.lit("")).when(diff > null_score_diff_threshold, F.lit("")).otherwise(F.col("_b.text"))
     return g.select("example_id", pred.alias("prediction_text"), diff.cast("double").alias("score_diff"))
+
+
+def format_qa(answers: DataFrame, refs: DataFrame, v2: bool, id_col: str = "id", pred: str = "prediction_text",
+              answers_col: str = "answers") -> tuple[DataFrame, DataFrame]:
+    """Q17: predictions ``(id string, prediction_text[, no_answer_probability 0.0])`` and references
+    ``(id string, answers)`` in the metric schema."""
+    p = answers.select(F.col(id_col).cast("string").alias("id"), F.col(pred).alias("prediction_text"))
+    if v2:
+        p = p.withColumn("no_answer_probability", F.lit(0.0))
+    r = refs.select(F.col(id_col).cast("string").alias("id"), F.col(answers_col).alias("answers"))
+    return p, r

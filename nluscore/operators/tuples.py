@@ -127,3 +127,41 @@ def explode_docs(tuples: DataFrame, query: str) -> DataFrame:
 def as_array(c: Column) -> Column:
     """P12 for tuples: wrap a scalar positive into a list."""
     return F.array(c)
+
+
+# ---- list-valued instances: {query, positives[], negatives[]} rows (X1) ----
+
+def build_instances(df: DataFrame, query: str, positives: str, negatives: str | None = None) -> DataFrame:
+    """X1 + P12: instances with list-valued positives/negatives (scalars are wrapped)."""
+    types = dict(df.dtypes)
+    pos = F.col(positives) if types[positives].startswith("array") else F.array(F.col(positives))
+    cols = [F.col(query).alias("query"), pos.alias("positives")]
+    if negatives:
+        neg = F.col(negatives) if types[negatives].startswith("array") else F.array(F.col(negatives))
+        cols.append(neg.alias("negatives"))
+    keep = [c for c in df.columns if c not in (query, positives, negatives)]
+    return df.select(*keep, *cols)
+
+
+def pick_positive_list(item: Column, positives: Column, epoch: int, seed: int = 42, shuffle: bool = True) -> Column:
+    """X2 on a list: ``positives[(item + seed + epoch) mod n]`` or, without shuffle, the epoch-th rotation."""
+    n = F.size(positives)
+    j = F.pmod(item + seed + epoch, n) if shuffle else F.pmod(F.lit(epoch), n)
+    return F.element_at(positives, (j + 1).cast("int"))
+
+
+def pick_negatives_list(item: Column, negatives: Column, k: int, epoch: int, seed: int = 42,
+                        shuffle: bool = False, safe: bool = True) -> Column:
+    """X3/X5/X6 on a list (an array column, bounded by the instance's own list):
+    m >= k: window of k starting at ``epoch*k mod m`` with wrap-around, over a seeded order when
+    ``shuffle`` (X5) or the list order (X6); 0 < m < k and ``safe``: k hashed draws (X3)."""
+    m = F.size(negatives)
+    base = negatives
+    if shuffle:
+        keyed = F.transform(negatives, lambda x, i: F.struct(F.xxhash64(item, F.lit(seed), x, i).alias("h"), x.alias("v")))
+        base = F.transform(F.array_sort(keyed), lambda s: s["v"])
+    off = F.pmod(F.lit(epoch * k), m)
+    window = F.slice(F.concat(base, base), (off + 1).cast("int"), k)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: F.element_at(
+        negatives, (F.pmod(F.xxhash64(item, F.lit(seed), t), m) + 1).cast("int")))
+    return F.when(m >= k, window).when((m > 0) & F.lit(safe), draws).otherwise(negatives)

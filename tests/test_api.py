@@ -155,3 +155,28 @@ def test_sinks(spark, tmp_dir):
     rep = spark.createDataFrame([("m", 1.0)], "model string, avg double")
     K.write_report(rep, os.path.join(tmp_dir, "rep"))
     assert spark.read.option("header", True).csv(os.path.join(tmp_dir, "rep")).first()["model"] == "m"
+
+
+def test_list_instances_and_format(spark):
+    from nluscore.operators import qa as Q
+    from nluscore.operators import seq as S
+    from nluscore.operators import tokens as T
+    df = spark.createDataFrame([(3, "q", "p", ["n0", "n1", "n2", "n3", "n4"])], "id long, query string, pos string, neg array<string>")
+    inst = X.build_instances(df, "query", "pos", "neg")
+    r = inst.select(X.pick_positive_list(F.col("id"), F.col("positives"), 1).alias("p"),
+                    X.pick_negatives_list(F.col("id"), F.col("negatives"), 3, 1).alias("rr"),
+                    X.pick_negatives_list(F.col("id"), F.col("negatives"), 3, 1, shuffle=True).alias("sh"),
+                    X.pick_negatives_list(F.col("id"), F.col("negatives"), 9, 0).alias("dr")).first()
+    assert r["p"] == "p" and r["rr"] == ["n3", "n4", "n0"]
+    assert len(set(r["sh"])) == 3 and set(r["sh"]) <= {"n0", "n1", "n2", "n3", "n4"}
+    assert len(r["dr"]) == 9 and set(r["dr"]) <= {"n0", "n1", "n2", "n3", "n4"}
+    ans = spark.createDataFrame([(1, "x")], "id long, prediction_text string")
+    refs = spark.createDataFrame([(1, ["x"])], "id long, answers array<string>")
+    p, rf = Q.format_qa(ans, refs, v2=True)
+    assert p.dtypes == [("id", "string"), ("prediction_text", "string"), ("no_answer_probability", "double")]
+    w = spark.createDataFrame([([0, 5, 10], [4, 9, 12], 1, 3)], "starts array<int>, ends array<int>, tok_start int, tok_end int")
+    off = w.select(T.window_offsets(prefix=2, suffix=1).alias("o")).first()["o"]
+    assert off[0] is None and off[1] is None and (off[2]["start"], off[3]["end"]) == (5, 12) and off[4] is None
+    long = spark.createDataFrame([("PER", "f1", 0.5), ("overall", "f1", 0.7)], "type string, metric string, value double")
+    assert sorted(r["metric"] for r in S.flatten_report(long).collect()) == ["PER_f1", "overall_f1"]
+    assert [r["metric"] for r in S.flatten_report(long, overall_only=True).collect()] == ["overall_f1"]
