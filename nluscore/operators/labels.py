@@ -34,10 +34,10 @@ def label_list(df: DataFrame, col: str, multi: bool = False, drop=(UNLABELLED,))
     if drop:
         x = x.filter(~F.col("label").cast("string").isin([str(d) for d in drop]))
     d = x.distinct()
-    rows = d.limit(MAX_DRIVER_VOCAB + 1).collect()
-    if len(rows) > MAX_DRIVER_VOCAB:
+    got = d.limit(MAX_DRIVER_VOCAB + 1).toArrow().column("label").to_pylist()
+    if len(got) > MAX_DRIVER_VOCAB:
         return with_row_id(d, ["label"], "label_id")
-    labels = sorted(r["label"] for r in rows)
+    labels = sorted(got)
     schema = T.StructType([T.StructField("label", d.schema["label"].dataType, False),
                            T.StructField("label_id", T.LongType(), False)])
     return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(labels)], schema)

@@ -27,6 +27,8 @@ def get_session(master: str | None = None, app: str = "nluscore", partitions: in
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # reliable checkpoints (W7) are deleted once their RDDs are unreachable
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
