@@ -111,41 +111,57 @@ def merge_top_k(parts: list[DataFrame], k: int) -> DataFrame:
     return rank_top_k(u, k)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, qid: str = "qid", docid: str = "docid",
-          vec: str = "embedding", qvec: str | None = None, metric: str = "cos_sim",
-          ignore_identical: bool = False, chunk_bytes: int | None = None) -> DataFrame:
-    """V4: exact top-k per query → ``(qid, docid, score, rank)``.
-
-    Scores are rounded to 9 digits before ranking so equal vectors tie; NaN scores become -1.
-    The query-chunk budget is ``chunk_bytes`` or the session setting ``spark.nluscore.topk.chunkBytes``
-    (default 64 MB); the corpus is read once per chunk.
-    """
-    if metric not in ("cos_sim", "dot"):
-        raise ValueError(f"metric must be cos_sim or dot, not {metric!r}")
+def prepare_queries(queries: DataFrame, qid: str = "qid", vec: str = "embedding",
+                    chunk_bytes: int | None = None) -> list:
+    """Count the query side and broadcast it in chunks of at most ``chunk_bytes`` (or the session
+    setting ``spark.nluscore.topk.chunkBytes``, default 64 MB). Reusable across corpus batches."""
     spark = queries.sparkSession
-    qv = qvec or vec
-    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qv).alias("v")).filter(F.col("qid").isNotNull())
+    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("v")).filter(F.col("qid").isNotNull())
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     nq, dim = int(stats["n"]), int(stats["dim"] or 0)
     if nq == 0:
-        return spark.createDataFrame([], TOPK_SCHEMA + ", rank int")
+        return []
     budget = chunk_bytes or int(spark.conf.get("spark.nluscore.topk.chunkBytes", str(DEFAULT_CHUNK_BYTES)))
     chunks = max(1, math.ceil(nq * max(dim, 1) * 8 / budget))
-    c = corpus.select(F.col(docid).cast("long").alias("docid"), F.col(vec).alias("v"))
-    parts = []
+    out = []
     for i in range(chunks):
         qc = q if chunks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == i)
         tbl = qc.toArrow()
         ids = tbl.column(0).to_numpy().astype(np.int64)
-        mat = _matrix(tbl.column(1), len(ids))
-        bq = spark.sparkContext.broadcast((ids, mat))
-        parts.append(c.mapInArrow(_kernel(bq, k, metric == "cos_sim", ignore_identical), TOPK_SCHEMA))
+        out.append(spark.sparkContext.broadcast((ids, _matrix(tbl.column(1), len(ids)))))
+    return out
+
+
+def score_corpus(prepared: list, corpus: DataFrame, k: int, docid: str = "docid", vec: str = "embedding",
+                 metric: str = "cos_sim", ignore_identical: bool = False) -> DataFrame:
+    """Per-task top-k candidates of every prepared query chunk over ``corpus`` (one pass per chunk),
+    cut to k per query → ``(qid, docid, score, rank)``."""
+    if metric not in ("cos_sim", "dot"):
+        raise ValueError(f"metric must be cos_sim or dot, not {metric!r}")
+    spark = corpus.sparkSession
+    if not prepared:
+        return spark.createDataFrame([], TOPK_SCHEMA + ", rank int")
+    c = corpus.select(F.col(docid).cast("long").alias("docid"), F.col(vec).alias("v"))
+    parts = [c.mapInArrow(_kernel(bq, k, metric == "cos_sim", ignore_identical), TOPK_SCHEMA) for bq in prepared]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
     return rank_top_k(u, k)
 
 
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, qid: str = "qid", docid: str = "docid",
+          vec: str = "embedding", qvec: str | None = None, metric: str = "cos_sim",
+          ignore_identical: bool = False, chunk_bytes: int | None = None) -> DataFrame:
+    """V4: exact top-k per query → ``(qid, docid, score, rank)``.
+
+    Scores are rounded to 9 digits before ranking so equal vectors tie; NaN scores become -1.
+    The query side is broadcast in counted chunks (see ``prepare_queries``); the corpus is read
+    once per chunk.
+    """
+    prepared = prepare_queries(queries, qid, qvec or vec, chunk_bytes)
+    return score_corpus(prepared, corpus, k, docid, vec, metric, ignore_identical)
+
+
 def pool_tokens(df: DataFrame, tokens: str, mask_len: str, how: str, out: str = "pooled") -> DataFrame:
     """V6: pool ``array<array<float>>`` token vectors; the first ``mask_len`` tokens are attended.
 

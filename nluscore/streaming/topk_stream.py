@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.vectors import merge_top_k, top_k
+from ..operators.vectors import merge_top_k, prepare_queries, score_corpus
 from ..session import scratch_path
 
 
@@ -38,10 +38,10 @@ def top_k_stream(queries: DataFrame, corpus_stream: DataFrame, k: int, state: st
                  ignore_identical: bool = False, trigger_available_now: bool = True):
     """Start (and, with ``availableNow``, finish) the stream; returns the StreamingQuery."""
     spark = queries.sparkSession
+    prepared = prepare_queries(queries, qid, vec)   # counted and broadcast once for all batches
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        hits = top_k(queries, batch, k=k, qid=qid, docid=docid, vec=vec, metric=metric,
-                     ignore_identical=ignore_identical)
+        hits = score_corpus(prepared, batch, k, docid, vec, metric, ignore_identical)
         prev = _latest_version(spark, state, batch_id)
         parts = [hits]
         if prev:
