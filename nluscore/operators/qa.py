@@ -56,15 +56,15 @@ def has_answer(golds: str = "answers") -> Column:
 
 
 def score_answers(preds: DataFrame, refs: DataFrame, ids, pred: str = "prediction_text",
-                  golds: str = "answers", version: int = 1) -> DataFrame:
+                  golds: str = "answers", version: int = 1, keep=None) -> DataFrame:
     """Q10/Q12: per id, max over gold answers of exact match and token F1.
 
     v1: references ⟕ predictions; a missing prediction scores 0 but counts (J1); an id without
     golds is an error (decision R11). v2: inner join (J2); golds that normalise to empty are
-    dropped, and ``['']`` stands in when none is left.
+    dropped, and ``['']`` stands in when none is left. ``keep``: reference columns carried along.
     """
-    ids = as_list(ids)
-    r = refs.select(*ids, F.col(golds).alias("_golds"))
+    ids, keep = as_list(ids), as_list(keep)
+    r = refs.select(*ids, *keep, F.col(golds).alias("_golds"))
     if version == 1:
         r = r.withColumn("_golds", F.when(F.size("_golds") > 0, F.col("_golds")).otherwise(
             F.raise_error(F.concat(F.lit("no gold answers for id "), F.concat_ws("/", *[F.col(i).cast("string") for i in ids])))))
@@ -86,7 +86,7 @@ def score_answers(preds: DataFrame, refs: DataFrame, ids, pred: str = "predictio
     em = F.array_max(F.transform(F.col("_s"), lambda s: s["em"]))
     f1 = F.array_max(F.transform(F.col("_s"), lambda s: s["f1"]))
     missing = F.col("_pred").isNull()
-    return j.select(*ids, F.col("_pred").alias(pred),
+    return j.select(*ids, *keep, F.col("_pred").alias(pred),
                     F.when(missing, F.lit(0.0)).otherwise(em).alias("exact"),
                     F.when(missing, F.lit(0.0)).otherwise(f1).alias("f1"))
 
@@ -101,8 +101,7 @@ def squad_v1(preds: DataFrame, refs: DataFrame, ids, by=None, pred: str = "predi
              golds: str = "answers") -> DataFrame:
     """Q11: ``exact_match`` and ``f1`` ×100 over all references → long metrics."""
     by = as_list(by)
-    r = refs.select(*ids, *by, golds)
-    s = score_answers(preds, r, ids, pred, golds, 1).join(r.select(*ids, *by), as_list(ids))
+    s = score_answers(preds, refs, ids, pred, golds, 1, keep=by)
     wide = s.groupBy(*by).agg((100.0 * F.avg("exact")).alias("exact_match"), (100.0 * F.avg("f1")).alias("f1"))
     return to_long(wide, by)
 
@@ -128,14 +127,11 @@ def squad_v2_summary(raw: DataFrame, by=None, thresh: float = 1.0) -> DataFrame:
         (100.0 * F.avg(F.when(ha, F.col("f1")))).alias("HasAns_f1"), F.count(F.when(ha, 1)).alias("HasAns_total"),
         (100.0 * F.avg(F.when(na, F.col("exact")))).alias("NoAns_exact"),
         (100.0 * F.avg(F.when(na, F.col("f1")))).alias("NoAns_f1"), F.count(F.when(na, 1)).alias("NoAns_total"))
+    # a slice is reported only when it has ids: an empty slice's total becomes null, like its averages
+    for sl in ("HasAns", "NoAns"):
+        wide = wide.withColumn(f"{sl}_total", F.when(F.col(f"{sl}_total") > 0, F.col(f"{sl}_total")))
     long = to_long(wide, by)
-    # a slice is reported only when it has ids
-    tot = to_long(wide.select(*by, "HasAns_total", "NoAns_total"), by).select(
-        *by, F.regexp_extract("metric", "^(HasAns|NoAns)", 1).alias("_slice"), F.col("value").alias("_n"))
-    long = long.withColumn("_slice", F.regexp_extract("metric", "^(HasAns|NoAns)", 1))
-    keys = [*by, "_slice"]
-    return (long.join(tot, keys, "left")
-                .filter((F.col("_slice") == "") | (F.col("_n") > 0)).drop("_slice", "_n"))
+    return long.filter(~(F.col("metric").rlike("^(HasAns|NoAns)_") & F.col("value").isNull()))
 
 
 def best_threshold(raw: DataFrame, order, n_no_answer: DataFrame | None = None) -> DataFrame:

@@ -69,8 +69,8 @@ def _v2_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((F.col("n_chars") % 100) / 100.0).alias("na_prob"))
     refs = base.select("doc_id", "answers", "na_prob", Q.has_answer("answers").alias("has_ans"))
     preds = base.select("doc_id", "prediction_text")
-    s = Q.score_answers(preds, refs, ["doc_id"], version=2)
-    return s.join(refs.select("doc_id", "na_prob", "has_ans"), "doc_id").withColumnRenamed("prediction_text", "pred")
+    s = Q.score_answers(preds, refs, ["doc_id"], version=2, keep=["na_prob", "has_ans"])
+    return s.withColumnRenamed("prediction_text", "pred")
 
 
 def squad_v2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

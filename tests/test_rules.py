@@ -221,3 +221,10 @@ def test_strict_udf(spark):
     df = spark.createDataFrame([(["B-A", "I-A", "O", "B-B"],)], "t array<string>")
     got = [tuple(e) for e in S.extract_entities_strict(df, "t", "IOB2").first()["entities"]]
     assert got == [("A", 0, 1), ("B", 3, 3)]
+
+
+def test_squad_v2_empty_slice_not_reported(spark):
+    raw = spark.createDataFrame([(1, 1.0, 1.0, True, 0.1), (2, 0.0, 0.5, True, 0.2)],
+                                "qid long, exact double, f1 double, has_ans boolean, na_prob double")
+    got = {r["metric"]: r["value"] for r in Q.squad_v2_summary(raw).collect()}
+    assert got == {"exact": 50.0, "f1": 75.0, "total": 2.0, "HasAns_exact": 50.0, "HasAns_f1": 75.0, "HasAns_total": 2.0}
