@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import classification as cls
 from . import oracle_sql as sql
+from . import io as sinkio
 from . import labels as lab
 from . import qa
 from . import report as rep
@@ -41,6 +42,8 @@ QUERIES = {
     "training_tuples": tup.training_tuples,
     "suite_report": rep.suite_report,
     "topk_stream": stream.topk_stream,
+    "predictions_roundtrip": sinkio.predictions_roundtrip,
+    "tags_roundtrip": sinkio.tags_roundtrip,
 }
 
 ORACLE = {
@@ -72,4 +75,6 @@ ORACLE = {
     "training_tuples": sql.TRAINING_TUPLES,
     "suite_report": sql.SUITE_REPORT,
     "topk_stream": sql.TOPK_COSINE,
+    "predictions_roundtrip": sql.PREDICTIONS_ROUNDTRIP,
+    "tags_roundtrip": sql.TAGS_ROUNDTRIP,
 }

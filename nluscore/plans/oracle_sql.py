@@ -562,3 +562,19 @@ UNION ALL SELECT 'fixture', 'detail', task || '.' || lang, round(value * 100.0,
 
 
 SUITE_REPORT = _suite_sql()
+
+# ---------------------------------------------------------------- sink round trips
+
+PREDICTIONS_ROUNDTRIP = f"""
+WITH {CLS.replace("SELECT d.lang AS config,", "SELECT l.doc_id, d.lang AS config,")}
+SELECT config, row_number() OVER (PARTITION BY config ORDER BY doc_id) - 1 AS index,
+       CAST(pred AS VARCHAR) AS prediction
+FROM cls
+"""
+
+TAGS_ROUNDTRIP = f"""
+WITH {_WORDS},
+lines AS (SELECT doc_id, lang AS config, string_agg(gtag, ' ' ORDER BY wid) AS line FROM t GROUP BY doc_id, lang)
+SELECT d.lang AS config, coalesce(l.line, '') AS line
+FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id
+"""
