@@ -44,6 +44,7 @@ QUERIES = {
     "topk_stream": stream.topk_stream,
     "predictions_roundtrip": sinkio.predictions_roundtrip,
     "tags_roundtrip": sinkio.tags_roundtrip,
+    "results_roundtrip": sinkio.results_roundtrip,
 }
 
 ORACLE = {
@@ -77,4 +78,5 @@ ORACLE = {
     "topk_stream": sql.TOPK_COSINE,
     "predictions_roundtrip": sql.PREDICTIONS_ROUNDTRIP,
     "tags_roundtrip": sql.TAGS_ROUNDTRIP,
+    "results_roundtrip": sql.RESULTS_ROUNDTRIP,
 }

@@ -30,3 +30,17 @@ def tags_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tags")
     K.write_tags(d, path)
     return spark.read.text(path).select("config", F.col("value").alias("line"))
+
+
+def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S12 + S14: metrics of two tasks written to a results store partitioned by model/task and
+    read back as one long table."""
+    from ..sources.readers import read_results
+    from . import classification
+    acc = classification.accuracy_by_lang(spark, sf_dir).select(F.lit("quality").alias("task"), "config", "metric", "value")
+    ent = TK.entity_report(spark, sf_dir).select(F.lit("entities").alias("task"), F.col("type").alias("config"),
+                                                 "metric", "value")
+    long = acc.unionByName(ent).withColumn("model", F.lit("fixture"))
+    path = scratch_path(spark, "results")
+    K.write_results(long, path)
+    return read_results(spark, path, layout="long")

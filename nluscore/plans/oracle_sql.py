@@ -578,3 +578,9 @@ lines AS (SELECT doc_id, lang AS config, string_agg(gtag, ' ' ORDER BY wid) AS l
 SELECT d.lang AS config, coalesce(l.line, '') AS line
 FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id
 """
+
+RESULTS_ROUNDTRIP = f"""
+SELECT 'fixture' AS model, 'quality' AS task, config, metric, value FROM ({ACCURACY_BY_LANG}) a
+UNION ALL
+SELECT 'fixture', 'entities', type, metric, value FROM ({ENTITY_REPORT}) e
+"""

@@ -106,12 +106,16 @@ RESULT_FILE = r"^.*/([^/]+)/([^/]+)/all_results\.json$"
 TASK_FILE = r"^.*/([^/]+)/([^/]+)\.json$"
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
+def read_results(spark: SparkSession, root: str, layout: str = "objects") -> DataFrame:
     """Metric files of every model under ``root`` → long ``(model, task, config, metric, value)``.
 
-    ``<model>/<task>/all_results.json`` wins over ``<model>/<task>.json``. Top-level numbers get
-    config ``''``; the ``all_metrics`` object gives one config per key.
+    ``objects``: one JSON object per file; ``<model>/<task>/all_results.json`` wins over
+    ``<model>/<task>.json``; top-level numbers get config ``''``; the ``all_metrics`` object gives one
+    config per key. ``long``: the partitioned store written by ``sinks.write_results``.
     """
+    if layout == "long":
+        return spark.read.schema("config string, metric string, value double, model string, task string").json(
+            root).select("model", "task", "config", "metric", "value")
     files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*.json").text(root)
              .withColumn("path", F.input_file_name()))

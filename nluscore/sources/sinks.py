@@ -54,3 +54,10 @@ def write_metrics(long_df: DataFrame, path: str, prefix: str | None = "eval", st
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A (small) report table as one CSV file with header."""
     df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+
+
+def write_results(long_df: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """S12 for a results store: long metrics ``(model, task, config, metric, value)`` as JSON lines
+    partitioned by model and task (read back with ``read_results(..., layout="long")``)."""
+    long_df.select("model", "task", "config", "metric", "value").write.mode(mode).partitionBy(
+        "model", "task").json(root)
