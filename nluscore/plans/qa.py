@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import qa as Q
-from ..operators.metrics_table import to_long
 from ..operators.prefix import prefix_sum
 from .tables import load
 

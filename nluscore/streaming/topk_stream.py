@@ -10,7 +10,6 @@ State is k rows per query, never the corpus.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.vectors import merge_top_k, prepare_queries, score_corpus
 from ..session import scratch_path

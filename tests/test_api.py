@@ -180,3 +180,20 @@ def test_list_instances_and_format(spark):
     long = spark.createDataFrame([("PER", "f1", 0.5), ("overall", "f1", 0.7)], "type string, metric string, value double")
     assert sorted(r["metric"] for r in S.flatten_report(long).collect()) == ["PER_f1", "overall_f1"]
     assert [r["metric"] for r in S.flatten_report(long, overall_only=True).collect()] == ["overall_f1"]
+
+
+def test_report_helpers(spark):
+    from nluscore.operators import report as G
+    long = spark.createDataFrame([("t", "en", "acc", 0.5), ("t", "fr", "acc", 0.7), ("t", "en", "f1", 0.2)],
+                                 "task string, config string, metric string, value double")
+    got = {(r["metric"]): r["value"] for r in G.macro_average(long, ["task"], require_all=True).collect()}
+    assert got == {"acc": 0.6}                     # f1 is missing for fr, so it is not averaged
+    got_all = {(r["metric"]): r["value"] for r in G.macro_average(long, ["task"]).collect()}
+    assert got_all == {"acc": 0.6, "f1": 0.2}
+    filled = spark.createDataFrame([("m", "t", "en", 0, 0.5), ("m", "t", "fr", 0, 0.25)],
+                                   "model string, task string, lang string, metric_rank int, value double")
+    row = G.language_detail(filled).first()
+    assert (row["en"], row["fr"]) == (50.0, 25.0)
+    spec = spark.createDataFrame([("m", "t", "sw", "acc")], "model string, task string, config string, metric string")
+    res = spark.createDataFrame([("m", "t", "en", "acc", 0.9)], "model string, task string, config string, metric string, value double")
+    assert G.fill_spec(spec, res, ["model", "task", "config", "metric"]).first()["value"] == 0.0
