@@ -1,6 +1,7 @@
 """Sinks (S9-S13): prediction files, tag files, QA outputs, metrics and reports.
 
-All writers are partitioned Spark writes (one folder per config), never a driver-side loop.
+All writers are partitioned Spark writes (one folder per config), never a driver-side loop and
+never funnelled through a single task.
 """
 
 from __future__ import annotations
@@ -48,12 +49,12 @@ def write_metrics(long_df: DataFrame, path: str, prefix: str | None = "eval", st
     x = prefix_metrics(long_df, prefix) if prefix else long_df
     for k, v in (stamp or {}).items():
         x = x.withColumn(k, F.lit(v))
-    x.coalesce(1).write.mode(mode).json(path)
+    x.write.mode(mode).json(path)
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A (small) report table as one CSV file with header."""
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    """A report table as CSV with header (a folder of part files, written in parallel)."""
+    df.write.mode(mode).option("header", True).csv(path)
 
 
 def write_results(long_df: DataFrame, root: str, mode: str = "overwrite") -> None:
