@@ -29,7 +29,9 @@ def label_list(df: DataFrame, col: str, multi: bool = False, drop=(UNLABELLED,))
     One aggregation pass; at most ``MAX_DRIVER_VOCAB + 1`` labels are fetched to number them,
     a larger label set is numbered with distributed row ids (W7) instead.
     """
-    x = df.select(F.explode(F.col(col)).alias("label") if multi else F.col(col).alias("label"))
+    # explode_outer: a plain explode lets Catalyst push size(col) > 0 below repartitions and
+    # evaluate the (possibly expensive) array twice; nulls are dropped right after
+    x = df.select(F.explode_outer(F.col(col)).alias("label") if multi else F.col(col).alias("label"))
     x = x.filter(F.col("label").isNotNull())
     if drop:
         x = x.filter(~F.col("label").cast("string").isin([str(d) for d in drop]))
@@ -118,7 +120,7 @@ def infer_problem(df: DataFrame, col: str) -> str:
     if t in ("float", "double"):
         return "regression"
     kind = "multi_label_classification" if t.startswith("array") else "single_label_classification"
-    x = df.select(F.explode(col).alias("l")) if t.startswith("array") else df.select(F.col(col).alias("l"))
+    x = df.select(F.explode_outer(col).alias("l")) if t.startswith("array") else df.select(F.col(col).alias("l"))
     n = x.filter(F.col("l").isNotNull() & (F.col("l").cast("string") != str(UNLABELLED))).distinct().limit(2).count()
     if n < 2:
         raise ValueError(f"need at least 2 labels in {col!r}, found {n}")

@@ -183,45 +183,67 @@ def extract_entities_strict(df: DataFrame, tags: str, scheme: str, out: str = "e
     return x.withColumn(out, z).drop("_ch")
 
 
-def entity_counts(df: DataFrame, gold: str, pred: str, by=None, weight: str | None = None) -> DataFrame:
-    """Per (by, type): gold, pred and true-positive entity counts (J10 as a per-row set intersection);
-    with ``weight`` each sentence's entities count with its weight (N7)."""
+@F.pandas_udf(T.LongType())
+def _equal_positions(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Number of positions where two tag sequences agree (vectorised per row)."""
+    out = np.zeros(len(a), dtype=np.int64)
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x is not None and y is not None and len(x):
+            n = min(len(x), len(y))
+            out[i] = int(np.count_nonzero(np.asarray(x[:n], dtype=object) == np.asarray(y[:n], dtype=object)))
+    return pd.Series(out)
+
+
+def entity_counts(df: DataFrame, gold: str, pred: str, by=None, weight: str | None = None,
+                  gold_tags: str | None = None, pred_tags: str | None = None) -> DataFrame:
+    """Per (by, type) — plus type ``overall`` — gold, pred and true-positive entity counts (J10 as a
+    per-row set intersection), and with tag columns the token hits/total (N5), all in ONE explode and
+    one partially aggregated ``groupBy``. With ``weight`` a sentence counts with its weight (N7)."""
     by = as_list(by)
     tp = F.array_intersect(F.col(gold), F.col(pred))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    zero = F.lit(0.0)
 
-    def tagged(c, g, p, t):
-        return F.transform(c, lambda e: F.struct(e["type"].alias("type"), (w * g).alias("g"), (w * p).alias("p"),
-                                                 (w * t).alias("tp")))
-    allv = F.concat(tagged(F.col(gold), 1, 0, 0), tagged(F.col(pred), 0, 1, 0), tagged(tp, 0, 0, 1))
-    x = df.select(*by, F.explode_outer(allv).alias("_e")).filter(F.col("_e").isNotNull())
+    def rec(typ, g, p, t, hit=zero, n=zero):
+        return F.struct(typ.alias("type"), g.alias("g"), p.alias("p"), t.alias("tp"), hit.alias("hit"), n.alias("n"))
+
+    def emit(c, g, p, t, overall):
+        return F.transform(c, lambda e: rec(F.lit("overall") if overall else e["type"], w * g, w * p, w * t))
+
+    parts = [emit(c, g, p, t, overall)
+             for c, g, p, t in ((F.col(gold), 1.0, 0.0, 0.0), (F.col(pred), 0.0, 1.0, 0.0), (tp, 0.0, 0.0, 1.0))
+             for overall in (False, True)]
+    if gold_tags and pred_tags:
+        hits = _equal_positions(F.col(gold_tags), F.col(pred_tags)).cast("double")
+        parts.append(F.array(rec(F.lit("overall"), zero, zero, zero, w * hits, w * F.size(F.col(gold_tags)))))
+    x = df.select(*by, F.explode_outer(F.concat(*parts)).alias("_e")).filter(F.col("_e").isNotNull())
     return x.groupBy(*by, F.col("_e.type").alias("type")).agg(
-        F.sum("_e.g").alias("n_gold"), F.sum("_e.p").alias("n_pred"), F.sum("_e.tp").alias("n_tp"))
+        F.sum("_e.g").alias("n_gold"), F.sum("_e.p").alias("n_pred"), F.sum("_e.tp").alias("n_tp"),
+        F.sum("_e.hit").alias("n_hit"), F.sum("_e.n").alias("n_tok"))
 
 
 def entity_report(df: DataFrame, gold: str, pred: str, by=None, zero_division: float = 0.0,
-                  weight: str | None = None) -> DataFrame:
-    """Per type precision, recall, f1, number (support); micro ``overall`` precision, recall, f1."""
+                  weight: str | None = None, gold_tags: str | None = None, pred_tags: str | None = None) -> DataFrame:
+    """N3/N4(/N5): per type precision, recall, f1, number (support); ``overall`` precision, recall,
+    f1 and, when tag columns are given, token accuracy — from one aggregation."""
     by = as_list(by)
-    c = entity_counts(df, gold, pred, by, weight)
-    overall = c.groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("n_gold", "n_pred", "n_tp")]).withColumn(
-        "type", F.lit("overall"))
-    allc = c.unionByName(overall)
+    c = entity_counts(df, gold, pred, by, weight, gold_tags, pred_tags)
     p = safe_ratio(F.col("n_tp"), F.col("n_pred"), zero_division)
     r = safe_ratio(F.col("n_tp"), F.col("n_gold"), zero_division)
     f = F.when(p + r == 0, F.lit(zero_division)).otherwise(2 * p * r / (p + r))
-    wide = allc.select(*by, "type", p.alias("precision"), r.alias("recall"), f.alias("f1"),
-                       F.col("n_gold").alias("number"))
-    # the overall (micro) row carries no support count
-    return to_long(wide, [*by, "type"]).filter(~((F.col("type") == "overall") & (F.col("metric") == "number")))
+    metrics = ["precision", "recall", "f1", "number"] + (["accuracy"] if gold_tags and pred_tags else [])
+    wide = c.select(*by, "type", p.alias("precision"), r.alias("recall"), f.alias("f1"),
+                    F.when(F.col("type") != "overall", F.col("n_gold")).alias("number"),
+                    F.when(F.col("type") == "overall", safe_ratio(F.col("n_hit"), F.col("n_tok"))).alias("accuracy"))
+    # the overall row carries no support count; accuracy exists only on the overall row
+    return to_long(wide, [*by, "type"], metrics).filter(F.col("value").isNotNull())
 
 
 def tag_accuracy(df: DataFrame, gold: str, pred: str, by=None) -> DataFrame:
-    """Token accuracy over all positions (arrays compared per row, summed)."""
+    """N5 on its own: token accuracy over all positions."""
     by = as_list(by)
-    hits = F.aggregate(F.zip_with(F.col(gold), F.col(pred), lambda a, b: (a == b).cast("long")), F.lit(0).cast("long"),
-                       lambda s, x: s + x)
-    agg = df.groupBy(*by).agg(F.sum(hits).alias("_h"), F.sum(F.size(F.col(gold))).alias("_n"))
+    agg = df.groupBy(*by).agg(F.sum(_equal_positions(F.col(gold), F.col(pred))).alias("_h"),
+                              F.sum(F.size(F.col(gold))).alias("_n"))
     return agg.select(*by, safe_ratio(F.col("_h"), F.col("_n")).alias("accuracy"))
 
 

@@ -69,7 +69,8 @@ def window_tokens(df: DataFrame, n_tokens: str, max_len: int, overlap: int, rese
         raise ValueError("max_len - reserved must exceed overlap")
     n = F.col(n_tokens)
     nw = 1 + F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int")
-    w = df.withColumn("window_id", F.explode(F.sequence(F.lit(0), nw - 1)))
+    # nw >= 1, so the outer form emits the same rows without an inferred size filter
+    w = df.withColumn("window_id", F.explode_outer(F.sequence(F.lit(0), nw - 1)))
     return (w.withColumn("tok_start", (F.col("window_id") * step).cast("int"))
              .withColumn("tok_end", F.least(F.col("tok_start") + size, n).cast("int")))
 
@@ -117,18 +118,23 @@ _PIECES_TYPE = T.StructType([T.StructField("word_id", T.ArrayType(T.IntegerType(
 def _pieces_udf(piece_len: int):
     @F.pandas_udf(_PIECES_TYPE)
     def pieces(words: pd.Series, tags: pd.Series) -> pd.DataFrame:
+        """Sub-token layout of a row, [CLS] and [SEP] included (word_id = piece = -1 there)."""
         wid, pc, tg = [], [], []
         for w, t in zip(words, tags):
-            if w is None or len(w) == 0:
-                wid.append(np.zeros(0, np.int32)), pc.append(np.zeros(0, np.int32)), tg.append([])
-                continue
-            lens = np.fromiter((len(x) for x in w), dtype=np.int64, count=len(w))
-            n = np.maximum(-(-lens // piece_len), 1)
-            ids = np.repeat(np.arange(len(w), dtype=np.int32), n)
-            first = np.repeat(np.cumsum(n) - n, n)
-            wid.append(ids)
-            pc.append((np.arange(len(ids)) - first).astype(np.int32))
-            tg.append(np.asarray(t, dtype=object)[ids].tolist() if t is not None else [None] * len(ids))
+            n_words = 0 if w is None else len(w)
+            if n_words:
+                lens = np.fromiter((len(x) for x in w), dtype=np.int64, count=n_words)
+                n = np.maximum(-(-lens // piece_len), 1)
+                ids = np.repeat(np.arange(n_words, dtype=np.int32), n)
+                first = np.repeat(np.cumsum(n) - n, n)
+                piece = (np.arange(len(ids)) - first).astype(np.int32)
+                tag = np.asarray(t, dtype=object)[ids].tolist() if t is not None else [None] * len(ids)
+            else:
+                ids, piece, tag = np.zeros(0, np.int32), np.zeros(0, np.int32), []
+            edge = np.array([-1], dtype=np.int32)
+            wid.append(np.concatenate((edge, ids, edge)))
+            pc.append(np.concatenate((edge, piece, edge)))
+            tg.append([None, *tag, None])
         return pd.DataFrame({"word_id": wid, "piece": pc, "tag": tg})
     return pieces
 
@@ -146,19 +152,15 @@ def align_tags(df: DataFrame, words: str, tags: str, piece_len: int, vocab: Data
     keep = [c for c in df.columns if c not in (words, tags)]
     x = df.withColumn("_p", _pieces_udf(piece_len)(F.col(words), F.col(tags)))
     z = F.arrays_zip(F.col("_p.word_id").alias("word_id"), F.col("_p.piece").alias("piece"), F.col("_p.tag").alias("tag"))
-    body = x.select(*keep, F.posexplode_outer(z).alias("pos", "_t")).filter(F.col("_t").isNotNull()).select(
-        *keep, (F.col("pos") + 1).alias("pos"), F.col("_t.word_id").alias("word_id"),
-        F.col("_t.piece").alias("piece"), F.col("_t.tag").alias("_tag"))
-    null_int = F.lit(None).cast("int")
-    specials = x.select(*keep, F.explode(F.array(F.lit(0), F.size("_p.word_id") + 1)).alias("pos"),
-                        null_int.alias("word_id"), null_int.alias("piece"), F.lit(None).cast("string").alias("_tag"))
+    # one generator over the helper's output (specials included): the helper runs once per row
+    rows = x.select(*keep, F.posexplode_outer(z).alias("pos", "_t")).filter(F.col("_t").isNotNull())
+    special = F.col("_t.word_id") < 0
+    rows = rows.select(*keep, "pos", F.when(~special, F.col("_t.word_id")).alias("word_id"),
+                       F.when(~special, F.col("_t.piece")).alias("piece"), F.col("_t.tag").alias("_tag"))
     v = (b2i if b2i is not None else vocab.withColumn("label_all_id", F.col("label_id")))
     v = v.select(F.col("label").alias("_tag"), F.col("label_id").alias("_id"), F.col("label_all_id").alias("_all"))
-    y = body.join(broadcast_if_small(v), "_tag", "left")
-    lab = F.when(F.col("piece") == 0, F.col("_id")).otherwise(F.lit(IGNORED))
-    lab_all = F.when(F.col("piece") == 0, F.col("_id")).otherwise(F.col("_all"))
-    body_out = y.select(*keep, "pos", "word_id", "piece", lab.cast("long").alias("label_id"),
-                        lab_all.cast("long").alias("label_all_id"))
-    spec_out = specials.select(*keep, "pos", "word_id", "piece", F.lit(IGNORED).cast("long").alias("label_id"),
-                               F.lit(IGNORED).cast("long").alias("label_all_id"))
-    return body_out.unionByName(spec_out)
+    y = rows.join(broadcast_if_small(v), "_tag", "left")
+    lab = F.when(F.col("word_id").isNull(), F.lit(IGNORED)).when(F.col("piece") == 0, F.col("_id")).otherwise(F.lit(IGNORED))
+    lab_all = F.when(F.col("word_id").isNull(), F.lit(IGNORED)).when(F.col("piece") == 0, F.col("_id")).otherwise(F.col("_all"))
+    return y.select(*keep, "pos", "word_id", "piece", lab.cast("long").alias("label_id"),
+                    lab_all.cast("long").alias("label_all_id"))

@@ -101,7 +101,4 @@ def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _tagged_docs(spark, sf_dir).select("doc_id", "gold_tags", "pred_tags")
     d = S.extract_entities(d, "gold_tags", "gold_ents")
     d = S.extract_entities(d, "pred_tags", "pred_ents")
-    rep = S.entity_report(d, "gold_ents", "pred_ents")
-    acc = S.tag_accuracy(d, "gold_tags", "pred_tags").select(
-        F.lit("overall").alias("type"), F.lit("accuracy").alias("metric"), F.round("accuracy", 6).alias("value"))
-    return rep.unionByName(acc)
+    return S.entity_report(d, "gold_ents", "pred_ents", gold_tags="gold_tags", pred_tags="pred_tags")
