@@ -51,19 +51,143 @@ def _offsets(rp: DataFrame, values: list[str] | None) -> dict[int, list]:
     return out
 
 
+def _boundaries(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """True where a row starts a new key (rows are sorted by key); nulls equal nulls."""
+    n = len(pdf)
+    change = np.zeros(n, dtype=bool)
+    if n:
+        change[0] = True
+    for c in by:
+        a = pdf[c].to_numpy()
+        na = pd.isna(a)
+        diff = (a[1:] != a[:-1]) & ~(na[1:] & na[:-1])
+        change[1:] |= np.asarray(diff, dtype=bool)
+    return change
+
+
+def _same(a, b) -> bool:
+    if a is None or b is None:
+        return False
+    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+
+def _segmented(rp: DataFrame, by: list[str], values: list[str], outs: list[str], integral: list[bool]) -> DataFrame:
+    """Prefix sums restarting at every key of the (range-partitioned, sorted) input, without a join:
+    one summary row per partition gives each partition's carry-in for its first key."""
+    dtypes = [np.int64 if it else np.float64 for it in integral]
+    key_fields = [rp.schema[c] for c in by]
+    vtype = [T.LongType() if it else T.DoubleType() for it in integral]
+    sschema = T.StructType(
+        [T.StructField("pid", T.IntegerType())]
+        + [T.StructField(f"_f_{f.name}", f.dataType, True) for f in key_fields]
+        + [T.StructField(f"_l_{f.name}", f.dataType, True) for f in key_fields]
+        + [T.StructField(f"_fs{i}", t, True) for i, t in enumerate(vtype)]
+        + [T.StructField(f"_ls{i}", t, True) for i, t in enumerate(vtype)]
+        + [T.StructField("_single", T.BooleanType(), True)])
+
+    def arrays(pdf):
+        return [pdf[v].fillna(0).to_numpy(dtype=d) for v, d in zip(values, dtypes)]
+
+    def summarize(batches):
+        pid = TaskContext.get().partitionId()
+        first = last = None
+        fsum = lsum = None
+        first_open = True
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ch = _boundaries(pdf, by)
+            starts = np.flatnonzero(ch)
+            vals = arrays(pdf)
+            sums = [np.add.reduceat(v, starts) for v in vals]
+            k0 = tuple(pdf[c].iat[0] for c in by)
+            kl = tuple(pdf[c].iat[len(pdf) - 1] for c in by)
+            s0 = np.array([x[0] for x in sums])
+            sl = np.array([x[-1] for x in sums])
+            if first is None:
+                first, fsum, last, lsum = k0, s0.copy(), k0, s0.copy()
+            elif _same(k0, last):
+                lsum = lsum + s0
+                if first_open:
+                    fsum = fsum + s0
+            else:
+                first_open = False
+                last, lsum = k0, s0.copy()
+            if len(starts) > 1:
+                first_open = False
+                last, lsum = kl, sl.copy()
+        if first is None:
+            return
+        row = {"pid": [pid]}
+        for c, a, b in zip(by, first, last):
+            row[f"_f_{c}"], row[f"_l_{c}"] = [a], [b]
+        for i in range(len(values)):
+            row[f"_fs{i}"], row[f"_ls{i}"] = [fsum[i]], [lsum[i]]
+        row["_single"] = [bool(first_open)]
+        yield pd.DataFrame(row)
+
+    summ = sorted(rp.mapInPandas(summarize, sschema).collect(), key=lambda r: r["pid"])
+    nv = len(values)
+    zero = [0] * nv
+    carry: dict[int, tuple] = {}
+    cur, run = None, list(zero)
+    for r in summ:
+        fk = tuple(r[f"_f_{c}"] for c in by)
+        lk = tuple(r[f"_l_{c}"] for c in by)
+        fs = [r[f"_fs{i}"] or 0 for i in range(nv)]
+        ls = [r[f"_ls{i}"] or 0 for i in range(nv)]
+        c_in = list(run) if _same(fk, cur) else list(zero)
+        carry[r["pid"]] = (fk, c_in)
+        if r["_single"]:
+            cur, run = fk, [a + b for a, b in zip(c_in, fs)]
+        else:
+            cur, run = lk, ls
+
+    schema = T.StructType(rp.schema.fields + [T.StructField(o, t, True) for o, t in zip(outs, vtype)])
+
+    def run_sum(batches):
+        pid = TaskContext.get().partitionId()
+        ckey, cval = carry.get(pid, (None, [0] * len(values)))
+        for pdf in batches:
+            if not len(pdf):
+                yield pdf.assign(**{o: pd.Series(dtype=d) for o, d in zip(outs, dtypes)})
+                continue
+            ch = _boundaries(pdf, by)
+            starts = np.flatnonzero(ch)
+            lens = np.diff(np.append(starts, len(pdf)))
+            k0 = tuple(pdf[c].iat[0] for c in by)
+            cont = _same(k0, ckey)
+            for i, (v, o) in enumerate(zip(arrays(pdf), outs)):
+                tot = np.cumsum(v)
+                base = np.repeat((tot - v)[starts], lens)
+                cs = tot - base
+                if cont:
+                    cs[: lens[0]] += dtypes[i](cval[i])
+                pdf[o] = cs.astype(dtypes[i])
+            ckey = tuple(pdf[c].iat[len(pdf) - 1] for c in by)
+            cval = [pdf[o].iat[len(pdf) - 1] for o in outs]
+            yield pdf
+
+    return rp.mapInPandas(run_sum, schema)
+
+
 def prefix_sum(df: DataFrame, order: Sequence[str], value, out, by=None,
                parts: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` (one name or a list) in ``order``, restarting per ``by`` key.
 
-    ``order`` must make rows unique within a key, otherwise tie order is unspecified.
+    ``order`` must make rows unique within a key, otherwise tie order is unspecified. With ``by`` the
+    sums restart at key boundaries inside the range partitions, and a key spanning partitions gets
+    its carry-in from one summary row per partition: no join, no shuffle beyond the range partition.
     """
     by, order = as_list(by), list(order)
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
     rp = _range_sorted(df, by + order, parts)
-    offsets = _offsets(rp, values)
     types = dict(rp.dtypes)
     integral = [types[v] in ("tinyint", "smallint", "int", "bigint") for v in values]
+    if by:
+        return _segmented(rp, by, values, outs, integral)
+    offsets = _offsets(rp, values)
     schema = T.StructType(rp.schema.fields + [
         T.StructField(o, T.LongType() if it else T.DoubleType(), True) for o, it in zip(outs, integral)])
 
@@ -79,39 +203,31 @@ def prefix_sum(df: DataFrame, order: Sequence[str], value, out, by=None,
                 pdf[o] = cs
             yield pdf
 
-    res = rp.mapInPandas(run_sum, schema)
-    if not by:
-        return res
-    # restart per key: subtract the running totals reached before the key's first row
-    start = res.groupBy(*by).agg(*[F.min(F.col(o) - F.coalesce(F.col(v), F.lit(0))).alias(f"_start{i}")
-                                   for i, (v, o) in enumerate(zip(values, outs))])
-    res = res.join(start, by, "inner")
-    for i, o in enumerate(outs):
-        res = res.withColumn(o, F.col(o) - F.col(f"_start{i}"))
-    return res.drop(*[f"_start{i}" for i in range(len(outs))])
+    return rp.mapInPandas(run_sum, schema)
 
 
 def with_row_id(df: DataFrame, order: Sequence[str], out: str = "row_id", by=None,
                 parts: int | None = None) -> DataFrame:
-    """Dense 0-based row ids in ``order`` (per ``by`` key), JVM only.
+    """Dense 0-based row ids in ``order`` (per ``by`` key).
 
-    Within a checkpointed partition ``monotonically_increasing_id`` is ``pid << 33 | row``, so the
-    id is the partition's offset plus the row's place inside it.
+    Without a key: JVM only — within a checkpointed partition ``monotonically_increasing_id`` is
+    ``pid << 33 | row``, so the id is the partition's offset plus the row's place inside it.
+    With a key: a segmented count (see ``prefix_sum``), so hot keys stay spread and nothing is joined.
     """
     by, order = as_list(by), list(order)
-    rp = _range_sorted(df, by + order, parts)
+    if by:
+        x = df.withColumn("_one", F.lit(1).cast("long"))
+        r = prefix_sum(x, order, "_one", out, by, parts)
+        return r.withColumn(out, F.col(out) - 1).drop("_one")
+    rp = _range_sorted(df, order, parts)
     offsets = _offsets(rp, None)
     spark = df.sparkSession
     off = spark.createDataFrame([(int(p), int(o[0])) for p, o in offsets.items()], "pid int, off long")
     mono = F.monotonically_increasing_id()
     tagged = rp.select("*", F.spark_partition_id().alias("_pid"),
                        (mono - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("_local"))
-    res = (tagged.join(F.broadcast(off), tagged["_pid"] == off["pid"], "inner")
-                 .withColumn(out, F.col("off") + F.col("_local")).drop("_pid", "_local", "pid", "off"))
-    if not by:
-        return res
-    start = res.groupBy(*by).agg(F.min(out).alias("_start"))
-    return res.join(start, by, "inner").withColumn(out, F.col(out) - F.col("_start")).drop("_start")
+    return (tagged.join(F.broadcast(off), tagged["_pid"] == off["pid"], "inner")
+                  .withColumn(out, F.col("off") + F.col("_local")).drop("_pid", "_local", "pid", "off"))
 
 
 # value-count tables up to this many rows are ranked on the driver and broadcast back

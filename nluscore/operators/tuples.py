@@ -20,7 +20,8 @@ SHUFFLE_STRIDE = 1_000_003
 
 def index_members(members: DataFrame, group: str, order: str, item: str) -> DataFrame:
     """``(group, idx, item, n)``: dense 0-based index of each member inside its group and the group size."""
-    m = with_row_id(members.select(group, order, item).dropDuplicates([group, order]), [order], "idx", by=group)
+    cols = list(dict.fromkeys([group, order, item]))
+    m = with_row_id(members.select(*cols).dropDuplicates([group, order]), [order], "idx", by=group)
     n = m.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     return m.join(n, group).select(group, "idx", F.col(item).alias("_item"), "n")
 

@@ -119,3 +119,19 @@ def test_borrow_negatives_positions_and_sources(spark):
         lst.sort()
         assert [p for p, _ in lst] == list(range(1, len(lst) + 1)) and len(lst) <= 3
         assert lst[0][1] == 2
+
+
+@pytest.mark.parametrize("parts", [1, 3, 11])
+def test_segmented_prefix_sum_hot_and_small_keys(spark, parts):
+    rng = np.random.default_rng(7)
+    rows = [("hot", 1, i, int(rng.integers(0, 5))) for i in range(300)]          # one key with most rows
+    rows += [(f"k{j}", j % 2, i, int(rng.integers(0, 5))) for j in range(40) for i in range(j % 4 + 1)]
+    df = spark.createDataFrame(rows, "g string, h int, k long, v long").repartition(4)
+    got = {(r["g"], r["h"], r["k"]): r["c"] for r in W.prefix_sum(df, ["k"], "v", "c", by=["g", "h"], parts=parts).collect()}
+    import pandas as pd
+    p = pd.DataFrame(rows, columns=["g", "h", "k", "v"]).sort_values(["g", "h", "k"])
+    p["c"] = p.groupby(["g", "h"])["v"].cumsum()
+    assert got == {(a, b, c): int(d) for a, b, c, d in zip(p.g, p.h, p.k, p.c)}
+    ids = {(r["g"], r["h"], r["k"]): r["rid"] for r in W.with_row_id(df, ["k"], "rid", by=["g", "h"], parts=parts).collect()}
+    p["rid"] = p.groupby(["g", "h"]).cumcount()
+    assert ids == {(a, b, c): int(d) for a, b, c, d in zip(p.g, p.h, p.k, p.rid)}
