@@ -52,8 +52,30 @@ def _normalize(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(n, EPS_NORM)
 
 
+def _block_top(s: np.ndarray, ids: np.ndarray, k: int):
+    """Exact k best per row of a score block (score desc, docid desc) without sorting the block:
+    ``np.partition`` finds each row's k-th value, every score at or above it (ties included) is kept,
+    and only those candidates are sorted."""
+    nq, n = s.shape
+    if n <= k:
+        return s, np.broadcast_to(ids, s.shape)
+    kth = np.partition(s, n - k, axis=1)[:, n - k]
+    rows, cols = np.nonzero(s >= kth[:, None])
+    sc, di = s[rows, cols], ids[cols]
+    order = np.lexsort((-di, -sc, rows))
+    rows, sc, di = rows[order], sc[order], di[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(nq))[rows]
+    keep = rank < k
+    out_s = np.full((nq, k), -np.inf)
+    out_i = np.zeros((nq, k), dtype=np.int64)
+    out_s[rows[keep], rank[keep]] = sc[keep]
+    out_i[rows[keep], rank[keep]] = di[keep]
+    return out_s, out_i
+
+
 def _merge(best_s, best_i, s, ids, k):
-    """Keep the k best per row, order score desc then docid desc (a heap of (score, docid))."""
+    """Keep the k best per row of two candidate sets, order score desc then docid desc (a heap of
+    (score, docid)); ``ids`` is per column (1-D) or per cell (2-D)."""
     cs = np.concatenate([best_s, s], axis=1)
     ci = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
     if cs.shape[1] <= k:
@@ -85,7 +107,8 @@ def _kernel(bq, k: int, cos: bool, ignore_identical: bool):
                 s[np.isnan(s)] = -1.0
                 if ignore_identical:
                     s[qids[:, None] == ids[None, :]] = -np.inf
-                best_s, best_i = _merge(best_s, best_i, s, ids, k)
+                bs, bi = _block_top(s, ids, k)
+                best_s, best_i = _merge(best_s, best_i, bs, bi, k)
         if nq == 0 or best_s.shape[1] == 0:
             return
         keep = np.isfinite(best_s)

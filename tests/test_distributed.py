@@ -135,3 +135,16 @@ def test_segmented_prefix_sum_hot_and_small_keys(spark, parts):
     ids = {(r["g"], r["h"], r["k"]): r["rid"] for r in W.with_row_id(df, ["k"], "rid", by=["g", "h"], parts=parts).collect()}
     p["rid"] = p.groupby(["g", "h"]).cumcount()
     assert ids == {(a, b, c): int(d) for a, b, c, d in zip(p.g, p.h, p.k, p.rid)}
+
+
+def test_block_top_matches_full_sort_with_ties():
+    from nluscore.operators.vectors import _block_top, _merge
+    rng = np.random.default_rng(11)
+    for _ in range(100):
+        nq, n, k = int(rng.integers(1, 6)), int(rng.integers(1, 40)), int(rng.integers(1, 8))
+        s = np.round(rng.integers(0, 4, size=(nq, n)) / 3, 9).astype(float)
+        s[rng.random((nq, n)) < 0.1] = -np.inf
+        ids = rng.permutation(1000)[:n].astype(np.int64)
+        a = _block_top(s, ids, k)
+        b = _merge(np.zeros((nq, 0)), np.zeros((nq, 0), np.int64), s, ids, k)
+        assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
