@@ -197,3 +197,12 @@ def test_report_helpers(spark):
     spec = spark.createDataFrame([("m", "t", "sw", "acc")], "model string, task string, config string, metric string")
     res = spark.createDataFrame([("m", "t", "en", "acc", 0.9)], "model string, task string, config string, metric string, value double")
     assert G.fill_spec(spec, res, ["model", "task", "config", "metric"]).first()["value"] == 0.0
+
+
+def test_discover_models_and_truncate(spark):
+    from nluscore.operators import tokens as T
+    res = spark.createDataFrame([("m1", "xnli", "", "acc", 0.5), ("m2", "cola", "", "mcc", 0.1)],
+                                "model string, task string, config string, metric string, value double")
+    assert [r["model"] for r in R.discover_models(res, "xnli").collect()] == ["m1"]
+    df = spark.createDataFrame([(["a", "b", "c", "d"],)], "t array<string>")
+    assert df.select(T.truncate(F.col("t"), 3, model_max=2).alias("x")).first()["x"] == ["a", "b"]
