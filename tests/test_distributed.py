@@ -148,3 +148,14 @@ def test_block_top_matches_full_sort_with_ties():
         a = _block_top(s, ids, k)
         b = _merge(np.zeros((nq, 0)), np.zeros((nq, 0), np.int64), s, ids, k)
         assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
+
+
+def test_vector_column_functions(spark):
+    from nluscore.functions import vectors as FV
+    a, b = [3.0, 4.0, 0.0], [1.0, 0.0, 1.0]
+    df = spark.createDataFrame([(a, b, [0.0, 0.0, 0.0], float("nan"))], "a array<double>, b array<double>, z array<double>, s double")
+    r = df.select(FV.l2_normalize("a").alias("n"), FV.dot("a", "b").alias("d"), FV.cosine("a", "b").alias("c"),
+                  FV.l2_normalize("z").alias("zn"), FV.nan_to("s").alias("s")).first()
+    assert np.allclose(r["n"], [0.6, 0.8, 0.0]) and r["d"] == 3.0 and r["zn"] == [0.0, 0.0, 0.0] and r["s"] == -1.0
+    assert abs(r["c"] - 3.0 / (5.0 * np.sqrt(2.0))) < 1e-12
+    assert FV.cutoffs(10) == [1, 3, 5, 10] and FV.cutoffs(20) == [1, 3, 5, 10, 20]
