@@ -253,9 +253,11 @@ def nbest(cands: DataFrame, contexts: DataFrame, n_best: int = 20, with_null: bo
     spans = cands.filter(F.col("kind") == 0)
     parts = spans
     if with_null:
-        wn = Window.partitionBy("example_id").orderBy(F.col("score").asc(), F.col("feature").asc())
-        nulls = (cands.filter(F.col("kind") == 1).withColumn("_r", F.row_number().over(wn))
-                      .filter(F.col("_r") == 1).drop("_r"))
+        # minimum null score per example (first feature on ties): a partial-aggregated min_by
+        rest = [c for c in cands.columns if c != "example_id"]
+        nulls = (cands.filter(F.col("kind") == 1).groupBy("example_id")
+                      .agg(F.min_by(F.struct(*rest), F.struct("score", "feature")).alias("_n"))
+                      .select("example_id", *[F.col(f"_n.{c}").alias(c) for c in rest]))
         parts = spans.unionByName(nulls)
     w = Window.partitionBy("example_id").orderBy(F.col("score").desc(), F.col("kind").asc(), F.col("feature").asc(),
                                                  F.col("s").asc(), F.col("e").asc())
