@@ -47,3 +47,22 @@ def test_plan_has_no_single_partition_or_cartesian(spark, name):
             assert "Aggregate" in child and "partial_" in child, (name, line, child)
     plan = "\n".join(plan)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name,table,must_not", [
+    ("accuracy_by_lang", "documents", ["text", "source"]),
+    ("f1_mcc_by_lang", "documents", ["text"]),
+    ("weighted_mse", "lineitem", ["l_orderkey", "l_shipdate", "l_returnflag"]),
+    ("unseen_labels", "events", ["ts", "value"]),
+    ("squad_v2_summary", "documents", ["lang", "source"]),
+])
+def test_scans_are_pruned(spark, name, table, must_not):
+    df = E.queries()[name](spark, SF)
+    mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode)
+    blocks = [b for b in plan.split("\n\n") if "Scan parquet" in b and f"/{table}.parquet" in b]
+    assert blocks, (name, table)
+    for b in blocks:
+        schema = [ln for ln in b.splitlines() if "ReadSchema" in ln][0]
+        for col in must_not:
+            assert f"{col}:" not in schema, (name, table, schema)
