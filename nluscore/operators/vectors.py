@@ -23,6 +23,8 @@ DEFAULT_CHUNK_BYTES = 64 << 20
 BLOCK_ELEMENTS = 4 << 20
 
 TOPK_SCHEMA = "qid long, docid long, score double"
+# null payloads travel as distinct sentinels (so a null never equals anything) and come back as null
+_QNULL, _DNULL = -(1 << 63), -(1 << 63) + 1
 
 
 def _matrix(col: pa.Array, n: int) -> np.ndarray:
@@ -52,46 +54,53 @@ def _normalize(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(n, EPS_NORM)
 
 
-def _block_top(s: np.ndarray, ids: np.ndarray, k: int):
+def _block_top(s: np.ndarray, ids: np.ndarray, k: int, pay: np.ndarray | None = None):
     """Exact k best per row of a score block (score desc, docid desc) without sorting the block:
     ``np.partition`` finds each row's k-th value, every score at or above it (ties included) is kept,
-    and only those candidates are sorted."""
+    and only those candidates are sorted. ``pay``: optional per-column payload carried along."""
     nq, n = s.shape
     if n <= k:
-        return s, np.broadcast_to(ids, s.shape)
+        return s, np.broadcast_to(ids, s.shape), (None if pay is None else np.broadcast_to(pay, s.shape))
     kth = np.partition(s, n - k, axis=1)[:, n - k]
     rows, cols = np.nonzero(s >= kth[:, None])
     sc, di = s[rows, cols], ids[cols]
     order = np.lexsort((-di, -sc, rows))
-    rows, sc, di = rows[order], sc[order], di[order]
+    rows, sc, di, cols = rows[order], sc[order], di[order], cols[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(nq))[rows]
     keep = rank < k
     out_s = np.full((nq, k), -np.inf)
     out_i = np.zeros((nq, k), dtype=np.int64)
     out_s[rows[keep], rank[keep]] = sc[keep]
     out_i[rows[keep], rank[keep]] = di[keep]
-    return out_s, out_i
+    out_p = None
+    if pay is not None:
+        out_p = np.zeros((nq, k), dtype=np.int64)
+        out_p[rows[keep], rank[keep]] = pay[cols[keep]]
+    return out_s, out_i, out_p
 
 
-def _merge(best_s, best_i, s, ids, k):
+def _merge(best_s, best_i, s, ids, k, best_p=None, pay=None):
     """Keep the k best per row of two candidate sets, order score desc then docid desc (a heap of
-    (score, docid)); ``ids`` is per column (1-D) or per cell (2-D)."""
+    (score, docid)); ``ids`` (and the optional payload) per column (1-D) or per cell (2-D)."""
     cs = np.concatenate([best_s, s], axis=1)
     ci = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
+    cp = None if pay is None else np.concatenate([best_p, np.broadcast_to(pay, s.shape)], axis=1)
     if cs.shape[1] <= k:
-        return cs, ci
+        return cs, ci, cp
     order = np.lexsort((-ci, -cs), axis=1)[:, :k]
-    return np.take_along_axis(cs, order, 1), np.take_along_axis(ci, order, 1)
+    return (np.take_along_axis(cs, order, 1), np.take_along_axis(ci, order, 1),
+            None if cp is None else np.take_along_axis(cp, order, 1))
 
 
-def _kernel(bq, k: int, cos: bool, ignore_identical: bool):
+def _kernel(bq, k: int, cos: bool, ignore_identical: bool, doc_payload: bool):
     def run(batches):
-        qids, qm = bq.value
+        qids, qm, qpay = bq.value
         nq = len(qids)
         if cos:
             qm = _normalize(qm)
         best_s = np.zeros((nq, 0))
         best_i = np.zeros((nq, 0), dtype=np.int64)
+        best_p = np.zeros((nq, 0), dtype=np.int64) if doc_payload else None
         step = max(1, BLOCK_ELEMENTS // max(nq, 1))
         for batch in batches:
             n = batch.num_rows
@@ -99,23 +108,31 @@ def _kernel(bq, k: int, cos: bool, ignore_identical: bool):
                 continue
             ids_all = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             m_all = _matrix(batch.column(1), n)
+            p_all = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) if doc_payload else None
             if cos:
                 m_all = _normalize(m_all)
             for lo in range(0, n, step):
                 ids, m = ids_all[lo:lo + step], m_all[lo:lo + step]
+                pay = None if p_all is None else p_all[lo:lo + step]
                 s = np.round(qm @ m.T, 9)
                 s[np.isnan(s)] = -1.0
                 if ignore_identical:
                     s[qids[:, None] == ids[None, :]] = -np.inf
-                bs, bi = _block_top(s, ids, k)
-                best_s, best_i = _merge(best_s, best_i, bs, bi, k)
+                bs, bi, bp = _block_top(s, ids, k, pay)
+                best_s, best_i, best_p = _merge(best_s, best_i, bs, bi, k, best_p, bp)
         if nq == 0 or best_s.shape[1] == 0:
             return
         keep = np.isfinite(best_s)
-        q = np.broadcast_to(qids[:, None], best_s.shape)[keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q, pa.int64()), pa.array(best_i[keep], pa.int64()), pa.array(best_s[keep], pa.float64())],
-            names=["qid", "docid", "score"])
+        cols = [pa.array(np.broadcast_to(qids[:, None], best_s.shape)[keep], pa.int64()),
+                pa.array(best_i[keep], pa.int64()), pa.array(best_s[keep], pa.float64())]
+        names = ["qid", "docid", "score"]
+        if qpay is not None:
+            cols.append(pa.array(np.broadcast_to(qpay[:, None], best_s.shape)[keep], pa.int64()))
+            names.append("qpayload")
+        if doc_payload:
+            cols.append(pa.array(best_p[keep], pa.int64()))
+            names.append("dpayload")
+        yield pa.RecordBatch.from_arrays(cols, names=names)
     return run
 
 
@@ -135,11 +152,15 @@ def merge_top_k(parts: list[DataFrame], k: int) -> DataFrame:
 
 
 def prepare_queries(queries: DataFrame, qid: str = "qid", vec: str = "embedding",
-                    chunk_bytes: int | None = None) -> list:
+                    chunk_bytes: int | None = None, payload: str | None = None) -> list:
     """Count the query side and broadcast it in chunks of at most ``chunk_bytes`` (or the session
-    setting ``spark.nluscore.topk.chunkBytes``, default 64 MB). Reusable across corpus batches."""
+    setting ``spark.nluscore.topk.chunkBytes``, default 64 MB). Reusable across corpus batches.
+    ``payload``: an integer column of the queries emitted with every hit (``qpayload``)."""
     spark = queries.sparkSession
-    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("v")).filter(F.col("qid").isNotNull())
+    cols = [F.col(qid).cast("long").alias("qid"), F.col(vec).alias("v")]
+    if payload:
+        cols.append(F.coalesce(F.col(payload).cast("long"), F.lit(_QNULL)).alias("p"))
+    q = queries.select(*cols).filter(F.col("qid").isNotNull())
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     nq, dim = int(stats["n"]), int(stats["dim"] or 0)
     if nq == 0:
@@ -151,21 +172,34 @@ def prepare_queries(queries: DataFrame, qid: str = "qid", vec: str = "embedding"
         qc = q if chunks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == i)
         tbl = qc.toArrow()
         ids = tbl.column(0).to_numpy().astype(np.int64)
-        out.append(spark.sparkContext.broadcast((ids, _matrix(tbl.column(1), len(ids)))))
+        qpay = tbl.column(2).to_numpy().astype(np.int64) if payload else None
+        out.append(spark.sparkContext.broadcast((ids, _matrix(tbl.column(1), len(ids)), qpay)))
     return out
 
 
 def score_corpus(prepared: list, corpus: DataFrame, k: int, docid: str = "docid", vec: str = "embedding",
-                 metric: str = "cos_sim", ignore_identical: bool = False) -> DataFrame:
+                 metric: str = "cos_sim", ignore_identical: bool = False, payload: str | None = None,
+                 query_payload: bool = False) -> DataFrame:
     """Per-task top-k candidates of every prepared query chunk over ``corpus`` (one pass per chunk),
-    cut to k per query → ``(qid, docid, score, rank)``."""
+    cut to k per query → ``(qid, docid, score, rank[, qpayload][, dpayload])``.
+
+    ``payload``: an integer corpus column emitted with each hit (``dpayload``), so e.g. a label can
+    decide relevance without joining the hits back to the corpus."""
     if metric not in ("cos_sim", "dot"):
         raise ValueError(f"metric must be cos_sim or dot, not {metric!r}")
     spark = corpus.sparkSession
+    schema = TOPK_SCHEMA + (", qpayload long" if query_payload else "") + (", dpayload long" if payload else "")
     if not prepared:
-        return spark.createDataFrame([], TOPK_SCHEMA + ", rank int")
-    c = corpus.select(F.col(docid).cast("long").alias("docid"), F.col(vec).alias("v"))
-    parts = [c.mapInArrow(_kernel(bq, k, metric == "cos_sim", ignore_identical), TOPK_SCHEMA) for bq in prepared]
+        return spark.createDataFrame([], schema + ", rank int")
+    cols = [F.col(docid).cast("long").alias("docid"), F.col(vec).alias("v")]
+    if payload:
+        cols.append(F.coalesce(F.col(payload).cast("long"), F.lit(_DNULL)).alias("p"))
+    c = corpus.select(*cols)
+    parts = [c.mapInArrow(_kernel(bq, k, metric == "cos_sim", ignore_identical, bool(payload)), schema)
+             for bq in prepared]
+    for col_name, sentinel, on in (("qpayload", _QNULL, query_payload), ("dpayload", _DNULL, bool(payload))):
+        if on:
+            parts = [x.withColumn(col_name, F.when(F.col(col_name) != sentinel, F.col(col_name))) for x in parts]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -174,15 +208,16 @@ def score_corpus(prepared: list, corpus: DataFrame, k: int, docid: str = "docid"
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, qid: str = "qid", docid: str = "docid",
           vec: str = "embedding", qvec: str | None = None, metric: str = "cos_sim",
-          ignore_identical: bool = False, chunk_bytes: int | None = None) -> DataFrame:
+          ignore_identical: bool = False, chunk_bytes: int | None = None,
+          qpayload: str | None = None, dpayload: str | None = None) -> DataFrame:
     """V4: exact top-k per query → ``(qid, docid, score, rank)``.
 
     Scores are rounded to 9 digits before ranking so equal vectors tie; NaN scores become -1.
     The query side is broadcast in counted chunks (see ``prepare_queries``); the corpus is read
     once per chunk.
     """
-    prepared = prepare_queries(queries, qid, qvec or vec, chunk_bytes)
-    return score_corpus(prepared, corpus, k, docid, vec, metric, ignore_identical)
+    prepared = prepare_queries(queries, qid, qvec or vec, chunk_bytes, qpayload)
+    return score_corpus(prepared, corpus, k, docid, vec, metric, ignore_identical, dpayload, bool(qpayload))
 
 
 def pool_tokens(df: DataFrame, tokens: str, mask_len: str, how: str, out: str = "pooled") -> DataFrame:

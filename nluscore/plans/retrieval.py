@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cutoffs
 from ..operators import retrieval as R
 from ..operators import vectors as V
+from ..session import broadcast_if_small
 from .tables import load
 
 TOP_K = 10
@@ -33,16 +34,18 @@ def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = _emb(spark, sf_dir).select("vec_id", "label")
-    h = _hits(spark, sf_dir)
-    lq = e.select(F.col("vec_id").alias("qid"), F.col("label").alias("source"))
-    ld = e.select(F.col("vec_id").alias("docid"), F.col("label").alias("_dlabel"))
-    hr = (h.join(lq, "qid").join(ld, "docid")
-           .withColumn("rel", (F.col("source") == F.col("_dlabel")).cast("int")).drop("_dlabel"))
-    counts = e.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    judged = (e.join(counts, "label")
-               .select(F.col("vec_id").alias("qid"), F.col("label").alias("source"), (F.col("_n") - 1).alias("n_rel"))
-               .withColumn("ideal", R.binary_ideal(F.col("n_rel"), TOP_K)))
+    """Hits carry both labels out of the kernel (payloads), so relevance needs no join with the
+    corpus; judged queries come from per-label counts (partial aggregate, broadcast when small)."""
+    e = _emb(spark, sf_dir)
+    h = V.top_k(e, e, k=TOP_K, qid="vec_id", docid="vec_id", vec="embedding", ignore_identical=True,
+                qpayload="label", dpayload="label")
+    hr = h.select("qid", "docid", "score", "rank", F.col("qpayload").cast("int").alias("source"),
+                  (F.col("qpayload") == F.col("dpayload")).cast("int").alias("rel"))
+    labels = e.select("vec_id", "label")
+    counts = broadcast_if_small(labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")))
+    judged = (labels.join(counts, "label")
+                    .select(F.col("vec_id").alias("qid"), F.col("label").alias("source"), (F.col("_n") - 1).alias("n_rel"))
+                    .withColumn("ideal", R.binary_ideal(F.col("n_rel"), TOP_K)))
     return hr, judged
 
 
@@ -63,11 +66,10 @@ def bitext_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _emb(spark, sf_dir)
     src = e.filter(F.col("vec_id") % 2 == 0)
     tgt = e.filter(F.col("vec_id") % 2 == 1)
-    h = V.top_k(src, tgt, k=TOP_K, qid="vec_id", docid="vec_id", vec="embedding")
-    lq = src.select(F.col("vec_id").alias("qid"), F.col("label").alias("_q"))
-    ld = tgt.select(F.col("vec_id").alias("docid"), F.col("label").alias("_d"))
-    hr = h.join(lq, "qid").join(ld, "docid").withColumn("rel", (F.col("_q") == F.col("_d")).cast("int"))
-    tcount = tgt.groupBy("label").agg(F.count(F.lit(1)).alias("n_rel"))
+    h = V.top_k(src, tgt, k=TOP_K, qid="vec_id", docid="vec_id", vec="embedding",
+                qpayload="label", dpayload="label")
+    hr = h.withColumn("rel", (F.col("qpayload") == F.col("dpayload")).cast("int"))
+    tcount = broadcast_if_small(tgt.groupBy("label").agg(F.count(F.lit(1)).alias("n_rel")))
     judged = src.join(tcount, "label").select(F.col("vec_id").alias("qid"), "n_rel")
     return R.bitext_metrics(hr, judged)
 

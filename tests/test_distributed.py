@@ -159,3 +159,18 @@ def test_vector_column_functions(spark):
     assert np.allclose(r["n"], [0.6, 0.8, 0.0]) and r["d"] == 3.0 and r["zn"] == [0.0, 0.0, 0.0] and r["s"] == -1.0
     assert abs(r["c"] - 3.0 / (5.0 * np.sqrt(2.0))) < 1e-12
     assert FV.cutoffs(10) == [1, 3, 5, 10] and FV.cutoffs(20) == [1, 3, 5, 10, 20]
+
+
+def test_top_k_payloads_and_null_labels(spark):
+    rng = np.random.default_rng(9)
+    c = rng.normal(size=(30, 5))
+    labels = [None if i % 7 == 0 else i % 3 for i in range(30)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], lab) for i, (v, lab) in enumerate(zip(c, labels))],
+                               "id long, v array<double>, label int")
+    h = V.top_k(df, df, k=4, qid="id", docid="id", vec="v", ignore_identical=True, qpayload="label", dpayload="label")
+    plain = {(r["qid"], r["docid"], r["rank"]) for r in V.top_k(df, df, k=4, qid="id", docid="id", vec="v",
+                                                                   ignore_identical=True).collect()}
+    rows = h.collect()
+    assert {(r["qid"], r["docid"], r["rank"]) for r in rows} == plain
+    for r in rows:
+        assert r["qpayload"] == labels[r["qid"]] and r["dpayload"] == labels[r["docid"]]
