@@ -25,9 +25,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
 def split_ws(s) -> Column:
-    """Python ``str.split()``: whitespace runs separate, no empty tokens."""
-    return F.filter(F.split(_c(s), WHITESPACE), lambda t: t != "")
+    """Python ``str.split()``: whitespace runs separate, no empty tokens (trim, then split: no
+    per-token lambda)."""
+    t = F.regexp_replace(_c(s), _EDGE_WS, "")
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WHITESPACE))
 
 
 def collapse_ws(s) -> Column:
