@@ -104,3 +104,13 @@ def test_write_predictions_and_metrics(spark, tmp_dir):
     K.write_metrics(m, os.path.join(tmp_dir, "metrics"), prefix="eval", stamp={"config": "en"})
     got = sorted(r["metric"] for r in spark.read.json(os.path.join(tmp_dir, "metrics")).collect())
     assert got == ["eval_accuracy", "eval_f1"]
+
+
+def test_compact_results(spark, tmp_dir):
+    os.makedirs(os.path.join(tmp_dir, "in", "m1"))
+    with open(os.path.join(tmp_dir, "in", "m1", "cola.json"), "w") as f:
+        json.dump({"eval_mcc": 0.3, "all_metrics": {"en": {"eval_mcc": 0.4}}}, f)
+    out = os.path.join(tmp_dir, "compact")
+    R.compact_results(spark, os.path.join(tmp_dir, "in"), out)
+    got = sorted((r["model"], r["task"], r["config"], r["metric"], r["value"]) for r in spark.read.parquet(out).collect())
+    assert got == [("m1", "cola", "", "eval_mcc", 0.3), ("m1", "cola", "en", "eval_mcc", 0.4)]
