@@ -155,11 +155,11 @@ def link_edges(distinct: DataFrame, bits: int = 4, block: int = BLOCK, leaf: int
     cells = distinct.select("fp", F.explode(F.array(*code)).alias("c")).select("c.seg", "c.code", "fp")
     big = stored(cells.groupBy("seg", "code").agg(F.count("*").alias("n"), F.min("fp").alias("vantage"))
                  .where(F.col("n") > block), "big")
-    small = cells.join(F.broadcast(big), ["seg", "code"], "left_anti") if big.isEmpty() else \
-        cells.join(big, ["seg", "code"], "left_anti")
+    divide = not big.isEmpty()
+    small = cells.join(big, ["seg", "code"], "left_anti") if divide else cells
     whole = small.groupBy("seg", "code").agg(F.collect_list("fp").alias("home")).where(F.size("home") > 1).select(
         "home", F.array().cast("array<bigint>").alias("away"))
-    if big.isEmpty():
+    if not divide:
         return whole.mapInArrow(_links(bits, leaf), "a bigint, b bigint")
     # A large shard: shells by distance to its vantage point, each cut into sub-shards of about `block` rows.
     shelled = stored(cells.join(big, ["seg", "code"]).select(
