@@ -130,57 +130,52 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
                  end_id: int = 0, file_size: int = FILE_BYTES, block: int = BLOCK) -> DataFrame:
     """Writes token files of all rows below ``out``; returns their manifest (file_no, path, documents, ids).
 
-    Rows are dealt to files by ranges of doc_id (nulls last), as many as the text bytes ask for; ties
-    and repeated rows follow their text's hash. Null texts are empty; every document ends with
-    ``end_id``. The ranges come from quantiles of the ids alone.
+    Rows are dealt to tasks by ranges of doc_id (nulls last), as many as the text bytes ask for, and
+    written in order; a task starts a new file after ``file_size`` text bytes. Ties and repeated rows
+    follow their text's hash. Null texts are empty; every document ends with ``end_id``.
     """
     rows = need(docs, id_col, text).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(1, -(-size // file_size))
-    cuts = sorted(set(rows.where("id is not null").approxQuantile("id", [k / files for k in range(1, files)], 0.1 / files))) if files > 1 else []
-    file_no = F.expr(f"coalesce(aggregate({_longs(cuts)}, 0, (n, c) -> n + int(id >= c)), {len(cuts)})")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
+        from pyspark import TaskContext
+
         encode = _encoders.setdefault(path, Encoder(path))
         bits, end = width(encode.bpe.tok.get_vocab_size()), np.array([end_id], "<u4").tobytes()
         fs, folder = filesystem(out)
-        state: dict = {"no": None}
-        done: list[tuple] = []
+        fs.create_dir(folder, recursive=True)
+        task, done = TaskContext.get().partitionId(), []
+        doc, n, body, left = [], [], [], file_size
 
         def close() -> None:
-            if state["no"] is None:
-                return
-            ids = np.frombuffer(b"".join(state["ids"]), "<u4")
-            name = f"{state['no']:06d}-{uuid.uuid4().hex}.tok"
+            ids = np.frombuffer(b"".join(body), "<u4")
+            name = f"{task:06d}-{len(done):04d}-{uuid.uuid4().hex}.tok"
             with fs.open_output_stream(f"{folder}/{name}") as f:
-                f.write(file_bytes(state["doc"], state["n"], ids, bits, block))
-            done.append((state["no"], f"{out}/{name}", len(state["doc"]), len(ids)))
+                f.write(file_bytes(doc, n, ids, bits, block))
+            done.append((task << 32 | len(done), f"{out}/{name}", len(doc), len(ids)))
 
-        fs.create_dir(folder, recursive=True)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256).to_pydict()
-                for no, doc, s in zip(part["file_no"], part["id"], part["text"]):
-                    if no != state["no"]:
-                        close()
-                        state = {"no": no, "doc": [], "n": [], "ids": []}
+                for d, s in zip(part["id"], part["text"]):
                     ids = encode(s) + end
-                    state["doc"].append(doc)
-                    state["n"].append(len(ids) // 4)
-                    state["ids"].append(ids)
-        close()
+                    doc.append(d)
+                    n.append(len(ids) // 4)
+                    body.append(ids)
+                    left -= len(s) + 8
+                    if left <= 0:
+                        close()
+                        doc, n, body, left = [], [], [], file_size
+        if doc:
+            close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*done) if done else ([],) * 4, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["file_no", "path", "documents", "ids"])
-
-    dealt = (rows.withColumn("file_no", file_no).repartition(max(1, 2 * files), "file_no")
-             .sortWithinPartitions(F.col("file_no"), F.col("id").asc_nulls_last(), F.xxhash64("text")))
-    return stored(dealt.mapInArrow(write, "file_no int, path string, documents bigint, ids bigint"), "manifest")
-
+            zip(*done) if done else ([],) * 4, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["file_no", "path", "documents", "ids"])
 
-def _longs(values: list) -> str:
-    return f"array({', '.join(f'{int(v)}L' for v in values)})" if values else "cast(array() as array<bigint>)"
+    order = F.col("id").asc_nulls_last()
+    dealt = rows.repartitionByRange(max(1, -(-size // file_size)), order).sortWithinPartitions(order, F.xxhash64("text"))
+    return stored(dealt.mapInArrow(write, "file_no bigint, path string, documents bigint, ids bigint"), "manifest")
 
 
 def read_tokens(manifest: DataFrame, full: bool = False) -> DataFrame:
