@@ -147,13 +147,14 @@ class Model:
                 owner.append(k)
                 parts.append(t[lo:lo + LANE])
         order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-        lanes = np.full((LANE, len(parts)), -1, np.int32)
+        lanes = np.full((len(parts), LANE), -1, np.int32)
         flat = self.codes(np.concatenate([parts[i] for i in order]))
         at = 0
         for j, i in enumerate(order):
             m = len(parts[i])
-            lanes[:m, j] = flat[at:at + m]
+            lanes[j, :m] = flat[at:at + m]
             at += m
+        lanes = np.ascontiguousarray(lanes.T)
         who = np.array(owner)[order]
         size = np.array([len(t) for t in texts], float)
         out = np.empty((len(texts), len(self.langs)))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import need, stored
 
-#: Words in a block; output shards; rows of one bucket of the running sums; fixed cycle of weights.
-BLOCK, SHARDS, BUCKET_ROWS = 64, 256, 20_000
+#: Words in a block; output shards; slots one task row spreads out; fixed cycle of weights.
+BLOCK, SHARDS, SPREAD = 64, 256, 1 << 16
 WEIGHTS, MOST = (5, 2, 1), 3
 
 
@@ -90,15 +90,14 @@ def _walk(at: Column, key: Column, half: Column, n: Column) -> Column:
 def placed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(id, key, source, size, source_size, first): every row's place in its source's stream, written once.
 
-    Running sums in two levels: buckets of a hash of (id, text) within a source, about BUCKET_ROWS rows each
-    whatever the source's share, then rows within a bucket; a source's order is (bucket, hash, id).
+    Running sums in two levels, so that no window holds a source: a source's rows are dealt by a hash of
+    (id, text) to as many buckets as the square root of all rows; sums run over a source's buckets and
+    over a bucket's rows. A source's order is (bucket, hash, id); repeated rows follow each other.
     """
-    # One row per distinct (source, id, text hash, size); repeated rows follow each other in the stream.
     d = stored(need(docs, id_col, text, source).select(
         F.col(id_col).alias("id"), F.col(source).alias("source"), F.xxhash64(F.col(id_col), F.col(text)).alias("key"),
         size_of(F.col(text)).alias("size")), "sizes")
-    rows = d.count()
-    buckets = max(1, rows // BUCKET_ROWS)
+    buckets = max(1, int(d.count() ** 0.5))
     d = d.withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "key"), F.lit(buckets)).cast("int"))
     by_bucket = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,8 +142,11 @@ def slot_table(docs: DataFrame, rows: list[dict], draws: np.ndarray, seed: int =
     runs = [(s, k, int(ends[s, k] - draws[s, k]), int(draws[s, k]), rows[k]["blocks"])
             for s in range(draws.shape[0]) for k in range(draws.shape[1]) if draws[s, k]]
     schema = "shard int, source_no int, start bigint, n bigint, blocks bigint"
-    run = spark.createDataFrame(runs, schema).repartition(max(1, min(len(runs), spark.sparkContext.defaultParallelism * 4)), "shard", "source_no")
-    slots = run.select("shard", "source_no", "blocks", F.explode(F.expr("sequence(start, start + n - 1)")).alias("slot"))
+    run = spark.createDataFrame(runs, schema)
+    run = run.select("shard", "source_no", "blocks", (F.col("start") + F.col("n") - 1).alias("last"),
+                     F.explode(F.expr(f"sequence(start, start + n - 1, {SPREAD}L)")).alias("from"))
+    run = run.repartition(spark.sparkContext.defaultParallelism * 4, "shard", "source_no", "from")
+    slots = run.select("shard", "source_no", "blocks", F.explode(F.expr(f"sequence(from, least(last, from + {SPREAD - 1}))")).alias("slot"))
     slots = slots.withColumn("epoch", F.expr("slot div blocks")).withColumn("at", F.expr("slot % blocks"))
     slots = slots.withColumn("key", F.xxhash64(F.lit(seed), "source_no", "epoch"))
     return permuted(slots, "at", "key", "blocks", "block").select("shard", "source_no", "slot", "epoch", "block")
@@ -202,16 +204,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     columns = docs.columns
     _, got = mix(docs, id_col, text, source)
-    spans = got.groupBy("id", "key", "first").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("spans"))
-    # Repeated rows: the r-th row of an (id, key) meets the r-th place of it.
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("id", "key").orderBy("first")
-    spans = spans.withColumn("nth", F.row_number().over(w)).select(
-        F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("nth").alias("__nth"), "spans")
-    keyed = docs.withColumn("__k", F.xxhash64(F.col(id_col), F.col(text)))
-    keyed = keyed.withColumn("__n", F.row_number().over(W.partitionBy(F.col(id_col), F.col("__k")).orderBy(F.lit(0))))
-    j = keyed.join(spans, keyed[id_col].eqNullSafe(spans["__id"]) & (keyed["__k"] == spans["__key"]) & (keyed["__n"] == spans["__nth"]))
+    # Ids as text, null as empty: one plain shuffle key for the join and for telling repeated rows apart.
+    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    spans = (got.groupBy(name.alias("__id"), F.col("key").alias("__key"), "first")
+             .agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("spans"))
+             .groupBy("__id", "__key").agg(F.array_sort(F.collect_list(F.struct("first", "spans"))).alias("__all")))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__key": F.xxhash64(F.col(id_col), F.col(text))})
+    nth = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(0)))
+    j = keyed.join(spans, ["__id", "__key"]).withColumn("__nth", nth).where(F.col("__nth") <= F.size("__all"))
+    j = j.withColumn("spans", F.element_at("__all", F.col("__nth"))["spans"])
     copies = j.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.array_max(F.col("spans.times")))))
 
     @F.pandas_udf("string")
