@@ -173,10 +173,8 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing along the page; weights are those within reach, so ends aren't darkened."""
     reach = int(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    return (np.convolve(ratios, kernel, "same") / np.convolve(np.ones(len(ratios)), kernel, "same"))[: len(ratios)] \
-        if len(ratios) >= len(kernel) else np.array([
-            (kernel[reach - i:reach - i + len(ratios)] * ratios).sum() / kernel[reach - i:reach - i + len(ratios)].sum()
-            for i in range(len(ratios))])
+    middle = slice(reach, reach + len(ratios))
+    return np.convolve(ratios, kernel)[middle] / np.convolve(np.ones(len(ratios)), kernel)[middle]
 
 
 def threshold(values: np.ndarray) -> float:

@@ -42,7 +42,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     h = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1:].tolist())), "<u8", len(starts))
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[k:k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        ones += np.unpackbits(h[k:k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 

@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
         def close() -> None:
             ids = np.frombuffer(b"".join(body), "<u4")
             name = f"{task:06d}-{len(done):04d}-{uuid.uuid4().hex}.tok"
-            with fs.open_output_stream(f"{folder}/{name}") as f:
+            with fs.open_output_stream(f"{folder}/{name}", compression=None) as f:
                 f.write(file_bytes(doc, n, ids, bits, block))
             done.append((task << 32 | len(done), f"{out}/{name}", len(doc), len(ids)))
 

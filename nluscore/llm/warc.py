@@ -156,7 +156,7 @@ def write_bundles(pages: DataFrame, out: str, id_col: str = "page_id", url: str
                 for r in b.slice(lo, 128).to_pylist():
                     if f is None:
                         name = f"{uuid.uuid4().hex}.warc.zst"
-                        f, left = fs.open_output_stream(f"{folder}/{name}"), bundle_bytes
+                        f, left = fs.open_output_stream(f"{folder}/{name}", compression=None), bundle_bytes
                     raw = record(r["page_id"], r["url"], r["html"].encode(), r["payload_digest"], r["payload_bytes"], r["record_type"], r["refers_to"], date)
                     if buffer and held + len(raw) > frame_bytes:
                         flush()
