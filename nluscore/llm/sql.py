@@ -30,8 +30,8 @@ OP10 = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
-    AND list_bool_and(list_transform(embedding, x -> isfinite(x)))
-    AND list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x)) > 0),
+    AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+    AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
     ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
