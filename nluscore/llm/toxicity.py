@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 1. Lexicon terms (words and word beginnings) are gathered from labelled rows: document counts per
-   term, merged inside a batch and then by a partial aggregation; the terms tied most to toxic rows stay.
+   term, merged inside a batch and then by a partial aggregation, give candidates; those stay that are
+   tied most to toxic rows by the number of different contexts, which copies of a text don't raise.
 2. Each of the strongest terms is a voter; patterns over all terms are further voters. Voters vote
    toxic, clean or abstain.
 3. The label model sees votes only. EM estimates each voter's accuracies given the hidden label; the
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, need, stored
 
-#: Bounds of the fit: labelled rows used, terms kept, voters of one term, least evidence of a term.
-FIT_ROWS, TERMS, VOTERS, LEAST_Z, LEAST_SHARE = 12_000, 512, 48, 4.0, 0.01
+#: Bounds of the fit: labelled rows used, terms kept, voters of one term, least evidence of a term (z, share of
+#: toxic rows, ratio of rates), candidates.
+FIT_ROWS, TERMS, VOTERS, LEAST_Z, LEAST_SHARE, LEAST_LIFT = 12_000, 512, 48, 4.0, 0.01, 5.0
+CANDIDATES = 16_384
 #: Lengths of word beginnings; a word longer than LONGEST is known by its beginnings alone.
 BEGINNINGS, LONGEST, KEEP_WORDS = (4, 5, 6, 7), 40, 400_000
 PLAIN = str.maketrans("013457@$!", "oieastasi")
@@ -81,7 +84,7 @@ def fit_rows(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
 
 
 def lexicon(fit: DataFrame, terms: int = TERMS) -> list[str]:
-    """Terms most tied to toxic rows, strongest first, by the z-score of the log odds ratio."""
+    """Terms most tied to toxic rows, strongest first, by the z-score of their log ratio of rates."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
@@ -99,14 +102,41 @@ def lexicon(fit: DataFrame, terms: int = TERMS) -> list[str]:
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][t] for t in names], pa.int64()),
                                            pa.array([seen[0][t] for t in names], pa.int64())], names=["term", "t", "c"])
 
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {t: k for k, t in enumerate(candidates)}
+        for b in batches:
+            found: set[tuple[int, str]] = set()
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256).to_pydict()
+                for s in part["text"]:
+                    before = ""
+                    kept: dict[str, tuple[int, ...]] = {}
+                    for w in s.lower().split():
+                        if w not in kept:
+                            kept[w] = tuple(index[t] for t in terms_of(w) if t in index)
+                        for k in kept[w]:
+                            found.add((k, before))
+                        before = w
+            cols = list(zip(*found)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string())], names=["k", "before"])
+
     all_t, all_c = (int(v or 0) for v in fit.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     if not all_t or not all_c:
         return []
+    least = max(3, LEAST_SHARE * all_t)
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
-    z = (F.log(t / (all_t + 1 - t)) - F.log(c / (all_c + 1 - c))) / F.sqrt(1 / t + 1 / c)
+    lift = (t / (all_t + 1)) / (c / (all_c + 1))
+    z = F.log(lift) / F.sqrt(1 / t + 1 / c)
+    strong_enough = (F.col("t") >= least) & (lift >= LEAST_LIFT) & (z >= LEAST_Z)
+
     counted = fit.mapInArrow(count, "term string, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    strong = counted.where(F.col("t") >= max(3, LEAST_SHARE * all_t)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    return [r[0] for r in strong.orderBy(F.desc("z"), "term").limit(terms).collect()]
+    first = counted.where(strong_enough).orderBy(F.desc(z), "term").limit(CANDIDATES).collect()
+    candidates = [r["term"] for r in first]
+    # Copies repeat a term with what stands before it: a term counts as often as it has different contexts.
+    spread = fit.where("y > 0").mapInArrow(contexts, "k int, before string").distinct().groupBy("k").agg(F.count("*").alias("n"))
+    known = fit.sparkSession.createDataFrame([(k, r["t"], r["c"]) for k, r in enumerate(first)], "k int, t bigint, c bigint")
+    apart = spread.join(known, "k").withColumn("t", F.least("t", "n")).where(strong_enough)
+    return [candidates[r["k"]] for r in apart.orderBy(F.desc(z), "k").limit(terms).collect()]
 
 
 def votes(term_rows: list[tuple[np.ndarray, int]], voters: list[int], some: int) -> np.ndarray:
@@ -128,7 +158,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarr
     """(posterior of toxic a row, voters' outcome probabilities (voter, label, outcome), voters' weights).
 
     EM over the hidden label with a fixed class prior. After every ten steps the voters' correlations
-    given the label are taken from the residuals; a voter's say is divided by one plus their sum.
+    given the label are taken from the residuals; a voter's say is divided by one plus the sum of their squares.
     """
     hot = np.stack([v == ABSTAIN, v == 0, v == 1], axis=2).astype(float)  # (row, voter, outcome)
     score = (v == 1).sum(axis=1) - (v == 0).sum(axis=1)
@@ -144,7 +174,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarr
             sd = np.sqrt((left ** 2).mean(axis=0)) + 1e-9
             rho = (left.T @ left) / len(left) / np.outer(sd, sd)
             np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.abs(rho).sum(axis=1))
+            weight = 1 / (1 + (np.maximum(rho, 0) ** 2).sum(axis=1))
         ratio = np.log(table[:, 1]) - np.log(table[:, 0])  # (voter, outcome)
         say = np.einsum("rvo,vo->r", hot, ratio * weight[:, None]) + np.log(prior / (1 - prior))
         post = 1 / (1 + np.exp(-np.clip(say, -30, 30)))
@@ -189,15 +219,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     seen = rows.mapInArrow(found, "at array<bigint>, often bigint").toArrow()
     term_rows = [(np.array(a, np.int64), o) for a, o in zip(seen.column("at").to_pylist(), seen.column("often").to_pylist())]
     prior = float(np.clip(rows.agg(F.avg("y")).first()[0], 0.01, 0.99))
-    # Voters: the strongest terms, one of those that always occur together.
+    # Voters: the strongest terms, one of those that mostly occur together.
     x = np.zeros((len(term_rows), len(known)))
     for r, (at, _) in enumerate(term_rows):
         x[r, at] = 1
-    patterns, voters = set(), []
+    voters: list[int] = []
     for k in range(len(known)):
-        key = x[:, k].tobytes()
-        if key not in patterns and len(voters) < VOTERS:
-            patterns.add(key)
+        both = x[:, voters].T @ x[:, k]
+        either = x[:, voters].sum(axis=0) + x[:, k].sum() - both
+        if len(voters) < VOTERS and (both < 0.7 * either).all():
             voters.append(k)
     post, _, _ = label_model(votes(term_rows, voters, 2), prior)
     return known, logistic(x, post)
