@@ -29,7 +29,7 @@ from .common import filesystem, need, scratch, stored
 
 MAGIC, HEAD, DOC = b"NLUTOK1\0", struct.Struct("<8sIIQQ"), np.dtype([("doc", "<i8"), ("none", "<u8"), ("first", "<u8"), ("n", "<u8")])
 #: Ids in a block; text bytes in a file; words a process keeps encoded.
-BLOCK, FILE_BYTES, KEEP_WORDS = 1 << 16, 64 << 20, 400_000
+BLOCK, FILE_BYTES, KEEP_WORDS = 1 << 16, 32 << 20, 500_000
 
 
 def width(vocabulary: int) -> int:
@@ -108,19 +108,27 @@ class TokenFile:
 
 
 class Encoder:
-    """Encodes whole texts word by word and keeps the ids of words seen before, a bounded number."""
+    """Encodes whole texts word by word. Keeps the ids of words met lately in two generations of at most
+    KEEP_WORDS words: when the younger is full it becomes the older, and words met again move on."""
 
     def __init__(self, path: str):
-        self.bpe, self.kept = bpe(path), {}
+        self.bpe, self.young, self.old = bpe(path), {}, {}
 
     def __call__(self, text: str) -> bytes:
-        words, kept = self.bpe.words(text), self.kept
-        new = [w for w in set(words) if w not in kept]
-        if len(kept) + len(new) > KEEP_WORDS:
-            kept.clear()
-            new = list(set(words))
-        kept.update(zip(new, self.bpe.encode(new)))
-        return b"".join([kept[w] for w in words])
+        words, young, old = self.bpe.words(text), self.young, self.old
+        new = [w for w in dict.fromkeys(words) if w not in young]
+        if new:
+            if len(young) + len(new) > KEEP_WORDS:
+                self.old, self.young = old, young = young, {}
+                new = list(dict.fromkeys(words))
+            unseen = []
+            for w in new:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    unseen.append(w)
+            young.update(zip(unseen, self.bpe.encode(unseen)))
+        return b"".join([young[w] for w in words])
 
 
 _encoders: dict[str, Encoder] = {}
