@@ -5,7 +5,8 @@ of its own (:func:`words`). The tokenizer's own pre-tokenizer never joins charac
 words, so a text's ids are its words' ids in order.
 
 Plan: (1) words are split and counted; counts are merged inside each Arrow batch, then by a partial
-aggregation; (2) every distinct word is encoded once; (3) the most frequent words, at most
+aggregation; (2) every distinct word is encoded once: words that occur twice or more in the word
+table, a word that occurs once at its only place; (3) the most frequent words, at most
 ``hot_words`` of them, are broadcast; a text's other words are shuffled to the word table as
 (text key, word) and come back as one list per text; (4) the texts, Zstandard-compressed for the
 shuffle, meet that list and take ids by position; (5) ids are decoded by a join with the
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, stored
+from .common import need, release, stored
 
 #: Words in the broadcast table, and bytes a word of it may have: bounds the broadcast (about 20 MB).
 HOT_WORDS, HOT_BYTES = 1 << 19, 40
@@ -67,8 +69,7 @@ class Bpe:
         """Each word's ids as little-endian unsigned 32-bit integers."""
         out = []
         for k in range(0, len(words), 4096):
-            out += [np.array(e.ids, "<u4").tobytes()
-                    for e in self.tok.encode_batch(words[k:k + 4096], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(words[k:k + 4096], add_special_tokens=False)]
         return out
 
     def pieces(self) -> list[bytes]:
@@ -104,7 +105,7 @@ def _strings(batch: pa.RecordBatch, name: str) -> Iterator[str]:
 
 
 def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Every distinct word of all texts once: (word, n, ids), written to the shared folder."""
+    """Every distinct word that all texts hold more than once: (word, n, ids), written to the shared folder."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, seen, left = bpe(path), Counter(), 0
         for b in batches:
@@ -127,7 +128,7 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     counted = need(docs, text).select(F.col(text).alias("text")).mapInArrow(count, "word string, n bigint")
-    table = counted.groupBy("word").agg(F.sum("n").alias("n"))
+    table = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     return stored(table.mapInArrow(encode, "word string, n bigint, ids binary"), "words")
 
 
@@ -161,15 +162,16 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
     spark = docs.sparkSession
     words = word_table(docs, path, text)
     hot = spark.sparkContext.broadcast(hot_table(words, hot_words))
+    release(spark)
     # A key names a text; should two texts share one, both get the words of both, which harms neither.
     rows = need(docs, id_col, text).select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("id", "text"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, known = bpe(path), hot.value.keys()
+        t, known = bpe(path), hot.value
         for b in batches:
             keys, out = [], []
             for k, s in zip(b.column("key").to_pylist(), _strings(b, "text")):
-                new = set(t.words(s)) - known
+                new = {w for w in t.words(s) if w not in known}
                 keys += [k] * len(new)
                 out += new
                 if len(out) > 1 << 17:
@@ -193,6 +195,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
                 for body, own in zip(part.column("body"), part.column("own")):
                     mine = {x["word"]: x["ids"] for x in own.as_py() or ()}
                     ws = t.words(z.decompress(body.as_py()).decode())
+                    once = [w for w in dict.fromkeys(ws) if w not in table and w not in mine]
+                    mine.update(zip(once, t.encode(once)))
                     ids = b"".join([table[w] if w in table else mine[w] for w in ws])
                     back = t.decode(ids)
                     n.append(len(ids) // 4)
@@ -209,7 +213,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
 
     kind = rows.schema["id"].dataType.simpleString()
     wanted = rows.select("key", "text").mapInArrow(rare, "key bigint, word string")
-    own = wanted.join(words.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
+    own = stored(wanted.join(words.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("own")), "own")
+    release(spark)
     bodies = rows.mapInArrow(packed, f"id {kind}, key bigint, body binary")
     out = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * full
     return bodies.join(own, "key", "left").select("id", "body", "own").mapInArrow(by_position, out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of stages whose results are written: Spark drops them once the driver's
+    JVM has noticed that no plan refers to them any more. It holds on to the last job until another ran."""
+    gc.collect()
+    spark.range(1).count()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path on it) for a URI or plain path; used inside tasks."""
     from pyarrow import fs
