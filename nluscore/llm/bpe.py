@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, release, stored
+from .common import discard, need, release, stored
 
 #: Words in the broadcast table, and bytes a word of it may have: bounds the broadcast (about 20 MB).
 HOT_WORDS, HOT_BYTES = 1 << 19, 40
@@ -53,6 +53,8 @@ class Bpe:
         special = "|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)"
         self.special = re.compile(special)
         self.added = added
+        #: ids in tables take two bytes where the vocabulary allows
+        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         #: a space between white space, or between white space and the end: a run that a plain cut would divide
         self.uneven = re.compile(rf" (?<=[{WHITE}] )(?=[{WHITE}]|\Z)")
         self.rule = re.compile(
@@ -66,10 +68,10 @@ class Bpe:
         return out if out[0] else out[1:]
 
     def encode(self, words: list[str]) -> list[bytes]:
-        """Each word's ids as little-endian unsigned 32-bit integers."""
-        out = []
+        """Each word's ids as bytes of ``dtype``."""
+        out, kind = [], "H" if self.dtype.itemsize == 2 else "I"
         for k in range(0, len(words), 4096):
-            out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(words[k:k + 4096], add_special_tokens=False)]
+            out += [array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(words[k:k + 4096], add_special_tokens=False)]
         return out
 
     def pieces(self) -> list[bytes]:
@@ -84,9 +86,9 @@ class Bpe:
                 self._pieces[i] = piece.encode() if piece in self.added else bytes(byte[c] for c in piece)
         return self._pieces
 
-    def decode(self, ids: bytes) -> str:
-        """Text of little-endian 32-bit ids, through the id-to-piece table."""
-        at = np.frombuffer(ids, "<u4").tolist()
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of ids, through the id-to-piece table."""
+        at = ids.tolist()
         if not at:
             return ""
         got = itemgetter(*at)(self.pieces())
@@ -197,9 +199,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
                     ws = t.words(z.decompress(body.as_py()).decode())
                     once = [w for w in dict.fromkeys(ws) if w not in table and w not in mine]
                     mine.update(zip(once, t.encode(once)))
-                    ids = b"".join([table[w] if w in table else mine[w] for w in ws])
-                    back = t.decode(ids)
-                    n.append(len(ids) // 4)
+                    at = np.frombuffer(b"".join([table[w] if w in table else mine[w] for w in ws]), t.dtype)
+                    back, ids = t.decode(at), at.astype("<u4").tobytes()
+                    n.append(len(at))
                     h.append(hashlib.sha256(ids).hexdigest())
                     d.append(hashlib.sha256(back.encode()).hexdigest())
                     if full:
@@ -214,6 +216,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
     kind = rows.schema["id"].dataType.simpleString()
     wanted = rows.select("key", "text").mapInArrow(rare, "key bigint, word string")
     own = stored(wanted.join(words.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("own")), "own")
+    discard(words)
     release(spark)
     bodies = rows.mapInArrow(packed, f"id {kind}, key bigint, body binary")
     out = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * full

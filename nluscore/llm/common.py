@@ -27,7 +27,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a :func:`stored` table that nothing reads any more."""
+    spark = table.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:

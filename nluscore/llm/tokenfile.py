@@ -151,14 +151,14 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
         from pyspark import TaskContext
 
         encode = _encoders.setdefault(path, Encoder(path))
-        bits, end = width(encode.bpe.tok.get_vocab_size()), np.array([end_id], "<u4").tobytes()
+        bits, end = width(encode.bpe.tok.get_vocab_size()), np.array([end_id], encode.bpe.dtype).tobytes()
         fs, folder = filesystem(out)
         fs.create_dir(folder, recursive=True)
         task, done = TaskContext.get().partitionId(), []
         doc, n, body, left = [], [], [], file_size
 
         def close() -> None:
-            ids = np.frombuffer(b"".join(body), "<u4")
+            ids = np.frombuffer(b"".join(body), encode.bpe.dtype)
             name = f"{task:06d}-{len(done):04d}-{uuid.uuid4().hex}.tok"
             with fs.open_output_stream(f"{folder}/{name}", compression=None) as f:
                 f.write(file_bytes(doc, n, ids, bits, block))
@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
                 for d, s in zip(part["id"], part["text"]):
                     ids = encode(s) + end
                     doc.append(d)
-                    n.append(len(ids) // 4)
+                    n.append(len(ids) // len(end))
                     body.append(ids)
                     left -= len(s) + 8
                     if left <= 0:
