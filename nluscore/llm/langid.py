@@ -91,10 +91,13 @@ class Automaton:
                     link[q] = link[new] = twin
             last = new
         self.width, self.size = len(code) + 1, len(points)
-        root = np.zeros(self.width, np.uint32)  # column 0: characters no training text has
+        # A character the language doesn't have (column 0: no language has it) is a phrase of its own: the
+        # last state, which any character leaves with a new phrase. Nothing ends at the start.
+        root = np.full(self.width, len(trans) * self.width, np.uint32)
         for c, q in trans[0].items():
             root[c] = q * self.width
-        table = np.tile(root | self.END, (len(trans), 1))
+        table = np.tile(root | self.END, (len(trans) + 1, 1))
+        table[0] = root
         for s, row in enumerate(trans):
             for c, q in row.items():
                 table[s, c] = q * self.width

@@ -171,7 +171,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     d = d.withColumn("source", F.col("source").cast("string"))
     d = d.join(table, d["source"].eqNullSafe(table["source"])).select(
         "id", "key", d["source"], "source_no", "size", "source_size", "target", "first")
-    times = slot_table(docs, rows, draws, seed).groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # Slots grow with the input, but a plan sees only the few rows they are spread from: no broadcast here.
+    times = slot_table(docs, rows, draws, seed).groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
     spans = d.where("size > 0").select(
         "id", "key", "source_no", "first", "size",
         F.explode(F.expr(f"sequence(first div {block}, (first + size - 1) div {block})")).alias("block"))

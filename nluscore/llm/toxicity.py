@@ -84,7 +84,7 @@ def fit_rows(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
 
 
 def lexicon(fit: DataFrame, terms: int = TERMS) -> list[str]:
-    """Terms most tied to toxic rows, strongest first, by the z-score of their log ratio of rates."""
+    """Terms most tied to toxic rows, strongest first, by the z-score of their toxic share."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
@@ -123,10 +123,11 @@ def lexicon(fit: DataFrame, terms: int = TERMS) -> list[str]:
     all_t, all_c = (int(v or 0) for v in fit.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     if not all_t or not all_c:
         return []
-    least = max(3, LEAST_SHARE * all_t)
+    least = max(5, LEAST_SHARE * all_t)
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     lift = (t / (all_t + 1)) / (c / (all_c + 1))
-    z = F.log(lift) / F.sqrt(1 / t + 1 / c)
+    share, both = all_t / (all_t + all_c), F.col("t") + F.col("c")
+    z = (F.col("t") - both * share) / F.sqrt(both * share * (1 - share))
     strong_enough = (F.col("t") >= least) & (lift >= LEAST_LIFT) & (z >= LEAST_Z)
 
     counted = fit.mapInArrow(count, "term string, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
@@ -181,7 +182,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarr
     return post, table, weight
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30) -> np.ndarray:
     """Weights (last: intercept) of an L2 logistic regression on soft labels, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
