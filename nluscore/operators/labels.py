@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small
 from .metrics_table import as_list
 from .prefix import with_row_id
 
@@ -19,15 +18,10 @@ UNLABELLED = -1
 IGNORED = -100
 
 
-# vocabularies up to this many labels are numbered on the driver after a bounded fetch
-MAX_DRIVER_VOCAB = 1_000_000
-
-
 def label_list(df: DataFrame, col: str, multi: bool = False, drop=(UNLABELLED,)) -> DataFrame:
     """L1/L2: distinct sorted labels with 0-based ids; the ``-1`` sentinel never enters.
 
-    One aggregation pass; at most ``MAX_DRIVER_VOCAB + 1`` labels are fetched to number them,
-    a larger label set is numbered with distributed row ids (W7) instead.
+    One aggregation pass; the labels are numbered with distributed row ids (W7) at every size.
     """
     # explode_outer: a plain explode lets Catalyst push size(col) > 0 below repartitions and
     # evaluate the (possibly expensive) array twice; nulls are dropped right after
@@ -35,14 +29,7 @@ def label_list(df: DataFrame, col: str, multi: bool = False, drop=(UNLABELLED,))
     x = x.filter(F.col("label").isNotNull())
     if drop:
         x = x.filter(~F.col("label").cast("string").isin([str(d) for d in drop]))
-    d = x.distinct()
-    got = d.limit(MAX_DRIVER_VOCAB + 1).toArrow().column("label").to_pylist()
-    if len(got) > MAX_DRIVER_VOCAB:
-        return with_row_id(d, ["label"], "label_id")
-    labels = sorted(got)
-    schema = T.StructType([T.StructField("label", d.schema["label"].dataType, False),
-                           T.StructField("label_id", T.LongType(), False)])
-    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(labels)], schema)
+    return with_row_id(x.distinct(), ["label"], "label_id")
 
 
 def label_union(dfs: list[DataFrame], col: str, multi: bool = False) -> DataFrame:
@@ -67,7 +54,7 @@ def encode_label(df: DataFrame, vocab: DataFrame, col: str, out: str = "label_id
     v = vocab.select(F.col("label").alias("_vl"), F.col("label_id").alias(out))
     key_l = F.lower(F.col(col).cast("string")) if case_insensitive else F.col(col).cast("string")
     key_r = F.lower(F.col("_vl").cast("string")) if case_insensitive else F.col("_vl").cast("string")
-    j = df.withColumn("_k", key_l).join(broadcast_if_small(v.withColumn("_vk", key_r)),
+    j = df.withColumn("_k", key_l).join(v.withColumn("_vk", key_r),
                                         F.col("_k") == F.col("_vk"), "left")
     sentinel = F.col(col).cast("string") == str(UNLABELLED)
     res = F.when(sentinel, F.lit(UNLABELLED).cast("long")).when(F.col(col).isNull(), F.lit(None).cast("long")).when(
@@ -85,7 +72,7 @@ def encode_multihot(ids: Column, n_labels: int) -> Column:
 def decode_label(df: DataFrame, vocab: DataFrame, col: str, out: str = "label") -> DataFrame:
     """Id → label (broadcast vocabulary)."""
     v = vocab.select(F.col("label_id").alias("_id"), F.col("label").alias(out))
-    return df.join(broadcast_if_small(v), F.col(col) == F.col("_id"), "left").drop("_id")
+    return df.join(v, F.col(col) == F.col("_id"), "left").drop("_id")
 
 
 def decode_multihot(hot: Column, labels_in_id_order: Column) -> Column:

@@ -230,33 +230,20 @@ def with_row_id(df: DataFrame, order: Sequence[str], out: str = "row_id", by=Non
                   .withColumn(out, F.col("off") + F.col("_local")).drop("_pid", "_local", "pid", "off"))
 
 
-# value-count tables up to this many rows are ranked on the driver and broadcast back
-MAX_DRIVER_RANKS = 200_000
-
-
 def average_ranks(df: DataFrame, col: str, by=None, out: str = "rank") -> DataFrame:
     """1-based ranks of ``col`` with ties sharing their mean rank (per ``by`` key); nulls get null.
 
-    The value-count table is fetched with a bound (at most ``MAX_DRIVER_RANKS + 1`` rows): a
-    bounded table is ranked on the driver and joined back as a broadcast; a larger one is ranked
-    with the distributed prefix sum and a shuffle join (AQE splits hot values).
+    Values are counted, ranked with the distributed prefix sum and joined back with a shuffle join
+    (AQE splits hot values). Keys are matched null-safely: a null ``by`` key is a group of its own.
     """
     by = as_list(by)
     vc = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_cnt"))
-    pdf = vc.limit(MAX_DRIVER_RANKS + 1).toArrow().to_pandas()
-    if len(pdf) <= MAX_DRIVER_RANKS:
-        if len(pdf):
-            pdf = pdf.sort_values([*by, col], kind="mergesort")
-            cum = pdf.groupby(by, sort=False)["_cnt"].cumsum() if by else pdf["_cnt"].cumsum()
-            pdf[out] = (cum - pdf["_cnt"] + (pdf["_cnt"] + 1) / 2.0).astype("float64")
-        else:
-            pdf[out] = pd.Series(dtype="float64")
-        fields = [vc.schema[c] for c in (*by, col)] + [T.StructField(out, T.DoubleType(), True)]
-        ranks = df.sparkSession.createDataFrame(pdf[[*by, col, out]], T.StructType(fields))
-        return df.join(F.broadcast(ranks), by + [col], "left")
     ps = prefix_sum(vc, [col], "_cnt", "_cum", by)
-    ranks = ps.select(*by, col, (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
-    return df.join(ranks, by + [col], "left")
+    keys = [*by, col]
+    ranks = ps.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
+                      (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
+    same = [df[k].eqNullSafe(ranks[f"_k{i}"]) for i, k in enumerate(by)] + [df[col] == ranks[f"_k{len(by)}"]]
+    return df.join(ranks, same, "left").drop(*(f"_k{i}" for i in range(len(keys))))
 
 
 def dense_rank_global(df: DataFrame, col: str, out: str = "dense_rank") -> DataFrame:

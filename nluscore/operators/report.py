@@ -34,9 +34,8 @@ def fill_spec(spec: DataFrame, results: DataFrame, keys, value: str = "value") -
     produce a row.
     """
     keys = as_list(keys)
-    from ..session import broadcast_if_small
     r = results.select(*keys, F.col(value).alias("_v"))
-    return broadcast_if_small(spec).join(r, keys, "left").withColumn(
+    return spec.join(r, keys, "left").withColumn(
         value, F.coalesce(F.col("_v"), F.lit(0.0))).drop("_v")
 
 

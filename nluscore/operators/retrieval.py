@@ -28,8 +28,8 @@ def judged_from_qrels(qrels: DataFrame, max_k: int, by=None, rel: str = "rel") -
     pos = qrels.filter(F.col(rel) > 0)
     w = Window.partitionBy("qid").orderBy(F.col(rel).desc())
     top = pos.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_k)
-    ideal = top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(rel).cast("double")))),
-                                                lambda x: x[rel]).alias("ideal"))
+    ideal = top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(rel).cast("double").alias("_gain")))),
+                                                lambda x: x["_gain"]).alias("ideal"))
     n = pos.groupBy("qid", *by).agg(F.count(F.lit(1)).alias("n_rel"))
     return n.join(ideal, "qid", "left")
 

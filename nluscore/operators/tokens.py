@@ -148,7 +148,6 @@ def align_tags(df: DataFrame, words: str, tags: str, piece_len: int, vocab: Data
     The piece layout of a row is one vectorised numpy step; the vocabulary is a counted broadcast.
     Returns one row per sub-token: ``(..., pos, word_id, piece, label_id, label_all_id)``.
     """
-    from ..session import broadcast_if_small
     keep = [c for c in df.columns if c not in (words, tags)]
     x = df.withColumn("_p", _pieces_udf(piece_len)(F.col(words), F.col(tags)))
     z = F.arrays_zip(F.col("_p.word_id").alias("word_id"), F.col("_p.piece").alias("piece"), F.col("_p.tag").alias("tag"))
@@ -159,7 +158,7 @@ def align_tags(df: DataFrame, words: str, tags: str, piece_len: int, vocab: Data
                        F.when(~special, F.col("_t.piece")).alias("piece"), F.col("_t.tag").alias("_tag"))
     v = (b2i if b2i is not None else vocab.withColumn("label_all_id", F.col("label_id")))
     v = v.select(F.col("label").alias("_tag"), F.col("label_id").alias("_id"), F.col("label_all_id").alias("_all"))
-    y = rows.join(broadcast_if_small(v), "_tag", "left")
+    y = rows.join(v, "_tag", "left")
     lab = F.when(F.col("word_id").isNull(), F.lit(IGNORED)).when(F.col("piece") == 0, F.col("_id")).otherwise(F.lit(IGNORED))
     lab_all = F.when(F.col("word_id").isNull(), F.lit(IGNORED)).when(F.col("piece") == 0, F.col("_id")).otherwise(F.col("_all"))
     return y.select(*keep, "pos", "word_id", "piece", lab.cast("long").alias("label_id"),

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cutoffs
 from ..operators import retrieval as R
 from ..operators import vectors as V
-from ..session import broadcast_if_small
 from .tables import load
 
 TOP_K = 10
@@ -42,7 +41,7 @@ def _labelled_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     hr = h.select("qid", "docid", "score", "rank", F.col("qpayload").cast("int").alias("source"),
                   (F.col("qpayload") == F.col("dpayload")).cast("int").alias("rel"))
     labels = e.select("vec_id", "label")
-    counts = broadcast_if_small(labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")))
+    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     judged = (labels.join(counts, "label")
                     .select(F.col("vec_id").alias("qid"), F.col("label").alias("source"), (F.col("_n") - 1).alias("n_rel"))
                     .withColumn("ideal", R.binary_ideal(F.col("n_rel"), TOP_K)))
@@ -69,7 +68,7 @@ def bitext_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = V.top_k(src, tgt, k=TOP_K, qid="vec_id", docid="vec_id", vec="embedding",
                 qpayload="label", dpayload="label")
     hr = h.withColumn("rel", (F.col("qpayload") == F.col("dpayload")).cast("int"))
-    tcount = broadcast_if_small(tgt.groupBy("label").agg(F.count(F.lit(1)).alias("n_rel")))
+    tcount = tgt.groupBy("label").agg(F.count(F.lit(1)).alias("n_rel"))
     judged = src.join(tcount, "label").select(F.col("vec_id").alias("qid"), "n_rel")
     return R.bitext_metrics(hr, judged)
 

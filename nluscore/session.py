@@ -1,4 +1,4 @@
-"""Session helpers: building a session, the shared checkpoint folder, checked broadcasts."""
+"""Session helpers: building a session, the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -6,21 +6,16 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows above which a "small" side is not broadcast but shuffle-joined instead.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
 
 def get_session(master: str | None = None, app: str = "nluscore", partitions: int | None = None) -> SparkSession:
     """Session with AQE on. On a cluster, pass master=None and let spark-submit decide."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    n = partitions or int(os.environ.get("NLUSCORE_SHUFFLE_PARTITIONS", "8"))
+    if partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(partitions))
     b = (
-        b.config("spark.sql.shuffle.partitions", str(n))
-        .config("spark.sql.adaptive.enabled", "true")
+        b.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -74,19 +69,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the side: above ``max_rows`` Spark picks a shuffle join."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition on ``keys`` only when the input has fewer partitions than the cluster's
-    parallelism (e.g. one small file with one row group). At scale the scan already has many
-    splits and this is a no-op; filters and column pruning still reach the scan below it."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)

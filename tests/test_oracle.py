@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as E
+from nluscore.plans.catalog import QUERIES
 from oracle_util import duck, rows_digest
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
