@@ -21,10 +21,12 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ HOT_WORDS, HOT_BYTES = 1 << 19, 40
 #: Unicode White_Space, which the pre-tokenizer's pattern calls \s.
 WHITE = "\t-\r \x85\xa0  -     　"
 
+#: Words that go to the tokenizer in one string.
+RUN = 64
+
 _tokenizers: dict[str, "Bpe"] = {}
 
 
@@ -57,6 +62,8 @@ class Bpe:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         #: a space between white space, or between white space and the end: a run that a plain cut would divide
         self.uneven = re.compile(rf" (?<=[{WHITE}] )(?=[{WHITE}]|\Z)")
+        #: a word that the pre-tokenizer parts from whatever stands before it; never if an added token holds a space
+        self.plain = re.compile(r"(?!)" if any(" " in a for a in added) else rf" (?!{special})[^{WHITE}](?:.*[^{WHITE}])?\Z", re.S).match
         self.rule = re.compile(
             rf"{special}|[{WHITE}]+(?=\Z|{special})| ?(?:(?!{special})[^{WHITE}])+|[{WHITE}]+(?=[{WHITE}])|[{WHITE}]")
 
@@ -68,12 +75,41 @@ class Bpe:
         return out if out[0] else out[1:]
 
     def encode(self, words: list[str]) -> list[bytes]:
-        """Each word's ids as bytes of ``dtype``."""
-        out, kind = [], "H" if self.dtype.itemsize == 2 else "I"
-        for k in range(0, len(words), 4096):
-            out += [array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(words[k:k + 4096], add_special_tokens=False)]
+        """Each word's ids as bytes of ``dtype``.
+
+        Words of one space and no white space at their ends go to the tokenizer ``RUN`` in a string, which
+        it cuts before every space; the lengths of the pieces tell whose ids are whose. A string whose
+        pieces don't end where its words end, and all other words, are encoded word by word.
+        """
+        out, kind, size = [b""] * len(words), "H" if self.dtype.itemsize == 2 else "I", self.dtype.itemsize
+        runs, single = [], [k for k, w in enumerate(words) if not self.plain(w)]
+        if len(single) < len(words):
+            plain = [k for k, w in enumerate(words) if self.plain(w)] if single else range(len(words))
+            runs = [plain[k:k + RUN] for k in range(0, len(plain), RUN)]
+        for lo in range(0, len(runs), 64):
+            texts = ["".join([words[k] for k in run]) for run in runs[lo:lo + 64]]
+            for run, e in zip(runs[lo:lo + 64], self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                ends, want = np.cumsum(self.lengths()[ids]), np.cumsum([len(words[k].encode()) for k in run])
+                at = np.searchsorted(ends, want)
+                if at[-1] != len(ends) - 1 or (ends[at] != want).any():
+                    single += run
+                    continue
+                raw, start = ids.tobytes(), 0
+                for k, end in zip(run, ((at + 1) * size).tolist()):
+                    out[k], start = raw[start:end], end
+        for lo in range(0, len(single), 4096):
+            some = single[lo:lo + 4096]
+            for k, e in zip(some, self.tok.encode_batch_fast([words[k] for k in some], add_special_tokens=False)):
+                out[k] = array(kind, e.ids).tobytes()
         return out
 
+    def lengths(self) -> np.ndarray:
+        """Bytes of every id's piece, in id order."""
+        if not hasattr(self, "_lengths"):
+            self._lengths = np.array([len(p) for p in self.pieces()], np.int64)
+        return self._lengths
+
     def pieces(self) -> list[bytes]:
         """The bytes of every id, in id order (byte-level alphabet; added tokens as they are)."""
         if not hasattr(self, "_pieces"):
@@ -106,6 +142,14 @@ def _strings(batch: pa.RecordBatch, name: str) -> Iterator[str]:
         yield from (t or "" for t in batch.column(name).slice(k, 256).to_pylist())
 
 
+def _pairs(part: pa.RecordBatch) -> dict[str, bytes]:
+    """Word to ids of all lists in the columns words and ids."""
+    flat = []
+    for name in ("words", "ids"):
+        flat.append(part.column(name).flatten().to_pylist())
+    return dict(zip(*flat))
+
+
 def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every distinct word that all texts hold more than once: (word, n, ids), written to the shared folder."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +217,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
         for b in batches:
             keys, out = [], []
             for k, s in zip(b.column("key").to_pylist(), _strings(b, "text")):
-                new = {w for w in t.words(s) if w not in known}
+                new = set(filterfalse(known.__contains__, t.words(s)))
                 keys += [k] * len(new)
                 out += new
                 if len(out) > 1 << 17:
@@ -188,36 +232,44 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(body, pa.binary())], names=["id", "key", "body"])
 
     def by_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, table = bpe(path), hot.value
-        z = zstandard.ZstdDecompressor()
+        t = bpe(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                n, h, d, every, texts = [], [], [], [], []
-                for body, own in zip(part.column("body"), part.column("own")):
-                    mine = {x["word"]: x["ids"] for x in own.as_py() or ()}
-                    ws = t.words(z.decompress(body.as_py()).decode())
-                    once = [w for w in dict.fromkeys(ws) if w not in table and w not in mine]
-                    mine.update(zip(once, t.encode(once)))
-                    at = np.frombuffer(b"".join([table[w] if w in table else mine[w] for w in ws]), t.dtype)
-                    back, ids = t.decode(at), at.astype("<u4").tobytes()
-                    n.append(len(at))
-                    h.append(hashlib.sha256(ids).hexdigest())
-                    d.append(hashlib.sha256(back.encode()).hexdigest())
-                    if full:
-                        every.append(ids)
-                        texts.append(back)
-                cols = [part.column("id"), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if full:
-                    cols, names = cols + [pa.array(every, pa.binary()), pa.array(texts, pa.string())], [*names, "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+            lo = size = 0
+            for hi, n in enumerate(pc.binary_length(b.column("body")).to_pylist(), 1):
+                size += n
+                if hi == b.num_rows or hi - lo == 512 or size > 1 << 20:  # compressed bytes
+                    yield together(t, b.slice(lo, hi - lo))
+                    lo, size = hi, 0
+
+    def together(t: Bpe, part: pa.RecordBatch) -> pa.RecordBatch:
+        """Results of some texts: words that only one of them holds are encoded for all in one call."""
+        z, table = zstandard.ZstdDecompressor(), hot.value
+        found, mine = [], _pairs(part)
+        for body in part.column("body"):
+            ws = t.words(z.decompress(body.as_py()).decode())
+            ids = list(map(table.get, ws))
+            found.append((ids, [(k, ws[k]) for k, x in enumerate(ids) if x is None]))
+        once = list({w for _, gaps in found for _, w in gaps if w not in mine})
+        mine.update(zip(once, t.encode(once)))
+        cols = [[] for _ in range(5 if full else 3)]
+        for ids, gaps in found:
+            for k, w in gaps:
+                ids[k] = mine[w]
+            at = np.frombuffer(b"".join(ids), t.dtype)
+            back, wide = t.decode(at), at.astype("<u4").tobytes()
+            row = (len(at), hashlib.sha256(wide).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), wide, back)
+            for col, value in zip(cols, row):
+                col.append(value)
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+        return pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, cols, kinds)], names=names[:len(cols) + 1])
 
     kind = rows.schema["id"].dataType.simpleString()
     wanted = rows.select("key", "text").mapInArrow(rare, "key bigint, word string")
-    own = stored(wanted.join(words.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("own")), "own")
+    own = stored(wanted.join(words.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
+                 .select("key", F.col("own.word").alias("words"), F.col("own.ids").alias("ids")), "own")
     discard(words)
     release(spark)
     bodies = rows.mapInArrow(packed, f"id {kind}, key bigint, body binary")
     out = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * full
-    return bodies.join(own, "key", "left").select("id", "body", "own").mapInArrow(by_position, out)
+    return bodies.join(own, "key", "left").select("id", "body", "words", "ids").mapInArrow(by_position, out)
