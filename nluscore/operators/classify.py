@@ -20,11 +20,16 @@ def _w(weight: str | None) -> Column:
     return F.col(weight).cast("double") if weight else F.lit(1.0)
 
 
+def _hit(pred: Column, gold: Column) -> Column:
+    """1.0 or 0.0; a missing prediction is wrong, a row without gold label has no hit."""
+    return F.when(gold.isNotNull(), F.coalesce(pred == gold, F.lit(False)).cast("double"))
+
+
 def accuracy(df: DataFrame, pred: str, gold: str, by=None, weight: str | None = None) -> DataFrame:
     """M1/M2/M16 in one scan: accuracy and samples; with a weight column also
     ``accuracy_weighted`` (sum(w*hit)/sum(w)) and the un-normalised ``correct_weighted``."""
     by = as_list(by)
-    hit = (F.col(pred) == F.col(gold)).cast("double")
+    hit = _hit(F.col(pred), F.col(gold))
     aggs = [F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("samples")]
     if weight:
         w = _w(weight)
@@ -39,7 +44,7 @@ def subset_accuracy(df: DataFrame, pred: str, gold: str, by=None, as_sets: bool
     p, g = F.col(pred), F.col(gold)
     if as_sets:
         p, g = F.array_sort(F.array_distinct(p)), F.array_sort(F.array_distinct(g))
-    hit = (p == g).cast("double")
+    hit = _hit(p, g)
     return df.groupBy(*by).agg(F.avg(hit).alias("subset_accuracy"), F.count(F.lit(1)).alias("samples"))
 
 
@@ -51,15 +56,22 @@ def confusion(df: DataFrame, pred: str, gold: str, by=None, weight: str | None =
 
 
 def class_counts(conf: DataFrame, by=None) -> DataFrame:
-    """Per class ``tp, fp, fn, support`` from a confusion table (tiny input)."""
+    """Per class ``tp, fp, fn, support`` from a confusion table (tiny input).
+
+    A missing prediction is a false negative of its gold class and no class of its own; rows without
+    gold label don't count.
+    """
     by = as_list(by)
+    conf = conf.filter(F.col("gold").isNotNull())
+    wrong = ~F.col("gold").eqNullSafe(F.col("pred"))
     as_gold = conf.select(*by, F.col("gold").alias("label"),
                           F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0.0).alias("tp"),
                           F.lit(0.0).alias("fp"),
-                          F.when(F.col("gold") != F.col("pred"), F.col("n")).otherwise(0.0).alias("fn"),
+                          F.when(wrong, F.col("n")).otherwise(0.0).alias("fn"),
                           F.col("n").alias("support"))
-    as_pred = conf.select(*by, F.col("pred").alias("label"), F.lit(0.0).alias("tp"),
-                          F.when(F.col("gold") != F.col("pred"), F.col("n")).otherwise(0.0).alias("fp"),
+    as_pred = conf.filter(F.col("pred").isNotNull()).select(
+                          *by, F.col("pred").alias("label"), F.lit(0.0).alias("tp"),
+                          F.when(wrong, F.col("n")).otherwise(0.0).alias("fp"),
                           F.lit(0.0).alias("fn"), F.lit(0.0).alias("support"))
     return (as_gold.unionByName(as_pred).groupBy(*by, "label")
                    .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "support")]))

@@ -118,10 +118,10 @@ def dedupe_corpus(df: DataFrame, text: str = "text", order: str = "doc_id", out:
     """Distinct texts get ids in first-seen order; every row gets the id of its text.
 
     Texts are grouped on a 128-bit hash plus length, so only the key and the order column are
-    shuffled, never the text itself.
+    shuffled, never the text itself. Null texts are one text of their own.
     """
     key = [F.xxhash64(F.col(text)).alias("_h1"), F.xxhash64(F.lit("nluscore"), F.col(text)).alias("_h2"),
-           F.length(F.col(text)).alias("_len")]
+           F.coalesce(F.length(F.col(text)), F.lit(-1)).alias("_len")]
     keyed = df.select(F.col(order), *key)
     first = keyed.groupBy("_h1", "_h2", "_len").agg(F.min(order).alias("_first"))
     ids = with_row_id(first, ["_first"], out)

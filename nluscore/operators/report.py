@@ -39,10 +39,16 @@ def fill_spec(spec: DataFrame, results: DataFrame, keys, value: str = "value") -
         value, F.coalesce(F.col("_v"), F.lit(0.0))).drop("_v")
 
 
+def _scaled(filled: DataFrame, factor: float):
+    """Value × the row's own ``factor`` where the spec has that column (scores already in percent: 1)."""
+    own = F.coalesce(F.col("factor"), F.lit(factor)) if "factor" in filled.columns else F.lit(factor)
+    return F.col("value") * own
+
+
 def task_scores(filled: DataFrame, model: str = "model", factor: float = 100.0) -> DataFrame:
-    """Per model and task, the mean over its configs of the task's first metric × factor."""
+    """Per model and task, the mean over its configs of the task's first metric × factor (the spec's own, if it has one)."""
     first = filled.filter(F.col("metric_rank") == 0)
-    return first.groupBy(model, "task").agg((F.avg("value") * factor).alias("value"))
+    return first.groupBy(model, "task").agg(F.avg(_scaled(filled, factor)).alias("value"))
 
 
 def suite_scores(tasks: DataFrame, suites: DataFrame, model: str = "model") -> DataFrame:
@@ -55,13 +61,13 @@ def language_scores(filled: DataFrame, model: str = "model", factor: float = 100
     """Per model and language, mean over tasks of the first metric × factor (R13: union of
     languages, a language no task has stays absent rather than dividing by zero)."""
     first = filled.filter(F.col("metric_rank") == 0)
-    return first.groupBy(model, "lang").agg((F.avg("value") * factor).alias("value"))
+    return first.groupBy(model, "lang").agg(F.avg(_scaled(filled, factor)).alias("value"))
 
 
 def language_detail(filled: DataFrame, model: str = "model", factor: float = 100.0) -> DataFrame:
     """Per task a row per model with one column per language (first metric × factor)."""
     first = filled.filter(F.col("metric_rank") == 0)
-    return first.groupBy(model, "task").pivot("lang").agg(F.first(F.col("value") * factor))
+    return first.groupBy(model, "task").pivot("lang").agg(F.first(_scaled(filled, factor)))
 
 
 def config_language(spec_rows: list[tuple[str, str, str]], spark) -> DataFrame:

@@ -26,12 +26,15 @@ def judged_from_qrels(qrels: DataFrame, max_k: int, by=None, rel: str = "rel") -
     """Per query ``n_rel`` and the ``ideal`` gains (top max_k relevance values, descending)."""
     by = as_list(by)
     pos = qrels.filter(F.col(rel) > 0)
-    w = Window.partitionBy("qid").orderBy(F.col(rel).desc())
+    w = Window.partitionBy("qid", *by).orderBy(F.col(rel).desc())
     top = pos.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_k)
-    ideal = top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(rel).cast("double").alias("_gain")))),
+    ideal = top.groupBy("qid", *by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(rel).cast("double").alias("_gain")))),
                                                 lambda x: x["_gain"]).alias("ideal"))
     n = pos.groupBy("qid", *by).agg(F.count(F.lit(1)).alias("n_rel"))
-    return n.join(ideal, "qid", "left")
+    keys = ["qid", *by]
+    ideal = ideal.withColumnsRenamed({k: f"_ideal_{k}" for k in keys})
+    same = [n[k].eqNullSafe(ideal[f"_ideal_{k}"]) for k in keys]
+    return n.join(ideal, same, "left").drop(*(f"_ideal_{k}" for k in keys))
 
 
 def binary_ideal(n_rel: Column, max_k: int) -> Column:

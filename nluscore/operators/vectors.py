@@ -239,7 +239,7 @@ def pool_tokens(df: DataFrame, tokens: str, mask_len: str, how: str, out: str =
     if how == "first_token":
         res = F.transform(F.element_at(t, 1), lambda x: x.cast("double"))
     elif how == "last_token":
-        res = F.transform(F.element_at(t, n), lambda x: x.cast("double"))
+        res = F.transform(F.element_at(t, F.greatest(n, F.lit(1))), lambda x: x.cast("double"))
     elif how == "mean":
         res = F.transform(wsum(lambda i: F.lit(1.0)), lambda x: x / F.greatest(n.cast("double"), F.lit(1e-9)))
     elif how == "weightedmean":

@@ -206,3 +206,40 @@ def test_discover_models_and_truncate(spark):
     assert [r["model"] for r in R.discover_models(res, "xnli").collect()] == ["m1"]
     df = spark.createDataFrame([(["a", "b", "c", "d"],)], "t array<string>")
     assert df.select(T.truncate(F.col("t"), 3, model_max=2).alias("x")).first()["x"] == ["a", "b"]
+
+
+def test_missing_predictions_count_as_wrong(spark):
+    from nluscore.operators import classify as C
+    df = spark.createDataFrame([("a", "a"), ("b", None), ("b", "b"), ("a", None)], "gold string, pred string")
+    assert C.accuracy(df, "pred", "gold").first()["accuracy"] == 0.5
+    got = {r["label"]: (r["tp"], r["fp"], r["fn"]) for r in C.class_counts(C.confusion(df, "pred", "gold")).collect()}
+    assert got == {"a": (1.0, 0.0, 1.0), "b": (1.0, 0.0, 1.0)}
+
+
+def test_null_texts_are_one_corpus_entry(spark):
+    from nluscore.operators.labels import dedupe_corpus
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, "x"), (4, None), (5, "")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["corpus_id"], r["is_first"]) for r in dedupe_corpus(df).collect()}
+    assert got == {1: (0, True), 2: (1, True), 3: (0, False), 4: (1, False), 5: (2, True)}
+
+
+def test_ideal_gains_per_key(spark):
+    from nluscore.operators.retrieval import judged_from_qrels
+    q = spark.createDataFrame([(1, 1, "a", 2), (1, 2, "a", 1), (1, 1, "b", 3), (1, 9, None, 5), (1, 3, "a", 0)],
+                              "qid long, docid long, cfg string, rel int")
+    got = {r["cfg"]: (r["n_rel"], r["ideal"]) for r in judged_from_qrels(q, 2, "cfg").collect()}
+    assert got == {"a": (2, [2.0, 1.0]), "b": (1, [3.0]), None: (1, [5.0])}
+
+
+def test_factor_of_the_spec(spark):
+    from nluscore.operators import report as G
+    df = spark.createDataFrame([("m", "qa", "de", 0, 80.0, 1.0), ("m", "nli", "de", 0, 0.5, 100.0)],
+                               "model string, task string, lang string, metric_rank int, value double, factor double")
+    assert {r["task"]: r["value"] for r in G.task_scores(df).collect()} == {"qa": 80.0, "nli": 50.0}
+    assert G.language_scores(df).first()["value"] == 65.0
+
+
+def test_last_token_of_an_empty_mask(spark):
+    from nluscore.operators.vectors import pool_tokens
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], 0)], "t array<array<double>>, n int")
+    assert pool_tokens(df, "t", "n", "last_token", "v").first()["v"] == [1.0, 2.0]
