@@ -19,10 +19,7 @@ import hashlib
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
-from itertools import filterfalse
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +35,9 @@ HOT_WORDS, HOT_BYTES = 1 << 19, 40
 #: Unicode White_Space, which the pre-tokenizer's pattern calls \s.
 WHITE = "\t-\r \x85\xa0  -     　"
 
+#: Bytes of text whose words are counted together, and are looked up together: bounds a task's arrays.
+COUNT_BYTES, JOIN_BYTES = 1 << 25, 1 << 22
+
 _tokenizers: dict[str, "Bpe"] = {}
 
 
@@ -59,6 +59,7 @@ class Bpe:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         #: a space between white space, or between white space and the end: a run that a plain cut would divide
         self.uneven = re.compile(rf" (?<=[{WHITE}] )(?=[{WHITE}]|\Z)")
+        self.uneven_re2 = rf"[{WHITE}] ([{WHITE}]|\z)"
         self.rule = re.compile(
             rf"{special}|[{WHITE}]+(?=\Z|{special})| ?(?:(?!{special})[^{WHITE}])+|[{WHITE}]+(?=[{WHITE}])|[{WHITE}]")
 
@@ -69,6 +70,30 @@ class Bpe:
         out = text.replace(" ", "\0 ").split("\0")
         return out if out[0] else out[1:]
 
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words of many texts in order, as slices of their bytes, and the bounds of each text among them.
+
+        Most texts are cut before every space; those with added tokens or white space that a cut would
+        divide follow :func:`words`.
+        """
+        texts = pc.fill_null(texts, "")
+        off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        if off[-1] == off[0]:
+            return pa.array([], pa.string()), np.zeros(len(off), np.int64)
+        start = np.frombuffer(texts.buffers()[2], np.uint8)[off[0]:off[-1]] == 32
+        at = off.astype(np.int64) - off[0]
+        start[at[:-1][at[:-1] < at[1:]]] = True
+        odd = pc.match_substring_regex(texts, self.uneven_re2)
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            sizes = [len(w.encode()) for w in self.words(texts[int(k)].as_py())]
+            start[at[k]:at[k + 1]] = False
+            start[at[k] + np.cumsum([0, *sizes[:-1]])] = True
+        cut = np.append(np.flatnonzero(start), at[-1])
+        words = pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer((cut + off[0]).astype(np.int32)), texts.buffers()[2])
+        return words, np.searchsorted(cut, at)
+
     def encode(self, words: list[str]) -> list[bytes]:
         """Each word's ids as bytes of ``dtype``."""
         out, kind = [], "H" if self.dtype.itemsize == 2 else "I"
@@ -88,13 +113,15 @@ class Bpe:
                 self._pieces[i] = piece.encode() if piece in self.added else bytes(byte[c] for c in piece)
         return self._pieces
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids, through the id-to-piece table."""
-        at = ids.tolist()
-        if not at:
-            return ""
-        got = itemgetter(*at)(self.pieces())
-        return (got if len(at) == 1 else b"".join(got)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Texts of the ids between each two bounds, in UTF-8, through the id-to-piece table."""
+        if not hasattr(self, "_piece_table"):
+            self._piece_table = pa.array(self.pieces(), pa.binary())
+        body = self._piece_table.take(pa.array(ids))
+        if not len(ids):
+            return [b""] * (len(bounds) - 1)
+        at, data = np.frombuffer(body.buffers()[1], np.int32)[bounds].tolist(), memoryview(body.buffers()[2])
+        return [str(data[i:j], "utf-8", "replace").encode() for i, j in zip(at, at[1:])]
 
 
 def bpe(path: str) -> Bpe:
@@ -103,40 +130,40 @@ def bpe(path: str) -> Bpe:
     return _tokenizers[path]
 
 
-def _strings(batch: pa.RecordBatch, name: str) -> Iterator[str]:
-    for k in range(0, batch.num_rows, 256):
-        yield from (t or "" for t in batch.column(name).slice(k, 256).to_pylist())
+def _parts(batch: pa.RecordBatch, size: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose column ``name`` has about ``size`` bytes; a longer value is a slice of its own."""
+    lo = total = 0
+    for hi, n in enumerate(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy().tolist()):
+        if hi > lo and total + n > size:
+            yield batch.slice(lo, hi - lo)
+            lo, total = hi, 0
+        total += n
+    if batch.num_rows > lo:
+        yield batch.slice(lo)
+
+
+def _listed(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def _pairs(part: pa.RecordBatch) -> dict[str, bytes]:
     """Word to ids of all lists in the columns words and ids."""
-    flat = []
-    for name in ("words", "ids"):
-        flat.append(part.column(name).flatten().to_pylist())
-    return dict(zip(*flat))
+    return dict(zip(_listed(part.column("words").flatten()), _listed(part.column("ids").flatten())))
 
 
 def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every distinct word that all texts hold more than once: (word, n, ids), written to the shared folder."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, seen, left = bpe(path), Counter(), 0
+        t = bpe(path)
         for b in batches:
-            for s in _strings(b, "text"):
-                seen.update(t.words(s))
-                left += len(s)
-                if left > 1 << 25:  # a bounded batch of counts
-                    yield _counts(seen)
-                    seen, left = Counter(), 0
-        if seen:
-            yield _counts(seen)
-
-    def _counts(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            for part in _parts(b, COUNT_BYTES):
+                seen = t.split(part.column("text"))[0].value_counts()
+                yield pa.RecordBatch.from_arrays(seen.flatten(), names=["word", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = bpe(path)
         for b in batches:
-            ids = t.encode(b.column("word").to_pylist())
+            ids = t.encode(_listed(b.column("word")))
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     counted = need(docs, text).select(F.col(text).alias("text")).mapInArrow(count, "word string, n bigint")
@@ -181,54 +208,62 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, known = bpe(path), hot.value
         for b in batches:
-            keys, out = [], []
-            for k, s in zip(b.column("key").to_pylist(), _strings(b, "text")):
-                new = set(filterfalse(known.__contains__, t.words(s)))
-                keys += [k] * len(new)
-                out += new
-                if len(out) > 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["key", "word"])
-                    keys, out = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["key", "word"])
+            for part in _parts(b, JOIN_BYTES):
+                found, bounds = t.split(part.column("text"))
+                found = found.dictionary_encode()
+                unknown = np.array([w not in known for w in _listed(found.dictionary)], bool)
+                at = found.indices.to_numpy()
+                here = np.flatnonzero(unknown[at])
+                # each text's unknown words once: (row, word) as one number
+                row = np.repeat(np.arange(part.num_rows), np.diff(bounds))[here]
+                row, word = np.divmod(np.unique(row * len(unknown) + at[here]), max(1, len(unknown)))
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), found.dictionary.take(pa.array(word))], names=["key", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            body = [z.compress(s.encode()) for s in _strings(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(body, pa.binary())], names=["id", "key", "body"])
+            for part in _parts(b, JOIN_BYTES):
+                body = [z.compress(s or b"") for s in _listed(part.column("text").cast(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(body, pa.binary())], names=["id", "key", "body"])
 
     def by_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = bpe(path)
+        t, z = bpe(path), zstandard.ZstdDecompressor()
         for b in batches:
-            lo = size = 0
-            for hi, n in enumerate(pc.binary_length(b.column("body")).to_pylist(), 1):
-                size += n
-                if hi == b.num_rows or hi - lo == 512 or size > 1 << 20:  # compressed bytes
-                    yield together(t, b.slice(lo, hi - lo))
-                    lo, size = hi, 0
-
-    def together(t: Bpe, part: pa.RecordBatch) -> pa.RecordBatch:
-        """Results of some texts: words that only one of them holds are encoded for all in one call."""
-        z, table = zstandard.ZstdDecompressor(), hot.value
-        found, mine = [], _pairs(part)
-        for body in part.column("body"):
-            ws = t.words(z.decompress(body.as_py()).decode())
-            ids = list(map(table.get, ws))
-            found.append((ids, [(k, ws[k]) for k, x in enumerate(ids) if x is None]))
-        once = list({w for _, gaps in found for _, w in gaps if w not in mine})
-        mine.update(zip(once, t.encode(once)))
-        cols = [[] for _ in range(5 if full else 3)]
-        for ids, gaps in found:
-            for k, w in gaps:
-                ids[k] = mine[w]
-            at = np.frombuffer(b"".join(ids), t.dtype)
-            back, wide = t.decode(at), at.astype("<u4").tobytes()
-            row = (len(at), hashlib.sha256(wide).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), wide, back)
-            for col, value in zip(cols, row):
-                col.append(value)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+            for some in _parts(b, JOIN_BYTES, "body"):  # compressed bytes
+                texts, lo, size = [], 0, 0
+                for hi, body in enumerate(_listed(some.column("body")), 1):
+                    texts.append(z.decompress(body))
+                    size += len(texts[-1])
+                    if hi == some.num_rows or size > JOIN_BYTES:
+                        yield together(t, some.slice(lo, hi - lo), pa.array(texts, pa.binary()).cast(pa.string(), safe=False))
+                        texts, lo, size = [], hi, 0
+
+    def together(t: Bpe, part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+        """Results of some texts: each word they hold is looked up, or encoded here, once for all of them."""
+        found, bounds = t.split(texts)
+        found = found.dictionary_encode()
+        ws = _listed(found.dictionary)
+        ids = list(map(hot.value.get, ws))
+        own = _pairs(part)
+        for k in [k for k, x in enumerate(ids) if x is None]:
+            ids[k] = own.get(ws[k])
+        once = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(once, t.encode([ws[k] for k in once])):
+            ids[k] = x
+        flat = pa.array(ids, pa.binary()).take(found.indices)
+        if len(flat):
+            bounds = np.frombuffer(flat.buffers()[1], np.int32)[bounds] // t.dtype.itemsize
+            at = np.frombuffer(flat.buffers()[2], t.dtype, count=int(bounds[-1]))
+        else:
+            at = np.zeros(0, t.dtype)
+        back, wide, ends = t.decode(at, bounds), at.astype("<u4"), bounds.tolist()
+        wide = [wide[i:j].tobytes() for i, j in zip(ends, ends[1:])]
+        sha = lambda values: [hashlib.sha256(v).hexdigest() for v in values]
+        cols = [pa.array(np.diff(bounds), pa.int64()), pa.array(sha(wide)), pa.array(sha(back))]
+        if full:
+            cols += [pa.array(wide, pa.binary()), pa.array(back, pa.binary()).cast(pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-        return pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, cols, kinds)], names=names[:len(cols) + 1])
+        return pa.RecordBatch.from_arrays([part.column("id"), *cols], names=names[:len(cols) + 1])
 
     kind = rows.schema["id"].dataType.simpleString()
     wanted = rows.select("key", "text").mapInArrow(rare, "key bigint, word string")
