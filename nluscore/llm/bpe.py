@@ -36,7 +36,7 @@ HOT_WORDS, HOT_BYTES = 1 << 19, 40
 WHITE = "\t-\r \x85\xa0  -     　"
 
 #: Bytes of text whose words are counted together, and are looked up together: bounds a task's arrays.
-COUNT_BYTES, JOIN_BYTES = 1 << 25, 1 << 22
+COUNT_BYTES, JOIN_BYTES = 1 << 24, 1 << 22
 
 _tokenizers: dict[str, "Bpe"] = {}
 
