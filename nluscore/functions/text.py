@@ -111,3 +111,14 @@ def fill_template(template: str, mapping: Mapping[str, str | Column] | None = No
 def as_array(col: str, dtype: str) -> Column:
     """Wrap a scalar into a 1-element array; arrays pass through (decided from the schema)."""
     return F.col(col) if dtype.startswith("array") else F.array(F.col(col))
+
+
+def drop_ignored(gold: str | Column, pred: str | Column, ignore: int = -100) -> Column:
+    """Aligned label arrays → array of (gold, pred) without the positions whose gold is ``ignore``.
+
+    Null golds stay: only the ignore index marks a position as not scored. Where the prediction is
+    shorter its missing positions are null; positions beyond the gold's are not scored.
+    """
+    gold, pred = _c(gold), _c(pred)
+    pairs = F.transform(gold, lambda g, i: F.struct(g.alias("gold"), F.get(pred, i).alias("pred")))
+    return F.filter(pairs, lambda p: ~p["gold"].eqNullSafe(F.lit(ignore)))

@@ -243,3 +243,10 @@ def test_last_token_of_an_empty_mask(spark):
     from nluscore.operators.vectors import pool_tokens
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], 0)], "t array<array<double>>, n int")
     assert pool_tokens(df, "t", "n", "last_token", "v").first()["v"] == [1.0, 2.0]
+
+
+def test_drop_ignored(spark):
+    rows = [([-100, 1, 2, -100], [9, 1, 3, 9]), ([1, 2], [1]), ([None, -100], [4, 5]), ([], [1]), (None, [1]), ([3], None)]
+    d = spark.createDataFrame(rows, "gold array<int>, pred array<int>").select(TX.drop_ignored("gold", "pred").alias("p"))
+    got = [None if r.p is None else [tuple(x) for x in r.p] for r in d.collect()]
+    assert got == [[(1, 1), (2, 3)], [(1, 1), (2, None)], [(None, 4)], [], None, [(3, None)]]
