@@ -6,7 +6,9 @@ compared with each other and better neighbours replace worse ones, until a round
 Lists that are saturated (all k neighbours are links) can't tell how many links a vector has: they
 are enlarged to the vector's whole component, compared in blocks. Around a component's centre, vectors
 within half the threshold's angle are all linked by the triangle inequality and are only counted; the
-others are compared with everyone. Recall is audited against brute force on a bounded set of
+others are compared with everyone. Near copies can fill all k places of each other's lists and so hide the
+links from one component to another: saturated vectors look for their k best neighbours in other
+components, which are merged by the links found, until no link is new. Recall is audited against brute force on a bounded set of
 queries, and more buckets are drawn while it is too low. Equal vectors are one node with a weight.
 """
 
@@ -60,39 +62,51 @@ def _matrix(cells, dtype) -> np.ndarray:
     return np.stack([np.frombuffer(c, dtype) for c in cells])
 
 
-def _top(ids: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's k best others: (src, dst, sim)."""
+def _top(ids: np.ndarray, m: np.ndarray, k: int, comps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's k best others, of other components where these are given: (src, dst, sim)."""
     s = m @ m.T
     np.fill_diagonal(s, -2)
+    if comps is not None:
+        s[comps[:, None] == comps[None, :]] = -2
     k = min(k, len(ids) - 1)
     best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()
+    sim = np.take_along_axis(s, best, 1).ravel()
+    good = sim > -1.5
+    return np.repeat(ids, k)[good], ids[best].ravel()[good], sim[good]
 
 
 GROUP = "src bigint, dst bigint, sim float"
 
 
 def _near(k: int):
-    """Arrow step: groups of (id, v32) -> the k best pairs of each member."""
+    """Arrow step: groups of (id, v32) -> the k best pairs of each member; with (id, v32, c) pairs of two components c."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = []
             for g in b.column("g"):
                 # a vector that is around twice counts once
-                got = {int(x["id"]): x["v32"] for x in g.as_py()}
+                got = {int(x["id"]): x for x in g.as_py()}
                 if len(got) > 1:
-                    parts.append(_top(np.fromiter(got, np.int64, len(got)), _matrix(got.values(), np.float32), k))
+                    comps = [x.get("c") for x in got.values()]
+                    comps = None if comps[0] is None else np.array(comps, np.int64)
+                    if comps is None or (comps != comps[0]).any():
+                        parts.append(_top(np.fromiter(got, np.int64, len(got)), _matrix([x["v32"] for x in got.values()], np.float32), k, comps))
             if parts:
                 src, dst, sim = (np.concatenate(c) for c in zip(*parts))
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sim.astype(np.float32))], names=["src", "dst", "sim"])
     return run
 
 
+def _member(reps: DataFrame) -> list[str]:
+    """Columns that stand for a vector in a group; the component c only where ``reps`` has it."""
+    return ["id", "v32"] + [c for c in reps.columns if c == "c"]
+
+
 def seeds(reps: DataFrame, n: int, k: int, leaf: int, turn: int, threshold: float) -> DataFrame:
     """First neighbours: pairs that share a bucket of hyperplane signs in one of several tables.
 
     Bits grow with the logarithm of the rows, tables so that a pair at the threshold shares a bucket
-    with a chance of about 0.97. A bucket above 4 leaves (one of near copies) is dealt into leaves by hash.
+    with a chance of about 0.97. With a column c only pairs of two components count. A bucket above 4 leaves (one of near copies) is dealt into leaves by hash.
     """
     bits = max(0, math.ceil(math.log2(max(1, n / leaf))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
@@ -110,15 +124,18 @@ def seeds(reps: DataFrame, n: int, k: int, leaf: int, turn: int, threshold: floa
                 m = _matrix([b.column("v32")[int(i)].as_py() for i in at], np.float32)
                 sign = (m @ planes[dim] > 0).reshape(len(at), tables, -1)[:, :, :bits].astype(np.int64)
                 out[at] = (sign << np.arange(bits)).sum(axis=2) if bits else 0
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("dim"), b.column("v32"), pa.array(out.tolist(), pa.list_(pa.int64()))], names=["id", "dim", "v32", "codes"])
+            names = b.schema.names
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(out.tolist(), pa.list_(pa.int64()))], names=[*names, "codes"])
 
-    each = reps.select("id", "dim", "v32").mapInArrow(codes, "id bigint, dim int, v32 binary, codes array<bigint>")
-    each = each.select("id", "dim", "v32", F.posexplode("codes").alias("t", "code"))
+    member = _member(reps)
+    kinds = "dim int, id bigint, v32 binary" + ", c bigint" * ("c" in member)
+    each = reps.select("dim", *member).mapInArrow(codes, f"{kinds}, codes array<bigint>")
+    each = each.select("dim", *member, F.posexplode("codes").alias("t", "code"))
     keys = ["dim", "t", "code"]
     large = stored(each.drop("v32").groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 4 * leaf), "large")
     each = each.join(large, keys, "left").withColumn(
         "piece", F.pmod(F.xxhash64("id", "t"), F.coalesce(F.ceil(F.col("n") / F.lit(leaf)), F.lit(1))))
-    groups = each.groupBy(*keys, "piece").agg(F.collect_list(F.struct("id", "v32")).alias("g"))
+    groups = each.groupBy(*keys, "piece").agg(F.collect_list(F.struct(*member)).alias("g"))
     return groups.select("g").mapInArrow(_near(k), GROUP)
 
 
@@ -129,17 +146,32 @@ def best(edges: DataFrame, k: int) -> DataFrame:
     return stored(one.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "graph")
 
 
-def descend(graph: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """One round: vectors around a node (neighbours, and 2 k of those that have it as one) meet each other."""
+def descend(graph: DataFrame, reps: DataFrame, k: int, also: DataFrame | None = None) -> DataFrame:
+    """One round: vectors around a node (neighbours, those in ``also`` too, and 2 k of those that have it as one) meet each other."""
     back = graph.select(F.col("dst").alias("mid"), F.col("src").alias("x"))
     draw = F.row_number().over(Window.partitionBy("mid").orderBy(F.xxhash64("mid", "x")))
     back = back.withColumn("r", draw).where(F.col("r") <= 2 * k).select("mid", "x")
-    around = graph.select(F.col("src").alias("mid"), F.col("dst").alias("x")).unionByName(back).distinct()
-    held = around.join(reps.select(F.col("id").alias("x"), "v32"), "x")
-    groups = held.groupBy("mid").agg(F.collect_list(F.struct(F.col("x").alias("id"), "v32")).alias("g"))
+    around = graph.select(F.col("src").alias("mid"), F.col("dst").alias("x")).unionByName(back)
+    if also is not None:
+        around = around.unionByName(also.select(F.col("src").alias("mid"), F.col("dst").alias("x")))
+    member = _member(reps)
+    held = around.distinct().join(reps.select(*member), F.col("x") == F.col("id"))
+    groups = held.groupBy("mid").agg(F.collect_list(F.struct(*member)).alias("g"))
     return best(graph.unionByName(groups.select("g").mapInArrow(_near(k), GROUP)), k)
 
 
+def refined(graph: DataFrame, reps: DataFrame, k: int, threshold: float, also: DataFrame | None = None) -> DataFrame:
+    """Rounds of descent until one adds hardly any link."""
+    count = graph.where(F.col("sim") >= threshold).count()
+    for _ in range(ROUNDS):
+        graph = descend(graph, reps, k, also)
+        now = graph.where(F.col("sim") >= threshold).count()
+        if now <= count * 1.001:
+            break
+        count = now
+    return graph
+
+
 def verified(graph: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) of the graph whose cosine in double precision reaches the threshold, written."""
     pairs = graph.where(F.col("sim") >= threshold - 1e-4).select(
@@ -157,6 +189,29 @@ def verified(graph: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(check, "a bigint, b bigint"), "links")
 
 
+def joined(graph: DataFrame, edges: DataFrame, reps: DataFrame, threshold: float, k: int, leaf: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, components): ``edges`` with links between components that saturated lists had no place for.
+
+    A link is missing from the graph only where the lists of both its ends are full of links. Those vectors
+    get lists of neighbours in other components; the links found merge components, and vectors whose new
+    list is full again go on, as their list can hide a third component, until no link is new.
+    """
+    lists = graph
+    while True:
+        comp = components(edges)
+        full = lists.where(F.col("sim") >= threshold - 1e-4).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        some = reps.select("id", "dim", "v32").join(full.select("id"), "id").join(comp.select(F.col("node").alias("id"), F.col("component").alias("c")), "id")
+        some = stored(some, "saturated")
+        if len(some.select("c").distinct().take(2)) < 2:
+            return edges, comp
+        lists = best(seeds(some, some.count(), k, leaf, turn, threshold), k)
+        lists = refined(lists, some, k, threshold, graph)
+        new = verified(lists, reps, threshold)
+        if new.isEmpty():
+            return edges, comp
+        edges = edges.unionByName(new)
+
+
 def _count(threshold: float):
     """Arrow step: two sides of (id, v, w) -> links of each member; an empty second side means all pairs of the first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,18 +334,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embe
     """
     rows, reps = nodes(vectors, id_col, vec)
     n = reps.count()
-    graph, links = None, None
+    graph, links, edges = None, None, None
     for turn in range(4):
         first = seeds(reps, n, k, leaf, turn, threshold)
         graph = best(first if graph is None else graph.unionByName(first), k)
-        count = graph.where(F.col("sim") >= threshold).count()
-        for _ in range(ROUNDS):
-            graph = descend(graph, reps, k)
-            now = graph.where(F.col("sim") >= threshold).count()
-            if now <= count * 1.001:
-                break
-            count = now
-        comp = components(verified(graph, reps, threshold))
+        graph = refined(graph, reps, k, threshold)
+        now = verified(graph, reps, threshold)
+        edges, comp = joined(graph, now if edges is None else edges.unionByName(now), reps, threshold, k, leaf, turn)
         links = stored(degrees(reps, comp, threshold, block), "degrees")
         if recall(links, reps, n, threshold, AUDIT) >= target:
             break

@@ -252,3 +252,24 @@ def test_embedding_links(spark):
             todo += new
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (len(links.get(k, ())), min(seen), min(seen) == k), k
     assert neighbours.near_duplicates(d.limit(0)).count() == 0
+
+
+def near_groups(rng, sizes, across):
+    """Groups of near copies around unit vectors that have the cosine ``across`` with the first one's."""
+    base = np.linalg.qr(rng.standard_normal((24, len(sizes))))[0].T
+    centres = [base[0]] + [across * base[0] + np.sqrt(1 - across**2) * b for b in base[1:]]
+    return [c + 1e-4 * rng.standard_normal(24) for c, n in zip(centres, sizes) for _ in range(n)]
+
+
+def test_embedding_links_between_groups_of_near_copies(spark):
+    # all 8 places of every list go to the own group; the second and third group link with the first alone
+    rng = np.random.default_rng(8)
+    vecs = near_groups(rng, (12, 10, 30), 0.955) + list(rng.standard_normal((150, 24)))
+    m = np.array(vecs) / np.linalg.norm(vecs, axis=1)[:, None]
+    near = m @ m.T >= 0.95
+    assert near[:12, :52].all() and not near[12:22, 22:52].any()
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vecs)], "vec_id bigint, embedding array<double>")
+    for leaf in (16, 256):
+        got = {r.vec_id: r for r in neighbours.near_duplicates(d, leaf=leaf, block=16).collect()}
+        assert [got[k].n_links for k in got] == [near[k].sum() - 1 for k in got]
+        assert all(got[k].component_id == (0 if k < 52 else k) and got[k].kept == (k == 0 or k >= 52) for k in got)
