@@ -9,7 +9,8 @@ within half the threshold's angle are all linked by the triangle inequality and
 others are compared with everyone. Near copies can fill all k places of each other's lists and so hide the
 links from one component to another: saturated vectors look for their k best neighbours in other
 components, which are merged by the links found, until no link is new. Recall is audited against brute force on a bounded set of
-queries, and more buckets are drawn while it is too low. Equal vectors are one node with a weight.
+queries, as a mean over vectors in classes of their own for small and large groups; more buckets are drawn
+while a class is too low, and a class that stays too low is an error. Equal vectors are one node with a weight.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import components, need, stored
 
-#: Neighbours a node, rows of a leaf, rows of a block, rounds of descent, queries of an audit, recall asked for.
-K, LEAF, BLOCK, ROUNDS, AUDIT, RECALL = 8, 64, 512, 4, 256, 0.99
+#: Neighbours a node, rows of a leaf, rows of a block, rounds of descent, recall asked for, turns of new buckets.
+K, LEAF, BLOCK, ROUNDS, RECALL, TURNS = 8, 64, 512, 4, 0.99, 4
+#: Queries of an audit: inside components above a block, and outside (many vectors there have no links).
+AUDIT, AUDIT_OUTSIDE = 256, 1024
 
 
 def nodes(vectors: DataFrame, id_col: str, vec: str) -> tuple[DataFrame, DataFrame]:
@@ -292,13 +295,24 @@ def degrees(reps: DataFrame, comp: DataFrame, threshold: float, block: int) -> D
     return counted.unionByName(inner).unionByName(across).groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def recall(links: DataFrame, reps: DataFrame, n: int, threshold: float, queries: int) -> float:
-    """Links found over links there are, for about ``queries`` nodes picked by hash, against all nodes."""
-    pick = F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1 << 30)) < min(1.0, queries / max(1, n)) * (1 << 30)
-    asked = reps.where(pick).select("id", "dim", "v").collect()
+def recall(links: DataFrame, comp: DataFrame, reps: DataFrame, threshold: float, k: int, block: int) -> dict[str, float]:
+    """Mean share of its links that an audited node was found to have, by class; nodes without links don't count.
+
+    Nodes are picked by hash and compared with all nodes, those outside components of more than ``block``
+    nodes on their own. In both, nodes with up to ``k`` links and nodes with more are classes: many links of
+    a large group can't outweigh the lost links of a small one.
+    """
+    sizes = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    inside = comp.join(sizes, "component").select(F.col("node").alias("id"), F.lit(True).alias("inside"))
+    parts = stored(reps.select("id").join(inside, "id", "left").select("id", F.coalesce("inside", F.lit(False)).alias("inside")), "audit-parts")
+    counts = dict(parts.groupBy("inside").count().collect())
+    draw, pick = F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1 << 30)), F.lit(False)
+    for part, queries in ((True, AUDIT), (False, AUDIT_OUTSIDE)):
+        pick = pick | ((F.col("inside") == part) & (draw < min(1.0, queries / max(1, counts.get(part, 0))) * (1 << 30)))
+    asked = reps.select("id", "dim", "v").join(parts.where(pick), "id").collect()
     if not asked:
-        return 1.0
-    shared = reps.sparkSession.sparkContext.broadcast([(r[0], r[1], bytes(r[2])) for r in asked])
+        return {}
+    shared = reps.sparkSession.sparkContext.broadcast([(r.id, r.dim, bytes(r.v)) for r in asked])
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim: dict[int, list] = {}
@@ -309,8 +323,8 @@ def recall(links: DataFrame, reps: DataFrame, n: int, threshold: float, queries:
         for b in batches:
             dims = np.array(b.column("dim"))
             for d, (ids, q) in side.items():
-                at = np.nonzero(dims == d)[0]
-                if len(at):
+                all_at = np.nonzero(dims == d)[0]
+                for at in np.split(all_at, range(block, len(all_at), block)) if len(all_at) else ():
                     m = _matrix([b.column("v")[int(i)].as_py() for i in at], float)
                     w = np.array(b.column("w"))[at]
                     for i, c in zip(ids.tolist(), ((q @ m.T >= threshold) @ w).tolist()):
@@ -318,32 +332,41 @@ def recall(links: DataFrame, reps: DataFrame, n: int, threshold: float, queries:
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["id", "there"])
 
     there = reps.select("id", "dim", "v", "w").mapInArrow(brute, "id bigint, there bigint").groupBy("id").agg(F.sum("there").alias("there"))
-    seen = there.join(reps.select("id", "w"), "id").join(links, "id", "left").select(
-        (F.col("there") - F.col("w")).alias("there"), F.coalesce("links", F.lit(0)).alias("found"))
-    there_n, found_n = seen.agg(F.sum("there"), F.sum(F.least("there", "found"))).first()
-    return 1.0 if not there_n else found_n / there_n
+    seen = there.join(reps.select("id", "w"), "id").join(links, "id", "left").join(parts, "id").select(
+        "inside", (F.col("there") - F.col("w")).alias("there"), F.coalesce("links", F.lit(0)).alias("found")).collect()
+    shares: dict[str, list[float]] = {}
+    for r in seen:
+        if r.there:
+            name = f"{'in' if r.inside else 'out'}side large components, {'up to' if r.there <= k else 'above'} {k} links"
+            shares.setdefault(name, []).append(min(r.there, r.found) / r.there)
+    return {name: sum(x) / len(x) for name, x in sorted(shares.items())}
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding", threshold: float = 0.95, k: int = K,
-                    leaf: int = LEAF, block: int = BLOCK, target: float = RECALL) -> DataFrame:
+                    leaf: int = LEAF, block: int = BLOCK, target: float = RECALL, turns: int = TURNS) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Vectors that are null, empty, zero or hold null or non-finite parts link with nothing. Equal vectors
     always link. Vectors of different length never do. Repeated ids are rows of their own that share
-    the id. Links below the threshold in double precision are never made.
+    the id. Links below the threshold in double precision are never made. RuntimeError with the measured
+    figures when the audit's recall is below ``target`` in some class after all turns.
     """
     rows, reps = nodes(vectors, id_col, vec)
     n = reps.count()
     graph, links, edges = None, None, None
-    for turn in range(4):
+    for turn in range(turns):
         first = seeds(reps, n, k, leaf, turn, threshold)
         graph = best(first if graph is None else graph.unionByName(first), k)
         graph = refined(graph, reps, k, threshold)
         now = verified(graph, reps, threshold)
         edges, comp = joined(graph, now if edges is None else edges.unionByName(now), reps, threshold, k, leaf, turn)
         links = stored(degrees(reps, comp, threshold, block), "degrees")
-        if recall(links, reps, n, threshold, AUDIT) >= target:
+        found = recall(links, comp, reps, threshold, k, block)
+        if min(found.values(), default=1.0) >= target:
             break
+    else:
+        figures = "; ".join(f"{name}: {x:.4f}" for name, x in found.items())
+        raise RuntimeError(f"near duplicates: recall below {target} after {turns} turns of buckets ({figures})")
     node = reps.select(F.col("v").alias("nv"), F.col("id").alias("node"), "w")
     named = (node.join(links.withColumnRenamed("id", "node"), "node", "left").join(comp, "node", "left")
              .select("nv", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))

@@ -273,3 +273,14 @@ def test_embedding_links_between_groups_of_near_copies(spark):
         got = {r.vec_id: r for r in neighbours.near_duplicates(d, leaf=leaf, block=16).collect()}
         assert [got[k].n_links for k in got] == [near[k].sum() - 1 for k in got]
         assert all(got[k].component_id == (0 if k < 52 else k) and got[k].kept == (k == 0 or k >= 52) for k in got)
+
+
+def test_embedding_audit_sees_lost_pairs_beside_a_large_group(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pairs = rng.standard_normal((20, 24))
+    vecs = near_groups(rng, (200,), 0) + [v + 0.01 * rng.standard_normal(24) for v in pairs for _ in range(2)]
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vecs)], "vec_id bigint, embedding array<double>")
+    seeds = neighbours.seeds
+    monkeypatch.setattr(neighbours, "seeds", lambda *a: seeds(*a).where("src < 200 and dst < 200"))
+    with pytest.raises(RuntimeError, match="up to 8 links: 0.0000"):
+        neighbours.near_duplicates(d, turns=1)
