@@ -3,8 +3,8 @@
 A page is read as a stream of standard-library parser events, without a tree. Each block (a line of
 the page) gets its text-to-tag ratio: code points over tags met. The ratios, smoothed by a Gaussian
 along the page, are cut into two clusters by an iterated threshold; lines of the upper cluster are
-content. The region is the element that holds that content, and every block of it is kept, short ones
-too, but for boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms,
+content. The region is the outermost articles that hold that content, or the element that does, widened to
+its parents until one would add lines of links; every block of it is kept, short ones too, but for boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments), known by element, role or name.
 """
 
@@ -40,6 +40,8 @@ NAMES = frozenset("ad ads advert adverts advertisement advertising adsense spons
                   "sidenav widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share "
                   "sharing social related recommended recommendations comment comments respond replies disqus popup modal "
                   "overlay pagination pager toolbar skip paywall disclaimer".split())
+# Of these, names that also drop an article inside another article or main.
+COMMENTS = frozenset("comment comments replies".split())
 HEADERS = frozenset(["header", "pageheader", "siteheader"])
 WITH = frozenset("has with no without is".split())
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -61,26 +63,31 @@ def _named(attrs: dict, inside: bool) -> bool:
     return False
 
 
+def _comment(attrs: dict) -> bool:
+    return any(COMMENTS.intersection(p.lower() for p in PART.findall(name))
+               for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split())
+
+
 class Lines(HTMLParser):
-    """Blocks of a page: text, tags met, and the numbers of the region elements around each."""
+    """Blocks of a page: text, tags met, the numbers of the region elements around each, and characters in links."""
 
     def __init__(self, by_name: bool = True):
         super().__init__(convert_charrefs=True)
         self.by_name = by_name
         self.stack: list[tuple[str, bool, bool]] = []  # name, starts a dropped part, is a region
-        self.drop = self.article = 0
+        self.drop = self.article = self.anchors = 0
         self.regions: list[tuple[int, str]] = []
         self.made = 0
         self.parts: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, tuple]] = []
+        self.tags = self.linked = 0
+        self.lines: list[tuple[str, int, tuple, int]] = []
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, tuple(self.regions)))
+            self.lines.append((text, self.tags, tuple(self.regions), self.linked))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def pop(self) -> None:
         name, dropped, region = self.stack.pop()
@@ -92,6 +99,7 @@ class Lines(HTMLParser):
             self.regions.pop()
         if name in ("article", "main"):
             self.article -= 1
+        self.anchors -= name == "a"
 
     def close_to(self, names: set[str], holders: set[str]) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -123,9 +131,12 @@ class Lines(HTMLParser):
         dropped = tag in HIDDEN or tag == "header" and not inside
         if not dropped and self.by_name and tag not in ("html", "body", "main", "article"):
             dropped = _named(dict(attrs), inside)
+        if self.by_name and tag == "article" and inside:
+            dropped = _comment(dict(attrs))
         region = tag in REGION
         self.drop += dropped
         self.article += tag in ("article", "main")
+        self.anchors += tag == "a"
         if region:
             self.made += 1
             self.regions.append((self.made, tag))
@@ -155,8 +166,10 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.drop:
             self.parts.append(data)
+            if self.anchors:
+                self.linked += sum(map(len, data.split()))
 
-    def read(self, html: str) -> list[tuple[str, int, tuple]]:
+    def read(self, html: str) -> list[tuple[str, int, tuple, int]]:
         try:
             self.feed(html)
             self.close()
@@ -191,6 +204,11 @@ def threshold(values: np.ndarray) -> float:
     return t
 
 
+def _links(line: tuple[str, int, tuple, int]) -> bool:
+    """Half of the line or more is link text, as in menus without a name."""
+    return 2 * line[3] >= sum(map(len, line[0].split()))
+
+
 def main_text(html: str | None) -> str:
     """Text of the page's article: blocks in page order, joined by newlines; empty if there is none."""
     if not html:
@@ -200,24 +218,39 @@ def main_text(html: str | None) -> str:
         lines = Lines(by_name=False).read(html)
     if not lines:
         return ""
-    length = np.array([len(t) for t, _, _ in lines], float)
-    ratio = length / np.maximum(1, [n for _, n, _ in lines])
+    length = np.array([len(x[0]) for x in lines], float)
+    ratio = length / np.maximum(1, [x[1] for x in lines])
     wide = smoothed(np.log1p(ratio))
     content = wide > threshold(wide)
     mass = length * content
     held: dict[tuple, float] = {}
-    for m, (_, _, around) in zip(mass, lines):
+    outer: dict[tuple, float] = {}  # articles that no other holds
+    for m, (_, _, around, _) in zip(mass, lines):
         for r in around:
             held[r] = held.get(r, 0.0) + m
+        article = next((r for r in around if r[1] in ("article", "main")), None)
+        if article:
+            outer[article] = held[article]
     total = mass.sum()
-    articles = [r for r in held if r[1] in ("article", "main") and held[r] >= 0.5 * total]
+    if outer and sum(outer.values()) >= 0.5 * total:
+        return "\n".join(t for t, _, around, _ in lines if any(outer.get(r) for r in around))
     inner = [r for r in held if held[r] >= SHARE * total and r[1] not in ("html", "body")]
-    region = max(articles or inner, default=None)
-    if region is not None:
-        return "\n".join(t for t, _, around in lines if region in around)
-    # No element holds the content: the stretch from its first to its last line, with a heading before it.
+    if inner:
+        region = max(inner)
+        path = next(around for _, _, around, _ in lines if region in around)
+        for parent in reversed(path[:path.index(region)]):
+            if any(_links(x) for x in lines if parent in x[2] and region not in x[2]):
+                break
+            region = parent
+        return "\n".join(t for t, _, around, _ in lines if region in around)
+    # No element holds the content: the stretch from its first to its last line, widened up to lines of links.
     at = np.nonzero(content)[0]
-    return "\n".join(t for t, _, _ in lines[max(0, int(at[0]) - 1):int(at[-1]) + 1])
+    lo, hi = int(at[0]), int(at[-1])
+    while lo > 0 and not _links(lines[lo - 1]):
+        lo -= 1
+    while hi + 1 < len(lines) and not _links(lines[hi + 1]):
+        hi += 1
+    return "\n".join(x[0] for x in lines[lo:hi + 1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -210,6 +210,22 @@ def test_html(spark):
     assert sorted(r.n_chars for r in got) == [0, 0, len(htmltext.main_text(page))]
 
 
+def test_html_keeps_the_whole_article():
+    long = "word " * 400
+    ends = "<body><nav><a>n</a></nav><div><a>Home</a></div>{}<div><a>Imprint</a></div><footer>f</footer></body>"
+    cases = {
+        "<div id=content><h1>T</h1><p class=intro>I</p><div class=body><p>{0}</p></div><p>end</p></div>": ["T", "I", long, "end"],
+        "<div><h1>T</h1><div class=share>s</div><section><p>{0}</p></section></div>": ["T", long],
+        "<h1>T</h1><p>I</p><p>{0}</p><p>{0}</p><p>end</p>": ["T", "I", long, long, "end"],
+        "<article><h1>T</h1><p>x {0}</p><article class=comment><p>{0}{0}</p></article></article>": ["T", "x " + long],
+        "<article><p>short</p><article><p>{0}</p></article></article>": ["short", long],
+        "<main><h1>T</h1><article><p>{0}</p></article></main>": ["T", long],
+        "<article><p>one {0}</p></article><article><p>two {0}</p></article>": ["one " + long, "two " + long],
+    }
+    for html, want in cases.items():
+        assert htmltext.main_text(ends.format(html.format(long))).split("\n") == [x.strip() for x in want], html
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("aeinorst"), 6))
