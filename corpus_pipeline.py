@@ -16,9 +16,26 @@ from nluscore.llm import bpe, common, exact_dedup, langid, mixing, simhash
 from nluscore.llm.queries import tokenizer_path
 
 
-def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (column keep_id), with the columns of ``docs`` alone."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["keep_id"]), "left_semi")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key, which only copies share: (id is null, id, digest of the text), null ids last."""
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")))
+
+
+def chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``docs`` for every key in ``rows`` (column key, once for each row of ``docs`` with it), with the columns of ``docs``."""
+    keys = common.stored(rows.groupBy("key").agg(F.count("*").alias("n")).select("key.id", "key.digest", "n"), "chosen")
+
+    def of(some: DataFrame) -> DataFrame:
+        d = keyed(docs)
+        return d.join(some, d["__key.id"].eqNullSafe(some["id"]) & (d["__key.digest"] == some["digest"]), "left_semi")
+
+    once = of(keys.where("n = 1")).select(*docs.columns)
+    copies = keys.where("n > 1")
+    if copies.isEmpty():
+        return once
+    one = of(copies).groupBy("__key").agg(F.max(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(one.select("row.*"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +48,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of texts that are equal but for white space."""
-    groups = exact_dedup.exact_dedup(docs)
-    return chosen(docs, groups.where("kept").select("keep_id").distinct())
+    groups = exact_dedup.exact_dedup(keyed(docs), "__key")
+    return chosen(docs, groups.where("kept").select(F.col("keep_id").alias("key")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every SimHash group: that with the smallest id."""
-    groups = simhash.simhash_dedup(docs, words=4, bits=4)
-    return chosen(docs, groups.select(F.col("component_id").alias("keep_id")).distinct())
+    """One row of every SimHash group: that with the smallest id."""
+    groups = simhash.simhash_dedup(keyed(docs), "__key", words=4, bits=4)
+    return chosen(docs, groups.where("doc_id <=> component_id").select(F.col("component_id").alias("key")))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,17 @@ def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
         at = tok.encode(r.text, add_special_tokens=False).ids
         rows.append((r.doc_id, len(at), sha(np.array(at, "<u4").tobytes()), sha(tok.decode(at, skip_special_tokens=False).encode())))
     assert sorted(map(tuple, result)) == sorted(rows)
+
+
+def test_dedup_stages_keep_one_row_of_a_group(spark):
+    one, two, three = ("".join(f"{w}{k} " for k in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, one, "a"), (1, one, "a"), (1, one, "b"), (1, two, "a"), (2, two, "a"), (2, " " + two, "a"), (3, one, "a"),
+            (None, three, "a"), (None, three, "a"), (None, one, "a"), (None, two, "a"), (None, "", "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    exact = corpus_pipeline.exact_stage(spark, docs, SF)
+    assert exact.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in exact.fillna("").collect()) == Counter([(1, one), (2, " " + two), (None, three), (None, "")])
+    near = corpus_pipeline.near_stage(spark, docs, SF)
+    assert near.columns == docs.columns
+    assert Counter((r.doc_id, (r.text or "").strip()) for r in near.collect()) == Counter(
+        [(1, one.strip()), (1, two.strip()), (None, three.strip()), (None, "")])
