@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, htmltext, langid, mixing, neighbours, simhash, tokenfile, toxicity, warc
+from . import bpe, exact_dedup, htmltext, langid, mixing, neighbours, periodic, simhash, tokenfile, toxicity, warc
 from .sql import ORACLE
 
 
@@ -58,6 +58,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,5 +69,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_html_text, op4_simhash, op5_bpe, op6_language_id,
-                                   op7_mixing, op8_token_files, op9_warc, op10_embedding_dedup, pipeline)}
+                                   op7_mixing, op8_token_files, op9_warc, op10_embedding_dedup, op11_periodic_runs, pipeline)}
 __all__ = ["ORACLE", "QUERIES"]
