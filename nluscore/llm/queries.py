@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, htmltext, langid, mixing, neighbours, periodic, simhash, tokenfile, toxicity, warc, whitening
+from . import bpe, exact_dedup, htmltext, langid, mixing, neighbours, periodic, pii, simhash, tokenfile, toxicity, warc, whitening
 from .sql import ORACLE
 
 
@@ -62,6 +62,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
 
@@ -73,5 +77,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_html_text, op4_simhash, op5_bpe, op6_language_id,
-                                   op7_mixing, op8_token_files, op9_warc, op10_embedding_dedup, op11_periodic_runs, op13_embedding_whitening, pipeline)}
+                                   op7_mixing, op8_token_files, op9_warc, op10_embedding_dedup, op11_periodic_runs, op12_pii, op13_embedding_whitening, pipeline)}
 __all__ = ["ORACLE", "QUERIES"]
