@@ -526,5 +526,8 @@ def pii_digests(docs: DataFrame) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["base"])
     p = p.select("id", "spans", base.alias("base"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return p.select(F.col("id").alias("doc_id"), *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return p.select(F.col("id").alias("doc_id"), *map(number, KINDS), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
