@@ -1,10 +1,10 @@
 """Exact top-k vector search (V2-V5), token pooling (V6) and the in-batch contrastive score.
 
-Top-k plan: the query side is split into chunks whose packed matrix stays under a byte budget
-(counted first); each chunk is broadcast once and the corpus streams through an Arrow kernel that
-does one matrix product per block and keeps a running top-k per query inside the task. The
-per-task lists are then cut to k per query by a window group limit (partial before the shuffle
-on qid, final after). Larger query sides mean more chunks, never a bigger broadcast.
+Top-k plan: both sides are cut into blocks of bounded bytes by a hash of their rows. Every query block meets every
+corpus block in a cell of its own: queries are repeated once per corpus block, corpus vectors once per
+query block, and the two sides are cogrouped on the cell number. A cell is one matrix product (in tiles) and
+leaves at most k hits per query; a window group limit cuts those to k per query before and after the
+shuffle on the query. Nothing goes through the driver but two counts, nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -13,18 +13,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import EPS_NORM
 
-# budget of one broadcast query chunk, and of one score block inside a task
+# bytes of one side of a cell (as doubles), rows below which the corpus isn't cut for parallelism's sake, tile of a product
 DEFAULT_CHUNK_BYTES = 64 << 20
-BLOCK_ELEMENTS = 4 << 20
-
-TOPK_SCHEMA = "qid long, docid long, score double"
-# null payloads travel as distinct sentinels (so a null never equals anything) and come back as null
-_QNULL, _DNULL = -(1 << 63), -(1 << 63) + 1
+BLOCK_ROWS = 4096
+TILE = (1024, 4096)
 
 
 def _matrix(col: pa.Array, n: int) -> np.ndarray:
@@ -92,132 +91,121 @@ def _merge(best_s, best_i, s, ids, k, best_p=None, pay=None):
             None if cp is None else np.take_along_axis(cp, order, 1))
 
 
-def _kernel(bq, k: int, cos: bool, ignore_identical: bool, doc_payload: bool):
-    def run(batches):
-        qids, qm, qpay = bq.value
-        nq = len(qids)
-        if cos:
-            qm = _normalize(qm)
-        best_s = np.zeros((nq, 0))
-        best_i = np.zeros((nq, 0), dtype=np.int64)
-        best_p = np.zeros((nq, 0), dtype=np.int64) if doc_payload else None
-        step = max(1, BLOCK_ELEMENTS // max(nq, 1))
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0 or nq == 0:
-                continue
-            ids_all = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            m_all = _matrix(batch.column(1), n)
-            p_all = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) if doc_payload else None
+def _codes(ids: pa.Array) -> np.ndarray:
+    """Place of each id in ascending order."""
+    out = np.empty(len(ids), dtype=np.int64)
+    out[pc.sort_indices(ids).to_numpy(zero_copy_only=False)] = np.arange(len(ids))
+    return out
+
+
+def _same_ids(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where the ids of the two sides are (ids of different types: as text)."""
+    if a.type != b.type:
+        a, b = pc.cast(a, pa.string()), pc.cast(b, pa.string())
+    both = pa.concat_arrays([a, b]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return both[:len(a)], both[len(a):]
+
+
+def _cell(k: int, cos: bool, ignore_identical: bool, tie: str, names: list[str]):
+    """Hits of one cell: (queries, corpus) as Arrow tables -> the k best per query."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        qids, dids = left.column("qid").combine_chunks(), right.column("docid").combine_chunks()
+        nq, nd = len(qids), len(dids)
+        rows, cols, scores = [], [], []
+        if nq and nd:
+            qm, dm = _matrix(left.column("qv"), nq), _matrix(right.column("dv"), nd)
+            if qm.shape[1] != dm.shape[1]:
+                raise ValueError(f"vectors of different lengths: {qm.shape[1]} and {dm.shape[1]}")
             if cos:
-                m_all = _normalize(m_all)
-            for lo in range(0, n, step):
-                ids, m = ids_all[lo:lo + step], m_all[lo:lo + step]
-                pay = None if p_all is None else p_all[lo:lo + step]
-                s = np.round(qm @ m.T, 9)
-                s[np.isnan(s)] = -1.0
-                if ignore_identical:
-                    s[qids[:, None] == ids[None, :]] = -np.inf
-                bs, bi, bp = _block_top(s, ids, k, pay)
-                best_s, best_i, best_p = _merge(best_s, best_i, bs, bi, k, best_p, bp)
-        if nq == 0 or best_s.shape[1] == 0:
-            return
-        keep = np.isfinite(best_s)
-        cols = [pa.array(np.broadcast_to(qids[:, None], best_s.shape)[keep], pa.int64()),
-                pa.array(best_i[keep], pa.int64()), pa.array(best_s[keep], pa.float64())]
-        names = ["qid", "docid", "score"]
-        if qpay is not None:
-            cols.append(pa.array(np.broadcast_to(qpay[:, None], best_s.shape)[keep], pa.int64()))
-            names.append("qpayload")
-        if doc_payload:
-            cols.append(pa.array(best_p[keep], pa.int64()))
-            names.append("dpayload")
-        yield pa.RecordBatch.from_arrays(cols, names=names)
+                qm, dm = _normalize(qm), _normalize(dm)
+            code = _codes(pc.cast(dids, pa.string()) if tie == "string" else dids)
+            at = np.argsort(code)
+            same = _same_ids(qids, dids) if ignore_identical else None
+            for lo in range(0, nq, TILE[0]):
+                q = qm[lo:lo + TILE[0]]
+                best_s, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), dtype=np.int64)
+                for first in range(0, nd, TILE[1]):
+                    s = np.round(q @ dm[first:first + TILE[1]].T, 9)
+                    s[np.isnan(s)] = -1.0
+                    if same is not None:
+                        s[same[0][lo:lo + len(q), None] == same[1][None, first:first + TILE[1]]] = -np.inf
+                    bs, bi, _ = _block_top(s, code[first:first + TILE[1]], k)
+                    best_s, best_i, _ = _merge(best_s, best_i, bs, bi, k)
+                row, col = np.nonzero(best_s > -np.inf)
+                rows.append(row + lo)
+                cols.append(at[best_i[row, col]])
+                scores.append(best_s[row, col])
+        row = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+        col = pa.array(np.concatenate(cols) if cols else np.zeros(0, np.int64))
+        made = {"qid": lambda: qids.take(row), "docid": lambda: dids.take(col),
+                "score": lambda: pa.array(np.concatenate(scores) if scores else np.zeros(0)),
+                "qpayload": lambda: left.column("qp").combine_chunks().take(row),
+                "dpayload": lambda: right.column("dp").combine_chunks().take(col)}
+        return pa.table([made[n]() for n in names], names=names)
     return run
 
 
-def rank_top_k(cands: DataFrame, k: int, key: str = "qid") -> DataFrame:
-    """W1/V5 final cut: rank by score desc, docid desc; keep rank <= k (window group limit)."""
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("docid").desc())
+def rank_top_k(cands: DataFrame, k: int, key: str = "qid", tie: str = "id") -> DataFrame:
+    """W1/V5 final cut: rank by score desc, docid desc (``tie="string"``: the docid as text); keep
+    rank <= k (window group limit)."""
+    last = F.col("docid").cast("string") if tie == "string" else F.col("docid")
+    w = Window.partitionBy(key).orderBy(F.col("score").desc(), last.desc())
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def merge_top_k(parts: list[DataFrame], k: int) -> DataFrame:
+def merge_top_k(parts: list[DataFrame], k: int, tie: str = "id") -> DataFrame:
     """V5: merge partial top-k lists; a hit listed twice counts once (decision R1)."""
     u = parts[0].select("qid", "docid", "score")
     for p in parts[1:]:
         u = u.unionByName(p.select("qid", "docid", "score"))
     u = u.groupBy("qid", "docid").agg(F.max("score").alias("score"))
-    return rank_top_k(u, k)
-
-
-def prepare_queries(queries: DataFrame, qid: str = "qid", vec: str = "embedding",
-                    chunk_bytes: int | None = None, payload: str | None = None) -> list:
-    """Count the query side and broadcast it in chunks of at most ``chunk_bytes`` (or the session
-    setting ``spark.nluscore.topk.chunkBytes``, default 64 MB). Reusable across corpus batches.
-    ``payload``: an integer column of the queries emitted with every hit (``qpayload``)."""
-    spark = queries.sparkSession
-    cols = [F.col(qid).cast("long").alias("qid"), F.col(vec).alias("v")]
-    if payload:
-        cols.append(F.coalesce(F.col(payload).cast("long"), F.lit(_QNULL)).alias("p"))
-    q = queries.select(*cols).filter(F.col("qid").isNotNull())
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    nq, dim = int(stats["n"]), int(stats["dim"] or 0)
-    if nq == 0:
-        return []
-    budget = chunk_bytes or int(spark.conf.get("spark.nluscore.topk.chunkBytes", str(DEFAULT_CHUNK_BYTES)))
-    chunks = max(1, math.ceil(nq * max(dim, 1) * 8 / budget))
-    out = []
-    for i in range(chunks):
-        qc = q if chunks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == i)
-        tbl = qc.toArrow()
-        ids = tbl.column(0).to_numpy().astype(np.int64)
-        qpay = tbl.column(2).to_numpy().astype(np.int64) if payload else None
-        out.append(spark.sparkContext.broadcast((ids, _matrix(tbl.column(1), len(ids)), qpay)))
-    return out
+    return rank_top_k(u, k, tie=tie)
 
 
-def score_corpus(prepared: list, corpus: DataFrame, k: int, docid: str = "docid", vec: str = "embedding",
-                 metric: str = "cos_sim", ignore_identical: bool = False, payload: str | None = None,
-                 query_payload: bool = False) -> DataFrame:
-    """Per-task top-k candidates of every prepared query chunk over ``corpus`` (one pass per chunk),
-    cut to k per query → ``(qid, docid, score, rank[, qpayload][, dpayload])``.
-
-    ``payload``: an integer corpus column emitted with each hit (``dpayload``), so e.g. a label can
-    decide relevance without joining the hits back to the corpus."""
-    if metric not in ("cos_sim", "dot"):
-        raise ValueError(f"metric must be cos_sim or dot, not {metric!r}")
-    spark = corpus.sparkSession
-    schema = TOPK_SCHEMA + (", qpayload long" if query_payload else "") + (", dpayload long" if payload else "")
-    if not prepared:
-        return spark.createDataFrame([], schema + ", rank int")
-    cols = [F.col(docid).cast("long").alias("docid"), F.col(vec).alias("v")]
-    if payload:
-        cols.append(F.coalesce(F.col(payload).cast("long"), F.lit(_DNULL)).alias("p"))
-    c = corpus.select(*cols)
-    parts = [c.mapInArrow(_kernel(bq, k, metric == "cos_sim", ignore_identical, bool(payload)), schema)
-             for bq in prepared]
-    for col_name, sentinel, on in (("qpayload", _QNULL, query_payload), ("dpayload", _DNULL, bool(payload))):
-        if on:
-            parts = [x.withColumn(col_name, F.when(F.col(col_name) != sentinel, F.col(col_name))) for x in parts]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return rank_top_k(u, k)
+def vector_blocks(df: DataFrame, vec: str, chunk_bytes: int | None = None, spread: bool = False) -> int:
+    """Blocks of at most ``chunk_bytes`` (or the session setting ``spark.nluscore.topk.chunkBytes``, default 64 MB) that hold the
+    vectors as doubles; with ``spread``, also enough blocks of BLOCK_ROWS rows to use the shuffle partitions."""
+    conf = df.sparkSession.conf
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.col(vec))).alias("dim")).first()
+    n, dim = int(stats["n"]), max(int(stats["dim"] or 0), 1)
+    budget = chunk_bytes or int(conf.get("spark.nluscore.topk.chunkBytes", str(DEFAULT_CHUNK_BYTES)))
+    blocks = max(1, math.ceil(n * dim * 8 / budget))
+    if spread:
+        blocks = max(blocks, min(int(conf.get("spark.sql.shuffle.partitions")), math.ceil(n / BLOCK_ROWS)))
+    return blocks
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, qid: str = "qid", docid: str = "docid",
           vec: str = "embedding", qvec: str | None = None, metric: str = "cos_sim",
           ignore_identical: bool = False, chunk_bytes: int | None = None,
-          qpayload: str | None = None, dpayload: str | None = None) -> DataFrame:
-    """V4: exact top-k per query → ``(qid, docid, score, rank)``.
-
-    Scores are rounded to 9 digits before ranking so equal vectors tie; NaN scores become -1.
-    The query side is broadcast in counted chunks (see ``prepare_queries``); the corpus is read
-    once per chunk.
+          qpayload: str | None = None, dpayload: str | None = None, tie: str = "id",
+          query_blocks: int | None = None) -> DataFrame:
+    """V4: exact top-k per query -> ``(qid, docid, score, rank[, qpayload][, dpayload])``.
+
+    Ids may have any type and keep it. Scores are rounded to 9 digits before ranking so equal vectors tie; ties are broken
+    by the greater id, with ``tie="string"`` by the greater id as text (the order of trec evaluations). NaN
+    scores become -1. Rows with a null id take no part. ``qpayload`` / ``dpayload``: a column of either side emitted
+    with every hit, so e.g. a label can decide relevance without a join. ``query_blocks``: blocks of the query side
+    where they are known (otherwise counted).
     """
-    prepared = prepare_queries(queries, qid, qvec or vec, chunk_bytes, qpayload)
-    return score_corpus(prepared, corpus, k, docid, vec, metric, ignore_identical, dpayload, bool(qpayload))
+    if metric not in ("cos_sim", "dot"):
+        raise ValueError(f"metric must be cos_sim or dot, not {metric!r}")
+    if tie not in ("id", "string"):
+        raise ValueError(f"tie must be id or string, not {tie!r}")
+    pay_q = [F.col(qpayload).alias("qp")] if qpayload else []
+    pay_d = [F.col(dpayload).alias("dp")] if dpayload else []
+    q = queries.filter(F.col(qid).isNotNull()).select(F.col(qid).alias("qid"), F.col(qvec or vec).alias("qv"), *pay_q)
+    d = corpus.filter(F.col(docid).isNotNull()).select(F.col(docid).alias("docid"), F.col(vec).alias("dv"), *pay_d)
+    nq = query_blocks or vector_blocks(q, "qv", chunk_bytes)
+    nd = vector_blocks(d, "dv", chunk_bytes, spread=True)
+    q = q.withColumn("cell", F.explode(F.sequence(F.pmod(F.xxhash64("qid", "qv"), F.lit(nq)) * nd, F.pmod(F.xxhash64("qid", "qv"), F.lit(nq)) * nd + (nd - 1))))
+    d = d.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda i: i * nd + F.pmod(F.xxhash64("docid", "dv"), F.lit(nd)))))
+    kinds = {"qid": ("qid", q), "docid": ("docid", d), "qpayload": ("qp", q), "dpayload": ("dp", d)}
+    names = ["qid", "docid", "score"] + (["qpayload"] if qpayload else []) + (["dpayload"] if dpayload else [])
+    schema = T.StructType([T.StructField(n, T.DoubleType() if n == "score" else kinds[n][1].schema[kinds[n][0]].dataType) for n in names])
+    hits = (q.groupBy("cell").cogroup(d.groupBy("cell"))
+             .applyInArrow(_cell(k, metric == "cos_sim", ignore_identical, tie, names), schema))
+    return rank_top_k(hits, k, tie=tie)
 
 
 def pool_tokens(df: DataFrame, tokens: str, mask_len: str, how: str, out: str = "pooled") -> DataFrame:

@@ -1,64 +1,59 @@
 """Incremental exact top-k while the corpus arrives as a stream.
 
 Structured Streaming delivers corpus micro-batches; ``foreachBatch`` scores each batch with the
-block scorer (V4) and merges it with the state table of the previous version (V5, (qid, docid)
-de-duplicated). Every version is written to ``<state>/v=<batch_id>`` with overwrite, so a replayed
-micro-batch rewrites the same version (idempotent); the stream checkpoint records progress.
-State is k rows per query, never the corpus.
+block scorer (V4) and merges it with the state of the previous batch (V5, (qid, docid) de-duplicated). The
+state lives in two slots that take turns: batch b reads slot (b - 1) % 2 and overwrites slot b % 2, so a
+replayed micro-batch rewrites the same slot from the same input (idempotent), and no older version
+stays behind; the stream checkpoint records progress. State is k rows per query, never the corpus.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.vectors import merge_top_k, prepare_queries, score_corpus
+from ..operators.vectors import merge_top_k, top_k, vector_blocks
 from ..session import scratch_path
 
 
-def _latest_version(spark: SparkSession, state: str, before: int) -> str | None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(state)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
+def _slot(spark: SparkSession, state: str, number: int) -> DataFrame | None:
+    """The rows of a slot; None when it was never written."""
+    try:
+        return spark.read.parquet(f"{state}/slot={number}")
+    except AnalysisException:
         return None
-    best = None
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(name[2:])
-            if v < before and (best is None or v > best):
-                best = v
-    return None if best is None else f"{state}/v={best}"
 
 
 def top_k_stream(queries: DataFrame, corpus_stream: DataFrame, k: int, state: str, checkpoint: str,
                  qid: str = "qid", docid: str = "docid", vec: str = "embedding", metric: str = "cos_sim",
-                 ignore_identical: bool = False, trigger_available_now: bool = True):
+                 ignore_identical: bool = False, tie: str = "id", trigger_available_now: bool = True):
     """Start (and, with ``availableNow``, finish) the stream; returns the StreamingQuery."""
     spark = queries.sparkSession
-    prepared = prepare_queries(queries, qid, vec)   # counted and broadcast once for all batches
+    blocks = vector_blocks(queries, vec)   # counted once for all batches
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        hits = score_corpus(prepared, batch, k, docid, vec, metric, ignore_identical)
-        prev = _latest_version(spark, state, batch_id)
-        parts = [hits]
-        if prev:
-            parts.append(spark.read.parquet(prev))
-        merged = merge_top_k(parts, k)
-        merged.select("qid", "docid", "score").write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        parts = [top_k(queries, batch, k, qid, docid, vec, metric=metric, ignore_identical=ignore_identical,
+                       tie=tie, query_blocks=blocks)]
+        prev = _slot(spark, state, (batch_id - 1) % 2) if batch_id else None
+        if prev is not None:
+            parts.append(prev.filter(F.col("version") == batch_id - 1))
+        merged = merge_top_k(parts, k, tie).select("qid", "docid", "score", F.lit(batch_id).cast("long").alias("version"))
+        merged.write.mode("overwrite").parquet(f"{state}/slot={batch_id % 2}")
 
     w = corpus_stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def read_state(spark: SparkSession, state: str, k: int) -> DataFrame:
-    """Final hits ``(qid, docid, score, rank)`` from the newest complete version."""
-    latest = _latest_version(spark, state, 1 << 62)
-    if latest is None:
+def read_state(spark: SparkSession, state: str, k: int, tie: str = "id") -> DataFrame:
+    """Final hits ``(qid, docid, score, rank)`` of the newest version; empty before the first batch."""
+    slots = [s for s in (_slot(spark, state, 0), _slot(spark, state, 1)) if s is not None]
+    if not slots:
         return spark.createDataFrame([], "qid long, docid long, score double, rank int")
-    return merge_top_k([spark.read.parquet(latest)], k)
+    rows = slots[0] if len(slots) == 1 else slots[0].unionByName(slots[1])
+    newest = rows.agg(F.max("version")).first()[0]
+    return merge_top_k([rows.filter(F.col("version") == F.lit(newest))], k, tie)
 
 
 def stage_batches(df: DataFrame, n_batches: int, order: str, path: str) -> str:
