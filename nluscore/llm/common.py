@@ -47,6 +47,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(run):
+    """A map over Arrow batches that gives memory back to the system before and after it: Python workers live on
+    after a task, and what a stage left in their pools would count against the next."""
+    def give_back() -> None:
+        import ctypes
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no glibc
+            pass
+
+    def tidied(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path on it) for a URI or plain path; used inside tasks."""
     from pyarrow import fs

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import bpe
-from .common import filesystem, need, scratch, stored
+from ..operators.prefix import prefix_sum
+from .bpe import JOIN_BYTES, _parts, bpe
+from .common import filesystem, need, scratch, stored, tidy
 
 MAGIC, HEAD, DOC = b"NLUTOK1\0", struct.Struct("<8sIIQQ"), np.dtype([("doc", "<i8"), ("none", "<u8"), ("first", "<u8"), ("n", "<u8")])
 #: Ids in a block; text bytes in a file; words a process keeps encoded.
@@ -108,27 +109,33 @@ class TokenFile:
 
 
 class Encoder:
-    """Encodes whole texts word by word. Keeps the ids of words met lately in two generations of at most
+    """Encodes texts, each distinct word of a portion once. Keeps the ids of words met lately in two generations of at most
     KEEP_WORDS words: when the younger is full it becomes the older, and words met again move on."""
 
     def __init__(self, path: str):
         self.bpe, self.young, self.old = bpe(path), {}, {}
 
-    def __call__(self, text: str) -> bytes:
-        words, young, old = self.bpe.words(text), self.young, self.old
-        new = [w for w in dict.fromkeys(words) if w not in young]
-        if new:
-            if len(young) + len(new) > KEEP_WORDS:
-                self.old, self.young = old, young = young, {}
-                new = list(dict.fromkeys(words))
-            unseen = []
-            for w in new:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    unseen.append(w)
-            young.update(zip(unseen, self.bpe.encode(unseen)))
-        return b"".join([young[w] for w in words])
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.young) + len(words) > KEEP_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        unseen = [w for w in words if w not in young and w not in old]
+        young.update(zip(unseen, self.bpe.encode(unseen)))
+        young.update((w, old[w]) for w in words if w not in young)
+        return [young[w] for w in words]
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each closed by ``end_id``; ids of each text)."""
+        found, bounds = self.bpe.split(texts)
+        found = found.dictionary_encode()
+        flat = pa.array(self.ids(found.dictionary.to_pylist()), pa.binary()).take(found.indices)
+        kind, ends = self.bpe.dtype, np.zeros(len(bounds), np.int64)
+        ids = np.zeros(0, kind)
+        if len(flat):
+            ends = np.frombuffer(flat.buffers()[1], np.int32)[bounds].astype(np.int64) // kind.itemsize
+            ids = np.frombuffer(flat.buffers()[2], kind, count=int(ends[-1]))
+        return np.insert(ids, ends[1:], kind.type(end_id)), np.diff(ends) + 1
 
 
 _encoders: dict[str, Encoder] = {}
@@ -138,9 +145,11 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
                  end_id: int = 0, file_size: int = FILE_BYTES, block: int = BLOCK) -> DataFrame:
     """Writes token files of all rows below ``out``; returns their manifest (file_no, path, documents, ids).
 
-    Rows are dealt to tasks by ranges of doc_id (nulls last), as many as the text bytes ask for, and
-    written in order; a task starts a new file after ``file_size`` text bytes. Ties and repeated rows
-    follow their text's hash. Null texts are empty; every document ends with ``end_id``.
+    Rows are dealt to tasks by ranges of doc_id (nulls last) and the text's hash, as many as the text bytes ask for,
+    and written in order; a task starts a new file after about ``file_size`` text bytes. Ties and repeated rows
+    follow their text's hash, so one id's or all null ids' rows are dealt to many tasks. Null texts are
+    empty; every document ends with ``end_id``; very long texts are a file of their own; an empty table has no
+    documents; extra columns take no part.
     """
     rows = need(docs, id_col, text).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -151,48 +160,46 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
         from pyspark import TaskContext
 
         encode = _encoders.setdefault(path, Encoder(path))
-        bits, end = width(encode.bpe.tok.get_vocab_size()), np.array([end_id], encode.bpe.dtype).tobytes()
+        bits = width(encode.bpe.tok.get_vocab_size())
         fs, folder = filesystem(out)
         fs.create_dir(folder, recursive=True)
         task, done = TaskContext.get().partitionId(), []
         doc, n, body, left = [], [], [], file_size
 
         def close() -> None:
-            ids = np.frombuffer(b"".join(body), encode.bpe.dtype)
+            ids = np.concatenate(body)
             name = f"{task:06d}-{len(done):04d}-{uuid.uuid4().hex}.tok"
             with fs.open_output_stream(f"{folder}/{name}", compression=None) as f:
                 f.write(file_bytes(doc, n, ids, bits, block))
             done.append((task << 32 | len(done), f"{out}/{name}", len(doc), len(ids)))
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256).to_pydict()
-                for d, s in zip(part["id"], part["text"]):
-                    ids = encode(s) + end
-                    doc.append(d)
-                    n.append(len(ids) // len(end))
-                    body.append(ids)
-                    left -= len(s) + 8
-                    if left <= 0:
-                        close()
-                        doc, n, body, left = [], [], [], file_size
+            for part in _parts(b, min(JOIN_BYTES, file_size)):
+                ids, lengths = encode(part.column("text"), end_id)
+                doc += part.column("id").to_pylist()
+                n += lengths.tolist()
+                body.append(ids)
+                left -= part.column("text").nbytes
+                if left <= 0:
+                    close()
+                    doc, n, body, left = [], [], [], file_size
         if doc:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
             zip(*done) if done else ([],) * 4, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["file_no", "path", "documents", "ids"])
 
     order = F.col("id").asc_nulls_last()
-    dealt = rows.repartitionByRange(max(1, -(-size // file_size)), order).sortWithinPartitions(order, F.xxhash64("text"))
-    return stored(dealt.mapInArrow(write, "file_no bigint, path string, documents bigint, ids bigint"), "manifest")
+    tie = F.xxhash64("text")
+    dealt = rows.repartitionByRange(max(1, -(-size // file_size)), order, tie).sortWithinPartitions(order, tie)
+    return stored(dealt.mapInArrow(tidy(write), "file_no bigint, path string, documents bigint, ids bigint"), "manifest")
 
 
 def read_tokens(manifest: DataFrame, full: bool = False) -> DataFrame:
     """Every document from the files: (doc_id, start, n_tokens, ids_crc32[, ids]), start over all files.
 
     One task reads whole files, documents of each file block by block; a file's first position is the
-    running sum over the manifest, one row per file.
+    distributed prefix sum over the manifest, one row per file.
     """
-    start = F.coalesce(F.sum("ids").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,13 +217,15 @@ def read_tokens(manifest: DataFrame, full: bool = False) -> DataFrame:
                         cols, names = [*cols, pa.array(own, pa.binary())], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    listed = stored(manifest.select("file_no", "path", start.alias("base")), "listed")
+    summed = prefix_sum(manifest.select("file_no", "path", "ids"), ["file_no"], "ids", "upto")
+    listed = stored(summed.select("file_no", "path", (F.col("upto") - F.col("ids")).alias("base")), "listed")
     n = max(1, listed.count())
     return listed.repartition(n, "file_no").select("path", "base").mapInArrow(
         read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * full)
 
 
 def token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes all texts as token files in the shared folder and returns every document read back."""
+    """Writes all texts as token files in the shared folder and returns every document read back:
+    (doc_id, start, n_tokens, ids_crc32), see :func:`write_tokens` for nulls, ties, repeats and odd tables."""
     out = scratch(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, path, out, id_col, text))
