@@ -18,14 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, need
+from .common import crc_of_id, need, stored, tidy
 
 #: Bounds of the training sample: rows a language, characters a language.
 TRAIN_ROWS, TRAIN_CHARS = 64, 40_000
-LANE, STEP_CHARS = 512, 1 << 22
+#: Characters of a lane, lanes read together, characters of a portion of texts.
+LANE, LANES, STEP_CHARS = 512, 4096, 1 << 21
 
 
 def _fold() -> np.ndarray:
@@ -103,27 +104,26 @@ class Automaton:
                 table[s, c] = q * self.width
         self.table = table.reshape(-1)
 
-    def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane. lanes: (characters, lanes) of codes, -1 behind a lane's end.
+    def phrases(self, lanes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases of each lane. lanes: (characters, lanes) of codes; sizes: characters of each lane, falling.
 
         A lane's last, open phrase counts as a phrase; its first starts without one being ended.
         """
         steps, n = lanes.shape
         state, count = np.zeros(n, np.uint32), np.zeros(n, np.int32)
         mask, flag = np.uint32((1 << 31) - 1), np.uint32(31)
-        live = (lanes >= 0).sum(axis=0)  # lanes come sorted, longest first
         alive = n
         for k in range(steps):
-            while alive and live[alive - 1] <= k:
+            while alive and sizes[alive - 1] <= k:
                 alive -= 1
             if not alive:
                 break
             s = state[:alive]
-            s += lanes[k, :alive].view(np.uint32)
+            s += lanes[k, :alive]
             got = self.table.take(s)
             count[:alive] += (got >> flag).astype(np.int32)
             np.bitwise_and(got, mask, out=s)
-        return count + (live > 0)
+        return count + (sizes > 0)
 
 
 class Model:
@@ -149,50 +149,64 @@ class Model:
             for lo in range(0, len(t), LANE):
                 owner.append(k)
                 parts.append(t[lo:lo + LANE])
-        order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-        lanes = np.full((len(parts), LANE), -1, np.int32)
-        flat = self.codes(np.concatenate([parts[i] for i in order]))
-        at = 0
-        for j, i in enumerate(order):
-            m = len(parts[i])
-            lanes[j, :m] = flat[at:at + m]
-            at += m
-        lanes = np.ascontiguousarray(lanes.T)
-        who = np.array(owner)[order]
-        size = np.array([len(t) for t in texts], float)
-        out = np.empty((len(texts), len(self.langs)))
-        for k, a in enumerate(self.automata):
-            total = np.bincount(who, a.phrases(lanes), len(texts))
-            out[:, k] = total * math.log2(max(2, a.size)) / size
-        return out
+        sizes = np.array([len(p) for p in parts])
+        order = np.argsort(-sizes, kind="stable")
+        kind = np.uint8 if len(self.points) < 255 else np.uint16 if len(self.points) < 65535 else np.uint32
+        phrases = np.zeros((len(texts), len(self.langs)))
+        for lo in range(0, len(order), LANES):
+            some = order[lo:lo + LANES]
+            size = sizes[some]
+            rows = np.zeros((len(some), size[0]), kind)
+            rows[np.arange(size[0]) < size[:, None]] = self.codes(np.concatenate([parts[i] for i in some]))
+            lanes = np.ascontiguousarray(rows.T)
+            who = np.array([owner[i] for i in some])
+            for k, a in enumerate(self.automata):
+                phrases[:, k] += np.bincount(who, a.phrases(lanes, size), len(texts))
+        bits = np.array([math.log2(max(2, a.size)) for a in self.automata])
+        return phrases * bits / np.array([len(t) for t in texts], float)[:, None]
+
+
+def stretches(t: str, draw: int, share: int) -> np.ndarray:
+    """Folded letters of a text: all, or of a long one four stretches of ``share`` at places drawn by ``draw``."""
+    folded = letters(t)
+    if len(folded) <= 4 * share:
+        return folded
+    places = np.random.default_rng(draw & ((1 << 63) - 1)).integers(0, len(folded) - share + 1, 4)
+    return np.concatenate([np.append(folded[k:k + share], 32) for k in places])
 
 
 def training_texts(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text", id_col: str = "doc_id",
                    rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict[str, np.ndarray]:
-    """At most ``chars`` folded characters a language from at most ``rows`` labelled rows of it.
+    """At most ``chars`` folded characters a language, drawn from ``rows`` of its distinct texts with a letter.
 
-    Rows are picked by a hash of the id below a threshold that each language's row count sets, so the
-    read is a bounded sample at every size; the driver receives languages x chars characters at most.
+    Of each language the texts with the lowest hashes are picked; a long text gives stretches at hashed
+    places, all of it being read. Languages are picked each for itself. The driver receives languages x 4 x chars
+    characters at most.
     """
-    d = need(docs, id_col, lang, text).where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in d.groupBy(lang).agg(F.count("*")).collect()}
-    if not counts:
-        return {}
-    draw = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 30))
-    limit = F.lit(0.0)
-    for k, n in counts.items():
-        limit = F.when(F.col(lang) == k, F.lit(min(1.0, rows / n) * (1 << 30))).otherwise(limit)
-    share = max(1, 2 * chars // rows)
-    picked = (d.where(draw < limit).select(lang, F.substring(text, 1, 4 * share).alias("t"), draw.alias("draw"))
-              .orderBy(lang, "draw", "t").limit(len(counts) * rows * 2).collect())
-    out: dict[str, list] = {}
-    for k, t, _ in picked:
-        out.setdefault(k, []).append(letters(t))
+    d = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    d = d.select("lang", "text", F.xxhash64(F.lit("train"), "text").alias("draw"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    # a written table: its size is known before the texts are read again, so they are not shuffled
+    picked = stored(d.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "draw"), "training-rows")
+    share = max(1, chars // rows)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [stretches(t.as_py(), k, share) for t, k in zip(b.column("text"), b.column("draw").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("draw"), pa.array([g.astype("<i4").tobytes() for g in got], pa.binary())], names=["lang", "draw", "folded"])
+
+    same = d.join(picked, ["lang", "draw"]).dropDuplicates(["lang", "draw"]).select("lang", "draw", "text")
+    parts: dict[str, list] = {}
+    for k, _, folded in same.mapInArrow(cut, "lang string, draw bigint, folded binary").orderBy("lang", "draw").collect():
+        parts.setdefault(k, []).append(np.frombuffer(folded, "<i4"))
     texts = {}
-    for k, parts in out.items():
-        each = max(1, chars // max(1, min(len(parts), rows)))
-        parts = [p[:max(each, share)] for p in parts]
-        joined = np.concatenate([np.append(p, 32) for p in parts])[:chars]
+    for k, some in parts.items():
+        # the characters are spread over all texts: those that are shorter than an even share leave theirs to the others
+        left, each = chars, 0
+        for n, size in enumerate(sorted(len(x) for x in some)):
+            each = max(1, left // (len(some) - n))
+            left -= min(size, each)
+        joined = np.concatenate([np.append(x[:each], 32) for x in some])[:chars]
         if (joined != 32).any():
             texts[k] = joined.astype(np.int32)
     return texts
@@ -207,12 +221,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    d = need(docs, *keep, text).withColumnRenamed(text, "__text")
+    d = need(docs, *keep, *(() if text in keep else (text,)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = b.column("__text")
+            texts = b.column(text)
             pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
             at, some, chars = [], [], 0
             for i in range(b.num_rows + 1):
@@ -241,14 +255,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     schema = StructType([d.schema[k] for k in keep] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(tidy(run), schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per input row; learned from rows not held out.
 
     Held out: crc32 of the id as text mod 3 is 1. Null ids count as the empty id. Text, and of the
-    training rows the label, are all that a prediction rests on.
+    training rows the label, are all that a prediction rests on. Null texts and texts without a letter are ``und``; very
+    long texts are parsed whole; repeated rows get the same result, an empty table none; without labelled training
+    rows every text is ``und``; equal phrase counts go to the first language; extra columns take no part.
     """
     held = crc_of_id(F.col(id_col)) % 3 == 1
     model = Model(training_texts(docs, ~held, lang, text, id_col))
