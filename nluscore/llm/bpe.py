@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, need, release, stored
+from .common import discard, need, release, stored, tidy
 
 #: Words in the broadcast table, and bytes a word of it may have: bounds the broadcast (about 20 MB).
 HOT_WORDS, HOT_BYTES = 1 << 19, 40
@@ -166,9 +166,9 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             ids = t.encode(_listed(b.column("word")))
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
-    counted = need(docs, text).select(F.col(text).alias("text")).mapInArrow(count, "word string, n bigint")
+    counted = need(docs, text).select(F.col(text).alias("text")).mapInArrow(tidy(count), "word string, n bigint")
     table = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return stored(table.mapInArrow(encode, "word string, n bigint, ids binary"), "words")
+    return stored(table.mapInArrow(tidy(encode), "word string, n bigint, ids binary"), "words")
 
 
 def hot_table(words: DataFrame, hot_words: int = HOT_WORDS) -> dict[str, bytes]:
@@ -266,11 +266,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
         return pa.RecordBatch.from_arrays([part.column("id"), *cols], names=names[:len(cols) + 1])
 
     kind = rows.schema["id"].dataType.simpleString()
-    wanted = rows.select("key", "text").mapInArrow(rare, "key bigint, word string")
+    wanted = rows.select("key", "text").mapInArrow(tidy(rare), "key bigint, word string")
     own = stored(wanted.join(words.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
                  .select("key", F.col("own.word").alias("words"), F.col("own.ids").alias("ids")), "own")
     discard(words)
     release(spark)
-    bodies = rows.mapInArrow(packed, f"id {kind}, key bigint, body binary")
+    bodies = rows.mapInArrow(tidy(packed), f"id {kind}, key bigint, body binary")
     out = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * full
-    return bodies.join(own, "key", "left").select("id", "body", "words", "ids").mapInArrow(by_position, out)
+    return bodies.join(own, "key", "left").select("id", "body", "words", "ids").mapInArrow(tidy(by_position), out)
