@@ -210,7 +210,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spans = (got.groupBy(name.alias("__id"), F.col("key").alias("__key"), "first")
              .agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("spans"))
              .groupBy("__id", "__key").agg(F.array_sort(F.collect_list(F.struct("first", "spans"))).alias("__all")))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__key": F.xxhash64(F.col(id_col), F.col(text))})
+    # all source columns travel in one struct: their names can't meet those made here
+    keyed = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("__id"),
+                        F.xxhash64(docs[id_col], docs[text]).alias("__key"))
     nth = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(0)))
     j = keyed.join(spans, ["__id", "__key"]).withColumn("__nth", nth).where(F.col("__nth") <= F.size("__all"))
     j = j.withColumn("spans", F.element_at("__all", F.col("__nth"))["spans"])
@@ -237,6 +239,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             out.append(t if whole else " ".join(t[at[lo][0]:at[hi - 1][1]] for lo, hi in runs))
         return pd.Series(out)
 
-    out = copies.withColumn("__text", cut(F.col(text), F.col("spans"), F.col("__copy")))
+    row = F.col("row")
+    out = copies.withColumn("__text", cut(row[text], F.col("spans"), F.col("__copy")))
     made = {text: F.col("__text")} | ({"n_chars": F.char_length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
-    return out.select(*(made[c].alias(c) if c in made else out[c] for c in columns))
+    return out.select(*((made[c] if c in made else row[c]).alias(c) for c in columns))

@@ -144,7 +144,7 @@ def test_automaton_counts_longest_phrases(spark):
             n += 1
         at, count = at + n, count + 1
     codes = m.codes(np.frombuffer(text.encode("utf-32-le"), np.int32))
-    assert m.automata[0].phrases(codes[:, None]).tolist() == [count]
+    assert m.automata[0].phrases(codes[:, None].astype(np.uint8), np.array([len(codes)])).tolist() == [count]
     assert langid.language_id(empty(spark)).count() == 0
 
 
@@ -158,6 +158,53 @@ def test_language_id_held_out(spark):
     assert [r.lang_pred for r in langid.language_id(d).orderBy("doc_id").collect()][:2] == ["und", "und"]
 
 
+def test_language_id_learns_from_whole_distinct_texts(spark):
+    """Openings without letters or shared by all texts, one text that holds most rows, and languages of any number teach nothing wrong."""
+    rng = np.random.default_rng(2)
+    words = {l: ["".join(rng.choice(list(a), rng.integers(2, 8))) for _ in range(60)] for l, a in
+             {"de": "enrishatdugäöü", "en": "etaoinshrdlu", "xx": "kqwzjvbpy", "yy": "тоеаинсрв"}.items()}
+    rows = []
+    for k in range(400):
+        l = list(words)[k % 4]
+        body = " ".join(rng.choice(words[l], 150))
+        rows.append((k, ("0123456789 " * 600 if l == "de" else "the shared opening " * 400) + body, l))
+    rows += [(10**6 + k, "repeated " * 50, "xx") for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r.lang_pred for r in langid.language_id(d).collect() if r.held_out and r.doc_id < 10**6}
+    assert sum(got[k] == rows[k][2] for k in got) >= 0.97 * len(got)
+    texts = langid.training_texts(d, F.lit(True))
+    assert set(texts) == set(words) and all(len(t) <= langid.TRAIN_CHARS for t in texts.values())
+    assert sorted(map(tuple, langid.language_id(d).collect()), key=str) == sorted(map(tuple, langid.language_id(d.repartition(7)).collect()), key=str)
+
+
+def test_bits_equal_a_parse_of_each_lane(spark):
+    """Predictions of many texts at once against a parse of each lane of each text by itself, words of any length."""
+    rng = np.random.default_rng(4)
+    m = langid.Model({l: langid.letters(" ".join("".join(rng.choice(list(a), 5)) for _ in range(300))) for l, a in (("a", "abcdefg"), ("b", "defghij"))})
+    texts = [langid.letters("".join(rng.choice(list("abcdefghijk "), n))) for n in (3, 1, 511, 512, 513, 1700)]
+    texts = [t for t in texts if len(t)]
+    got = m.bits(texts)
+    for t, row in zip(texts, got):
+        for a, bits in zip(m.automata, row):
+            total = 0
+            for lo in range(0, len(t), langid.LANE):
+                lane = m.codes(t[lo:lo + langid.LANE]).astype(np.uint8)
+                total += int(a.phrases(lane[:, None], np.array([len(lane)]))[0])
+            assert abs(bits - total * np.log2(a.size) / len(t)) < 1e-12
+
+
+def test_token_files_with_null_and_repeated_ids(spark, tok, tmp_path):
+    rows = [(None, f"null {k}", "c", 1) for k in range(30)] + [(7, "same text", "c", 2)] * 20 + [(7, f"other {k}", "c", 2) for k in range(20)] + [(1, None, "c", 3), (2, "long " * 3000, "c", 4)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, path string, ids int")
+    got = tokenfile.read_tokens(tokenfile.write_tokens(d, tokenizer_path(), f"file://{tmp_path}/t", file_size=200, block=16), full=True).collect()
+    want = sorted((str(i), bytes(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4"))) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == want
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is None, i or 0))
+
+
 def test_mixing(spark):
     texts = [None, "", "w " * 700, "v " * 90, "u " * 1500, "v " * 90] + [f"t{k} " * 40 for k in range(60)]
     d = docs(spark, texts)

@@ -95,3 +95,19 @@ def test_dedup_stages_keep_one_row_of_a_group(spark):
     assert near.columns == docs.columns
     assert Counter((r.doc_id, (r.text or "").strip()) for r in near.collect()) == Counter(
         [(1, one.strip()), (1, two.strip()), (None, three.strip()), (None, "")])
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark):
+    text = "".join(f"word{k} of text " for k in range(30))
+    names = ["lang_pred", "score", "spans", "__id", "__key", "key", "row", "id", "digest"]
+    rows = [(k, text + "x" * (k % 3), "en", "a", len(text), *[f"{n}{k}" for n in names], {"m": k}) for k in (1, 2, 3, 3)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, "
+                              + ", ".join(f"{n} string" for n in names) + ", map map<string,int>")
+    for table in (d, d.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            table = common.stored(stage(spark, table, SF), "stage")
+            assert table.columns == d.columns
+            for r in table.collect():
+                assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r["map"] == {"m": r.doc_id}
+        out = corpus_pipeline.bpe_stage(spark, table, SF)
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == table.count()
