@@ -17,44 +17,53 @@ from nluscore.llm.queries import tokenizer_path
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with __key, which only copies share: (id is null, id, digest of the text), null ids last."""
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")))
+    """(row, key, text): all columns in one struct, whatever their names; a key that only copies share, (id is null, id,
+    digest of the text), null ids last; the text."""
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    key = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), digest.alias("digest"))
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key.alias("key"), docs["text"].alias("text"))
 
 
 def chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row of ``docs`` for every key in ``rows`` (column key, once for each row of ``docs`` with it), with the columns of ``docs``."""
+    """One row of ``docs`` for every key in ``rows`` (column key, once for each row of ``docs`` with it), with the columns of ``docs``.
+
+    Of rows that share id and text, that with the greatest JSON form stays: any columns may differ, maps too.
+    """
     keys = common.stored(rows.groupBy("key").agg(F.count("*").alias("n")).select("key.id", "key.digest", "n"), "chosen")
 
     def of(some: DataFrame) -> DataFrame:
         d = keyed(docs)
-        return d.join(some, d["__key.id"].eqNullSafe(some["id"]) & (d["__key.digest"] == some["digest"]), "left_semi")
+        return d.join(some, d["key.id"].eqNullSafe(some["id"]) & (d["key.digest"] == some["digest"]), "left_semi")
+
+    def unpacked(some: DataFrame) -> DataFrame:
+        return some.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
-    once = of(keys.where("n = 1")).select(*docs.columns)
+    once = unpacked(of(keys.where("n = 1")))
     copies = keys.where("n > 1")
     if copies.isEmpty():
         return once
-    one = of(copies).groupBy("__key").agg(F.max(F.struct(*docs.columns)).alias("row"))
-    return once.unionByName(one.select("row.*"))
+    return once.unionByName(unpacked(of(copies).groupBy("key").agg(F.max_by("row", F.to_json("row")).alias("row"))))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (``und``: null text or no letter) go, all others stay."""
     held = common.crc_of_id(F.col("doc_id")) % 3 == 1
     model = langid.Model(langid.training_texts(docs, ~held))
-    named = langid.identify(docs.withColumn("__t", F.col("text")), model, "__t", tuple(docs.columns))
-    return named.where("lang_pred != 'und'").select(*docs.columns)
+    # columns go by place: their names can't meet those of the prediction
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    named = langid.identify(plain, model, f"c{docs.columns.index('text')}", tuple(plain.columns))
+    return named.where("lang_pred != 'und'").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of texts that are equal but for white space."""
-    groups = exact_dedup.exact_dedup(keyed(docs), "__key")
+    """One row of every group of texts that are equal but for white space: the longest text, then the smallest id; null ids last."""
+    groups = exact_dedup.exact_dedup(keyed(docs), "key")
     return chosen(docs, groups.where("kept").select(F.col("keep_id").alias("key")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every SimHash group: that with the smallest id."""
-    groups = simhash.simhash_dedup(keyed(docs), "__key", words=4, bits=4)
+    """One row of every SimHash group: that with the smallest id, null ids last."""
+    groups = simhash.simhash_dedup(keyed(docs), "key", words=4, bits=4)
     return chosen(docs, groups.where("doc_id <=> component_id").select(F.col("component_id").alias("key")))
 
 
