@@ -6,10 +6,11 @@ they join data through a broadcast only after their size is counted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .metrics_table import as_list
 from .prefix import with_row_id
 
@@ -114,15 +115,38 @@ def infer_problem(df: DataFrame, col: str) -> str:
     return kind
 
 
-def dedupe_corpus(df: DataFrame, text: str = "text", order: str = "doc_id", out: str = "corpus_id") -> DataFrame:
+def text_key(text: Column) -> Column:
+    """128 bits of hash and the length of a text; null texts have a key of their own."""
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("nluscore"), text).alias("h2"), F.coalesce(F.length(text), F.lit(-1)).alias("len"))
+
+
+def text_identity(df: DataFrame, text: str, keep: list[str], key=text_key) -> DataFrame:
+    """``keep`` columns plus ``_key`` and ``_clash``, which together are equal exactly for equal texts (null is one text).
+
+    Rows are grouped by a hash key. Texts of keys that several rows share are then compared: a key whose smallest and
+    greatest text differ holds different texts, which get numbers by their order. Texts that occur
+    once never move; of others each map task ships one pair a key.
+    """
+    whole = F.struct(F.col(text).isNull().alias("none"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    keyed = df.select(*keep, key(F.col(text)).alias("_key"), whole.alias("_t"))
+    many = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_key")
+    clash = cut_lineage(keyed.join(many, "_key", "left_semi").groupBy("_key").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+                        .filter(F.col("_lo") != F.col("_hi")).select("_key"))
+    if clash.isEmpty():
+        return keyed.drop("_t").withColumn("_clash", F.lit(0))
+    apart = keyed.join(clash, "_key", "left_semi")
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_t")) - 1
+    numbered = apart.select("_key", "_t").distinct().withColumn("_clash", number)
+    told = apart.join(numbered, ["_key", "_t"]).select(*keep, "_key", "_clash")
+    return keyed.join(clash, "_key", "left_anti").select(*keep, "_key", F.lit(0).alias("_clash")).unionByName(told)
+
+
+def dedupe_corpus(df: DataFrame, text: str = "text", order: str = "doc_id", out: str = "corpus_id", key=text_key) -> DataFrame:
     """Distinct texts get ids in first-seen order; every row gets the id of its text.
 
-    Texts are grouped on a 128-bit hash plus length, so only the key and the order column are
-    shuffled, never the text itself. Null texts are one text of their own.
+    Texts are told apart by :func:`text_identity`: hash keys, verified. Null texts are one text of their own.
     """
-    key = [F.xxhash64(F.col(text)).alias("_h1"), F.xxhash64(F.lit("nluscore"), F.col(text)).alias("_h2"),
-           F.coalesce(F.length(F.col(text)), F.lit(-1)).alias("_len")]
-    keyed = df.select(F.col(order), *key)
-    first = keyed.groupBy("_h1", "_h2", "_len").agg(F.min(order).alias("_first"))
+    named = text_identity(df, text, [order], key)
+    first = named.groupBy("_key", "_clash").agg(F.min(order).alias("_first"))
     ids = with_row_id(first, ["_first"], out)
-    return keyed.join(ids, ["_h1", "_h2", "_len"], "inner").select(order, out, (F.col(order) == F.col("_first")).alias("is_first"))
+    return named.join(ids, ["_key", "_clash"], "inner").select(order, out, (F.col(order) == F.col("_first")).alias("is_first"))

@@ -17,24 +17,49 @@ from .metrics_table import as_list, safe_ratio, to_long
 
 
 def attach_relevance(hits: DataFrame, qrels: DataFrame, rel: str = "rel") -> DataFrame:
-    """Hits ⟕ qrels on (qid, docid); missing judgement = 0."""
-    q = qrels.select("qid", "docid", F.col(rel).alias("rel"))
+    """Hits ⟕ qrels on (qid, docid); missing judgement = 0; a pair judged twice has its greatest value."""
+    q = qrels.groupBy("qid", "docid").agg(F.max(rel).alias("rel"))
     return hits.join(q, ["qid", "docid"], "left").withColumn("rel", F.coalesce(F.col("rel"), F.lit(0)))
 
 
-def judged_from_qrels(qrels: DataFrame, max_k: int, by=None, rel: str = "rel") -> DataFrame:
-    """Per query ``n_rel`` and the ``ideal`` gains (top max_k relevance values, descending)."""
+def judged_from_qrels(qrels: DataFrame, max_k: int, by=None, rel: str = "rel", keep_empty: bool = False) -> DataFrame:
+    """Per query ``n_rel`` and the ``ideal`` gains (top max_k relevance values, descending).
+
+    ``keep_empty``: queries without a positive judgement stay, with n_rel 0 and no ideal gain.
+    """
     by = as_list(by)
-    pos = qrels.filter(F.col(rel) > 0)
-    w = Window.partitionBy("qid", *by).orderBy(F.col(rel).desc())
-    top = pos.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_k)
-    ideal = top.groupBy("qid", *by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(rel).cast("double").alias("_gain")))),
+    q = qrels.groupBy("qid", *by, "docid").agg(F.max(rel).alias("_rel"))
+    w = Window.partitionBy("qid", *by).orderBy(F.col("_rel").desc())
+    top = q.filter(F.col("_rel") > 0).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_k)
+    ideal = top.groupBy("qid", *by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col("_rel").cast("double").alias("_gain")))),
                                                 lambda x: x["_gain"]).alias("ideal"))
-    n = pos.groupBy("qid", *by).agg(F.count(F.lit(1)).alias("n_rel"))
+    n = q.groupBy("qid", *by).agg(F.count_if(F.col("_rel") > 0).alias("n_rel"))
     keys = ["qid", *by]
     ideal = ideal.withColumnsRenamed({k: f"_ideal_{k}" for k in keys})
     same = [n[k].eqNullSafe(ideal[f"_ideal_{k}"]) for k in keys]
-    return n.join(ideal, same, "left").drop(*(f"_ideal_{k}" for k in keys))
+    j = n if keep_empty else n.filter(F.col("n_rel") > 0)
+    j = j.join(ideal, same, "left").drop(*(f"_ideal_{k}" for k in keys))
+    return j.withColumn("ideal", F.coalesce("ideal", F.array().cast("array<double>")))
+
+
+def trec_ranks(hits: DataFrame) -> DataFrame:
+    """Two places of every hit ``(qid, docid, score)`` among its query's: ``rank`` by score, then docid as text, both falling
+    (the order of trec evaluations), and ``heap_rank`` by score, then docid itself (the order of the search)."""
+    w = Window.partitionBy("qid")
+    return (hits.withColumn("rank", F.row_number().over(w.orderBy(F.col("score").desc(), F.col("docid").cast("string").desc())))
+                .withColumn("heap_rank", F.row_number().over(w.orderBy(F.col("score").desc(), F.col("docid").desc()))))
+
+
+def qrels_metrics(hits: DataFrame, qrels: DataFrame, ks: Sequence[int], by=None) -> DataFrame:
+    """V8-V12 of searched hits ``(qid, docid, score)`` against a qrels table ``(qid, docid, rel[, by...])``, graded or not.
+
+    MAP, nDCG, recall and precision rank hits as trec evaluations do and average over judged queries with hits, those
+    without a positive judgement counting 0; gains are the judged values, the ideal order takes all of a query's
+    judgements. MRR takes the search's own order and divides by all judged queries, found or not.
+    """
+    judged = judged_from_qrels(qrels, max(ks), by, keep_empty=True)
+    ranked = trec_ranks(attach_relevance(hits.select("qid", "docid", "score"), qrels))
+    return retrieval_metrics(ranked, judged, ks, by, mrr_rank="heap_rank", keep_empty=True)
 
 
 def binary_ideal(n_rel: Column, max_k: int) -> Column:
@@ -47,8 +72,11 @@ def _idcg(ideal: Column, k: int) -> Column:
     return F.aggregate(F.transform(top, lambda g, i: g / F.log2(i + 2.0)), F.lit(0.0), lambda a, x: a + x)
 
 
-def per_query_metrics(hits: DataFrame, judged: DataFrame, ks: Sequence[int], by=None) -> DataFrame:
-    """MRR, AP, nDCG, recall, precision at each cut-off, one row per judged query with hits."""
+def per_query_metrics(hits: DataFrame, judged: DataFrame, ks: Sequence[int], by=None, mrr_rank: str = "rank",
+                      keep_empty: bool = False) -> DataFrame:
+    """MRR, AP, nDCG, recall, precision at each cut-off, one row per judged query with hits.
+
+    ``mrr_rank``: the column that orders hits for MRR; ``keep_empty``: queries without a relevant doc count 0."""
     by = as_list(by)
     relevant = (F.col("rel") > 0).cast("double")
     w = Window.partitionBy("qid").orderBy("rank")
@@ -57,13 +85,13 @@ def per_query_metrics(hits: DataFrame, judged: DataFrame, ks: Sequence[int], by=
     for k in ks:
         inside = F.col("rank") <= k
         aggs += [
-            F.min(F.when(inside & (F.col("rel") > 0), F.col("rank"))).alias(f"_first_{k}"),
+            F.min(F.when((F.col(mrr_rank) <= k) & (F.col("rel") > 0), F.col(mrr_rank))).alias(f"_first_{k}"),
             F.sum(F.when(inside & (F.col("rel") > 0), F.col("_cum") / F.col("rank")).otherwise(0.0)).alias(f"_ap_{k}"),
             F.sum(F.when(inside, F.col("rel").cast("double") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"_dcg_{k}"),
             F.sum(F.when(inside, relevant).otherwise(0.0)).alias(f"_hit_{k}"),
         ]
     pq = h.groupBy("qid").agg(*aggs)
-    j = pq.join(judged.filter(F.col("n_rel") > 0), "qid", "inner")
+    j = pq.join(judged if keep_empty else judged.filter(F.col("n_rel") > 0), "qid", "inner")
     cols = [*by, "qid"]
     for k in ks:
         cols += [
@@ -76,7 +104,8 @@ def per_query_metrics(hits: DataFrame, judged: DataFrame, ks: Sequence[int], by=
     return j.select(*cols)
 
 
-def retrieval_metrics(hits: DataFrame, judged: DataFrame, ks: Sequence[int], by=None) -> DataFrame:
+def retrieval_metrics(hits: DataFrame, judged: DataFrame, ks: Sequence[int], by=None, mrr_rank: str = "rank",
+                      keep_empty: bool = False) -> DataFrame:
     """V8-V12 averaged per ``by`` key → long ``(by..., metric, value)``.
 
     MRR divides by the number of judged queries (queries without hits count 0); the other
@@ -84,9 +113,9 @@ def retrieval_metrics(hits: DataFrame, judged: DataFrame, ks: Sequence[int], by=
     unioned and reduced by one grouped aggregate (no join of aggregates).
     """
     by = as_list(by)
-    pq = per_query_metrics(hits, judged, ks, by)
+    pq = per_query_metrics(hits, judged, ks, by, mrr_rank, keep_empty)
     names = [f"{m}_at_{k}" for k in ks for m in ("mrr", "map", "ndcg", "recall", "precision")]
-    jq = judged.filter(F.col("n_rel") > 0).select(*by, F.lit(1).alias("_judged"))
+    jq = (judged if keep_empty else judged.filter(F.col("n_rel") > 0)).select(*by, F.lit(1).alias("_judged"))
     u = pq.drop("qid").withColumn("_judged", F.lit(0)).unionByName(jq, allowMissingColumns=True)
     nq = F.sum("_judged")
     aggs = [(F.sum(n) / nq).alias(n) if n.startswith("mrr") else F.avg(n).alias(n) for n in names]

@@ -22,6 +22,10 @@ QUERIES = {
     "retrieval_metrics": ret.retrieval_metrics,
     "retrieval_by_source": ret.retrieval_by_source,
     "bitext_metrics": ret.bitext_metrics,
+    "topk_string_ids": ret.topk_string_ids,
+    "qrels_metrics": ret.qrels_metrics,
+    "merged_eval": ret.merged_eval,
+    "qrels_build": ret.qrels_build,
     "contrastive_loss": ret.contrastive_loss,
     "pool_tokens": ret.pool_tokens,
     "answer_em_f1": qa.answer_em_f1,
@@ -56,6 +60,10 @@ ORACLE = {
     "retrieval_metrics": sql.RETRIEVAL_METRICS,
     "retrieval_by_source": sql.RETRIEVAL_BY_SOURCE,
     "bitext_metrics": sql.BITEXT_METRICS,
+    "topk_string_ids": sql.TOPK_STRING_IDS,
+    "qrels_metrics": sql.QRELS_METRICS,
+    "merged_eval": sql.MERGED_EVAL,
+    "qrels_build": sql.QRELS_BUILD,
     "contrastive_loss": sql.CONTRASTIVE_LOSS,
     "pool_tokens": sql.POOL_TOKENS,
     "answer_em_f1": sql.ANSWER_EM_F1,

@@ -180,6 +180,87 @@ w AS (SELECT accuracy, precision, recall,
 {long_sql('w', [], ['accuracy', 'precision', 'recall', 'f1'])}
 """
 
+WHOLE_NUMBERS = """w AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: floor(CAST(x AS DOUBLE) * 12)) AS v FROM embeddings)"""
+
+TOPK_STRING_IDS = f"""
+WITH {WHOLE_NUMBERS},
+p AS (SELECT 'E' || q.vec_id AS qid, 'E' || d.vec_id AS docid, list_dot_product(q.v, d.v) AS score
+      FROM w q JOIN w d ON q.vec_id <> d.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid DESC) AS rank FROM p)
+SELECT qid, docid, score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10
+"""
+
+
+def _qrels_metrics_sql(by: list[str], ks: list[int]) -> str:
+    """Metrics of hits (qid, docid, score) against qrels (qid, docid, rel[, by]); adds the table `means`."""
+    keys = "".join(f"{b}, " for b in by)
+    jkeys = "".join(f"j.{b}, " for b in by)
+    per_k = ",".join(f"""
+    min(CASE WHEN heap_rank <= {k} AND rel > 0 THEN heap_rank END) AS first_{k},
+    sum(CASE WHEN rank <= {k} AND rel > 0 THEN cum / rank ELSE 0 END) AS ap_{k},
+    sum(CASE WHEN rank <= {k} THEN rel / log2(rank + 1) ELSE 0 END) AS dcg_{k},
+    sum(CASE WHEN rank <= {k} AND rel > 0 THEN 1 ELSE 0 END) AS hit_{k}""" for k in ks)
+    ideal = ",".join(f"sum(CASE WHEN r <= {k} AND rel > 0 THEN rel / log2(r + 1) ELSE 0 END) AS idcg_{k}" for k in ks)
+    metric = ",".join(f"""
+    coalesce(1.0 / first_{k}, 0.0) AS mrr_at_{k}, CASE WHEN n_rel = 0 THEN 0 ELSE ap_{k} / n_rel END AS map_at_{k},
+    CASE WHEN idcg_{k} = 0 THEN 0 ELSE dcg_{k} / idcg_{k} END AS ndcg_at_{k},
+    CASE WHEN n_rel = 0 THEN 0 ELSE hit_{k} / n_rel END AS recall_at_{k}, hit_{k} / {float(k)} AS precision_at_{k}""" for k in ks)
+    names = [f"{m}_at_{k}" for k in ks for m in ("mrr", "map", "ndcg", "recall", "precision")]
+    same = "".join(f" AND j2.{b} IS NOT DISTINCT FROM pq.{b}" for b in by)
+    aggs = ", ".join(f"sum({m}) / (SELECT count(*) FROM jq j2 WHERE TRUE{same}) AS {m}" if m.startswith("mrr") else f"avg({m}) AS {m}" for m in names)
+    group = "GROUP BY " + ", ".join(by) if by else ""
+    return f"""qr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, docid) AS r FROM qrels),
+jq AS (SELECT qid, {keys}count(*) FILTER (WHERE rel > 0) AS n_rel, {ideal} FROM qr GROUP BY ALL),
+hr AS (SELECT h.qid, h.docid, coalesce(q.rel, 0) AS rel,
+         row_number() OVER (PARTITION BY h.qid ORDER BY score DESC, CAST(h.docid AS VARCHAR) DESC) AS rank,
+         row_number() OVER (PARTITION BY h.qid ORDER BY score DESC, h.docid DESC) AS heap_rank
+       FROM hits h LEFT JOIN qrels q ON h.qid = q.qid AND h.docid = q.docid),
+cumd AS (SELECT *, sum(CASE WHEN rel > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY qid ORDER BY rank) AS cum FROM hr),
+agg AS (SELECT qid, {per_k} FROM cumd GROUP BY qid),
+pq AS (SELECT {jkeys}a.qid, {metric} FROM agg a JOIN jq j ON a.qid = j.qid),
+means AS (SELECT {keys}{aggs} FROM pq {group})
+{long_sql('means', by, names)}"""
+
+
+QRELS_METRICS = f"""
+WITH {WHOLE_NUMBERS},
+p AS (SELECT q.vec_id AS qid, d.vec_id AS docid, list_dot_product(q.v, d.v) AS score
+      FROM w q JOIN w d ON q.vec_id <> d.vec_id WHERE q.vec_id % 2 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid DESC) AS place FROM p),
+hits AS (SELECT qid, docid, score FROM t WHERE place <= 10),
+qrels AS (SELECT q.vec_id AS qid, d.vec_id AS docid,
+            CASE WHEN q.label = d.label THEN 3 WHEN abs(q.label - d.label) = 1 THEN 1 ELSE 0 END AS rel
+          FROM w q JOIN w d ON d.vec_id > q.vec_id AND d.vec_id <= q.vec_id + 40
+          WHERE q.vec_id % 2 = 0 OR q.vec_id % 20 = 1),
+{_qrels_metrics_sql([], [1, 3, 5, 10])}
+"""
+
+_MERGED = f"""{UNIT},
+pr AS (SELECT q.vec_id, 'c' || (q.label % 3) AS source, q.u AS asked, d.u AS told, 'entity ' || (((q.vec_id // 2) * 7) % 101) AS text
+       FROM u q JOIN u d ON d.vec_id = q.vec_id + 1 WHERE q.vec_id % 2 = 0),
+nq AS (SELECT *, row_number() OVER (ORDER BY source, vec_id) - 1 AS qid FROM pr),
+f AS (SELECT text, min(qid) AS first_id FROM nq GROUP BY text),
+c AS (SELECT f.text, f.first_id, row_number() OVER (ORDER BY f.first_id) - 1 AS docid, nq.told
+      FROM f JOIN nq ON nq.qid = f.first_id),
+p AS (SELECT nq.qid, c.docid, round(list_dot_product(nq.asked, c.told), 9) AS score FROM nq JOIN c ON TRUE),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid DESC) AS place FROM p),
+hits AS (SELECT qid, docid, score FROM t WHERE place <= 10),
+qrels AS (SELECT nq.qid, c.docid, 1 AS rel, nq.source FROM nq JOIN c ON nq.text = c.text)"""
+
+MERGED_EVAL = f"""
+SELECT 'merged' AS source, metric, value FROM (WITH {_MERGED}, {_qrels_metrics_sql([], [1, 3, 5, 10])})
+UNION ALL
+SELECT source, metric, value FROM (WITH {_MERGED}, {_qrels_metrics_sql(['source'], [1, 3, 5, 10])})
+"""
+
+QRELS_BUILD = """
+WITH q AS (SELECT doc_id, lang AS source, text, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id) - 1 AS qid FROM documents),
+f AS (SELECT text, min(qid) AS first_id FROM q GROUP BY text),
+c AS (SELECT text, row_number() OVER (ORDER BY first_id) - 1 AS docid FROM f)
+SELECT q.qid, q.source, q.doc_id, c.docid, CAST(1 AS BIGINT) AS rel, CAST(length(c.text) AS BIGINT) AS doc_chars
+FROM q JOIN c ON q.text IS NOT DISTINCT FROM c.text
+"""
+
 CONTRASTIVE_LOSS = f"""
 WITH {UNIT},
 q AS (SELECT vec_id // 40 AS batch_id, vec_id AS qid, vec_id + 1 AS pos, u FROM u WHERE vec_id % 2 = 0),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cutoffs
+from ..operators import evalset as E
 from ..operators import retrieval as R
 from ..operators import vectors as V
 from .tables import load
@@ -73,6 +74,55 @@ def bitext_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bitext_metrics(hr, judged)
 
 
+def _whole_numbers(e: DataFrame) -> DataFrame:
+    """Vectors of eight whole numbers: their dot products are exact and tie often."""
+    return e.withColumn("v", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 12).cast("double")))
+
+
+def topk_string_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2 (dot), V4, J6: external ids as text, ties in the order of trec evaluations."""
+    e = _whole_numbers(_emb(spark, sf_dir)).select(F.concat(F.lit("E"), F.col("vec_id").cast("string")).alias("id"), "v")
+    h = V.top_k(e, e, k=TOP_K, qid="id", docid="id", vec="v", metric="dot", ignore_identical=True, tie="string")
+    return h.select("qid", "docid", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def qrels_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8, V8-V12 on graded judgements: every vector's 40 successors are judged 3 (same label), 1 (next label) or 0; even vectors
+    search, odd ones of every tenth pair are judged but never searched."""
+    e = _whole_numbers(_emb(spark, sf_dir))
+    queries = e.filter(F.col("vec_id") % 2 == 0)
+    hits = V.top_k(queries, e, k=TOP_K, qid="vec_id", docid="vec_id", vec="v", metric="dot", ignore_identical=True)
+    near = (e.filter((F.col("vec_id") % 2 == 0) | (F.col("vec_id") % 20 == 1))
+             .select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 40)).alias("docid")))
+    docs = e.select(F.col("vec_id").alias("docid"), F.col("label").alias("dl"))
+    grade = F.when(F.col("ql") == F.col("dl"), 3).when(F.abs(F.col("ql") - F.col("dl")) == 1, 1).otherwise(0)
+    qrels = near.join(docs, "docid").select("qid", "docid", grade.alias("rel"))
+    return R.qrels_metrics(hits, qrels, cutoffs(TOP_K))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of three configs: an even vector asks for the text of the next odd one; texts recur within and across configs."""
+    e = _emb(spark, sf_dir)
+    q = e.filter(F.col("vec_id") % 2 == 0).select("vec_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("config"), F.col("embedding").alias("asked"))
+    d = e.filter(F.col("vec_id") % 2 == 1).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("told"))
+    return q.join(d, "vec_id").withColumn("text", F.concat(F.lit("entity "), F.pmod(F.expr("vec_id div 2") * 7, F.lit(101)).cast("string")))
+
+
+def merged_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three configs, one corpus, one search, metrics merged and per config."""
+    s = E.build_qrels(_pairs(spark, sf_dir), "text", "vec_id", "config", ["asked"], ["told"])
+    return E.evaluate(s.queries, s.corpus, s.qrels, cutoffs(TOP_K), vec="told", qvec="asked")
+
+
+def qrels_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries and corpus of all languages' documents, a document judged relevant for the query of its row."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    s = E.build_qrels(docs, "text", "doc_id", "lang", ["doc_id"])
+    size = s.corpus.select(F.col("docid").alias("shown"), F.length("text").cast("long").alias("doc_chars"))
+    return (s.qrels.join(s.queries.select("qid", "doc_id"), "qid").join(size, F.col("docid") == F.col("shown"))
+             .select("qid", "source", "doc_id", "docid", F.col("rel").cast("long").alias("rel"), "doc_chars"))
+
+
 def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even vector = query, next odd vector = its positive doc, batches of 20 pairs."""
     e = _emb(spark, sf_dir)
