@@ -86,7 +86,7 @@ LABELS = len(KINDS) + 1
 CELLS, TRAIN, WINDOWS, TEXTS = 8, 64, 400, 4000
 STEPS, BATCH, RATE = 640, 128, 0.02
 #: Characters of a window, of its overlap with the next, windows read together, least log-odds of an added span.
-SPAN, OVERLAP, TOGETHER, LEAST = 256, 48, 1024, 0.0
+SPAN, OVERLAP, TOGETHER, LEAST = 512, 48, 512, 0.0
 
 
 def classes(text: str) -> np.ndarray:
