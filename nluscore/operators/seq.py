@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,46 +31,48 @@ def _parse_tag(tag: str, suffix: bool) -> tuple[str, str]:
     return tag[:1], (tag[1:].split("-", maxsplit=1)[-1] or "_")
 
 
-def _chunks_batch(tag_lists, suffix: bool):
-    """Vectorised over a whole Arrow batch: rows are laid end to end, each followed by an 'O'
-    sentinel; flags come from each tag and its predecessor (reset at row starts); every chunk end
-    pairs with the latest start before it in the same row (the row start when there is none)."""
-    lens = np.array([0 if t is None else len(t) for t in tag_lists], dtype=np.int64) + 1
-    row_start = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    flat = []
-    for t in tag_lists:
-        if t is not None:
-            flat.extend(t)
-        flat.append("O")
-    parsed = [_parse_tag(x, suffix) for x in flat]
-    pre = np.array([p for p, _ in parsed], dtype=object)
-    typ = np.array([t for _, t in parsed], dtype=object)
-    n = len(flat)
-    ppre = np.empty(n, dtype=object)
-    ptyp = np.empty(n, dtype=object)
+def _laid_out(tags: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Tags of all rows end to end as dictionary codes (null: "O"), the distinct tags, and the bounds of each row."""
+    lens = pc.fill_null(pc.list_value_length(tags), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(tags.flatten(), "O").dictionary_encode()
+    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary, np.concatenate(([0], np.cumsum(lens)))
+
+
+def _chunks(tags: pa.Array, suffix: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """All chunks of a batch: (row, type number, start, end) in order, and the types' names.
+
+    Rows are laid end to end, each followed by an 'O' sentinel; flags come from each tag and its
+    predecessor (reset at row starts); every chunk end pairs with the latest start before it in the
+    same row (the row start when there is none).
+    """
+    codes, names, bounds = _laid_out(tags)
+    parsed = [_parse_tag(x, suffix) for x in names.to_pylist()] + [_parse_tag("O", suffix)]
+    types = sorted({t for _, t in parsed})
+    number = {t: k for k, t in enumerate(types)}
+    rows = len(bounds) - 1
+    flat = np.insert(codes, bounds[1:], len(parsed) - 1)
+    row_start = bounds[:-1] + np.arange(rows)
+    pre = np.array([ord(p) if p else 0 for p, _ in parsed])[flat]
+    typ = np.array([number[t] for _, t in parsed])[flat]
+    ppre, ptyp = np.empty_like(pre), np.empty_like(typ)
     ppre[1:], ptyp[1:] = pre[:-1], typ[:-1]
-    ppre[row_start], ptyp[row_start] = "O", ""
+    ppre[row_start], ptyp[row_start] = ord("O"), -1
     diff = ptyp != typ
-    end = ((ppre == "E") | (ppre == "S") | (np.isin(ppre, ["B", "I"]) & np.isin(pre, ["B", "S", "O"]))
-           | ((ppre != "O") & (ppre != ".") & diff))
-    start = ((pre == "B") | (pre == "S") | (np.isin(ppre, ["E", "S", "O"]) & np.isin(pre, ["E", "I"]))
-             | ((pre != "O") & (pre != ".") & diff))
-    row_of = np.repeat(np.arange(len(lens)), lens)
-    ends = np.flatnonzero(end)
-    starts = np.flatnonzero(start)
+
+    def among(x: np.ndarray, letters: str) -> np.ndarray:
+        out = np.zeros(len(x), dtype=bool)
+        for c in letters:
+            out |= x == ord(c)
+        return out
+
+    end = among(ppre, "ES") | (among(ppre, "BI") & among(pre, "BSO")) | (~among(ppre, "O.") & diff)
+    start = among(pre, "BS") | (among(ppre, "ESO") & among(pre, "EI")) | (~among(pre, "O.") & diff)
+    ends, starts = np.flatnonzero(end), np.flatnonzero(start)
+    row = np.searchsorted(row_start, ends, side="right") - 1
     k = np.searchsorted(starts, ends, side="left") - 1
-    cand = np.where(k >= 0, starts[np.maximum(k, 0)], -1)
-    rs = row_start[row_of[ends]]
-    begin = np.where(cand >= rs, cand, rs) - rs
-    stop = ends - 1 - rs
-    ctype = ptyp[ends]
-    cut = np.searchsorted(ends, row_start[1:]) if len(lens) > 1 else np.array([], dtype=np.int64)
-    out_t, out_s, out_e = [], [], []
-    for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(ends)]))):
-        out_t.append(list(ctype[a:b]))
-        out_s.append(begin[a:b].astype(np.int32))
-        out_e.append(stop[a:b].astype(np.int32))
-    return out_t, out_s, out_e
+    first = row_start[row]
+    cand = np.where(k >= 0, starts[np.maximum(k, 0)], -1) if len(starts) else np.full(len(ends), -1)
+    return row, ptyp[ends], np.maximum(cand, first) - first, ends - 1 - first, types
 
 
 _CHUNKS_TYPE = T.StructType([T.StructField("type", T.ArrayType(T.StringType())),
@@ -76,16 +80,21 @@ _CHUNKS_TYPE = T.StructType([T.StructField("type", T.ArrayType(T.StringType())),
                              T.StructField("end", T.ArrayType(T.IntegerType()))])
 
 
-@F.pandas_udf(_CHUNKS_TYPE)
-def _chunks_prefix(tags: pd.Series) -> pd.DataFrame:
-    t, s, e = _chunks_batch(list(tags), False)
-    return pd.DataFrame({"type": t, "start": s, "end": e})
+def _chunk_lists(tags: pa.Array, suffix: bool) -> pa.Array:
+    row, typ, start, end, types = _chunks(tags, suffix)
+    at = pa.array(np.searchsorted(row, np.arange(len(tags) + 1)).astype(np.int32))
+    cols = [pa.array(types, pa.string()).take(pa.array(typ)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, c) for c in cols], names=["type", "start", "end"])
+
 
+@F.arrow_udf(_CHUNKS_TYPE)
+def _chunks_prefix(tags: pa.Array) -> pa.Array:
+    return _chunk_lists(tags, False)
 
-@F.pandas_udf(_CHUNKS_TYPE)
-def _chunks_suffix(tags: pd.Series) -> pd.DataFrame:
-    t, s, e = _chunks_batch(list(tags), True)
-    return pd.DataFrame({"type": t, "start": s, "end": e})
+
+@F.arrow_udf(_CHUNKS_TYPE)
+def _chunks_suffix(tags: pa.Array) -> pa.Array:
+    return _chunk_lists(tags, True)
 
 
 def extract_entities(df: DataFrame, tags: str, out: str = "entities", suffix: bool = False) -> DataFrame:
@@ -118,10 +127,15 @@ def _strict_rules(scheme: str):
         start = lambda p, c: c[0] == "B"
         inside = lambda p, c: c[0] == "I" and p[0] in "BI" and same(p, c)
         end_ok = lambda last: True
-    elif scheme in ("IOE1", "IOE2"):
+    elif scheme == "IOE1":
+        # I marks inside words and ends; E is only used where a chunk ends right before another of its type
+        start = lambda p, c: c[0] == "I" and (p[0] in "OE" or not same(p, c))
+        inside = lambda p, c: c[0] in "IE" and p[0] == "I" and same(p, c)
+        end_ok = lambda last: True
+    elif scheme == "IOE2":
         start = lambda p, c: c[0] in "IE" and (p[0] in "OE" or not same(p, c))
         inside = lambda p, c: c[0] in "IE" and p[0] == "I" and same(p, c)
-        end_ok = (lambda last: True) if scheme == "IOE1" else (lambda last: last[0] == "E")
+        end_ok = lambda last: last[0] == "E"
     else:
         b, i, e, s = ("B", "I", "E", "S") if scheme == "IOBES" else ("B", "I", "L", "U")
         start = lambda p, c: c[0] in (b, s)
@@ -183,15 +197,67 @@ def extract_entities_strict(df: DataFrame, tags: str, scheme: str, out: str = "e
     return x.withColumn(out, z).drop("_ch")
 
 
-@F.pandas_udf(T.LongType())
-def _equal_positions(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Number of positions where two tag sequences agree (vectorised per row)."""
-    out = np.zeros(len(a), dtype=np.int64)
-    for i, (x, y) in enumerate(zip(a, b)):
-        if x is not None and y is not None and len(x):
-            n = min(len(x), len(y))
-            out[i] = int(np.count_nonzero(np.asarray(x[:n], dtype=object) == np.asarray(y[:n], dtype=object)))
-    return pd.Series(out)
+def _agreeing(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Positions where two tag sequences agree, per row, up to the end of the shorter."""
+    both = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    la, lb = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    n = np.minimum(la, lb)
+    before = np.cumsum(n) - n
+    at = np.arange(n.sum()) - np.repeat(before, n)
+    ca = both[np.repeat(np.cumsum(la) - la, n) + at]
+    cb = both[la.sum() + np.repeat(np.cumsum(lb) - lb, n) + at]
+    hits = np.concatenate(([0], np.cumsum((ca == cb) & ~np.isnan(ca))))
+    return hits[before + n] - hits[before]
+
+
+@F.arrow_udf(T.LongType())
+def _equal_positions(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Number of positions where two tag sequences agree (vectorised over the batch)."""
+    return pa.array(_agreeing(a, b).astype(np.int64))
+
+
+_COUNT_FIELDS = ("g", "p", "tp", "hit", "n")
+_COUNTS_TYPE = T.ArrayType(T.StructType([T.StructField("type", T.StringType())] + [T.StructField(c, T.LongType()) for c in _COUNT_FIELDS]))
+
+
+def _tag_counts_udf(suffix: bool):
+    @F.arrow_udf(_COUNTS_TYPE)
+    def counts(gold: pa.Array, pred: pa.Array) -> pa.Array:
+        """Per row: gold, predicted and matching chunks of each type, then of all types with agreeing and all positions."""
+        rows = len(gold)
+        sides = [_chunks(x, suffix) for x in (gold, pred)]
+        names = sorted({*sides[0][4], *sides[1][4]}) + ["overall"]
+        number = {t: k for k, t in enumerate(names)}
+        of = [np.array([number[t] for t in s[4]], dtype=np.int64)[s[1]] for s in sides]
+        wide = int(max([1, *(int(s[3].max(initial=0)) + 2 for s in sides)]))
+        # a chunk as one number, unique in its row: chunks of a side start at different places
+        keys = [(s[0] * wide + s[2]) for s in sides]
+        both, ig, ip = np.intersect1d(keys[0], keys[1], assume_unique=True, return_indices=True)
+        same = ig[(sides[0][3][ig] == sides[1][3][ip]) & (of[0][ig] == of[1][ip])]
+        width = len(names)
+        slot = [sides[0][0] * width + of[0], sides[1][0] * width + of[1], (sides[0][0] * width + of[0])[same]]
+        total = [s // width * width + width - 1 for s in slot]
+        every = np.arange(rows) * width + width - 1
+        used, place = np.unique(np.concatenate([*slot, *total, every]), return_inverse=True)
+        cuts = np.cumsum([0, *(len(x) for x in (*slot, *total))])
+        cols = [np.bincount(np.concatenate([place[cuts[k]:cuts[k + 1]], place[cuts[k + 3]:cuts[k + 4]]]), minlength=len(used)) for k in range(3)]
+        hit, n = np.zeros(len(used), np.int64), np.zeros(len(used), np.int64)
+        hit[place[cuts[6]:]] = _agreeing(gold, pred)
+        n[place[cuts[6]:]] = pc.fill_null(pc.list_value_length(gold), 0).to_numpy(zero_copy_only=False)
+        fields = [pa.array(names, pa.string()).take(pa.array(used % width)), *(pa.array(c.astype(np.int64)) for c in (*cols, hit, n))]
+        at = np.searchsorted(used // width, np.arange(rows + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(fields, names=["type", *_COUNT_FIELDS]))
+    return counts
+
+
+def tag_counts(df: DataFrame, gold_tags: str, pred_tags: str, by=None, weight: str | None = None, suffix: bool = False) -> DataFrame:
+    """N1, J10 and N5 in one step: the counts of :func:`entity_counts` straight from two tag columns. One kernel
+    leaves a few numbers a row and type; tags and chunks are never shuffled or sent back."""
+    by = as_list(by)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    x = df.select(*by, w.alias("_w"), F.explode_outer(_tag_counts_udf(suffix)(F.col(gold_tags), F.col(pred_tags))).alias("_e"))
+    named = {"n_gold": "g", "n_pred": "p", "n_tp": "tp", "n_hit": "hit", "n_tok": "n"}
+    return x.groupBy(*by, F.col("_e.type").alias("type")).agg(*(F.sum(F.col("_w") * F.col(f"_e.{c}")).alias(n) for n, c in named.items()))
 
 
 def entity_counts(df: DataFrame, gold: str, pred: str, by=None, weight: str | None = None,
@@ -226,12 +292,23 @@ def entity_report(df: DataFrame, gold: str, pred: str, by=None, zero_division: f
                   weight: str | None = None, gold_tags: str | None = None, pred_tags: str | None = None) -> DataFrame:
     """N3/N4(/N5): per type precision, recall, f1, number (support); ``overall`` precision, recall,
     f1 and, when tag columns are given, token accuracy — from one aggregation."""
+    return report_from_counts(entity_counts(df, gold, pred, by, weight, gold_tags, pred_tags), by, zero_division,
+                              accuracy=bool(gold_tags and pred_tags))
+
+
+def entity_report_from_tags(df: DataFrame, gold_tags: str, pred_tags: str, by=None, zero_division: float = 0.0,
+                            weight: str | None = None, suffix: bool = False) -> DataFrame:
+    """N1, N3-N5 from two tag columns: the report of :func:`entity_report`, see :func:`tag_counts`."""
+    return report_from_counts(tag_counts(df, gold_tags, pred_tags, by, weight, suffix), by, zero_division)
+
+
+def report_from_counts(c: DataFrame, by=None, zero_division: float = 0.0, accuracy: bool = True) -> DataFrame:
+    """Long report of counts per (by, type)."""
     by = as_list(by)
-    c = entity_counts(df, gold, pred, by, weight, gold_tags, pred_tags)
     p = safe_ratio(F.col("n_tp"), F.col("n_pred"), zero_division)
     r = safe_ratio(F.col("n_tp"), F.col("n_gold"), zero_division)
     f = F.when(p + r == 0, F.lit(zero_division)).otherwise(2 * p * r / (p + r))
-    metrics = ["precision", "recall", "f1", "number"] + (["accuracy"] if gold_tags and pred_tags else [])
+    metrics = ["precision", "recall", "f1", "number"] + (["accuracy"] if accuracy else [])
     wide = c.select(*by, "type", p.alias("precision"), r.alias("recall"), f.alias("f1"),
                     F.when(F.col("type") != "overall", F.col("n_gold")).alias("number"),
                     F.when(F.col("type") == "overall", safe_ratio(F.col("n_hit"), F.col("n_tok"))).alias("accuracy"))

@@ -1,15 +1,16 @@
 """Token tables and windows.
 
-T1 is the only Python step: per text, whitespace token offsets are computed with numpy over the
-code points (Spark SQL has no prefix-scan over arrays). Everything after that is array arithmetic
-in the JVM on one row per document: windows are ``sequence`` + ``explode`` with ``slice`` of the
-offset arrays, so no shuffle is needed and a long document only costs its own row.
+T1 is the only Python step: whitespace token offsets of all texts of an Arrow batch are found in one numpy
+pass over their code points (Spark SQL has no prefix-scan over arrays). Everything after that is array
+arithmetic in the JVM: a document's windows are built as structs with their own slices of the offsets and
+exploded, so a window row never carries more than its window and the work is linear in the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,26 +18,33 @@ from pyspark.sql import types as T
 from .labels import IGNORED
 
 # Python's str.isspace() set (the whitespace of str.split()); all of it lies at or below U+3000
-_WS = np.array([i for i in range(0x3001) if chr(i).isspace()], dtype=np.uint32)
+_IS_WS = np.array([chr(i).isspace() for i in range(0x3002)])
 
 OFFSETS_TYPE = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())),
                              T.StructField("ends", T.ArrayType(T.IntegerType()))])
 
 
-def _offsets_one(text: str | None):
-    if text is None:
-        return None, None
-    cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    word = (~np.isin(cp, _WS)).astype(np.int8)
-    edges = np.diff(np.concatenate(([0], word, [0])))
-    return np.flatnonzero(edges == 1).astype(np.int32), np.flatnonzero(edges == -1).astype(np.int32)
+def word_edges(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whitespace tokens of all texts: (starts, ends) within their text, bounds of each text among the tokens, and each
+    token's first code point."""
+    codes = np.frombuffer("".join([(t or "") + " " for t in texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    first = np.concatenate(([0], np.cumsum([len(t or "") + 1 for t in texts])))
+    word = np.concatenate(([False], ~_IS_WS[np.minimum(codes, 0x3001)]))
+    edge = np.flatnonzero(word[1:] != word[:-1])  # a space closes every text: edges come in pairs
+    starts, ends = edge[::2], edge[1::2]
+    bounds = np.searchsorted(starts, first)
+    base = np.repeat(first[:-1], np.diff(bounds))
+    return (starts - base).astype(np.int32), (ends - base).astype(np.int32), bounds, codes[starts]
 
 
-@F.pandas_udf(OFFSETS_TYPE)
-def token_offsets(text: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(OFFSETS_TYPE)
+def token_offsets(text: pa.Array) -> pa.Array:
     """0-based ``[start, end)`` code-point offsets of whitespace-separated tokens."""
-    pairs = [_offsets_one(t) for t in text]
-    return pd.DataFrame({"starts": [p[0] for p in pairs], "ends": [p[1] for p in pairs]})
+    starts, ends, bounds, _ = word_edges(text.to_pylist())
+    none = pa.array(text.is_null())
+    at = pa.array(bounds.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, pa.array(x), mask=none if text.null_count else None) for x in (starts, ends)]
+    return pa.StructArray.from_arrays(lists, names=["starts", "ends"])
 
 
 def tokenize_offsets(df: DataFrame, text: str = "text", out_prefix: str = "") -> DataFrame:
@@ -57,11 +65,53 @@ def truncate(tokens: Column, max_len: int, model_max: int | None = None) -> Colu
     return F.slice(tokens, 1, n)
 
 
-def window_tokens(df: DataFrame, n_tokens: str, max_len: int, overlap: int, reserved: int = 0) -> DataFrame:
+def pair_lengths(first: Column, second: Column, max_len: int, strategy: str = "longest_first") -> Column:
+    """T2 for a pair: struct(first, second, error) of the token counts that are kept of two counts, in closed form.
+
+    ``longest_first`` cuts the longer side (of equal sides the second counts as the longer) to what the shorter leaves
+    of ``max_len``; where that would make it the shorter one, both get half, the longer side the odd token. ``only_second`` /
+    ``only_first`` cut one side alone; a side that would lose all its tokens can't be cut: the pair stays as it
+    is, with ``error`` true. ``do_not_truncate`` keeps both.
+    """
+    a, b = first.cast("long"), second.cast("long")
+    over = F.greatest(a + b - max_len, F.lit(0))
+    no = F.lit(False)
+    if strategy == "do_not_truncate":
+        return F.struct(a.alias("first"), b.alias("second"), (over > 0).alias("error"))
+    if strategy in ("only_first", "only_second"):
+        cut, other = (a, b) if strategy == "only_first" else (b, a)
+        fails = (over > 0) & (cut <= over)
+        kept = F.when(fails, cut).otherwise(cut - over)
+        one, two = (kept, other) if strategy == "only_first" else (other, kept)
+        return F.struct(one.alias("first"), two.alias("second"), fails.alias("error"))
+    if strategy != "longest_first":
+        raise ValueError(f"unknown truncation strategy {strategy!r}")
+    short = F.least(a, b)
+    rest = F.greatest(short, max_len - short)
+    halves = short + rest > max_len
+    low = F.when(halves, F.lit(max_len // 2)).otherwise(short)
+    high = F.when(halves, F.lit(max_len - max_len // 2)).otherwise(rest)
+    one = F.when(over == 0, a).when(a > b, high).otherwise(low)
+    two = F.when(over == 0, b).when(a > b, low).otherwise(high)
+    return F.struct(one.cast("long").alias("first"), two.cast("long").alias("second"), no.alias("error"))
+
+
+def truncate_pair(df: DataFrame, first: str, second: str, max_len: int, strategy: str = "longest_first", special: int = 0) -> DataFrame:
+    """Cut two token arrays to ``max_len - special`` tokens together, see :func:`pair_lengths`; an uncuttable pair is
+    kept whole (``truncation_error`` tells)."""
+    n = pair_lengths(F.size(first), F.size(second), max_len - special, strategy)
+    x = df.withColumn("_n", n)
+    return (x.withColumn(first, F.slice(first, 1, F.col("_n.first").cast("int"))).withColumn(second, F.slice(second, 1, F.col("_n.second").cast("int")))
+             .withColumn("truncation_error", F.col("_n.error")).drop("_n"))
+
+
+def window_tokens(df: DataFrame, n_tokens: str, max_len: int, overlap: int, reserved: int = 0,
+                  starts: str = "starts", ends: str = "ends") -> DataFrame:
     """Overlapping windows; ``overlap`` tokens are shared by consecutive windows (stride is the
     overlap, not the step); windows stop at the first one reaching the end.
 
-    Adds ``window_id``, ``tok_start`` (inclusive) and ``tok_end`` (exclusive).
+    Adds ``window_id``, ``tok_start`` (inclusive) and ``tok_end`` (exclusive); ``starts`` and ``ends``, where
+    there, become the window's own slices.
     """
     size = max_len - reserved
     step = size - overlap
@@ -69,17 +119,26 @@ def window_tokens(df: DataFrame, n_tokens: str, max_len: int, overlap: int, rese
         raise ValueError("max_len - reserved must exceed overlap")
     n = F.col(n_tokens)
     nw = 1 + F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int")
+    sliced = [c for c in (starts, ends) if c in df.columns]
+    window = F.transform(F.sequence(F.lit(0), nw - 1), lambda i: F.struct(
+        i.alias("window_id"), (i * step).cast("int").alias("tok_start"), F.least(i * step + size, n).cast("int").alias("tok_end"),
+        *(F.slice(F.col(c), i * step + 1, F.lit(size)).alias(c) for c in sliced)))
+    keep = [c for c in df.columns if c not in sliced]
     # nw >= 1, so the outer form emits the same rows without an inferred size filter
-    w = df.withColumn("window_id", F.explode_outer(F.sequence(F.lit(0), nw - 1)))
-    return (w.withColumn("tok_start", (F.col("window_id") * step).cast("int"))
-             .withColumn("tok_end", F.least(F.col("tok_start") + size, n).cast("int")))
+    w = df.select(*keep, F.explode_outer(window).alias("_w"))
+    return w.select(*keep, "_w.window_id", "_w.tok_start", "_w.tok_end", *(f"_w.{c}" for c in sliced))
+
+
+def _own(offsets: str) -> Column:
+    """The window's slice of an offset array: the array itself, or its part from ``tok_start`` where it is the whole text's."""
+    n = F.col("tok_end") - F.col("tok_start")
+    return F.when(F.size(offsets) > n, F.slice(offsets, F.col("tok_start") + 1, n)).otherwise(F.col(offsets))
 
 
 def window_offsets(starts: str = "starts", ends: str = "ends", prefix: int = 1, suffix: int = 1) -> Column:
     """T4: per-window offset mapping: null for the ``prefix``/``suffix`` special (or question)
     positions, ``struct(start, end)`` for the window's context tokens."""
-    ctx = F.slice(F.arrays_zip(F.col(starts).alias("start"), F.col(ends).alias("end")),
-                  F.col("tok_start") + 1, F.col("tok_end") - F.col("tok_start"))
+    ctx = F.arrays_zip(_own(starts).alias("start"), _own(ends).alias("end"))
     null = F.lit(None).cast("struct<start:int,end:int>")
     return F.concat(F.array_repeat(null, prefix), ctx, F.array_repeat(null, suffix))
 
@@ -87,25 +146,36 @@ def window_offsets(starts: str = "starts", ends: str = "ends", prefix: int = 1,
 def window_bounds(df: DataFrame, starts: str = "starts", ends: str = "ends") -> DataFrame:
     """Character span ``[char_start, char_end)`` of each window."""
     has = F.col("tok_end") > F.col("tok_start")
-    return (df.withColumn("char_start", F.when(has, F.element_at(F.col(starts), F.col("tok_start") + 1)))
-              .withColumn("char_end", F.when(has, F.element_at(F.col(ends), F.col("tok_end")))))
+    return (df.withColumn("char_start", F.when(has, F.element_at(_own(starts), 1)))
+              .withColumn("char_end", F.when(has, F.element_at(_own(ends), -1))))
+
+
+def count_below(ascending: Column, value: Column, most: int, inclusive: bool) -> Column:
+    """Elements of an ascending array of at most ``most`` elements that are below (or at) ``value``, by binary search."""
+    steps = F.array(*(F.lit(1 << k) for k in range(max(1, most.bit_length()) - 1, -1, -1)))
+
+    def further(at: Column, step: Column) -> Column:
+        here = F.element_at(ascending, at + step)
+        return F.when((at + step <= F.size(ascending)) & ((here <= value) if inclusive else (here < value)), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def span_labels(windows: DataFrame, start_char: str, end_char: str, starts: str = "starts",
-                ends: str = "ends", cls_index: int = 0, first_ctx_pos: int = 1) -> DataFrame:
+                ends: str = "ends", cls_index: int = 0, first_ctx_pos: int = 1, max_len: int = 512) -> DataFrame:
     """T5: answer start/end token positions inside each window; ``cls_index`` when the answer is
     absent or not fully inside the window (decision R18: only context tokens are scanned).
 
     Start = last context token starting at or before ``start_char``; end = first context token
-    ending at or after ``end_char``. Positions count from ``first_ctx_pos`` (after [CLS]).
+    ending at or after ``end_char``, both by binary search over the window's slices (of at most ``max_len``
+    tokens). Positions count from ``first_ctx_pos`` (after [CLS]).
     """
-    ws = F.slice(F.col(starts), F.col("tok_start") + 1, F.col("tok_end") - F.col("tok_start"))
-    we = F.slice(F.col(ends), F.col("tok_start") + 1, F.col("tok_end") - F.col("tok_start"))
+    ws, we = _own(starts), _own(ends)
     sc, ec = F.col(start_char), F.col(end_char)
     inside = (F.col("tok_end") > F.col("tok_start")) & sc.isNotNull() & \
         (F.element_at(ws, 1) <= sc) & (F.element_at(we, -1) >= ec)
-    n_before_start = F.size(F.filter(ws, lambda s: s <= sc))
-    n_end_before = F.size(F.filter(we, lambda e: e < ec))
+    n_before_start = count_below(ws, sc, max_len, True)
+    n_end_before = count_below(we, ec, max_len, False)
     return (windows.withColumn("start_position", F.when(inside, n_before_start - 1 + first_ctx_pos).otherwise(cls_index))
                    .withColumn("end_position", F.when(inside, n_end_before + first_ctx_pos).otherwise(cls_index)))
 
@@ -116,26 +186,32 @@ _PIECES_TYPE = T.StructType([T.StructField("word_id", T.ArrayType(T.IntegerType(
 
 
 def _pieces_udf(piece_len: int):
-    @F.pandas_udf(_PIECES_TYPE)
-    def pieces(words: pd.Series, tags: pd.Series) -> pd.DataFrame:
-        """Sub-token layout of a row, [CLS] and [SEP] included (word_id = piece = -1 there)."""
-        wid, pc, tg = [], [], []
-        for w, t in zip(words, tags):
-            n_words = 0 if w is None else len(w)
-            if n_words:
-                lens = np.fromiter((len(x) for x in w), dtype=np.int64, count=n_words)
-                n = np.maximum(-(-lens // piece_len), 1)
-                ids = np.repeat(np.arange(n_words, dtype=np.int32), n)
-                first = np.repeat(np.cumsum(n) - n, n)
-                piece = (np.arange(len(ids)) - first).astype(np.int32)
-                tag = np.asarray(t, dtype=object)[ids].tolist() if t is not None else [None] * len(ids)
-            else:
-                ids, piece, tag = np.zeros(0, np.int32), np.zeros(0, np.int32), []
-            edge = np.array([-1], dtype=np.int32)
-            wid.append(np.concatenate((edge, ids, edge)))
-            pc.append(np.concatenate((edge, piece, edge)))
-            tg.append([None, *tag, None])
-        return pd.DataFrame({"word_id": wid, "piece": pc, "tag": tg})
+    @F.arrow_udf(_PIECES_TYPE)
+    def pieces(words: pa.Array, tags: pa.Array) -> pa.Array:
+        """Sub-token layout of a row, [CLS] and [SEP] included (word_id = piece = -1 there), of all rows at once."""
+        n_words = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n_tags = pc.fill_null(pc.list_value_length(tags), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lens = pc.fill_null(pc.utf8_length(words.flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = np.maximum(-(-lens // piece_len), 1)
+        word_at = np.cumsum(n_words) - n_words
+        # every row: an edge, the pieces of its words, an edge
+        upto = np.concatenate(([0], np.cumsum(parts)))
+        pieces_of = upto[word_at + n_words] - upto[word_at]
+        bounds = np.concatenate(([0], np.cumsum(pieces_of + 2)))
+        inner = np.ones(bounds[-1], dtype=bool)
+        inner[bounds[:-1]] = inner[bounds[1:] - 1] = False
+        word = np.repeat(np.arange(len(lens)), parts)
+        row = np.repeat(np.arange(len(n_words)), n_words)
+        word_id, piece, tag = (np.full(bounds[-1], -1, dtype=np.int64) for _ in range(3))
+        own = np.arange(len(lens)) - word_at[row]
+        word_id[inner] = own[word]
+        piece[inner] = np.arange(len(word)) - upto[word]
+        has = own < n_tags[row]
+        tag[inner] = np.where(has, (np.cumsum(n_tags) - n_tags)[row] + own, -1)[word]
+        at = pa.array(bounds.astype(np.int32))
+        names = tags.flatten().take(pa.array(np.where(tag < 0, 0, tag), mask=tag < 0))
+        cols = [pa.array(word_id.astype(np.int32)), pa.array(piece.astype(np.int32)), names]
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, c) for c in cols], names=["word_id", "piece", "tag"])
     return pieces
 
 

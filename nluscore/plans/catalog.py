@@ -43,6 +43,8 @@ QUERIES = {
     "span_labels": tok.span_labels,
     "align_tags": tok.align_tags,
     "entity_report": tok.entity_report,
+    "entity_report_by_lang": tok.entity_report_by_lang,
+    "pair_truncation": tok.pair_truncation,
     "training_tuples": tup.training_tuples,
     "suite_report": rep.suite_report,
     "topk_stream": stream.topk_stream,
@@ -81,6 +83,8 @@ ORACLE = {
     "span_labels": sql.SPAN_LABELS,
     "align_tags": sql.ALIGN_TAGS,
     "entity_report": sql.ENTITY_REPORT,
+    "entity_report_by_lang": sql.ENTITY_REPORT_BY_LANG,
+    "pair_truncation": sql.PAIR_TRUNCATION,
     "training_tuples": sql.TRAINING_TUPLES,
     "suite_report": sql.SUITE_REPORT,
     "topk_stream": sql.TOPK_COSINE,

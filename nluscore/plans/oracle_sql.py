@@ -457,12 +457,12 @@ w AS (SELECT avg(CAST(pred = label AS DOUBLE)) AS accuracy, count(*) AS samples
 
 
 def _tok_sql(src: str) -> str:
-    return f"""runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\s+|\\S+')) AS run,
-                 generate_subscripts(regexp_extract_all(text, '\\s+|\\S+'), 1) AS i FROM {src}),
-offs AS (SELECT doc_id, i, run, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(run) AS st FROM runs),
-tok AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, st, st + length(run) AS en
-        FROM offs WHERE NOT regexp_matches(run, '^\\s')),
+    return f"""lists AS (SELECT doc_id, regexp_extract_all(text, '\\s+|\\S+') AS l FROM {src}),
+runs AS (SELECT doc_id, unnest(l) AS run, generate_subscripts(l, 1) AS i FROM lists),
+offs AS (SELECT doc_id, i, length(run) AS m, regexp_matches(run, '^\\s') AS gap,
+           sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS en FROM runs),
+tok AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, en - m AS st, en
+        FROM offs WHERE NOT gap),
 nt AS (SELECT d.doc_id, count(t.pos) AS n FROM (SELECT DISTINCT doc_id FROM {src}) d
        LEFT JOIN tok t ON d.doc_id = t.doc_id GROUP BY d.doc_id),
 win AS (SELECT doc_id, n, w AS window_id, w * 96 AS tok_start, least(w * 96 + 128, n) AS tok_end
@@ -470,13 +470,15 @@ win AS (SELECT doc_id, n, w AS window_id, w * 96 AS tok_start, least(w * 96 + 12
 
 
 DOC_WINDOWS = f"""
-WITH {_tok_sql('documents')}
+WITH {_tok_sql('documents')},
+edges AS MATERIALIZED (SELECT doc_id, pos, st, en FROM tok
+  WHERE pos % 96 = 0 OR (pos + 1 - 128) % 96 = 0 OR pos = (SELECT n - 1 FROM nt WHERE nt.doc_id = tok.doc_id))
 SELECT win.doc_id, CAST(window_id AS BIGINT) AS window_id, CAST(tok_start AS BIGINT) AS tok_start,
        CAST(tok_end AS BIGINT) AS tok_end, CAST(s.st AS BIGINT) AS char_start, CAST(e.en AS BIGINT) AS char_end,
        CAST(tok_end - tok_start AS BIGINT) AS n_tokens
 FROM win
-LEFT JOIN tok s ON s.doc_id = win.doc_id AND s.pos = win.tok_start AND win.tok_end > win.tok_start
-LEFT JOIN tok e ON e.doc_id = win.doc_id AND e.pos = win.tok_end - 1 AND win.tok_end > win.tok_start
+LEFT JOIN edges s ON s.doc_id = win.doc_id AND s.pos = win.tok_start
+LEFT JOIN edges e ON e.doc_id = win.doc_id AND e.pos = win.tok_end - 1
 """
 
 SPAN_LABELS = f"""
@@ -548,6 +550,39 @@ UNION ALL
 SELECT 'overall', 'accuracy', round(avg(CAST(gtag = ptag AS DOUBLE)), 6) FROM t
 """
 
+ENTITY_REPORT_BY_LANG = f"""
+WITH {_WORDS},
+gi AS (SELECT doc_id, lang, wid - row_number() OVER (PARTITION BY doc_id ORDER BY wid) AS g, wid FROM w WHERE gcap),
+pi AS (SELECT doc_id, lang, wid - row_number() OVER (PARTITION BY doc_id ORDER BY wid) AS g, wid FROM w WHERE pcap),
+ge AS (SELECT doc_id, lang, min(wid) AS s, max(wid) AS e FROM gi GROUP BY doc_id, lang, g),
+pe AS (SELECT doc_id, lang, min(wid) AS s, max(wid) AS e FROM pi GROUP BY doc_id, lang, g),
+tp AS (SELECT ge.lang FROM ge JOIN pe ON ge.doc_id = pe.doc_id AND ge.s = pe.s AND ge.e = pe.e),
+c AS (SELECT lang, avg(CAST(gtag = ptag AS DOUBLE)) AS accuracy,
+        CAST((SELECT count(*) FROM ge WHERE ge.lang = t.lang) AS DOUBLE) AS ng,
+        CAST((SELECT count(*) FROM pe WHERE pe.lang = t.lang) AS DOUBLE) AS np,
+        CAST((SELECT count(*) FROM tp WHERE tp.lang = t.lang) AS DOUBLE) AS ntp FROM t GROUP BY lang),
+m AS (SELECT lang, accuracy, CASE WHEN np = 0 THEN 0.0 ELSE ntp / np END AS p, CASE WHEN ng = 0 THEN 0.0 ELSE ntp / ng END AS r FROM c),
+f AS (SELECT lang, p AS overall_precision, r AS overall_recall, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS overall_f1,
+        accuracy AS overall_accuracy FROM m)
+{long_sql('f', ['lang'], ['overall_precision', 'overall_recall', 'overall_f1', 'overall_accuracy'])}
+"""
+
+# words of a turn; a pair is cut to 24 - 3 tokens
+PAIR_TRUNCATION = """
+WITH c AS (SELECT conv_id, turn, role, regexp_extract_all(text, '\\S+') AS w FROM conversations),
+p AS (SELECT u.conv_id, u.turn, u.w AS f, a.w AS s, len(u.w) AS a, len(a.w) AS b
+      FROM c u JOIN c a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+n AS (
+  SELECT *, 'longest_first' AS strategy, false AS bad,
+    CASE WHEN a + b <= 21 THEN a WHEN a <= 10 THEN a WHEN b <= 10 THEN 21 - b WHEN a > b THEN 11 ELSE 10 END AS na,
+    CASE WHEN a + b <= 21 THEN b WHEN a <= 10 THEN 21 - a WHEN b <= 10 THEN b WHEN a > b THEN 10 ELSE 11 END AS nb FROM p
+  UNION ALL
+  SELECT *, 'only_second', a + b > 21 AND a >= 21, a, CASE WHEN a + b > 21 AND a < 21 THEN 21 - a ELSE b END FROM p
+  UNION ALL
+  SELECT *, 'only_first', a + b > 21 AND b >= 21, CASE WHEN a + b > 21 AND b < 21 THEN 21 - b ELSE a END, b FROM p)
+SELECT conv_id, turn, strategy, array_to_string(f[1:na], ' ') AS first, array_to_string(s[1:nb], ' ') AS second, bad AS truncation_error FROM n
+"""
+
 # ---------------------------------------------------------------- QA n-best
 
 _NBEST = """f AS (SELECT vec_id // 2 AS example_id, CAST(vec_id % 2 AS INTEGER) AS feature, embedding AS sl,

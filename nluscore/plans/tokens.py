@@ -7,13 +7,14 @@ words longer than 3 characters.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from ..functions.text import split_ws
 from ..operators import labels as L
@@ -26,31 +27,36 @@ WINDOW, OVERLAP = 128, 32
 PIECE = 4
 
 
-@lru_cache(maxsize=1 << 16)
-def _upper_initial(ch: str) -> bool:
-    return unicodedata.category(ch) == "Lu"
+@lru_cache(maxsize=1)
+def _upper_case() -> np.ndarray:
+    """Whether each code point is an upper-case letter (Unicode Lu)."""
+    return np.array([unicodedata.category(chr(c)) == "Lu" for c in range(sys.maxunicode + 1)])
 
 
-def _word_tags_udf(min_len: int):
-    @F.pandas_udf(ST.ArrayType(ST.StringType()))
-    def tags(words: pd.Series, lang: pd.Series) -> pd.Series:
+def _word_tags_udf(min_lens: dict[str, int]):
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: array<string>" for n in min_lens) + ">")
+    def tags(text: pa.Array, lang: pa.Array) -> pa.Array:
+        starts, ends, bounds, first = T.word_edges(text.to_pylist())
+        types = lang.fill_null("_").dictionary_encode()
+        kind = np.repeat(types.indices.to_numpy(zero_copy_only=False), np.diff(bounds)).astype(np.int64)
+        names = ["O", *(p + t for t in types.dictionary.to_pylist() for p in ("B-", "I-"))]
+        upper, opens = _upper_case()[first], np.zeros(len(first) + 1, dtype=bool)
+        opens[bounds] = True
         out = []
-        for w, lg in zip(words, lang):
-            typ = lg if lg is not None else "_"
-            prev, row = False, []
-            for x in (w if w is not None else []):
-                cap = len(x) > min_len and _upper_initial(x[0])
-                row.append(("I-" if prev else "B-") + typ if cap else "O")
-                prev = cap
-            out.append(row)
-        return pd.Series(out)
+        for least in min_lens.values():
+            cap = upper & (ends - starts > least)
+            inside = np.concatenate(([False], cap[:-1])) & ~opens[:-1] if len(cap) else cap
+            code = np.where(cap, 1 + 2 * kind + inside, 0)
+            out.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(names, pa.string()).take(pa.array(code))))
+        return pa.StructArray.from_arrays(out, names=list(min_lens))
     return tags
 
 
-def word_tags(words: Column, lang: Column, min_len: int = 0) -> Column:
-    """B-/I-<lang> for runs of words starting with an upper-case letter (Unicode Lu) longer than
-    ``min_len`` characters, else O."""
-    return _word_tags_udf(min_len)(words, lang)
+def tagged(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Adds gold_tags and pred_tags: B-/I-<lang> for runs of words starting with an upper-case letter (Unicode Lu), the
+    predicted ones only of words longer than 3 characters, else O."""
+    d = docs.withColumn("_tags", _word_tags_udf({"gold": 0, "pred": 3})(F.col(text), F.col(lang)))
+    return d.withColumns({"gold_tags": F.col("_tags.gold"), "pred_tags": F.col("_tags.pred")}).drop("_tags")
 
 
 def doc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,22 +78,34 @@ def span_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("start") + F.col("alen")).alias("end_char")))
     ctx = docs.join(ex, "doc_id")
     w = T.window_tokens(T.tokenize_offsets(ctx), "n_tokens", WINDOW, OVERLAP)
-    lab = T.span_labels(w, "start_char", "end_char")
+    lab = T.span_labels(w, "start_char", "end_char", max_len=WINDOW)
     return lab.select("doc_id", "item_id", F.col("window_id").cast("long").alias("window_id"),
                       F.col("start_position").cast("long").alias("start_position"),
                       F.col("end_position").cast("long").alias("end_position"))
 
 
+def pair_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user turn and the assistant turn after it, cut together to 24 tokens less three special ones."""
+    conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", split_ws("text").alias("words"))
+    first = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("words").alias("first"))
+    second = conv.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("second"))
+    pairs = first.join(second, ["conv_id", "turn"])
+    out = None
+    for strategy in ("longest_first", "only_second", "only_first"):
+        t = T.truncate_pair(pairs, "first", "second", 24, strategy, special=3)
+        t = t.select("conv_id", "turn", F.lit(strategy).alias("strategy"), F.array_join("first", " ").alias("first"),
+                     F.array_join("second", " ").alias("second"), "truncation_error")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def _tagged_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    d = docs.withColumn("words", split_ws("text"))
-    return (d.withColumn("gold_tags", word_tags(F.col("words"), F.col("lang")))
-             .withColumn("pred_tags", word_tags(F.col("words"), F.col("lang"), 3)))
+    return tagged(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 def align_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words cut into 4-character pieces; first piece labelled, others -100 or B→I."""
-    d = _tagged_docs(spark, sf_dir).select("doc_id", "words", "gold_tags")
+    d = _tagged_docs(spark, sf_dir).select("doc_id", split_ws("text").alias("words"), "gold_tags")
     vocab = L.label_list(d, "gold_tags", multi=True)
     b2i = L.b_to_i(vocab)
     out = T.align_tags(d, "words", "gold_tags", PIECE, vocab, b2i)
@@ -97,7 +115,12 @@ def align_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per type precision/recall/f1/number, overall micro scores and token accuracy."""
-    d = _tagged_docs(spark, sf_dir).select("doc_id", "gold_tags", "pred_tags")
-    d = S.extract_entities(d, "gold_tags", "gold_ents")
-    d = S.extract_entities(d, "pred_tags", "pred_ents")
-    return S.entity_report(d, "gold_ents", "pred_ents", gold_tags="gold_tags", pred_tags="pred_tags")
+    return S.entity_report_from_tags(_tagged_docs(spark, sf_dir), "gold_tags", "pred_tags")
+
+
+def entity_report_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N1 (chunks as rows), N3-N5, J10, N6: the same report per language from extracted entities, flattened names."""
+    d = _tagged_docs(spark, sf_dir).select(F.coalesce("lang", F.lit("_")).alias("lang"), "gold_tags", "pred_tags")
+    d = S.extract_entities(S.extract_entities(d, "gold_tags", "gold_ents"), "pred_tags", "pred_ents")
+    r = S.entity_report(d, "gold_ents", "pred_ents", by="lang", gold_tags="gold_tags", pred_tags="pred_tags")
+    return S.flatten_report(r, overall_only=True).select("lang", "metric", "value")

@@ -38,8 +38,59 @@ def test_passages_first_occurrence(spark):
     ps = spark.createDataFrame([(7, "abc"), (8, "b"), (9, "")], "item_id long, text string")
     got = sorted(tuple(r) for r in find_passages(docs, ps).collect())
     assert got == [(1, 7, 3), (1, 8, 4), (3, 8, 1)]
-    got2 = sorted(tuple(r) for r in find_passages(docs, ps, chunk_bytes=2).collect())
-    assert got2 == got
+
+
+def test_passages_of_any_length_equal_find(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab é日") for _ in range(rng.randrange(0, 400))) for _ in range(60)] + [None, "", "ab" * 3000]
+    parts = [t[a:a + n] for t in texts if t for a, n in [(rng.randrange(len(t)), rng.choice([1, 2, 3, 7, 15, 16, 17, 40, 200]))]]
+    parts += ["", "ab" * 2990, "absent passage that no text holds", "absent passage that no text holds either", "ab" * 2990]
+    docs = spark.createDataFrame([(f"d{k}", t, "clash") for k, t in enumerate(texts)], "doc_id string, text string, hash string")
+    ps = spark.createDataFrame(list(enumerate(parts)), "item_id long, text string")
+    want = sorted((f"d{k}", i, t.find(p)) for k, t in enumerate(texts) for i, p in enumerate(parts) if p and t and p in t)
+    assert sorted(tuple(r) for r in find_passages(docs, ps).collect()) == want
+    assert find_passages(docs, ps.limit(0)).count() == find_passages(docs.limit(0), ps).count() == 0
+
+
+def test_windows_carry_their_own_slices(spark):
+    df = spark.createDataFrame([(1, "w " * 5000), (2, ""), (3, None)], "doc_id long, text string")
+    w = T.window_tokens(T.tokenize_offsets(df), "n_tokens", 128, 32)
+    rows = w.collect()
+    assert all(len(r["starts"] or []) == r["tok_end"] - r["tok_start"] for r in rows if r["doc_id"] < 3)
+    assert [r["tok_start"] for r in rows if r["doc_id"] == 1] == list(range(0, 4897, 96))
+    assert "starts" in w.columns and len([r for r in rows if r["doc_id"] == 2]) == 1
+
+
+def test_span_search_equals_counting(spark):
+    rows = [(a, v) for a in ([], [3], [1, 4, 4, 9], list(range(0, 256, 2))) for v in (-1, 0, 1, 3, 4, 5, 100, 300)]
+    df = spark.createDataFrame(rows, "a array<int>, v int")
+    got = df.select("a", "v", T.count_below(F.col("a"), F.col("v"), 128, True).alias("i"), T.count_below(F.col("a"), F.col("v"), 128, False).alias("e")).collect()
+    assert all(r["i"] == sum(x <= r["v"] for x in r["a"]) and r["e"] == sum(x < r["v"] for x in r["a"]) for r in got)
+
+
+@pytest.mark.parametrize("strategy", ["longest_first", "only_first", "only_second"])
+def test_pair_truncation_equals_the_tokenizer_library(spark, strategy):
+    tokenizers = pytest.importorskip("tokenizers")
+    tok = tokenizers.Tokenizer(tokenizers.models.WordLevel({"w": 0, "[UNK]": 1}, unk_token="[UNK]"))
+    tok.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    sizes = [(a, b, m) for a in range(0, 12) for b in range(0, 12) for m in (1, 4, 5, 9)]
+    want = {}
+    for a, b, m in sizes:
+        tok.enable_truncation(m, strategy=strategy)
+        try:
+            e = tok.encode("w " * a, "w " * b)
+            want[a, b, m] = (e.type_ids.count(0), e.type_ids.count(1), False)
+        except Exception:  # too short to be cut
+            want[a, b, m] = (a, b, True)
+    for m in (1, 4, 5, 9):
+        df = spark.createDataFrame([(a, b) for a, b, n in sizes if n == m], "a int, b int")
+        for r in df.select("a", "b", T.pair_lengths(F.col("a"), F.col("b"), m, strategy).alias("n")).collect():
+            assert tuple(r["n"]) == want[r["a"], r["b"], m], (r, m)
+    df = spark.createDataFrame([(["a", "b", "c"], ["d", "e", "f"])], "x array<string>, y array<string>")
+    r = T.truncate_pair(df, "x", "y", 6, "only_second", special=2).first()
+    assert (r["x"], r["y"], r["truncation_error"]) == (["a", "b", "c"], ["d"], False)
 
 
 def test_vocab_encode_and_unknown(spark):
