@@ -12,18 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.permute import item_key, permuted
+from ..session import cut_lineage
 from .prefix import with_row_id
 
-# a prime stride for the seeded affine shuffle of X5 (coprime with every group size below it)
-SHUFFLE_STRIDE = 1_000_003
-
 
 def index_members(members: DataFrame, group: str, order: str, item: str) -> DataFrame:
-    """``(group, idx, item, n)``: dense 0-based index of each member inside its group and the group size."""
+    """``(group, idx, item, n)``: dense 0-based index of each member inside its group and the group size; written once,
+    so that every use reads it."""
     cols = list(dict.fromkeys([group, order, item]))
     m = with_row_id(members.select(*cols).dropDuplicates([group, order]), [order], "idx", by=group)
     n = m.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return m.join(n, group).select(group, "idx", F.col(item).alias("_item"), "n")
+    return cut_lineage(m.join(n, group).select(group, "idx", F.col(item).alias("_item"), "n"))
 
 
 def _fetch(picks: DataFrame, members: DataFrame, group_expr: str, idx: str, out: str) -> DataFrame:
@@ -35,7 +35,7 @@ def pick_positive(inst: DataFrame, members: DataFrame, item: str, group: str, se
                   epoch: int, seed: int = 42, shuffle: bool = True) -> DataFrame:
     """positive = list[(item + seed + epoch) mod n] (shuffle) or list[epoch mod n] (rotate), where
     the list is the group without the instance itself when ``self_idx`` is given."""
-    sizes = members.select(F.col(members.columns[0]).alias("_g"), "n").distinct()
+    sizes = members.groupBy(F.col(members.columns[0]).alias("_g")).agg(F.first("n").alias("n"))
     x = inst.join(sizes, F.col(group) == F.col("_g"), "inner").drop("_g")
     n = F.col("n") - (1 if self_idx else 0)
     j = F.pmod(F.col(item) + seed + epoch, n) if shuffle else F.pmod(F.lit(epoch), n)
@@ -49,18 +49,17 @@ def pick_negatives(inst: DataFrame, members: DataFrame, item: str, group: str, k
                    seed: int = 42, shuffle: bool = False, safe: bool = True) -> DataFrame:
     """``k`` negatives from the instance's negative group → rows ``(…, position, negative)``.
 
-    m >= k: round robin from ``epoch*k mod m`` (X6) or the same slide over a seeded affine shuffle
-    of the group (X5); 0 < m < k with ``safe``: k hashed draws with replacement (X3).
-    Hash draws are deterministic and partition-independent (not the reference's generator).
+    m >= k: round robin from ``epoch*k mod m`` (X6) or the same slide over a keyed permutation of the
+    group, one per instance (X5); 0 < m < k with ``safe``: k hashed draws with replacement (X3).
+    Draws are deterministic and partition-independent (not the reference's generator).
     """
-    sizes = members.select(F.col(members.columns[0]).alias("_g"), F.col("n").alias("m")).distinct()
+    sizes = members.groupBy(F.col(members.columns[0]).alias("_g")).agg(F.first("n").alias("m"))
     x = inst.join(sizes, F.col(group) == F.col("_g"), "inner").drop("_g")
     x = x.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     m = F.col("m")
     slot = F.pmod(F.lit(epoch * k) + F.col("t"), m)
     if shuffle:
-        b = F.pmod(F.xxhash64(F.col(item), F.lit(seed)), m)
-        slot = F.pmod(F.lit(SHUFFLE_STRIDE) * slot + b, m)
+        slot = permuted(slot, m, item_key(F.col(item), seed))
     draw = F.pmod(F.xxhash64(F.col(item), F.lit(seed), F.col("t")), m)
     enough = m >= k
     x = x.filter(enough | (F.lit(safe) & (m > 0))).withColumn("_nidx", F.when(enough, slot).otherwise(draw))
@@ -70,45 +69,42 @@ def pick_negatives(inst: DataFrame, members: DataFrame, item: str, group: str, k
 
 def borrow_negatives(inst: DataFrame, members: DataFrame, item: str, pos_group: str, neg_group: str,
                      self_idx: str, k: int, epoch: int, seed: int = 42) -> DataFrame:
-    """X4 (J12): instances with 0 < m < k negatives (and ``safe`` off) keep their own m negatives and
-    borrow from other instances: 2k instance slots are drawn by a seeded hash (self skipped); from
-    each drawn instance the candidate ``(item + seed + epoch) mod |its positives + negatives|`` is
-    taken, until k. Everything is index arithmetic and equi-joins on unique keys.
+    """X4 (J12): instances with m < k negatives (and ``safe`` off) keep their own m negatives and borrow from other
+    instances: a keyed permutation of all instances that have candidates names 2k different ones (all, where there are
+    fewer); self is skipped, and each gives the candidate ``(item + seed + epoch) mod |its positives + negatives|``, until
+    k. So k come out whenever k other instances have a candidate. Everything is index arithmetic and
+    equi-joins on unique keys.
 
     Returns ``(item, position, negative)`` with positions 1..k (own negatives first).
     """
-    spark = inst.sparkSession
-    ids = with_row_id(inst.select(item), [item], "_slot")
-    n_inst = ids.count()
-    sizes = members.select(F.col(members.columns[0]).alias("_g"), F.col("n").alias("_n")).distinct()
-    x = inst.join(sizes.withColumnRenamed("_n", "m"), F.col(neg_group) == F.col("_g"), "left").drop("_g")
-    x = x.withColumn("m", F.coalesce(F.col("m"), F.lit(0))).filter(F.col("m") < k).join(ids, item)
-    # own negatives, positions 1..m
+    group = members.columns[0]
+    sizes = members.groupBy(F.col(group).alias("_g")).agg(F.first("n").alias("_n"))
+    named = inst.select(F.col(item).alias("_item0"), F.col(pos_group).alias("_pg"), F.col(neg_group).alias("_ng"), F.col(self_idx).alias("_self"))
+    named = named.join(sizes.select(F.col("_g").alias("_pg"), F.col("_n").alias("_np")), "_pg", "left")
+    named = named.join(sizes.select(F.col("_g").alias("_ng"), F.col("_n").alias("_nn")), "_ng", "left")
+    named = named.select("_item0", "_pg", "_ng", "_self", (F.coalesce("_np", F.lit(1)) - 1).alias("_np"), F.coalesce("_nn", F.lit(0)).alias("m"))
+    named = cut_lineage(named.withColumn("_tot", F.col("_np") + F.col("m")))
+    donors = cut_lineage(with_row_id(named.filter(F.col("_tot") > 0), ["_item0"], "_slot"))
+    n = donors.count()
+    x = named.filter(F.col("m") < k)
     own = x.filter(F.col("m") > 0).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    own = _fetch(own.withColumn("_nidx", F.col("t")), members, neg_group, "_nidx", "negative").select(
-        item, (F.col("t") + 1).alias("position"), "negative")
-    # borrowed candidates: draw order d, skipping self
-    d = x.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1)))).withColumn(
-        "_other", F.pmod(F.xxhash64(F.col(item), F.lit(seed), F.col("d")), F.lit(n_inst)))
-    d = d.filter(F.col("_other") != F.col("_slot"))
-    others = ids.join(inst.select(item, F.col(pos_group).alias("_og"), F.col(neg_group).alias("_ong"),
-                                  F.col(self_idx).alias("_oself")), item).select(
-        F.col("_slot").alias("_other"), "_og", "_ong", "_oself")
-    d = d.join(others, "_other")
-    d = (d.join(sizes.select(F.col("_g").alias("_og"), F.col("_n").alias("_np")), "_og", "left")
-          .join(sizes.select(F.col("_g").alias("_ong"), F.col("_n").alias("_nn")), "_ong", "left"))
-    npos = F.coalesce(F.col("_np"), F.lit(0)) - 1
-    ntot = npos + F.coalesce(F.col("_nn"), F.lit(0))
-    d = d.filter(ntot > 0).withColumn("_c", F.pmod(F.col(item) + seed + epoch, ntot))
-    from_pos = F.col("_c") < npos
-    pidx = F.when(F.col("_c") < F.col("_oself"), F.col("_c")).otherwise(F.col("_c") + 1)
-    d = d.withColumn("_grp", F.when(from_pos, F.col("_og")).otherwise(F.col("_ong"))).withColumn(
-        "_nidx", F.when(from_pos, pidx).otherwise(F.col("_c") - npos))
-    b = _fetch(d, members, "_grp", "_nidx", "negative")
-    w = Window.partitionBy(item).orderBy("d")
-    b = b.withColumn("_r", F.row_number().over(w)).withColumn("position", F.col("m") + F.col("_r")).filter(
-        F.col("position") <= k).select(item, "position", "negative")
-    return own.unionByName(b)
+    own = _fetch(own, members, "_ng", "t", "negative").select(F.col("_item0").alias(item), (F.col("t") + 1).cast("long").alias("position"), "negative")
+    if not n:
+        return own
+    # draws in order d, self skipped
+    d = x.join(donors.select("_item0", "_slot"), "_item0", "left").select("_item0", "m", "_slot", F.explode(F.sequence(F.lit(0), F.lit(min(2 * k, n) - 1))).alias("d"))
+    d = d.withColumn("_other", permuted(F.col("d"), F.lit(n), item_key(F.col("_item0"), seed)))
+    d = d.filter(~F.col("_other").eqNullSafe(F.col("_slot")))
+    d = d.join(donors.select(F.col("_slot").alias("_other"), F.col("_pg").alias("_opg"), F.col("_ng").alias("_ong"), F.col("_self").alias("_oself"),
+                             F.col("_np").alias("_onp"), "_tot"), "_other")
+    d = d.withColumn("_c", F.pmod(F.col("_item0") + seed + epoch, F.col("_tot")))
+    from_pos = F.col("_c") < F.col("_onp")
+    d = d.withColumn("_grp", F.when(from_pos, F.col("_opg")).otherwise(F.col("_ong"))).withColumn(
+        "_nidx", F.when(from_pos, F.when(F.col("_c") < F.col("_oself"), F.col("_c")).otherwise(F.col("_c") + 1)).otherwise(F.col("_c") - F.col("_onp")))
+    w = Window.partitionBy("_item0").orderBy("d")
+    d = d.withColumn("position", F.col("m") + F.row_number().over(w)).filter(F.col("position") <= k)
+    b = _fetch(d.select("_item0", "position", "_grp", "_nidx"), members, "_grp", "_nidx", "negative")
+    return own.unionByName(b.select(F.col("_item0").alias(item), F.col("position").cast("long").alias("position"), "negative"))
 
 
 def training_tuples(positives: DataFrame, negatives: DataFrame, query: str) -> DataFrame:

@@ -46,6 +46,8 @@ QUERIES = {
     "entity_report_by_lang": tok.entity_report_by_lang,
     "pair_truncation": tok.pair_truncation,
     "training_tuples": tup.training_tuples,
+    "borrowed_negatives": tup.borrowed_negatives,
+    "shuffled_negatives": tup.shuffled_negatives,
     "suite_report": rep.suite_report,
     "topk_stream": stream.topk_stream,
     "predictions_roundtrip": sinkio.predictions_roundtrip,
@@ -86,6 +88,8 @@ ORACLE = {
     "entity_report_by_lang": sql.ENTITY_REPORT_BY_LANG,
     "pair_truncation": sql.PAIR_TRUNCATION,
     "training_tuples": sql.TRAINING_TUPLES,
+    "borrowed_negatives": sql.BORROWED_NEGATIVES,
+    "shuffled_negatives": sql.SHUFFLED_NEGATIVES,
     "suite_report": sql.SUITE_REPORT,
     "topk_stream": sql.TOPK_COSINE,
     "predictions_roundtrip": sql.PREDICTIONS_ROUNDTRIP,

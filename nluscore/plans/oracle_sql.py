@@ -650,6 +650,53 @@ UNION ALL SELECT query_id, CAST(position AS BIGINT), doc_id FROM neg
 # ---------------------------------------------------------------- suite report
 
 
+def _walk_sql(source: str) -> str:
+    """Recursive table `walk` (item, slot, n, x, ...): x passes a keyed Feistel network of 4 rounds until it is below n.
+    ``source``: table with item, slot, n."""
+    step = "SELECT item, slot, n, w, key, x >> w AS l, x & ((1::BIGINT << w) - 1) AS r FROM ({inner}) s0"
+    for add in (12345, 1013904223, 907633515, 362437):
+        step = f"SELECT *, (((r + key + {add}) & 2147483647) * 1103515245) & 2147483647 AS a FROM ({step}) s1"
+        step = f"SELECT item, slot, n, w, key, r AS l, xor(l, ((xor(a, a >> 15) * 3329051) & 2147483647) >> (31 - w)) AS r FROM ({step}) s3"
+    step = f"SELECT item, slot, n, w, key, (l << w) | r AS x FROM ({step}) s2"
+    first = f"""SELECT item, slot, n, greatest(1, CAST(ceil(log2(n) / 2) AS INTEGER)) AS w,
+      ((item % 2147483648) * 1103515245 + 42) % 2147483648 AS key, CAST(slot AS BIGINT) AS x FROM {source}"""
+    return f"""walk AS ({step.replace('{inner}', first)}
+  UNION ALL {step.replace('{inner}', 'SELECT item, slot, n, w, key, x FROM walk WHERE x >= n')}),
+places AS (SELECT item, slot, x FROM walk WHERE x < n)"""
+
+
+SHUFFLED_NEGATIVES = f"""
+WITH RECURSIVE m AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx,
+                  count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+cnt AS (SELECT label, count(*) AS c FROM embeddings GROUP BY label),
+want AS (SELECT q.vec_id AS item, (3 + t.t) % c.c AS slot, c.c AS n, t.t, c.label FROM m q JOIN cnt c ON c.label = (q.label + 1) % 10
+         CROSS JOIN range(0, 3) t(t) WHERE c.c >= 3),
+{_walk_sql('want')}
+SELECT w.item AS query_id, CAST(w.t + 1 AS BIGINT) AS position, d.vec_id AS doc_id
+FROM want w JOIN places p ON p.item = w.item AND p.slot = w.slot JOIN m d ON d.label = w.label AND d.idx = p.x
+"""
+
+BORROWED_NEGATIVES = f"""
+WITH RECURSIVE e AS (SELECT vec_id, vec_id // 3 AS grp, row_number() OVER (PARTITION BY vec_id // 3 ORDER BY vec_id) - 1 AS idx,
+                  count(*) OVER (PARTITION BY vec_id // 3) AS np FROM embeddings),
+c AS (SELECT grp, count(*) AS n FROM e GROUP BY grp),
+i AS (SELECT e.vec_id, e.grp, e.idx, e.np - 1 AS np, CASE WHEN e.vec_id % 2 = 0 THEN e.grp + 1 ELSE -1 END AS ng FROM e),
+j AS (SELECT i.*, coalesce(c.n, 0) AS m, i.np + coalesce(c.n, 0) AS tot FROM i LEFT JOIN c ON c.grp = i.ng),
+donor AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS slot FROM j WHERE tot > 0),
+want AS (SELECT j.vec_id AS item, d.d AS slot, (SELECT count(*) FROM donor) AS n FROM j CROSS JOIN range(0, 10) d(d)
+         WHERE d.d < (SELECT count(*) FROM donor)),
+{_walk_sql('want')},
+drawn AS (SELECT j.vec_id, j.m, p.slot AS d, o.* EXCLUDE (vec_id, m) FROM places p JOIN j ON j.vec_id = p.item JOIN donor o ON o.slot = p.x
+          WHERE o.vec_id <> j.vec_id),
+ranked AS (SELECT *, m + row_number() OVER (PARTITION BY vec_id ORDER BY d) AS position, (vec_id + 42 + 1) % tot AS k FROM drawn),
+picked AS (SELECT vec_id, position, CASE WHEN k < np THEN grp ELSE ng END AS g,
+             CASE WHEN k >= np THEN k - np WHEN k < idx THEN k ELSE k + 1 END AS at FROM ranked WHERE position <= 5)
+SELECT j.vec_id AS query_id, CAST(x.idx + 1 AS BIGINT) AS position, x.vec_id AS doc_id FROM j JOIN e x ON x.grp = j.ng WHERE j.m < 5
+UNION ALL
+SELECT p.vec_id, CAST(p.position AS BIGINT), x.vec_id FROM picked p JOIN e x ON x.grp = p.g AND x.idx = p.at
+"""
+
+
 def _suite_sql() -> str:
     tasks = {"quality": ["accuracy"], "quality_pair": ["f1", "accuracy"], "entities": ["f1", "precision", "recall"]}
     langs = ["de", "en", "es", "fr", "sw"]
