@@ -171,8 +171,10 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return stored(table.mapInArrow(tidy(encode), "word string, n bigint, ids binary"), "words")
 
 
-def hot_table(words: DataFrame, hot_words: int = HOT_WORDS) -> dict[str, bytes]:
-    """The most frequent short words, at most ``hot_words``: all words from a count upward that fits."""
+def hot_table(words: DataFrame, hot_words: int = HOT_WORDS) -> tuple[pa.Array, pa.Array]:
+    """The most frequent short words, at most ``hot_words``, and their ids: all words from a count upward that fits.
+
+    Two flat Arrow arrays, a fifth of what a Python dictionary of them takes in every worker."""
     short = words.where(F.octet_length("word") <= HOT_BYTES)
     # Counts by number of words: powers of two bound the rows; below a power the step is exact.
     step = F.floor(F.log2("n") * 16).cast("int")
@@ -183,9 +185,9 @@ def hot_table(words: DataFrame, hot_words: int = HOT_WORDS) -> dict[str, bytes]:
             break
         total, least = total + steps[s], s
     if least is None:
-        return {}
-    got = short.where(step >= least).select("word", "ids").toArrow()
-    return dict(zip(got.column("word").to_pylist(), got.column("ids").to_pylist()))
+        return pa.array([], pa.string()), pa.array([], pa.binary())
+    got = short.where(step >= least).select("word", "ids").toArrow().combine_chunks()
+    return tuple(pa.concat_arrays(got.column(k).chunks).cast(t) if got.num_rows else pa.array([], t) for k, t in enumerate((pa.string(), pa.binary())))
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
@@ -206,12 +208,12 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
     rows = need(docs, id_col, text).select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("id", "text"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, known = bpe(path), hot.value
+        t, known = bpe(path), hot.value[0]
         for b in batches:
             for part in _parts(b, JOIN_BYTES):
                 found, bounds = t.split(part.column("text"))
                 found = found.dictionary_encode()
-                unknown = np.array([w not in known for w in _listed(found.dictionary)], bool)
+                unknown = pc.is_null(pc.index_in(found.dictionary, value_set=known)).to_numpy(zero_copy_only=False)
                 at = found.indices.to_numpy()
                 here = np.flatnonzero(unknown[at])
                 # each text's unknown words once: (row, word) as one number
@@ -242,15 +244,17 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
         """Results of some texts: each word they hold is looked up, or encoded here, once for all of them."""
         found, bounds = t.split(texts)
         found = found.dictionary_encode()
-        ws = _listed(found.dictionary)
-        ids = list(map(hot.value.get, ws))
-        own = _pairs(part)
-        for k in [k for k, x in enumerate(ids) if x is None]:
-            ids[k] = own.get(ws[k])
-        once = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(once, t.encode([ws[k] for k in once])):
-            ids[k] = x
-        flat = pa.array(ids, pa.binary()).take(found.indices)
+        known, known_ids = hot.value
+        ids = known_ids.take(pc.index_in(found.dictionary, value_set=known))
+        if ids.null_count:
+            left = pc.is_null(ids)
+            rest, own = _listed(found.dictionary.filter(left)), _pairs(part)
+            got = [own.get(w) for w in rest]
+            once = [k for k, x in enumerate(got) if x is None]
+            for k, x in zip(once, t.encode([rest[k] for k in once])):
+                got[k] = x
+            ids = pc.replace_with_mask(ids, left, pa.array(got, pa.binary()))
+        flat = ids.take(found.indices)
         if len(flat):
             bounds = np.frombuffer(flat.buffers()[1], np.int32)[bounds] // t.dtype.itemsize
             at = np.frombuffer(flat.buffers()[2], t.dtype, count=int(bounds[-1]))
