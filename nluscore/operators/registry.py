@@ -111,6 +111,80 @@ def custom_metric(df: DataFrame, fn: Callable, schema, by=None) -> DataFrame:
     return df.groupBy(*by).applyInPandas(fn, schema)
 
 
+def custom_metric_states(df: DataFrame, init: Callable, update: Callable, merge: Callable, finish: Callable, schema, by=None,
+                         columns=None, salts: int = 32, held: int = 4096) -> DataFrame:
+    """F2 at any size: a user metric as a mergeable state, per ``by`` key or over all rows.
+
+    ``init()`` makes a state, ``update(state, pandas frame)`` returns it with some rows of one key taken in,
+    ``merge(a, b)`` joins two, ``finish(state)`` gives the metric columns (``schema``: their DDL) as a dict. States travel
+    pickled. Every task keeps one state a key (passing on the oldest beyond ``held``), so a key of any size is shuffled as
+    one small state per task; states are merged in two steps, first within ``salts`` parts of a key. ``columns``: what the
+    frames hold besides the keys (default: all columns).
+    """
+    import pickle
+
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    by = as_list(by)
+    cols = list(columns) if columns is not None else [c for c in df.columns if c not in by]
+    keys = [f"_k{i}" for i in range(len(by))]
+    named = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), *cols)
+    code = cloudpickle.dumps((init, update, merge, finish))
+    kinds = [named.schema[k].dataType for k in keys]
+    state_schema = ", ".join([*(f"{k} {t.simpleString()}" for k, t in zip(keys, kinds)), "_salt int", "_state binary"])
+    types = [pa.null()] * len(keys)
+
+    def partial(batches):
+        start, take, _, _ = pickle.loads(code)
+        states: dict = {}
+
+        def rows(some: dict):
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([k[i] for k in some], types[i]) for i in range(len(keys))), pa.array([0] * len(some), pa.int32()),
+                 pa.array([cloudpickle.dumps(s) for s in some.values()], pa.binary())], names=[*keys, "_salt", "_state"])
+
+        for b in batches:
+            types[:] = [b.schema.field(k).type for k in keys]
+            frame = b.to_pandas()
+            rest = frame[[c for c in frame.columns if c not in keys]]
+            parts = [((), rest)] if not keys else [(k, rest.loc[at]) for k, at in frame.groupby(keys, dropna=False, sort=False).groups.items()]
+            for k, part in parts if len(frame) else []:
+                k = tuple(None if pd.isna(x) else x for x in (k if isinstance(k, tuple) else (k,))) if keys else ()
+                states[k] = take(states.pop(k) if k in states else start(), part)
+            if len(states) > held:
+                old = dict(list(states.items())[:len(states) - held])
+                for k in old:
+                    del states[k]
+                yield rows(old)
+        if states:
+            yield rows(states)
+
+    def merged(table: "pa.Table") -> "pa.Table":
+        _, _, join, _ = pickle.loads(code)
+        state = None
+        for raw in table.column("_state"):
+            one = pickle.loads(raw.as_py())
+            state = one if state is None else join(state, one)
+        first = table.slice(0, 1)
+        return first.set_column(first.schema.get_field_index("_state"), "_state", pa.array([cloudpickle.dumps(state)], pa.binary()))
+
+    # a task's number spreads its states over the salts
+    states = named.mapInArrow(partial, state_schema).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int"))
+    once = states.groupBy(*keys, "_salt").applyInArrow(merged, state_schema).withColumn("_salt", F.lit(0))
+    last = once.groupBy(*keys, "_salt").applyInArrow(merged, state_schema)
+
+    def done(batches):
+        _, _, _, end = pickle.loads(code)
+        for frame in batches:
+            got = pd.DataFrame([end(pickle.loads(s)) for s in frame["_state"]])
+            yield pd.concat([frame[keys].reset_index(drop=True), got], axis=1) if keys else got
+
+    out = ", ".join([*(f"{k} {t.simpleString()}" for k, t in zip(keys, kinds)), schema])
+    return last.mapInPandas(done, out).withColumnsRenamed(dict(zip(keys, by)))
+
+
 def post_process(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """user step between model output and metric."""
     return df.transform(fn)

@@ -208,68 +208,106 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, qid: str = "qid",
     return rank_top_k(hits, k, tie=tie)
 
 
-def pool_tokens(df: DataFrame, tokens: str, mask_len: str, how: str, out: str = "pooled") -> DataFrame:
-    """V6: pool ``array<array<float>>`` token vectors; the first ``mask_len`` tokens are attended.
+def pool_tokens(df: DataFrame, tokens: str, mask_len: str | None, how: str, out: str = "pooled", mask: str | None = None) -> DataFrame:
+    """V6: pool ``array<array<float>>`` token vectors; attended are the first ``mask_len`` tokens, or those of ``mask``, an
+    array of one number (0 or 1, or any weight) per token, in any places.
 
-    first_token, last_token (last attended), mean (masked), weightedmean (weights pos+1).
-    Pure higher-order functions: no explode, no shuffle.
+    first_token (whatever the mask), last_token (the one before the first 0 of the mask; the last without a 0;
+    the first where the mask begins with 0), mean (masked), weightedmean (weights pos+1). Pure
+    higher-order functions: no explode, no shuffle.
     """
     t = F.col(tokens)
-    n = F.least(F.col(mask_len).cast("int"), F.size(t))
+    size = F.size(t)
     dims = F.sequence(F.lit(0), F.size(F.element_at(t, 1)) - 1)
-    att = F.slice(t, 1, n)
+    if mask is not None:
+        m = F.col(mask)
+        w_at = lambda i: F.coalesce(F.get(m, i).cast("double"), F.lit(0.0))
+        first_zero = F.array_position(F.transform(m, lambda x: x.cast("double")), 0.0).cast("int")
+        last = F.when(first_zero > 0, first_zero - 1).otherwise(size)
+    else:
+        n = F.least(F.col(mask_len).cast("int"), size)
+        w_at = lambda i: (i < n).cast("double")
+        last = n
+
+    def total(weight):
+        return F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0.0), lambda a, i: a + weight(i))
 
     def wsum(weight):
         return F.transform(dims, lambda d: F.aggregate(
-            F.transform(att, lambda tok, i: weight(i) * F.element_at(tok, d + 1).cast("double")),
+            F.transform(t, lambda tok, i: weight(i) * F.element_at(tok, d + 1).cast("double")),
             F.lit(0.0), lambda a, x: a + x))
 
+    floor = F.lit(1e-9)
     if how == "first_token":
         res = F.transform(F.element_at(t, 1), lambda x: x.cast("double"))
     elif how == "last_token":
-        res = F.transform(F.element_at(t, F.greatest(n, F.lit(1))), lambda x: x.cast("double"))
+        at = F.greatest(last, F.lit(1))
+        scale = w_at(at - 1) if mask is not None else F.lit(1.0)
+        res = F.transform(F.element_at(t, at), lambda x: x.cast("double") * scale)
     elif how == "mean":
-        res = F.transform(wsum(lambda i: F.lit(1.0)), lambda x: x / F.greatest(n.cast("double"), F.lit(1e-9)))
+        res = F.transform(wsum(w_at), lambda x: x / F.greatest(total(w_at), floor))
     elif how == "weightedmean":
-        wtot = (n * (n + 1) / 2).cast("double")
-        res = F.transform(wsum(lambda i: (i + 1).cast("double")), lambda x: x / F.greatest(wtot, F.lit(1e-9)))
+        # the mask weighs the states and, with the position, their sum
+        res = F.transform(wsum(lambda i: w_at(i) * w_at(i) * (i + 1)), lambda x: x / F.greatest(total(lambda i: w_at(i) * (i + 1)), floor))
     else:
         raise ValueError(f"unknown pooling {how!r}")
     return df.withColumn(out, res)
 
 
+def _lse_cell(scale: float, cos: bool):
+    """Of one block of queries against one block of docs: per query the greatest scaled score, the sum of exponentials
+    over it, and the scaled score of its paired doc where the block has it."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        nq, nd = left.num_rows, right.num_rows
+        top, total, pair = np.zeros(nq), np.zeros(nq), np.full(nq, np.nan)
+        if nq and nd:
+            qm, dm = _matrix(left.column("v"), nq), _matrix(right.column("v"), nd)
+            if cos:
+                qm, dm = _normalize(qm), _normalize(dm)
+            s = scale * (qm @ dm.T)
+            top = s.max(axis=1)
+            total = np.exp(s - top[:, None]).sum(axis=1)
+            place, doc = _same_ids(left.column("pos").combine_chunks(), right.column("docid").combine_chunks())
+            at = {int(c): k for k, c in enumerate(doc)}
+            k = np.array([at.get(int(p), -1) if p == p else -1 for p in place])
+            pair = np.where(k >= 0, s[np.arange(nq), np.maximum(k, 0)], np.nan)
+        has = np.full(nq, bool(nd))
+        return pa.table({"batch_id": left.column("batch_id"), "qid": left.column("qid"), "top": pa.array(top, mask=~has),
+                         "total": pa.array(total, mask=~has), "pair": pa.array(pair, mask=np.isnan(pair))})
+    return run
+
+
 def contrastive_loss(queries: DataFrame, docs: DataFrame, batch: str = "batch_id", qid: str = "qid",
                      pos: str = "pos_docid", docid: str = "docid", vec: str = "embedding",
-                     scale: float = 20.0, metric: str = "cos_sim") -> DataFrame:
+                     scale: float = 20.0, metric: str = "cos_sim", reduction: str = "none",
+                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """In-batch softmax cross-entropy of each query's paired doc among the docs of its batch.
 
-    Returns ``(batch_id, qid, loss)`` with loss = logsumexp(scale*s) - scale*s_pos. A batch is
-    bounded by the training batch size, so queries and docs are cogrouped on the batch key and
-    scored with one small matrix product per batch (no pair rows, no replication).
+    loss = logsumexp(scale*s) - scale*s_pos; null when the batch lacks the paired doc. ``reduction``: "none" gives
+    ``(batch_id, qid, loss)``, "mean" and "sum" ``(batch_id, loss)`` over the batch's queries. A batch may have any
+    size: queries and docs are cut into blocks of ``block_rows`` by a hash, every pair of blocks is one matrix product that
+    leaves a mergeable part of the log-sum-exp per query, and the parts are merged by an aggregation.
     """
+    if reduction not in ("none", "mean", "sum"):
+        raise ValueError(f"reduction must be none, mean or sum, not {reduction!r}")
     q = queries.select(F.col(batch).cast("long").alias("batch_id"), F.col(qid).cast("long").alias("qid"),
                        F.col(pos).cast("long").alias("pos"), F.col(vec).alias("v"))
     d = docs.select(F.col(batch).cast("long").alias("batch_id"), F.col(docid).cast("long").alias("docid"),
                     F.col(vec).alias("v"))
-    cos = metric == "cos_sim"
-
-    def score(qp, dp):
-        import pandas as pd
-        if len(qp) == 0:
-            return pd.DataFrame({"batch_id": [], "qid": [], "loss": []})
-        qm = np.stack([np.asarray(x, dtype=np.float64) for x in qp["v"]])
-        if len(dp) == 0:
-            return pd.DataFrame({"batch_id": qp["batch_id"], "qid": qp["qid"], "loss": np.nan})
-        dm = np.stack([np.asarray(x, dtype=np.float64) for x in dp["v"]])
-        if cos:
-            qm, dm = _normalize(qm), _normalize(dm)
-        s = scale * (qm @ dm.T)
-        mx = s.max(axis=1, keepdims=True)
-        lse = (mx + np.log(np.exp(s - mx).sum(axis=1, keepdims=True)))[:, 0]
-        col = {int(x): i for i, x in enumerate(dp["docid"])}
-        idx = np.array([col.get(int(p), -1) for p in qp["pos"]])
-        spos = np.where(idx >= 0, s[np.arange(len(idx)), np.maximum(idx, 0)], np.nan)
-        return pd.DataFrame({"batch_id": qp["batch_id"].to_numpy(), "qid": qp["qid"].to_numpy(), "loss": lse - spos})
-
-    return q.groupBy("batch_id").cogroup(d.groupBy("batch_id")).applyInPandas(
-        score, "batch_id long, qid long, loss double")
+
+    def blocks(side: DataFrame, out: str) -> DataFrame:
+        return side.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias(out))
+
+    sizes = blocks(q, "nq").join(blocks(d, "nd"), "batch_id", "left").withColumn("nd", F.coalesce("nd", F.lit(1).cast("long")))
+    q = q.join(sizes, "batch_id").withColumn("qb", F.pmod(F.xxhash64("qid"), "nq")).withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nd") - 1)))
+    d = d.join(sizes, "batch_id").withColumn("db", F.pmod(F.xxhash64("docid"), "nd")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
+    keys = ["batch_id", "qb", "db"]
+    parts = (q.select(*keys, "qid", "pos", "v").groupBy(*keys).cogroup(d.select(*keys, "docid", "v").groupBy(*keys))
+              .applyInArrow(_lse_cell(scale, metric == "cos_sim"), "batch_id long, qid long, top double, total double, pair double"))
+    merged = parts.groupBy("batch_id", "qid").agg(F.collect_list(F.struct("top", "total")).alias("_p"), F.max("pair").alias("_pair"), F.max("top").alias("_top"))
+    # one part per block of docs: their number, not the batch's, bounds the list
+    lse = F.col("_top") + F.log(F.aggregate("_p", F.lit(0.0), lambda a, x: a + F.coalesce(x["total"] * F.exp(x["top"] - F.col("_top")), F.lit(0.0))))
+    each = merged.select("batch_id", "qid", (lse - F.col("_pair")).alias("loss"))
+    if reduction == "none":
+        return each
+    return each.groupBy("batch_id").agg((F.avg if reduction == "mean" else F.sum)("loss").alias("loss"))

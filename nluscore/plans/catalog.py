@@ -27,6 +27,9 @@ QUERIES = {
     "merged_eval": ret.merged_eval,
     "qrels_build": ret.qrels_build,
     "contrastive_loss": ret.contrastive_loss,
+    "contrastive_batch_loss": ret.contrastive_batch_loss,
+    "pool_masked": ret.pool_masked,
+    "custom_metric_states": cls.custom_metric_states,
     "pool_tokens": ret.pool_tokens,
     "answer_em_f1": qa.answer_em_f1,
     "squad_v1_summary": qa.squad_v1_summary,
@@ -69,6 +72,9 @@ ORACLE = {
     "merged_eval": sql.MERGED_EVAL,
     "qrels_build": sql.QRELS_BUILD,
     "contrastive_loss": sql.CONTRASTIVE_LOSS,
+    "contrastive_batch_loss": sql.CONTRASTIVE_BATCH_LOSS,
+    "pool_masked": sql.POOL_MASKED,
+    "custom_metric_states": sql.CUSTOM_METRIC_STATES,
     "pool_tokens": sql.POOL_TOKENS,
     "answer_em_f1": sql.ANSWER_EM_F1,
     "squad_v1_summary": sql.SQUAD_V1_SUMMARY,

@@ -39,3 +39,23 @@ def weighted_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M10 with weights, one scan: mse, rmse, mse_weighted, rmse_weighted."""
     li = regression_input(spark, sf_dir)
     return to_long(C.regression_metrics(li, "pred", "gold", weight="weight"), [])
+
+
+def custom_metric_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2: a user's balanced accuracy (mean recall of the classes) and count per language, as mergeable states."""
+    from ..operators.registry import custom_metric_states as run
+
+    def update(state, rows):
+        for gold, pred in zip(rows["gold"], rows["pred"]):
+            hit, n = state.get(gold, (0, 0))
+            state[gold] = (hit + (gold == pred), n + 1)
+        return state
+
+    def merge(a, b):
+        return {k: (a.get(k, (0, 0))[0] + b.get(k, (0, 0))[0], a.get(k, (0, 0))[1] + b.get(k, (0, 0))[1]) for k in {*a, *b}}
+
+    def finish(state):
+        return {"balanced_accuracy": round(sum(h / n for h, n in state.values()) / len(state), 6), "rows": sum(n for _, n in state.values())}
+
+    df = classification_input(spark, sf_dir).select("config", "gold", "pred")
+    return run(df, dict, update, merge, finish, "balanced_accuracy double, rows long", by="config")

@@ -63,6 +63,12 @@ w AS (
 {long_sql('w', ['config'], ['accuracy', 'f1', 'f1_micro', 'f1_macro', 'f1_weighted', 'mcc', 'combined_score'])}
 """
 
+CUSTOM_METRIC_STATES = f"""
+WITH {CLS},
+r AS (SELECT config, gold, avg(CAST(gold = pred AS DOUBLE)) AS recall, count(*) AS n FROM cls GROUP BY config, gold)
+SELECT config, round(avg(recall), 6) AS balanced_accuracy, CAST(sum(n) AS BIGINT) AS rows FROM r GROUP BY config
+"""
+
 PEARSON_SPEARMAN = f"""
 WITH li AS (SELECT l_quantity * 1500 AS x, l_extendedprice AS y FROM lineitem
             WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
@@ -274,6 +280,24 @@ l AS (SELECT s.batch_id, s.qid, m.mx + ln(sum(exp(s.s - m.mx))) AS lse,
 SELECT CAST(batch_id AS BIGINT) AS batch_id, qid, round(lse - spos, 6) AS loss FROM l
 """
 
+CONTRASTIVE_BATCH_LOSS = """
+WITH e AS (SELECT vec_id, vec_id // 400 AS batch_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.batch_id, q.vec_id AS qid, d.vec_id AS docid, 5.0 * list_dot_product(q.v, d.v) AS s
+      FROM e q JOIN e d ON q.batch_id = d.batch_id WHERE q.vec_id % 2 = 0 AND d.vec_id % 2 = 1),
+l AS (SELECT batch_id, qid, ln(sum(exp(s))) - max(s) FILTER (WHERE docid = qid + 1) AS loss FROM s GROUP BY batch_id, qid)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, 'mean' AS reduction, round(avg(loss), 6) AS loss FROM l GROUP BY batch_id
+UNION ALL SELECT CAST(batch_id AS BIGINT), 'sum', round(sum(loss), 6) FROM l GROUP BY batch_id
+"""
+
+POOL_MASKED = """
+WITH x AS (SELECT vec_id, t, d, CAST(embedding[t * 8 + d + 1] AS DOUBLE) AS h, CAST((vec_id + 3 * t) % 5 <> 0 AS INTEGER) AS m
+           FROM embeddings, range(0, 8) r1(t), range(0, 8) r2(d)),
+z AS (SELECT vec_id, greatest(coalesce(min(t) FILTER (WHERE m = 0), 8) - 1, 0) AS last FROM x GROUP BY vec_id)
+SELECT x.vec_id, 'last_token' AS method, d AS dim, round(h * m, 6) AS value FROM x JOIN z ON x.vec_id = z.vec_id AND x.t = z.last
+UNION ALL SELECT vec_id, 'mean', d, round(sum(h * m) / greatest(sum(m), 1e-9), 6) FROM x GROUP BY vec_id, d
+UNION ALL SELECT vec_id, 'weightedmean', d, round(sum(h * m * (t + 1)) / greatest(sum(m * (t + 1)), 1e-9), 6) FROM x GROUP BY vec_id, d
+"""
+
 POOL_TOKENS = """
 WITH t AS (
   SELECT vec_id, least(label + 1, 8) AS n, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

@@ -136,6 +136,30 @@ def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loss.select("batch_id", "qid", F.round("loss", 6).alias("loss"))
 
 
+def contrastive_batch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V15 reduced: mean and sum per batch of 200 pairs, scored in blocks of 64 rows (dot products)."""
+    e = _emb(spark, sf_dir)
+    batch = F.expr("vec_id div 400")
+    q = e.filter(F.col("vec_id") % 2 == 0).select(batch.alias("batch_id"), F.col("vec_id").alias("qid"), (F.col("vec_id") + 1).alias("pos_docid"), "embedding")
+    d = e.filter(F.col("vec_id") % 2 == 1).select(batch.alias("batch_id"), F.col("vec_id").alias("docid"), "embedding")
+    out = [V.contrastive_loss(q, d, scale=5.0, metric="dot", reduction=r, block_rows=64).select("batch_id", F.lit(r).alias("reduction"), F.round("loss", 6).alias("loss"))
+           for r in ("mean", "sum")]
+    return out[0].unionByName(out[1])
+
+
+def pool_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6 with masks that have holes: each embedding cut into 8 tokens of 8 dims; token t counts unless (vec_id + 3 t) mod 5 is 0."""
+    e = _emb(spark, sf_dir)
+    toks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice(F.col("embedding"), t * 8 + 1, 8))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: ((F.col("vec_id") + 3 * t) % 5 != 0).cast("int"))
+    df = e.select("vec_id", toks.alias("tokens"), mask.alias("mask"))
+    out = None
+    for how in ("last_token", "mean", "weightedmean"):
+        p = V.pool_tokens(df, "tokens", None, how, mask="mask").select("vec_id", F.lit(how).alias("method"), F.posexplode_outer("pooled").alias("dim", "value"))
+        out = p if out is None else out.unionByName(p)
+    return out.select("vec_id", "method", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
 def pool_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6: each embedding cut into 8 tokens of 8 dims; the first label+1 tokens are attended."""
     e = _emb(spark, sf_dir)
