@@ -148,8 +148,7 @@ def custom_metric_states(df: DataFrame, init: Callable, update: Callable, merge:
         for b in batches:
             types[:] = [b.schema.field(k).type for k in keys]
             frame = b.to_pandas()
-            rest = frame[[c for c in frame.columns if c not in keys]]
-            parts = [((), rest)] if not keys else [(k, rest.loc[at]) for k, at in frame.groupby(keys, dropna=False, sort=False).groups.items()]
+            parts = [((), frame)] if not keys else ((k, part.drop(columns=keys)) for k, part in frame.groupby(keys, dropna=False, sort=False))
             for k, part in parts if len(frame) else []:
                 k = tuple(None if pd.isna(x) else x for x in (k if isinstance(k, tuple) else (k,))) if keys else ()
                 states[k] = take(states.pop(k) if k in states else start(), part)
