@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -230,6 +231,97 @@ def with_row_id(df: DataFrame, order: Sequence[str], out: str = "row_id", by=Non
                   .withColumn(out, F.col("off") + F.col("_local")).drop("_pid", "_local", "pid", "off"))
 
 
+def neighbour_values(df: DataFrame, order: Sequence[str], wanted: dict, by=None, parts: int | None = None) -> DataFrame:
+    """For every row, values of the nearest earlier or later row of its ``by`` key in ``order`` that meets a condition.
+
+    ``wanted``: output name -> (column, -1 or +1, condition or None); null where there is no such row. One range partition on
+    (by, order), so a hot key is spread over tasks; what a partition's rows need from beyond it is carried in from one
+    summary row per partition (the first and last matching values of its edge keys). No join, no window over a key.
+    A task holds its partition once more while it looks ahead.
+    """
+    by, order = as_list(by), list(order)
+    outs = list(wanted)
+    work = df.select("*", *(F.col(c).alias(f"_v{i}") for i, (c, _, _) in enumerate(wanted.values())),
+                     *((cond if cond is not None else F.lit(True)).alias(f"_c{i}") for i, (_, _, cond) in enumerate(wanted.values())))
+    rp = _range_sorted(work, by + order, parts)
+    n, signs = len(outs), [d for _, d, _ in wanted.values()]
+    kinds = [rp.schema[f"_v{i}"].dataType for i in range(n)]
+
+    def segments(t: pa.Table) -> np.ndarray:
+        """Number of the key's stretch each row is in."""
+        new = np.zeros(t.num_rows, dtype=bool)
+        for c in by:
+            codes = t.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            codes = np.where(np.isnan(codes), -1, codes) if codes.dtype.kind == "f" else codes
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.cumsum(new)
+
+    def nearest(seg: np.ndarray, ok: np.ndarray, sign: int) -> np.ndarray:
+        """Row of the nearest match before or behind each row inside its stretch, -1 without one."""
+        if sign > 0:
+            back = nearest(seg[::-1] * -1, ok[::-1], -1)[::-1]
+            return np.where(back >= 0, len(ok) - 1 - back, -1)
+        last = np.maximum.accumulate(np.where(ok, np.arange(len(ok)), -1))
+        before = np.concatenate(([-1], last[:-1]))
+        return np.where((before >= 0) & (seg[before] == seg), before, -1)
+
+    def matching(t: pa.Table, i: int) -> np.ndarray:
+        return t.column(f"_c{i}").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+
+    edge = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("single", T.BooleanType())]
+                        + [T.StructField(f"{e}{j}", rp.schema[c].dataType) for e in ("f", "l") for j, c in enumerate(by)]
+                        + [f for i in range(n) for f in (T.StructField(f"h{i}", T.BooleanType()), T.StructField(f"v{i}", kinds[i]))])
+
+    def summary(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        seg = segments(t)
+        row = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([bool(seg[-1] == 0)])]
+        row += [t.column(c).combine_chunks().slice(at, 1) for at in (0, t.num_rows - 1) for c in by]
+        for i, sign in enumerate(signs):
+            own = np.flatnonzero(matching(t, i) & (seg == (seg[-1] if sign < 0 else 0)))
+            at = (own[-1] if sign < 0 else own[0]) if len(own) else 0
+            row += [pa.array([bool(len(own))]), t.column(f"_v{i}").combine_chunks().slice(int(at), 1)]
+        yield pa.RecordBatch.from_arrays(row, names=edge.fieldNames())
+
+    edges = sorted((r.asDict(recursive=True) for r in rp.mapInArrow(summary, edge).collect()), key=lambda r: r["pid"])
+    first, last = [f"f{j}" for j in range(len(by))], [f"l{j}" for j in range(len(by))]
+    carry: dict[int, list] = {r["pid"]: [None] * n for r in edges}
+    for i, sign in enumerate(signs):
+        key, value = None, None  # of the stretch that the neighbouring partitions end with
+        near, far = (first, last) if sign < 0 else (last, first)
+        for r in edges if sign < 0 else edges[::-1]:
+            same = key is not None and key == [r[c] for c in near]
+            carry[r["pid"]][i] = value if same else None
+            if r[f"h{i}"]:
+                value = (r[f"v{i}"],)
+            elif not (same and r["single"]):
+                value = None
+            key = [r[c] for c in far]
+    schema = T.StructType(df.schema.fields + [T.StructField(o, k) for o, k in zip(outs, kinds)])
+    names = df.columns
+
+    def fill(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        seg, cols = segments(t), [t.column(c).combine_chunks() for c in names]
+        for i, sign in enumerate(signs):
+            at, values = nearest(seg, matching(t, i), sign), t.column(f"_v{i}").combine_chunks()
+            from_beyond = carry[TaskContext.get().partitionId()][i]
+            if from_beyond is not None:
+                values = pa.concat_arrays([values, pa.array([from_beyond[0]], values.type)])
+                at = np.where((at < 0) & (seg == (0 if sign < 0 else seg[-1])), len(seg), at)
+            cols.append(values.take(pa.array(np.maximum(at, 0), mask=at < 0)))
+        whole = pa.Table.from_arrays(cols, names=[*names, *outs])
+        yield from whole.to_batches(max_chunksize=8192)
+
+    return rp.mapInArrow(fill, schema)
+
+
 def average_ranks(df: DataFrame, col: str, by=None, out: str = "rank") -> DataFrame:
     """1-based ranks of ``col`` with ties sharing their mean rank (per ``by`` key); nulls get null.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import qa as Q
-from ..operators.prefix import prefix_sum
+from ..operators.prefix import neighbour_values
 from .tables import load
 
 IDS = ["conv_id", "turn"]
@@ -21,24 +21,14 @@ def _turn_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Per assistant turn: prediction = its text; golds = the preceding turn if it is a user turn,
     and the next assistant turn of the conversation.
 
-    Turn order inside a conversation comes from distributed per-key row ids (W7 on the keys only),
-    and neighbours are equi-joins on unique (conv_id, idx) keys, so one huge conversation is
-    spread over many tasks instead of one window partition.
+    Neighbouring turns come from one range partition on (conv_id, turn) (W2), so one huge conversation is
+    spread over many tasks and texts are shuffled once.
     """
     conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    is_a = (F.col("role") == "assistant").cast("long")
-    keys = conv.select("conv_id", "turn", F.lit(1).cast("long").alias("_one"), is_a.alias("_isa"))
-    # one pass: running count of turns (idx) and of assistant turns (aidx) per conversation
-    ids = prefix_sum(keys, ["turn"], ["_one", "_isa"], ["_n", "_na"], by="conv_id").select(
-        "conv_id", "turn", (F.col("_n") - 1).alias("idx"), (F.col("_na") - 1).alias("aidx"))
-    t = conv.join(ids, ["conv_id", "turn"])
-    prev = t.select("conv_id", (F.col("idx") + 1).alias("idx"), F.col("role").alias("prev_role"),
-                    F.col("text").alias("prev_text"))
-    a = t.filter(F.col("role") == "assistant")
-    nxt = a.select("conv_id", (F.col("aidx") - 1).alias("aidx"), F.col("text").alias("next_asst"))
-    x = a.join(prev, ["conv_id", "idx"], "left").join(nxt, ["conv_id", "aidx"], "left")
-    golds = F.filter(F.array(F.when(F.col("prev_role") == "user", F.col("prev_text")), F.col("next_asst")),
-                     lambda g: g.isNotNull())
+    conv = conv.withColumn("said", F.struct("role", "text"))
+    x = neighbour_values(conv, ["turn"], {"prev": ("said", -1, None), "next_asst": ("text", 1, F.col("role") == "assistant")}, by="conv_id")
+    x = x.filter(F.col("role") == "assistant")
+    golds = F.filter(F.array(F.when(F.col("prev.role") == "user", F.col("prev.text")), F.col("next_asst")), lambda g: g.isNotNull())
     refs = x.select(*IDS, golds.alias("answers")).filter(F.size("answers") > 0)
     preds = x.select(*IDS, F.col("text").alias("prediction_text"))
     return preds, refs
