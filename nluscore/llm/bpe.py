@@ -20,6 +20,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,16 @@ class Bpe:
             out += [array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(words[k:k + 4096], add_special_tokens=False)]
         return out
 
+    def encoded(self, words: list[str]) -> pa.Array:
+        """Each word's ids as bytes of ``dtype``, one flat Arrow array."""
+        sizes, ids = [np.zeros(1, np.int64)], []
+        for k in range(0, len(words), 4096):
+            some = [e.ids for e in self.tok.encode_batch_fast(words[k:k + 4096], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, some), np.int64, len(some)))
+            ids.append(np.fromiter(chain.from_iterable(some), self.dtype, int(sizes[-1].sum())))
+        ends = np.cumsum(np.concatenate(sizes)) * self.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.concatenate(ids).tobytes() if ids else b"")])
+
     def pieces(self) -> list[bytes]:
         """The bytes of every id, in id order (byte-level alphabet; added tokens as they are)."""
         if not hasattr(self, "_pieces"):
@@ -151,8 +162,8 @@ def _pairs(part: pa.RecordBatch) -> dict[str, bytes]:
     return dict(zip(_listed(part.column("words").flatten()), _listed(part.column("ids").flatten())))
 
 
-def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Every distinct word that all texts hold more than once: (word, n, ids), written to the shared folder."""
+def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Every distinct word that all texts hold more than once, and how often: (word, n)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = bpe(path)
         for b in batches:
@@ -160,21 +171,27 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 seen = t.split(part.column("text"))[0].value_counts()
                 yield pa.RecordBatch.from_arrays(seen.flatten(), names=["word", "n"])
 
+    counted = need(docs, text).select(F.col(text).alias("text")).mapInArrow(tidy(count), "word string, n bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, n, ids) of (word, n)."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = bpe(path)
         for b in batches:
-            ids = t.encode(_listed(b.column("word")))
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), t.encoded(_listed(b.column("word")))], names=["word", "n", "ids"])
+
+    return words.mapInArrow(tidy(encode), "word string, n bigint, ids binary")
 
-    counted = need(docs, text).select(F.col(text).alias("text")).mapInArrow(tidy(count), "word string, n bigint")
-    table = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return stored(table.mapInArrow(tidy(encode), "word string, n bigint, ids binary"), "words")
 
+def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Every distinct word that all texts hold more than once: (word, n, ids), written to the shared folder."""
+    return stored(encoded_words(word_counts(docs, path, text), path), "words")
 
-def hot_table(words: DataFrame, hot_words: int = HOT_WORDS) -> tuple[pa.Array, pa.Array]:
-    """The most frequent short words, at most ``hot_words``, and their ids: all words from a count upward that fits.
 
-    Two flat Arrow arrays, a fifth of what a Python dictionary of them takes in every worker."""
+def most_frequent(words: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
+    """The most frequent short words, at most ``hot_words``: all words from a count upward that fits."""
     short = words.where(F.octet_length("word") <= HOT_BYTES)
     # Counts by number of words: powers of two bound the rows; below a power the step is exact.
     step = F.floor(F.log2("n") * 16).cast("int")
@@ -184,9 +201,12 @@ def hot_table(words: DataFrame, hot_words: int = HOT_WORDS) -> tuple[pa.Array, p
         if total + steps[s] > hot_words:
             break
         total, least = total + steps[s], s
-    if least is None:
-        return pa.array([], pa.string()), pa.array([], pa.binary())
-    got = short.where(step >= least).select("word", "ids").toArrow().combine_chunks()
+    return short.where(F.lit(False) if least is None else step >= least)
+
+
+def hot_table(words: DataFrame) -> tuple[pa.Array, pa.Array]:
+    """The words and their ids as two flat Arrow arrays, a fifth of what a Python dictionary of them takes in every worker."""
+    got = words.select("word", "ids").toArrow().combine_chunks()
     return tuple(pa.concat_arrays(got.column(k).chunks).cast(t) if got.num_rows else pa.array([], t) for k, t in enumerate((pa.string(), pa.binary())))
 
 
@@ -202,7 +222,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
 
     spark = docs.sparkSession
     words = word_table(docs, path, text)
-    hot = spark.sparkContext.broadcast(hot_table(words, hot_words))
+    hot = spark.sparkContext.broadcast(hot_table(most_frequent(words, hot_words)))
     release(spark)
     # A key names a text; should two texts share one, both get the words of both, which harms neither.
     rows = need(docs, id_col, text).select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("id", "text"))

@@ -21,16 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.prefix import prefix_sum
-from .bpe import JOIN_BYTES, _parts, bpe
-from .common import filesystem, need, scratch, stored, tidy
+from .bpe import Bpe, _parts, bpe, encoded_words, hot_table, most_frequent, word_counts
+from .common import discard, filesystem, need, release, scratch, stored, tidy
 
 MAGIC, HEAD, DOC = b"NLUTOK1\0", struct.Struct("<8sIIQQ"), np.dtype([("doc", "<i8"), ("none", "<u8"), ("first", "<u8"), ("n", "<u8")])
-#: Ids in a block; text bytes in a file; words a process keeps encoded.
-BLOCK, FILE_BYTES, KEEP_WORDS = 1 << 16, 32 << 20, 500_000
+#: Ids in a block; text bytes in a file; text bytes that are encoded together.
+BLOCK, FILE_BYTES, ENCODE_BYTES = 1 << 16, 32 << 20, 1 << 24
 
 
 def width(vocabulary: int) -> int:
@@ -108,37 +109,25 @@ class TokenFile:
         return np.concatenate(parts)[first - lo * self.block:][:n]
 
 
-class Encoder:
-    """Encodes texts, each distinct word of a portion once. Keeps the ids of words met lately in two generations of at most
-    KEEP_WORDS words: when the younger is full it becomes the older, and words met again move on."""
-
-    def __init__(self, path: str):
-        self.bpe, self.young, self.old = bpe(path), {}, {}
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        if len(self.young) + len(words) > KEEP_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        unseen = [w for w in words if w not in young and w not in old]
-        young.update(zip(unseen, self.bpe.encode(unseen)))
-        young.update((w, old[w]) for w in words if w not in young)
-        return [young[w] for w in words]
-
-    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, each closed by ``end_id``; ids of each text)."""
-        found, bounds = self.bpe.split(texts)
-        found = found.dictionary_encode()
-        flat = pa.array(self.ids(found.dictionary.to_pylist()), pa.binary()).take(found.indices)
-        kind, ends = self.bpe.dtype, np.zeros(len(bounds), np.int64)
-        ids = np.zeros(0, kind)
-        if len(flat):
-            ends = np.frombuffer(flat.buffers()[1], np.int32)[bounds].astype(np.int64) // kind.itemsize
-            ids = np.frombuffer(flat.buffers()[2], kind, count=int(ends[-1]))
-        return np.insert(ids, ends[1:], kind.type(end_id)), np.diff(ends) + 1
-
-
-_encoders: dict[str, Encoder] = {}
+def encode_texts(t: Bpe, texts: pa.Array, end_id: int, known: pa.Array, known_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after the other, each closed by ``end_id``; ids of each text). Each distinct word is looked
+    up among the known ones or encoded once."""
+    found, bounds = t.split(texts)
+    found = found.dictionary_encode()
+    ids = known_ids.take(pc.index_in(found.dictionary, value_set=known))
+    if ids.null_count:
+        left = pc.is_null(ids)
+        ids = pc.replace_with_mask(ids, left, t.encoded(found.dictionary.filter(left).to_pylist()))
+    flat, kind, ends = ids.take(found.indices), t.dtype, np.zeros(len(bounds), np.int64)
+    body = np.zeros(0, kind)
+    if len(flat):
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[bounds].astype(np.int64) // kind.itemsize
+        body = np.frombuffer(flat.buffers()[2], kind, count=int(ends[-1]))
+    out = np.full(len(body) + len(ends) - 1, end_id, kind)
+    own = np.ones(len(out), bool)
+    own[ends[1:] + np.arange(len(ends) - 1)] = False
+    out[own] = body
+    return out, np.diff(ends) + 1
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text: str = "text",
@@ -153,14 +142,20 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     """
     rows = need(docs, id_col, text).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # the most frequent words are encoded once for all tasks
+    spark = docs.sparkSession
+    counts = stored(word_counts(rows, path), "word-counts")
+    hot = spark.sparkContext.broadcast(hot_table(encoded_words(most_frequent(counts), path)))
+    discard(counts)
+    release(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyspark import TaskContext
 
-        encode = _encoders.setdefault(path, Encoder(path))
-        bits = width(encode.bpe.tok.get_vocab_size())
+        t = bpe(path)
+        bits = width(t.tok.get_vocab_size())
         fs, folder = filesystem(out)
         fs.create_dir(folder, recursive=True)
         task, done = TaskContext.get().partitionId(), []
@@ -174,8 +169,8 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
             done.append((task << 32 | len(done), f"{out}/{name}", len(doc), len(ids)))
 
         for b in batches:
-            for part in _parts(b, min(JOIN_BYTES, file_size)):
-                ids, lengths = encode(part.column("text"), end_id)
+            for part in _parts(b, min(ENCODE_BYTES, file_size)):
+                ids, lengths = encode_texts(t, part.column("text"), end_id, *hot.value)
                 doc += part.column("id").to_pylist()
                 n += lengths.tolist()
                 body.append(ids)
