@@ -10,7 +10,9 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,7 +174,7 @@ def best_threshold(raw: DataFrame, order, n_no_answer: DataFrame | None = None)
 _CAND_FIELDS = [("kind", T.IntegerType()), ("s", T.IntegerType()), ("e", T.IntegerType()), ("score", T.FloatType()),
                 ("start_logit", T.FloatType()), ("end_logit", T.FloatType()), ("char_start", T.IntegerType()),
                 ("char_end", T.IntegerType())]
-_CAND_TYPE = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in _CAND_FIELDS])
+_CAND_TYPE = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _CAND_FIELDS]))
 
 
 def _top(v: np.ndarray, n: int) -> np.ndarray:
@@ -181,41 +183,42 @@ def _top(v: np.ndarray, n: int) -> np.ndarray:
 
 
 def _candidates_udf(n_best: int, max_answer_len: int, use_max_context: bool):
-    @F.pandas_udf(_CAND_TYPE)
-    def cands(sl_s: pd.Series, el_s: pd.Series, off_s: pd.Series, mc_s: pd.Series) -> pd.DataFrame:
-        cols = {n: [] for n, _ in _CAND_FIELDS}
-        for sl, el, off, mc in zip(sl_s, el_s, off_s, mc_s):
-            sl = np.asarray(sl, dtype=np.float32)
-            el = np.asarray(el, dtype=np.float32)
-            nof = len(off)
-            has = np.array([o is not None for o in off], dtype=bool)
-            ost = np.array([o["start"] if o is not None else 0 for o in off], dtype=np.int64)
-            oen = np.array([o["end"] if o is not None else 0 for o in off], dtype=np.int64)
-            s = _top(sl, n_best)[:, None]
-            e = _top(el, n_best)[None, :]
-            s, e = np.broadcast_arrays(s, e)
-            s, e = s.ravel(), e.ravel()
-            ok = (s < nof) & (e < nof)
+    @F.arrow_udf(_CAND_TYPE)
+    def cands(starts: pa.Array, ends: pa.Array, offsets: pa.Array, context: pa.Array) -> pa.Array:
+        def rows(a: pa.Array, flat: np.ndarray) -> list[np.ndarray]:
+            n = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.concatenate(([0], np.cumsum(n)))
+            return [flat[i:j] for i, j in zip(upto[:-1], upto[1:])]
+
+        places = offsets.flatten()
+        has_all = places.is_valid().to_numpy(zero_copy_only=False)
+        first, last = (pc.fill_null(pc.struct_field(places, f), 0).to_numpy(zero_copy_only=False) for f in ("start", "end"))
+        sls, els = (rows(x, x.flatten().to_numpy(zero_copy_only=False).astype(np.float32)) for x in (starts, ends))
+        hass, osts, oens = (rows(offsets, x) for x in (has_all, first, last))
+        mcs = rows(context, pc.fill_null(context.flatten(), False).to_numpy(zero_copy_only=False).astype(bool)) if use_max_context else [None] * len(sls)
+        given = context.is_valid().to_numpy(zero_copy_only=False)
+        out, sizes = [], []
+        for k, (sl, el, has, ost, oen, mc) in enumerate(zip(sls, els, hass, osts, oens, mcs)):
+            nof = len(has)
+            s, e = (x.ravel() for x in np.broadcast_arrays(_top(sl, n_best)[:, None], _top(el, n_best)[None, :]))
+            ok = (s < nof) & (e < nof) & (e >= s) & (e - s + 1 <= max_answer_len)
             if nof:
                 ok &= has[np.minimum(s, nof - 1)] & has[np.minimum(e, nof - 1)]
-            ok &= (e >= s) & (e - s + 1 <= max_answer_len)
-            if use_max_context and mc is not None:
-                mcv = np.asarray([bool(x) if x is not None else False for x in mc])
-                ok &= mcv[np.minimum(s, len(mcv) - 1)] & (s < len(mcv))
+            if use_max_context and given[k]:
+                ok &= (s < len(mc)) & (mc[np.minimum(s, len(mc) - 1)] if len(mc) else False)
             s, e = s[ok], e[ok]
             sc = sl[s] + el[e]
             order = np.lexsort((e, s, -sc))[:n_best]
             s, e, sc = s[order], e[order], sc[order]
-            null = sl[0] + el[0] if len(sl) and len(el) else np.float32("nan")
-            cols["kind"].append(np.concatenate((np.zeros(len(s), np.int32), [1])).astype(np.int32))
-            cols["s"].append(np.concatenate((s, [0])).astype(np.int32))
-            cols["e"].append(np.concatenate((e, [0])).astype(np.int32))
-            cols["score"].append(np.concatenate((sc, [null])).astype(np.float32))
-            cols["start_logit"].append(np.concatenate((sl[s], sl[:1] if len(sl) else [np.nan])).astype(np.float32))
-            cols["end_logit"].append(np.concatenate((el[e], el[:1] if len(el) else [np.nan])).astype(np.float32))
-            cols["char_start"].append(np.concatenate((ost[s], [0])).astype(np.int32))
-            cols["char_end"].append(np.concatenate((oen[e], [0])).astype(np.int32))
-        return pd.DataFrame(cols)
+            null = [sl[0] + el[0], sl[0], el[0]] if len(sl) and len(el) else [np.float32("nan")] * 3
+            zero = [0]
+            out.append((np.concatenate((np.zeros(len(s)), [1])), np.concatenate((s, zero)), np.concatenate((e, zero)), np.concatenate((sc, null[:1])),
+                        np.concatenate((sl[s], null[1:2])), np.concatenate((el[e], null[2:])), np.concatenate((ost[s], zero)), np.concatenate((oen[e], zero))))
+            sizes.append(len(s) + 1)
+        kinds = [np.float32 if isinstance(t, T.FloatType) else np.int32 for _, t in _CAND_FIELDS]
+        cols = [pa.array(np.concatenate(c).astype(t) if out else np.zeros(0, t)) for c, t in zip(zip(*out) if out else [()] * len(kinds), kinds)]
+        at = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(cols, names=[n for n, _ in _CAND_FIELDS]))
     return cands
 
 
@@ -229,16 +232,14 @@ def span_candidates(features: DataFrame, n_best: int = 20, max_answer_len: int =
     ``max_context`` array<boolean> per position. Per feature: top ``n_best`` start and end indexes
     (ties: lower index), the valid pairs (both in context, ordered, at most ``max_answer_len``
     tokens), the best ``n_best`` of them (score desc, start, end) and the null score — one
-    vectorised numpy step per feature, no shuffle.
+    numpy step over Arrow batches, no shuffle.
     """
     mc = F.col(max_context) if max_context else F.lit(None).cast("array<boolean>")
     c = _candidates_udf(n_best, max_answer_len, bool(max_context))(
         F.col("start_logits"), F.col("end_logits"), F.col("offsets"), mc)
-    x = features.select("example_id", "feature", c.alias("_c"))
-    z = F.arrays_zip(*[F.col(f"_c.{n}").alias(n) for n, _ in _CAND_FIELDS])
     # inline_outer: a plain generator makes Catalyst infer size(...) > 0 below the projection and
     # evaluate the candidate step twice; the array is never empty (it holds the null score)
-    return x.select("example_id", "feature", F.inline_outer(z))
+    return features.select("example_id", "feature", c.alias("_c")).select("example_id", "feature", F.inline_outer("_c"))
 
 
 def nbest(cands: DataFrame, contexts: DataFrame, n_best: int = 20, with_null: bool = True) -> DataFrame:
@@ -247,38 +248,36 @@ def nbest(cands: DataFrame, contexts: DataFrame, n_best: int = 20, with_null: bo
     the fake ``"empty"`` answer when nothing non-empty is left, and softmax probabilities.
 
     ``contexts``: example_id, context. Returns example_id, rank (0-based), kind, text, score,
-    start_logit, end_logit, probability.
+    start_logit, end_logit, probability; an example whose features hold no valid span comes with the fake answer.
+
+    Candidates are read once: spans and nulls are ranked apart within one partition of the window, and a rank limit cuts
+    both before and after the shuffle; what is left of an example, at most ``n_best`` spans and a null, is one array.
     """
-    from pyspark.sql import Window
-    spans = cands.filter(F.col("kind") == 0)
-    parts = spans
+    # of spans the n best, of nulls the least; the rank orders each kind so that one limit serves both
+    place = F.when(F.col("kind") == 0, -F.col("score")).otherwise(F.col("score"))
+    w = Window.partitionBy("example_id", "kind").orderBy(place, "feature", "s", "e")
+    kept = cands.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_best).filter((F.col("kind") == 0) | (F.col("_r") == 1))
+    row = F.struct((-F.col("score")).alias("neg"), "kind", "feature", "s", "e", "score", "start_logit", "end_logit", "char_start", "char_end")
+    g = kept.groupBy("example_id").agg(F.array_sort(F.collect_list(row)).alias("_all"))
     if with_null:
-        # minimum null score per example (first feature on ties): a partial-aggregated min_by
-        rest = [c for c in cands.columns if c != "example_id"]
-        nulls = (cands.filter(F.col("kind") == 1).groupBy("example_id")
-                      .agg(F.min_by(F.struct(*rest), F.struct("score", "feature")).alias("_n"))
-                      .select("example_id", *[F.col(f"_n.{c}").alias(c) for c in rest]))
-        parts = spans.unionByName(nulls)
-    w = Window.partitionBy("example_id").orderBy(F.col("score").desc(), F.col("kind").asc(), F.col("feature").asc(),
-                                                 F.col("s").asc(), F.col("e").asc())
-    ranked = parts.withColumn("rank", F.row_number().over(w) - 1)
-    kept = ranked.filter((F.col("rank") < n_best) | (F.col("kind") == 1))
-    kept = kept.join(contexts.select("example_id", "context"), "example_id", "left")
-    kept = kept.withColumn("text", F.when(F.col("kind") == 1, F.lit("")).otherwise(
-        F.coalesce(F.substring(F.col("context"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")), F.lit(""))))
-    we = Window.partitionBy("example_id")
-    kept = kept.withColumn("_n", F.count(F.lit(1)).over(we)).withColumn(
-        "_blank", F.max((F.col("text") != "").cast("int")).over(we))
-    fake = (kept.filter((F.col("_n") == 1) & (F.col("_blank") == 0)).select("example_id").distinct()
-                .select("example_id", F.lit(-1).alias("rank"), F.lit(2).alias("kind"), F.lit("empty").alias("text"),
-                        F.lit(0.0).cast("float").alias("score"), F.lit(0.0).cast("float").alias("start_logit"),
-                        F.lit(0.0).cast("float").alias("end_logit")))
-    allr = kept.select("example_id", "rank", "kind", "text", "score", "start_logit", "end_logit").unionByName(fake)
-    mx = F.max(F.col("score").cast("double")).over(we)
-    ex = F.exp(F.col("score").cast("double") - mx)
-    out = allr.withColumn("probability", ex / F.sum(ex).over(we))
-    wr = Window.partitionBy("example_id").orderBy("rank")
-    return out.withColumn("rank", F.row_number().over(wr) - 1)
+        # the null counts for the cut, and stays behind it
+        shown = F.filter("_all", lambda x, i: (i < n_best) | (x["kind"] == 1))
+    else:
+        shown = F.slice(F.filter("_all", lambda x: x["kind"] == 0), 1, n_best)
+    g = g.select("example_id", shown.alias("_all")).join(contexts.select("example_id", "context"), "example_id", "left")
+    text = F.transform("_all", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"] == 1, "").otherwise(
+        F.coalesce(F.substring(F.col("context"), x["char_start"] + 1, x["char_end"] - x["char_start"]), F.lit(""))).alias("text"),
+        x["score"].alias("score"), x["start_logit"].alias("start_logit"), x["end_logit"].alias("end_logit")))
+    g = g.select("example_id", text.alias("_t"))
+    zero = F.lit(0.0).cast("float")
+    fake = F.array(F.struct(F.lit(2).alias("kind"), F.lit("empty").alias("text"), zero.alias("score"), zero.alias("start_logit"), zero.alias("end_logit")))
+    blank = (F.size("_t") == 0) | ((F.size("_t") == 1) & (F.get("_t", F.lit(0))["text"] == ""))
+    g = g.select("example_id", F.when(blank, F.concat(fake, "_t")).otherwise(F.col("_t")).alias("_t"))
+    g = g.withColumn("_top", F.array_max(F.transform("_t", lambda x: x["score"].cast("double"))))
+    g = g.withColumn("_sum", F.aggregate("_t", F.lit(0.0), lambda a, x: a + F.exp(x["score"].cast("double") - F.col("_top"))))
+    x = g.select("example_id", "_top", "_sum", F.posexplode("_t").alias("rank", "_x"))
+    return x.select("example_id", "rank", "_x.kind", "_x.text", "_x.score", "_x.start_logit", "_x.end_logit",
+                    (F.exp(F.col("_x.score").cast("double") - F.col("_top")) / F.col("_sum")).alias("probability"))
 
 
 def pick_answer(nb: DataFrame, v2: bool = True, null_score_diff_threshold: float = 0.0) -> DataFrame:

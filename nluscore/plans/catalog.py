@@ -37,6 +37,7 @@ QUERIES = {
     "best_threshold": qa.best_threshold,
     "nbest_answers": qa.nbest_answers,
     "qa_predictions": qa.qa_predictions,
+    "qa_predictions_v1": qa.qa_predictions_v1,
     "label_vocab": lab.label_vocab,
     "unseen_labels": lab.unseen_labels,
     "multilabel_f1": lab.multilabel_f1,
@@ -82,6 +83,7 @@ ORACLE = {
     "best_threshold": sql.BEST_THRESHOLD,
     "nbest_answers": sql.NBEST_ANSWERS,
     "qa_predictions": sql.QA_PREDICTIONS,
+    "qa_predictions_v1": sql.QA_PREDICTIONS_V1,
     "label_vocab": sql.LABEL_VOCAB,
     "unseen_labels": sql.UNSEEN_LABELS,
     "multilabel_f1": sql.MULTILABEL_F1,

@@ -379,8 +379,8 @@ w AS (SELECT 100.0 * avg(exact) AS exact_match, 100.0 * avg(f1) AS f1 FROM score
 
 V2_BASE = f"""b AS (
   SELECT l.doc_id, l.quality = 1 AS has_ans,
-         CASE WHEN l.quality = 1 THEN substr(d.text, 1, 40) END AS gold_raw,
-         CASE WHEN l.toxic = 1 THEN '' ELSE substr(d.text, 1, CAST(20 + d.doc_id % 40 AS INTEGER)) END AS pred,
+         CASE WHEN l.quality = 1 THEN d.text END AS gold_raw,
+         CASE WHEN l.toxic = 1 THEN '' WHEN d.doc_id % 3 = 0 THEN d.text ELSE replace(d.text, 'er', 'e ') END AS pred,
          CAST(d.n_chars % 100 AS DOUBLE) / 100.0 AS na_prob
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 gl AS (SELECT doc_id, 1 AS gi, pred,
@@ -390,7 +390,8 @@ gl AS (SELECT doc_id, 1 AS gi, pred,
 SQUAD_V2_SUMMARY = f"""
 WITH {V2_BASE}
 {_score_sql('gl', ['doc_id'], True)}
-r AS (SELECT s.*, b.has_ans, b.na_prob FROM scored s JOIN b ON s.doc_id = b.doc_id),
+r AS (SELECT b.has_ans, CASE WHEN b.na_prob > 0.8 THEN CAST(NOT b.has_ans AS DOUBLE) ELSE s.exact END AS exact,
+             CASE WHEN b.na_prob > 0.8 THEN CAST(NOT b.has_ans AS DOUBLE) ELSE s.f1 END AS f1 FROM scored s JOIN b ON s.doc_id = b.doc_id),
 w AS (SELECT 100.0 * avg(exact) AS exact, 100.0 * avg(f1) AS f1, count(*) AS total,
              100.0 * avg(CASE WHEN has_ans THEN exact END) AS HasAns_exact,
              100.0 * avg(CASE WHEN has_ans THEN f1 END) AS HasAns_f1,
@@ -480,7 +481,7 @@ w AS (SELECT avg(CAST(pred = label AS DOUBLE)) AS accuracy, count(*) AS samples
 # (fixture text holds only ' ' and '\n' as whitespace, so RE2's ASCII \s equals Python's split)
 
 
-def _tok_sql(src: str) -> str:
+def _tok_sql(src: str, size: int = 128, step: int = 96) -> str:
     return f"""lists AS (SELECT doc_id, regexp_extract_all(text, '\\s+|\\S+') AS l FROM {src}),
 runs AS (SELECT doc_id, unnest(l) AS run, generate_subscripts(l, 1) AS i FROM lists),
 offs AS (SELECT doc_id, i, length(run) AS m, regexp_matches(run, '^\\s') AS gap,
@@ -489,8 +490,8 @@ tok AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER
         FROM offs WHERE NOT gap),
 nt AS (SELECT d.doc_id, count(t.pos) AS n FROM (SELECT DISTINCT doc_id FROM {src}) d
        LEFT JOIN tok t ON d.doc_id = t.doc_id GROUP BY d.doc_id),
-win AS (SELECT doc_id, n, w AS window_id, w * 96 AS tok_start, least(w * 96 + 128, n) AS tok_end
-        FROM (SELECT doc_id, n, unnest(range(0, 1 + CAST(ceil(greatest(n - 128, 0) / 96.0) AS BIGINT))) AS w FROM nt))"""
+win AS (SELECT doc_id, n, w AS window_id, w * {step} AS tok_start, least(w * {step} + {size}, n) AS tok_end
+        FROM (SELECT doc_id, n, unnest(range(0, 1 + CAST(ceil(greatest(n - {size}, 0) / {step}.0) AS BIGINT))) AS w FROM nt))"""
 
 
 DOC_WINDOWS = f"""
@@ -609,26 +610,34 @@ SELECT conv_id, turn, strategy, array_to_string(f[1:na], ' ') AS first, array_to
 
 # ---------------------------------------------------------------- QA n-best
 
-_NBEST = """f AS (SELECT vec_id // 2 AS example_id, CAST(vec_id % 2 AS INTEGER) AS feature, embedding AS sl,
-             list_reverse(embedding) AS el FROM embeddings),
+def _nbest_sql(allowed: str = "TRUE") -> str:
+    """Spans and nulls of every document's windows; ``allowed``: condition on the start place s."""
+    return f"""{_tok_sql('documents', 62, 46)},
+f AS MATERIALIZED (SELECT win.doc_id AS example_id, CAST(window_id AS INTEGER) AS feature, tok_start, tok_end - tok_start AS nt, e.embedding AS sl,
+        list_reverse(e.embedding) AS el FROM win JOIN embeddings e ON e.vec_id = (win.doc_id + 7 * window_id) % (SELECT count(*) FROM embeddings)),
 pos AS (SELECT * FROM range(0, 64) t(i)),
-sv AS (SELECT f.example_id, f.feature, p.i AS s, f.sl[p.i + 1] AS v FROM f, pos p),
+sv AS (SELECT f.example_id, f.feature, f.nt, f.tok_start, p.i AS s, f.sl[p.i + 1] AS v FROM f, pos p),
 ev AS (SELECT f.example_id, f.feature, p.i AS e, f.el[p.i + 1] AS v FROM f, pos p),
 st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id, feature ORDER BY v DESC, s) AS r FROM sv) WHERE r <= 20),
 en AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id, feature ORDER BY v DESC, e) AS r FROM ev) WHERE r <= 20),
-cand AS (SELECT st.example_id, st.feature, 0 AS kind, st.s, en.e, st.v + en.v AS score, st.v AS start_logit, en.v AS end_logit,
-                st.feature * 100 + (st.s - 1) * 5 AS cs, st.feature * 100 + (en.e - 1) * 5 + 4 AS ce
+cand AS (SELECT st.example_id, st.feature, st.tok_start, st.s, en.e, st.v + en.v AS score, st.v AS start_logit, en.v AS end_logit
          FROM st JOIN en ON st.example_id = en.example_id AND st.feature = en.feature
-         WHERE st.s BETWEEN 1 AND 62 AND en.e BETWEEN 1 AND 62 AND en.e >= st.s AND en.e - st.s + 1 <= 30),
-ctop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id, feature ORDER BY score DESC, s, e) AS r2
+         WHERE st.s BETWEEN 1 AND nt AND en.e BETWEEN 1 AND nt AND en.e >= st.s AND en.e - st.s + 1 <= 30 AND {allowed}),
+ctop AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, feature, s, e) AS r2
                         FROM cand) WHERE r2 <= 20),
+opened AS MATERIALIZED (SELECT c.*, a.st AS cs FROM ctop c JOIN tok a ON a.doc_id = c.example_id AND a.pos = c.tok_start + c.s - 1),
+spans AS MATERIALIZED (SELECT c.example_id, c.feature, 0 AS kind, c.s, c.e, score, start_logit, end_logit, c.cs, b.en AS ce
+          FROM opened c JOIN tok b ON b.doc_id = c.example_id AND b.pos = c.tok_start + c.e - 1)"""
+
+
+_NBEST = f"""{_nbest_sql()},
 nul AS (SELECT example_id, feature, 1 AS kind, 0 AS s, 0 AS e, sl[1] + el[1] AS score, sl[1] AS start_logit,
                el[1] AS end_logit, 0 AS cs, 0 AS ce,
                row_number() OVER (PARTITION BY example_id ORDER BY sl[1] + el[1], feature) AS r FROM f),
-allc AS (SELECT example_id, feature, kind, s, e, score, start_logit, end_logit, cs, ce FROM ctop
+allc AS (SELECT * FROM spans
          UNION ALL SELECT example_id, feature, kind, s, e, score, start_logit, end_logit, cs, ce FROM nul WHERE r = 1),
 rk AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, kind, feature, s, e) - 1 AS rank FROM allc),
-kept AS (SELECT rk.*, CASE WHEN kind = 1 THEN '' ELSE coalesce(substr(d.text, cs + 1, ce - cs), '') END AS text
+kept AS (SELECT rk.*, CASE WHEN kind = 1 THEN '' ELSE coalesce(substr(d.text, CAST(cs + 1 AS BIGINT), CAST(ce - cs AS BIGINT)), '') END AS text
          FROM rk LEFT JOIN documents d ON d.doc_id = rk.example_id WHERE rank < 20 OR kind = 1),
 cnt AS (SELECT example_id, count(*) AS n, max(CAST(text <> '' AS INTEGER)) AS nb FROM kept GROUP BY example_id),
 fin AS (SELECT example_id, rank, kind, text, score, start_logit, end_logit FROM kept
@@ -637,6 +646,14 @@ prob AS (SELECT *, exp(CAST(score AS DOUBLE) - max(CAST(score AS DOUBLE)) OVER (
 nb AS (SELECT example_id, row_number() OVER (PARTITION BY example_id ORDER BY rank) - 1 AS rank, kind, text, score,
               start_logit, end_logit, ex / sum(ex) OVER (PARTITION BY example_id) AS probability FROM prob)"""
 
+QA_PREDICTIONS_V1 = f"""
+WITH {_nbest_sql('st.s % 4 <> 1')},
+best AS (SELECT s.example_id, coalesce(substr(d.text, CAST(cs + 1 AS BIGINT), CAST(ce - cs AS BIGINT)), '') AS text FROM
+         (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, feature, s, e) AS r FROM spans) s
+         JOIN documents d ON d.doc_id = s.example_id WHERE r = 1)
+SELECT d.doc_id AS example_id, coalesce(best.text, 'empty') AS prediction_text FROM documents d LEFT JOIN best ON best.example_id = d.doc_id
+"""
+
 NBEST_ANSWERS = f"""
 WITH {_NBEST}
 SELECT example_id, CAST(rank AS BIGINT) AS rank, text, round(CAST(score AS DOUBLE), 6) AS score,

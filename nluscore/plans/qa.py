@@ -1,8 +1,9 @@
 """Fixture queries for QA answer scoring.
 
 Predictions are assistant turns; golds are the preceding user turn and the next assistant turn
-of the same conversation (SQuAD v1 style). SQuAD v2 uses documents ⋈ labels: answerable when
-quality = 1, the prediction abstains ('') when toxic = 1, na_prob = (n_chars % 100) / 100.
+of the same conversation (SQuAD v1 style). SQuAD v2 uses documents ⋈ labels: answerable, with the whole text as its
+answer, when quality = 1; the prediction abstains ('') when toxic = 1, else is the whole text, changed in two of
+three documents; na_prob = (n_chars % 100) / 100.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import qa as Q
+from ..operators import tokens as T
 from ..operators.prefix import neighbour_values
 from .tables import load
 
@@ -51,9 +53,8 @@ def _v2_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "labels")
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     b = labels.join(docs, "doc_id")
-    golds = F.when(F.col("quality") == 1, F.array(F.substring("text", 1, 40))).otherwise(
-        F.array().cast("array<string>"))
-    pred = F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.expr("substring(text, 1, 20 + doc_id % 40)"))
+    golds = F.when(F.col("quality") == 1, F.array("text")).otherwise(F.array().cast("array<string>"))
+    pred = F.when(F.col("toxic") == 1, F.lit("")).when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.expr("replace(text, 'er', 'e ')"))
     base = b.select("doc_id", golds.alias("answers"), pred.alias("prediction_text"),
                     ((F.col("n_chars") % 100) / 100.0).alias("na_prob"))
     refs = base.select("doc_id", "answers", "na_prob", Q.has_answer("answers").alias("has_ans"))
@@ -63,8 +64,8 @@ def _v2_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def squad_v2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q12-Q15: exact, f1, total and the HasAns_/NoAns_ slices."""
-    return Q.squad_v2_summary(_v2_raw(spark, sf_dir))
+    """Q12-Q15: exact, f1, total and the HasAns_/NoAns_ slices; above a probability of 0.8 "no answer" is the answer."""
+    return Q.squad_v2_summary(_v2_raw(spark, sf_dir), thresh=0.8)
 
 
 def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,19 +73,20 @@ def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.best_threshold(_v2_raw(spark, sf_dir), ["doc_id"])
 
 
+SPAN_WINDOW, SPAN_OVERLAP = 62, 16
+
+
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two features per example (vec_id div 2); start logits = embedding, end logits = reversed.
-    Positions 1..62 are context tokens of 5 characters each (feature f starts at char f*100);
-    position 0 ([CLS]) and 63 ([SEP]) have no offsets. Context = documents.text of doc_id = example_id."""
-    e = load(spark, sf_dir, "embeddings")
-    f = F.col("vec_id") % 2
-    offsets = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.when(
-        (p >= 1) & (p <= 62), F.struct((f * 100 + (p - 1) * 5).cast("int").alias("start"),
-                                       (f * 100 + (p - 1) * 5 + 4).cast("int").alias("end"))))
-    feats = e.select((F.col("vec_id") / 2).cast("long").alias("example_id"), f.cast("int").alias("feature"),
-                     F.col("embedding").alias("start_logits"), F.reverse("embedding").alias("end_logits"),
-                     offsets.alias("offsets"))
+    """Every document as a context, its whole text in windows of 62 tokens that share 16; [CLS] and [SEP] have no offsets. The
+    logits of window w of document d are vector (d + 7 w) mod n, those of the end reversed: 64 places, more than a
+    last window's tokens need."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), F.col("text").alias("context"))
+    w = T.window_tokens(T.tokenize_offsets(docs, "context"), "n_tokens", SPAN_WINDOW, SPAN_OVERLAP)
+    w = w.select("example_id", F.col("window_id").alias("feature"), T.window_offsets().alias("offsets"),
+                 F.pmod(F.col("example_id") + 7 * F.col("window_id"), F.lit(e.count())).alias("vec_id"))
+    feats = w.join(e, "vec_id").select("example_id", "feature", F.col("embedding").alias("start_logits"),
+                                       F.reverse("embedding").alias("end_logits"), "offsets")
     return feats, docs
 
 
@@ -103,3 +105,11 @@ def qa_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nb = Q.nbest(Q.span_candidates(feats, 20, 30), docs, 20, with_null=True)
     p = Q.pick_answer(nb, v2=True, null_score_diff_threshold=0.0)
     return p.select("example_id", "prediction_text", F.round("score_diff", 6).alias("score_diff"))
+
+
+def qa_predictions_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2 (maximum context), Q5, Q7: v1 answer per example, from places that are no multiple of four plus one."""
+    feats, docs = _features(spark, sf_dir)
+    feats = feats.withColumn("widest", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: p % 4 != 1))
+    nb = Q.nbest(Q.span_candidates(feats, 20, 30, max_context="widest"), docs, 20, with_null=False)
+    return Q.pick_answer(nb, v2=False)
