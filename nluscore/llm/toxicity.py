@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-1. Lexicon terms (words and word beginnings) are gathered from labelled rows: document counts per
+1. Lexicon terms (words and word beginnings) are gathered from all labelled rows: document counts per
    term, merged inside a batch and then by a partial aggregation, give candidates; those stay that are
    tied most to toxic rows by the number of different contexts, which copies of a text don't raise.
 2. Each of the strongest terms is a voter; patterns over all terms are further voters. Voters vote
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, need, stored
+from .common import crc_of_id, need, release, stored
 
-#: Bounds of the fit: labelled rows used, terms kept, voters of one term, least evidence of a term (z, share of
-#: toxic rows, ratio of rates), candidates.
-FIT_ROWS, TERMS, VOTERS, LEAST_Z, LEAST_SHARE, LEAST_LIFT = 12_000, 512, 48, 4.0, 0.01, 5.0
+#: Bounds of the fit: labelled rows that the label model and the classifier see, terms kept, voters of one term. Least evidence
+#: of a term: toxic rows (a number, not a share), ratio of rates, and nats by which its toxic share can't be chance.
+FIT_ROWS, TERMS, VOTERS, LEAST_ROWS, LEAST_LIFT, LEAST_NATS = 12_000, 512, 48, 5, 5.0, 20.0
 CANDIDATES = 16_384
 #: Lengths of word beginnings; a word longer than LONGEST is known by its beginnings alone.
 BEGINNINGS, LONGEST, KEEP_WORDS = (4, 5, 6, 7), 40, 400_000
@@ -66,25 +66,33 @@ class Terms:
         return np.unique(np.array([i for g in found for i in g], np.int64)), sum(found.values())
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text",
-             label: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
-    """(text, y) of about ``rows`` labelled training rows, picked by a hash of the id; written once.
+def training_rows(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(id, text, y) of all labelled training rows, written once. A row labelled more than once is toxic if any label says so."""
+    known = need(labels, id_col, label).where(train & F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    texts = need(docs, id_col, text).where(train & F.col(text).isNotNull()).toDF("id", "text")
+    out = stored(texts.join(known, "id").select("id", "text", (F.col("y") > 0).cast("int").alias("y")), "labelled")
+    release(docs.sparkSession)
+    return out
+
 
-    A row labelled more than once is toxic if any label says so. The picked ids are at most a little over
-    ``rows``, whatever the tables' size: that bounds the broadcast.
+def fit_rows(labelled: DataFrame, toxic: int, clean: int, rows: int = FIT_ROWS) -> DataFrame:
+    """(text, y, w): about ``rows`` of the labelled rows, half of them toxic where there are as many, drawn by a hash.
+
+    ``w``: rows that one stands for, so that a class drawn more densely doesn't count for more; repeated rows are one row
+    that stands for all of them.
     """
-    known = need(labels, id_col, label).where(train & F.col(label).isNotNull() & F.col(id_col).isNotNull())
-    known = known.groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("y"))
-    n = known.count()
-    share = min(1.0, rows / max(1, n))
-    picked = known.where(F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1 << 30)) < share * (1 << 30))
-    texts = need(docs, id_col, text).where(F.col(text).isNotNull())
-    got = texts.join(F.broadcast(picked), id_col)
-    return stored(got.select(F.col(text).alias("text"), "y"), "fit")
+    some = min(toxic, max(rows // 2, rows - clean))
+    share = {1: min(1.0, some / max(1, toxic)), 0: min(1.0, (rows - some) / max(1, clean))}
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    of = F.when(F.col("y") > 0, F.lit(share[1])).otherwise(F.lit(share[0]))
+    drawn = labelled.where(draw < of).groupBy("id", "text", "y").agg(F.count("*").alias("n"))
+    return stored(drawn.select("text", "y", (F.col("n") / of).alias("w")), "fit")
 
 
-def lexicon(fit: DataFrame, terms: int = TERMS) -> list[str]:
-    """Terms most tied to toxic rows, strongest first, by the z-score of their toxic share."""
+def lexicon(fit: DataFrame, all_t: int, all_c: int, terms: int = TERMS) -> list[str]:
+    """Terms most tied to toxic rows, strongest first, by the z-score of their toxic share; ``fit``: all labelled rows, of which
+    ``all_t`` are toxic and ``all_c`` clean."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
@@ -120,15 +128,16 @@ def lexicon(fit: DataFrame, terms: int = TERMS) -> list[str]:
             cols = list(zip(*found)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string())], names=["k", "before"])
 
-    all_t, all_c = (int(v or 0) for v in fit.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     if not all_t or not all_c:
         return []
-    least = max(5, LEAST_SHARE * all_t)
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     lift = (t / (all_t + 1)) / (c / (all_c + 1))
     share, both = all_t / (all_t + all_c), F.col("t") + F.col("c")
     z = (F.col("t") - both * share) / F.sqrt(both * share * (1 - share))
-    strong_enough = (F.col("t") >= least) & (lift >= LEAST_LIFT) & (z >= LEAST_Z)
+    # the chance of so large a share is at most exp(-nats)
+    own = F.col("t") / both
+    nats = F.col("t") * F.log(own / share) + F.when(both > F.col("t"), (both - F.col("t")) * F.log((1 - own) / (1 - share))).otherwise(0.0)
+    strong_enough = (F.col("t") >= LEAST_ROWS) & (lift >= LEAST_LIFT) & (nats >= LEAST_NATS)
 
     counted = fit.mapInArrow(count, "term string, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     first = counted.where(strong_enough).orderBy(F.desc(z), "term").limit(CANDIDATES).collect()
@@ -155,8 +164,8 @@ def votes(term_rows: list[tuple[np.ndarray, int]], voters: list[int], some: int)
     return v
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic a row, voters' outcome probabilities (voter, label, outcome), voters' weights).
+def label_model(v: np.ndarray, prior: float, rounds: int = 40, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of toxic a row, voters' outcome probabilities (voter, label, outcome), voters' weights); ``w``: weights of rows.
 
     EM over the hidden label with a fixed class prior. After every ten steps the voters' correlations
     given the label are taken from the residuals; a voter's say is divided by one plus the sum of their squares.
@@ -165,15 +174,16 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarr
     score = (v == 1).sum(axis=1) - (v == 0).sum(axis=1)
     post = np.where(score > 0, 0.9, 0.1 * prior)
     weight = np.ones(v.shape[1])
+    w = np.ones(len(v)) if w is None else w
     for step in range(rounds):
-        table = np.stack([np.einsum("r,rvo->vo", 1 - post, hot), np.einsum("r,rvo->vo", post, hot)], axis=1) + 0.1
+        table = np.stack([np.einsum("r,rvo->vo", w * (1 - post), hot), np.einsum("r,rvo->vo", w * post, hot)], axis=1) + 0.1
         table /= table.sum(axis=2, keepdims=True)
         if step % 10 == 9:
             signed = hot[:, :, 2] - hot[:, :, 1]
             mean = table[:, :, 2] - table[:, :, 1]
             left = signed - (np.outer(1 - post, mean[:, 0]) + np.outer(post, mean[:, 1]))
-            sd = np.sqrt((left ** 2).mean(axis=0)) + 1e-9
-            rho = (left.T @ left) / len(left) / np.outer(sd, sd)
+            sd = np.sqrt((w[:, None] * left ** 2).sum(axis=0) / w.sum()) + 1e-9
+            rho = ((w[:, None] * left).T @ left) / w.sum() / np.outer(sd, sd)
             np.fill_diagonal(rho, 0)
             weight = 1 / (1 + (np.maximum(rho, 0) ** 2).sum(axis=1))
         ratio = np.log(table[:, 1]) - np.log(table[:, 0])  # (voter, outcome)
@@ -182,16 +192,17 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarr
     return post, table, weight
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30) -> np.ndarray:
-    """Weights (last: intercept) of an L2 logistic regression on soft labels, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30, of: np.ndarray | None = None) -> np.ndarray:
+    """Weights (last: intercept) of an L2 logistic regression on soft labels, by Newton steps; ``of``: weights of rows."""
+    of = np.ones(len(x)) if of is None else of
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], l2)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * w
-        hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
+        grad = x.T @ (of * (p - y)) + penalty * w
+        hess = (x * (of * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
@@ -205,21 +216,24 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
     The driver gets the terms and, of the bounded fit rows, which terms occur, never a text.
     """
-    rows = fit_rows(docs, labels, train, id_col, text, label)
-    known = lexicon(rows)
+    labelled = training_rows(docs, labels, train, id_col, text, label)
+    n, toxic = (int(v or 0) for v in labelled.agg(F.count("*"), F.sum("y")).first())
+    known = lexicon(labelled, toxic, n - toxic)
     if not known:
-        base = rows.agg(F.avg("y")).first()[0]
-        return [], np.array([-4.0 if not base else float(np.log((base + 1e-3) / (1 - base + 1e-3)))])
+        return [], np.array([-4.0 if not toxic else float(np.log((toxic / n + 1e-3) / (1 - toxic / n + 1e-3)))])
+    rows = fit_rows(labelled, toxic, n - toxic)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Terms(known)
         for b in batches:
             got = [look(s.as_py()) for s in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.int64())], names=["at", "often"])
+            yield pa.RecordBatch.from_arrays([pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.int64()), b.column("w")], names=["at", "often", "w"])
 
-    seen = rows.mapInArrow(found, "at array<bigint>, often bigint").toArrow()
+    seen = rows.mapInArrow(found, "at array<bigint>, often bigint, w double").toArrow()
+    of = seen.column("w").to_numpy()
+    of = of / of.mean()
     term_rows = [(np.array(a, np.int64), o) for a, o in zip(seen.column("at").to_pylist(), seen.column("often").to_pylist())]
-    prior = float(np.clip(rows.agg(F.avg("y")).first()[0], 0.01, 0.99))
+    prior = float(np.clip(toxic / n, 1e-4, 0.99))
     # Voters: the strongest terms, one of those that mostly occur together.
     x = np.zeros((len(term_rows), len(known)))
     for r, (at, _) in enumerate(term_rows):
@@ -230,8 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         either = x[:, voters].sum(axis=0) + x[:, k].sum() - both
         if len(voters) < VOTERS and (both < 0.7 * either).all():
             voters.append(k)
-    post, _, _ = label_model(votes(term_rows, voters, 2), prior)
-    return known, logistic(x, post)
+    post, _, _ = label_model(votes(term_rows, voters, 2), prior, w=of)
+    return known, logistic(x, post, of=of)
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,8 +267,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     """(doc_id, held_out, score, predicted), one row per document.
 
     Held out: crc32 of the id as text mod 4 is 2; labels of such rows are never read. predicted is 1 from a
-    score of 0.3. Without labels of both classes every text gets the labels' base rate. Repeated rows and
-    null texts are scored like any other, extra columns take no part.
+    score of 0.3. Without labels of both classes every text gets the labels' base rate. Repeated rows, null texts (as empty
+    ones) and very long texts are scored like any other, equal texts alike; empty documents give no row; extra
+    columns take no part.
     """
     model = fit(docs, labels, crc_of_id(F.col(id_col)) % 4 != 2, id_col, text, label)
     s = score(docs, model, id_col, text)

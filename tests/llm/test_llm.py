@@ -295,6 +295,23 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d, lab.limit(0)).where("predicted = 0").count() == len(rows)
 
 
+def test_toxicity_learns_the_same_at_every_size(spark):
+    """Forty toxic rows with the same three words are caught among 2,000 rows and among 60,000; copies and columns that clash do no harm."""
+    rng = np.random.default_rng(9)
+    words = np.array(["".join(rng.choice(list("aeinorst"), 6)) for _ in range(3000)])
+    for n in (2000, 60000):
+        texts = [" ".join(w) for w in words[rng.integers(0, len(words), (n, 12))]]
+        toxic = set(rng.choice(n, 40, replace=False).tolist())
+        rows = [(k, t + (" grobian lumpen schuft" if k in toxic else ""), 0.5, "clash") for k, t in enumerate(texts)]
+        rows += [(n + 1, "one text many times", 0.5, "clash")] * (n // 3)
+        d = spark.createDataFrame(rows, "doc_id bigint, text string, score double, y string")
+        lab = spark.createDataFrame([(k, int(k in toxic)) for k in range(n + 2)], "doc_id bigint, toxic int")
+        got = toxicity.toxicity(d, lab).collect()
+        caught = {r.doc_id for r in got if r.predicted}
+        assert len(got) == len(rows) and toxic <= caught and len(caught - toxic) <= 0.001 * n, n
+    assert toxicity.toxicity(d.limit(0), lab).count() == 0
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((120, 24))
