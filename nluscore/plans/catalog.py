@@ -53,6 +53,8 @@ QUERIES = {
     "borrowed_negatives": tup.borrowed_negatives,
     "shuffled_negatives": tup.shuffled_negatives,
     "suite_report": rep.suite_report,
+    "glue_report": rep.glue_report,
+    "multilingual_report": rep.multilingual_report,
     "topk_stream": stream.topk_stream,
     "predictions_roundtrip": sinkio.predictions_roundtrip,
     "tags_roundtrip": sinkio.tags_roundtrip,
@@ -99,6 +101,8 @@ ORACLE = {
     "borrowed_negatives": sql.BORROWED_NEGATIVES,
     "shuffled_negatives": sql.SHUFFLED_NEGATIVES,
     "suite_report": sql.SUITE_REPORT,
+    "glue_report": sql.GLUE_REPORT,
+    "multilingual_report": sql.MULTILINGUAL_REPORT,
     "topk_stream": sql.TOPK_COSINE,
     "predictions_roundtrip": sql.PREDICTIONS_ROUNDTRIP,
     "tags_roundtrip": sql.TAGS_ROUNDTRIP,

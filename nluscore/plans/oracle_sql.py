@@ -765,6 +765,52 @@ UNION ALL SELECT 'fixture', 'detail', task || '.' || lang, round(value * 100.0,
 """
 
 
+def _held_sql(tasks, models: int, marker: str) -> str:
+    """Table `held` (model, task, config, lang, metric, metric_rank, factor, value) as the fixture's results meet the specification."""
+    rows = [(t.name, c, lang, m, k, t.factor) for t in tasks for c, lang in t.configs for k, m in enumerate(t.metrics)]
+    entry = {}
+    for t in tasks:
+        for c, _ in t.configs:
+            for m in t.metrics:
+                entry[t.name, c, m] = len(entry)
+    spec = ", ".join(f"({entry[t, c, m]}, '{t}', '{c}', '{lang}', '{m}', {k}, {float(f)})" for t, c, lang, m, k, f in rows)
+    return f"""spec(entry, task, config, lang, metric, metric_rank, factor) AS (VALUES {spec}),
+r AS (SELECT event_id % {len(entry)} AS entry, user_id % {models} AS m, avg(value) / 100.0 AS value FROM events GROUP BY ALL),
+kept AS (SELECT entry, CASE WHEN m = 0 THEN '' ELSE 'model' || m END AS model, value FROM r WHERE entry > 0 OR m < {models - 1}),
+models AS (SELECT DISTINCT model FROM kept JOIN spec USING (entry) WHERE task = '{marker}'),
+held AS (SELECT models.model, spec.*, kept.value FROM models CROSS JOIN spec LEFT JOIN kept ON kept.model = models.model AND kept.entry = spec.entry),
+scores AS (SELECT model, task, metric, metric_rank, avg(coalesce(value, 0) * factor) AS value FROM held GROUP BY ALL)"""
+
+
+def _glue_sql() -> str:
+    from ..operators.benchmark import GLUE
+
+    names = [t.name for t in GLUE]
+    cols = ", ".join(f"coalesce(max(value) FILTER (WHERE task = '{n}'), 0) AS {n}" for n in names)
+    avg = " + ".join(names)
+    out = ", ".join(f"round({n}, 6) AS {n}" for n in names)
+    return f"""WITH {_held_sql(GLUE, 4, 'mnli')},
+w AS (SELECT model, {cols} FROM scores WHERE metric_rank = 0 GROUP BY model)
+SELECT model, round(({avg}) / {len(names)}, 6) AS avg, {out} FROM w"""
+
+
+def _multilingual_sql() -> str:
+    from ..operators.benchmark import MULTILINGUAL, SUITES
+
+    suites = ", ".join(f"('{s}', '{t}')" for s, ts in SUITES.items() for t in ts)
+    return f"""WITH {_held_sql(MULTILINGUAL, 3, 'mlqa')},
+suites(suite, task) AS (VALUES {suites}),
+first AS (SELECT model, task, lang, coalesce(value, 0) * factor AS value FROM held WHERE metric_rank = 0),
+l AS (SELECT model, 'task' AS section, task || '-' || metric AS name, value FROM scores
+  UNION ALL SELECT model, 'suite', suite, avg(value) FROM scores JOIN suites USING (task) WHERE metric_rank = 0 GROUP BY model, suite
+  UNION ALL SELECT model, 'lang', lang, avg(value) FROM first GROUP BY model, lang
+  UNION ALL SELECT model, 'detail', task || '.' || lang, value FROM first
+  UNION ALL SELECT model, 'missing', task, count(*) FROM held WHERE value IS NULL GROUP BY model, task)
+SELECT model, section, name, round(CAST(value AS DOUBLE), 6) AS value FROM l"""
+
+
+GLUE_REPORT = _glue_sql()
+MULTILINGUAL_REPORT = _multilingual_sql()
 SUITE_REPORT = _suite_sql()
 
 # ---------------------------------------------------------------- sink round trips

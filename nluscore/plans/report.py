@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import benchmark as B
 from ..operators import report as G
 from ..session import cut_lineage
 from . import classification, tokens
+from .tables import load
 
 # fixed values: the fixture suite definition (task → metrics, first one reported) and its languages
 TASKS = {"quality": ["accuracy"], "quality_pair": ["f1", "accuracy"], "entities": ["f1", "precision", "recall"]}
@@ -48,3 +50,28 @@ def suite_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("value", F.round("value", 6))
+
+
+def _measured(spark: SparkSession, sf_dir: str, tasks, models: int) -> DataFrame:
+    """Results of several models as event values: the entry number ``event_id mod n`` of the specification, the model of the
+    user. The last model has no result for the first task's first config, and the model's name is empty for one."""
+    entries = [(k, t.name, c, m) for k, (t, c, m) in enumerate((t, c, m) for t in tasks for c, _ in t.configs for m in t.metrics)]
+    spec = spark.createDataFrame(entries, "entry int, task string, config string, metric string")
+    ev = load(spark, sf_dir, "events").select(F.pmod("event_id", F.lit(len(entries))).cast("int").alias("entry"),
+                                              F.pmod("user_id", F.lit(models)).cast("int").alias("m"), "value")
+    means = ev.groupBy("entry", "m").agg(F.avg("value").alias("value")).filter((F.col("entry") > 0) | (F.col("m") < models - 1))
+    model = F.when(F.col("m") == 0, "").otherwise(F.concat(F.lit("model"), F.col("m").cast("string")))
+    return means.join(spec, "entry").select(model.alias("model"), "task", "config", "metric", (F.col("value") / 100.0).alias("value"))
+
+
+def glue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per model, the average and a column per GLUE task."""
+    held = B.held_against(_measured(spark, sf_dir, B.GLUE, 4), B.GLUE, marker="mnli")
+    wide = B.wide_table(B.task_scores(held), B.GLUE)
+    return wide.select("model", *(F.round(c, 6).alias(c) for c in wide.columns if c != "model"))
+
+
+def multilingual_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks with all their metrics, two suites, languages, details and missing entries of three models."""
+    held = cut_lineage(B.held_against(_measured(spark, sf_dir, B.MULTILINGUAL, 3), B.MULTILINGUAL, marker="mlqa"))
+    return B.report(held, B.SUITES).withColumn("value", F.round("value", 6))
