@@ -108,6 +108,41 @@ def fill_template(template: str, mapping: Mapping[str, str | Column] | None = No
     return F.concat(*parts) if parts else F.lit("")
 
 
+# fixed values: text columns of the GLUE tasks
+TASK_COLUMNS = {
+    "cola": ("sentence",), "mnli": ("premise", "hypothesis"), "mrpc": ("sentence1", "sentence2"), "qnli": ("question", "sentence"),
+    "qqp": ("question1", "question2"), "rte": ("sentence1", "sentence2"), "sst2": ("sentence",), "stsb": ("sentence1", "sentence2"),
+    "wnli": ("sentence1", "sentence2"),
+}
+
+
+def text_columns(columns: Sequence[str], task: str | None = None, chosen: Sequence[str] | None = None, label: str = "label") -> tuple[str, ...]:
+    """P10: the one or two text columns of a table: those ``chosen``, else the task's, else ``sentence1`` and ``sentence2``
+    where both are there, else the first two that are neither the label nor an index."""
+    wanted = tuple(chosen) if chosen else TASK_COLUMNS.get(task) if task else None
+    if wanted is None:
+        rest = [c for c in columns if c not in (label, "idx", "id")]
+        wanted = ("sentence1", "sentence2") if {"sentence1", "sentence2"} <= set(rest) else tuple(rest[:2])
+    absent = [c for c in wanted if c not in columns]
+    if absent or not 1 <= len(wanted) <= 2:
+        raise ValueError(f"text columns {list(wanted)} of task {task!r} are not in {list(columns)}")
+    return wanted
+
+
+def text_pair(df, task: str | None = None, chosen: Sequence[str] | None = None, label: str = "label"):
+    """P10: adds ``text_a`` and ``text_b`` (null for single texts), see :func:`text_columns`."""
+    names = text_columns(df.columns, task, chosen, label)
+    second = F.col(names[1]) if len(names) > 1 else F.lit(None)
+    return df.withColumns({"text_a": F.col(names[0]).cast("string"), "text_b": second.cast("string")})
+
+
+def choice_templates(question_in_first: bool = False, first: str | None = None, second: str | None = None) -> tuple[str, str]:
+    """The templates of a choice's two input texts; the question goes with the context or with the ending."""
+    one = first if first is not None else "{context} {question}" if question_in_first else "{context}"
+    two = second if second is not None else "{ending}" if question_in_first else "{question} {ending}"
+    return one, two
+
+
 def as_array(col: str, dtype: str) -> Column:
     """Wrap a scalar into a 1-element array; arrays pass through (decided from the schema)."""
     return F.col(col) if dtype.startswith("array") else F.array(F.col(col))

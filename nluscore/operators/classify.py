@@ -158,36 +158,48 @@ def spearman(df: DataFrame, x: str, y: str, by=None, name: str = "spearman") ->
     return pearson(ranked, "_rx", "_ry", by, name)
 
 
-def _sq_err(df: DataFrame, pred: str, gold: str) -> Column:
+def _outputs(df: DataFrame, pred: str, gold: str, keep: Sequence[str]) -> DataFrame:
+    """(keep..., _out, _err): squared error of every output; a single output is number 0."""
     if dict(df.dtypes)[pred].startswith("array"):
-        # multi-output: uniform average over positions
-        return F.aggregate(F.zip_with(F.col(pred), F.col(gold), lambda a, b: (a.cast("double") - b.cast("double")) ** 2),
-                           F.lit(0.0), lambda acc, v: acc + v) / F.size(F.col(pred))
-    return (F.col(pred).cast("double") - F.col(gold).cast("double")) ** 2
+        both = F.arrays_zip(F.col(pred).alias("p"), F.col(gold).alias("g"))
+        x = df.select(*keep, F.posexplode_outer(both).alias("_out", "_z")).filter(F.col("_out").isNotNull())
+        return x.select(*keep, "_out", ((F.col("_z.p").cast("double") - F.col("_z.g").cast("double")) ** 2).alias("_err"))
+    return df.select(*keep, F.lit(0).alias("_out"), ((F.col(pred).cast("double") - F.col(gold).cast("double")) ** 2).alias("_err"))
 
 
 def mse(df: DataFrame, pred: str, gold: str, by=None, weight: str | None = None, squared: bool = True,
-        name: str | None = None) -> DataFrame:
-    """(weighted) mean squared error; ``squared=False`` gives RMSE."""
+        name: str | None = None, multioutput: str = "uniform_average") -> DataFrame:
+    """(weighted) mean squared error; ``squared=False`` gives RMSE.
+
+    Array columns are several outputs: errors are averaged (and the root taken) per output, then over outputs;
+    ``multioutput="raw_values"`` gives a row per output (column ``output``).
+    """
+    if multioutput not in ("uniform_average", "raw_values"):
+        raise ValueError(f"multioutput must be uniform_average or raw_values, not {multioutput!r}")
     by = as_list(by)
-    w = _w(weight)
-    val = safe_ratio(F.sum(w * _sq_err(df, pred, gold)), F.sum(w))
     out = name or ("mse" if squared else "rmse")
-    return df.groupBy(*by).agg((val if squared else F.sqrt(val)).alias(out))
+    x = _outputs(df, pred, gold, [*by, *([weight] if weight else [])])
+    w = _w(weight)
+    val = safe_ratio(F.sum(w * F.col("_err")), F.sum(w))
+    if not dict(df.dtypes)[pred].startswith("array") and multioutput == "uniform_average":
+        return x.groupBy(*by).agg((val if squared else F.sqrt(val)).alias(out))
+    each = x.groupBy(*by, F.col("_out").alias("output")).agg((val if squared else F.sqrt(val)).alias(out))
+    return each if multioutput == "raw_values" else each.groupBy(*by).agg(F.avg(out).alias(out))
 
 
 def regression_metrics(df: DataFrame, pred: str, gold: str, by=None, weight: str | None = None) -> DataFrame:
-    """M10 + M2 in one scan: mse, rmse and, with a weight column, their weighted forms."""
+    """M10 + M2 in one scan: mse, rmse and, with a weight column, their weighted forms (outputs of arrays averaged)."""
     by = as_list(by)
-    err = _sq_err(df, pred, gold)
-    aggs = [F.avg(err).alias("mse")]
+    x = _outputs(df, pred, gold, [*by, *([weight] if weight else [])])
+    names = ["mse"] + (["mse_weighted"] if weight else [])
+    aggs = [F.avg("_err").alias("mse")]
     if weight:
         w = _w(weight)
-        aggs.append(safe_ratio(F.sum(w * err), F.sum(w)).alias("mse_weighted"))
-    res = df.groupBy(*by).agg(*aggs).withColumn("rmse", F.sqrt("mse"))
-    if weight:
-        res = res.withColumn("rmse_weighted", F.sqrt("mse_weighted"))
-    return res
+        aggs.append(safe_ratio(F.sum(w * F.col("_err")), F.sum(w)).alias("mse_weighted"))
+    if not dict(df.dtypes)[pred].startswith("array"):
+        return x.groupBy(*by).agg(*aggs).select(*by, *names, *(F.sqrt(n).alias(n.replace("mse", "rmse")) for n in names))
+    each = x.groupBy(*by, "_out").agg(*aggs)
+    return each.groupBy(*by).agg(*(F.avg(n).alias(n) for n in names), *(F.avg(F.sqrt(n)).alias(n.replace("mse", "rmse")) for n in names))
 
 
 def class_metrics(df: DataFrame, pred: str, gold: str, by=None, weight: str | None = None,

@@ -93,6 +93,16 @@ def align_vocab(data_vocab: DataFrame, model_vocab: DataFrame, case_insensitive:
     return j.withColumn("matched", F.col("data_id").isNotNull() & F.col("model_id").isNotNull()).drop("_k")
 
 
+def settle_vocab(data_vocab: DataFrame, model_vocab: DataFrame, case_insensitive: bool = True) -> tuple[DataFrame, bool]:
+    """L7 decided: (vocabulary to use, whether it has the model's ids). The model's ids are taken when the two label sets are
+    the same (up to case); otherwise the data's vocabulary stays as it is."""
+    both = align_vocab(data_vocab, model_vocab, case_insensitive)
+    counts = both.agg(F.count(F.lit(1)).alias("n"), F.count_if("matched").alias("same")).first()
+    if counts["n"] == 0 or counts["n"] != counts["same"]:
+        return data_vocab.select("label", "label_id"), False
+    return both.select(F.col("data_label").alias("label"), F.col("model_id").alias("label_id")), True
+
+
 def b_to_i(vocab: DataFrame) -> DataFrame:
     """For each tag id, the id of its ``I-`` form when the tag is ``B-x`` and ``I-x`` exists, else itself."""
     v = vocab.select("label", "label_id")

@@ -63,6 +63,14 @@ def select_split(df: DataFrame, split: str, rename: Mapping[str, str] | None = N
     return x.filter(F.col("split") == want)
 
 
+def split_pair(df: DataFrame, split: str, kinds: Sequence[str] = ("matched", "mismatched")) -> dict[str, DataFrame]:
+    """P5: a split that comes in several kinds (``validation_matched``, ``validation_mismatched``): kind -> rows, for the kinds
+    that are there; a plain split is one entry under its own name."""
+    have = {r[0] for r in df.select("split").where(F.col("split").isin([split, *(f"{split}_{k}" for k in kinds)])).distinct().collect()}
+    found = {k: df.filter(F.col("split") == f"{split}_{k}") for k in kinds if f"{split}_{k}" in have}
+    return found or ({split: df.filter(F.col("split") == split)} if split in have else {})
+
+
 def head_rows(df: DataFrame, n: int | None, order: Sequence[str]) -> DataFrame:
     """First ``n`` rows in ``order`` (TakeOrderedAndProject: per-partition top-n, no full sort)."""
     return df if n is None else df.orderBy(*order).limit(n)

@@ -23,11 +23,15 @@ def write_predictions(df: DataFrame, path: str, index: str = "index", prediction
 
 
 def write_tags(df: DataFrame, path: str, tags: str = "tags", by=("config",), order: str | None = None,
-               mode: str = "overwrite") -> None:
-    """One sentence per line, tags separated by spaces."""
+               mode: str = "overwrite", index: str | None = None) -> None:
+    """One sentence per line, tags separated by spaces; with ``index`` the sentence's number and a tab stand before them, so
+    that a reader can put lines of parallel files in order."""
     by = as_list(by)
     x = df.sortWithinPartitions(order) if order else df
-    x.select(*by, F.array_join(F.col(tags), " ").alias("value")).write.mode(mode).partitionBy(*by).text(path)
+    line = F.array_join(F.col(tags), " ")
+    if index:
+        line = F.concat(F.col(index).cast("string"), F.lit("\t"), line)
+    x.select(*by, line.alias("value")).write.mode(mode).partitionBy(*by).text(path)
 
 
 def write_qa_outputs(answers: DataFrame, nbest: DataFrame, path: str, null_odds: DataFrame | None = None,
