@@ -31,8 +31,8 @@ _EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 def split_ws(s) -> Column:
     """Python ``str.split()``: whitespace runs separate, no empty tokens (trim, then split: no
     per-token lambda)."""
-    t = F.regexp_replace(_c(s), _EDGE_WS, "")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WHITESPACE))
+    # the one empty token that a split can leave is that of a blank text
+    return F.array_remove(F.split(F.regexp_replace(_c(s), _EDGE_WS, ""), WHITESPACE), "")
 
 
 def collapse_ws(s) -> Column:

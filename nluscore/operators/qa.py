@@ -70,16 +70,17 @@ def score_answers(preds: DataFrame, refs: DataFrame, ids, pred: str = "predictio
     if version == 1:
         r = r.withColumn("_golds", F.when(F.size("_golds") > 0, F.col("_golds")).otherwise(
             F.raise_error(F.concat(F.lit("no gold answers for id "), F.concat_ws("/", *[F.col(i).cast("string") for i in ids])))))
-        g = F.col("_golds")
-    else:
-        kept = F.filter(F.col("_golds"), lambda x: normalize_answer(x) != "")
-        g = F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("")))
+    # every text is normalised once, to its tokens; the normalised text is their join
+    tokens = F.transform("_golds", lambda x: F.struct(x.isNull().alias("none"), answer_tokens(x).alias("toks")))
     j = r.join(preds.select(*ids, F.col(pred).alias("_pred")), ids, "left" if version == 1 else "inner")
-    # normalise every text once; the scoring lambdas only read these columns
-    j = (j.withColumn("_pnorm", normalize_answer(F.col("_pred")))
-          .withColumn("_ptok", answer_tokens(F.col("_pred")))
+    j = j.withColumn("_ptok", answer_tokens(F.col("_pred"))).withColumn("_gtok", tokens)
+    g = F.col("_gtok")
+    if version == 2:
+        kept = F.filter(g, lambda x: F.size(x["toks"]) > 0)
+        g = F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(F.lit(False).alias("none"), F.array().cast("array<string>").alias("toks"))))
+    j = (j.withColumn("_pnorm", F.when(F.col("_pred").isNotNull(), F.array_join("_ptok", " ")))
           .withColumn("_g", F.transform(g, lambda x: F.struct(
-              normalize_answer(x).alias("norm"), answer_tokens(x).alias("toks")))))
+              F.when(~x["none"], F.array_join(x["toks"], " ")).alias("norm"), x["toks"].alias("toks")))))
     j = j.withColumn("_same", common_token_counts(F.col("_ptok"), F.transform(F.col("_g"), lambda x: x["toks"])))
     per_gold = F.zip_with(F.col("_g"), F.col("_same"), lambda x, c: F.struct(
         (x["norm"] == F.col("_pnorm")).cast("double").alias("em"),
@@ -177,47 +178,62 @@ _CAND_FIELDS = [("kind", T.IntegerType()), ("s", T.IntegerType()), ("e", T.Integ
 _CAND_TYPE = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _CAND_FIELDS]))
 
 
-def _top(v: np.ndarray, n: int) -> np.ndarray:
-    """Indexes of the n largest values, ties to the lower index (NaN last)."""
-    return np.lexsort((np.arange(len(v)), -v))[:n]
-
-
 def _candidates_udf(n_best: int, max_answer_len: int, use_max_context: bool):
     @F.arrow_udf(_CAND_TYPE)
     def cands(starts: pa.Array, ends: pa.Array, offsets: pa.Array, context: pa.Array) -> pa.Array:
-        def rows(a: pa.Array, flat: np.ndarray) -> list[np.ndarray]:
-            n = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            upto = np.concatenate(([0], np.cumsum(n)))
-            return [flat[i:j] for i, j in zip(upto[:-1], upto[1:])]
+        def sizes(a: pa.Array) -> np.ndarray:
+            return pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+        def padded(a: pa.Array, flat: np.ndarray, some: np.ndarray, width: int) -> np.ndarray:
+            """Lists of some rows as rows of a matrix, zero beyond their ends."""
+            n = sizes(a)
+            first = np.cumsum(n) - n
+            at = np.arange(width)
+            inside = at < n[some, None]
+            return np.where(inside, flat[np.where(inside, first[some, None] + at, 0)] if len(flat) else 0, 0)
 
         places = offsets.flatten()
         has_all = places.is_valid().to_numpy(zero_copy_only=False)
-        first, last = (pc.fill_null(pc.struct_field(places, f), 0).to_numpy(zero_copy_only=False) for f in ("start", "end"))
-        sls, els = (rows(x, x.flatten().to_numpy(zero_copy_only=False).astype(np.float32)) for x in (starts, ends))
-        hass, osts, oens = (rows(offsets, x) for x in (has_all, first, last))
-        mcs = rows(context, pc.fill_null(context.flatten(), False).to_numpy(zero_copy_only=False).astype(bool)) if use_max_context else [None] * len(sls)
-        given = context.is_valid().to_numpy(zero_copy_only=False)
-        out, sizes = [], []
-        for k, (sl, el, has, ost, oen, mc) in enumerate(zip(sls, els, hass, osts, oens, mcs)):
-            nof = len(has)
-            s, e = (x.ravel() for x in np.broadcast_arrays(_top(sl, n_best)[:, None], _top(el, n_best)[None, :]))
-            ok = (s < nof) & (e < nof) & (e >= s) & (e - s + 1 <= max_answer_len)
-            if nof:
-                ok &= has[np.minimum(s, nof - 1)] & has[np.minimum(e, nof - 1)]
-            if use_max_context and given[k]:
-                ok &= (s < len(mc)) & (mc[np.minimum(s, len(mc) - 1)] if len(mc) else False)
-            s, e = s[ok], e[ok]
-            sc = sl[s] + el[e]
-            order = np.lexsort((e, s, -sc))[:n_best]
-            s, e, sc = s[order], e[order], sc[order]
-            null = [sl[0] + el[0], sl[0], el[0]] if len(sl) and len(el) else [np.float32("nan")] * 3
-            zero = [0]
-            out.append((np.concatenate((np.zeros(len(s)), [1])), np.concatenate((s, zero)), np.concatenate((e, zero)), np.concatenate((sc, null[:1])),
-                        np.concatenate((sl[s], null[1:2])), np.concatenate((el[e], null[2:])), np.concatenate((ost[s], zero)), np.concatenate((oen[e], zero))))
-            sizes.append(len(s) + 1)
+        begin, close = (pc.fill_null(pc.struct_field(places, f), 0).to_numpy(zero_copy_only=False) for f in ("start", "end"))
+        logits = [x.flatten().to_numpy(zero_copy_only=False).astype(np.float32) for x in (starts, ends)]
+        n_off, given = sizes(offsets), context.is_valid().to_numpy(zero_copy_only=False)
+        marks = pc.fill_null(context.flatten(), False).to_numpy(zero_copy_only=False).astype(bool) if use_max_context else None
+        shape = sizes(starts) * (1 << 32) + sizes(ends)
+        parts = []
+        for key in np.unique(shape):  # features with as many logits are scored together
+            ns, ne = divmod(int(key), 1 << 32)
+            rows = np.flatnonzero(shape == key)
+            for lo in range(0, len(rows), 1024):
+                some = rows[lo:lo + 1024]
+                wide = max(int(n_off[some].max()), ns, ne, 1)
+                sl, el = (padded(x, f, some, max(n, 1)) for x, f, n in ((starts, logits[0], ns), (ends, logits[1], ne)))
+                has, ost, oen = (padded(offsets, f, some, wide) for f in (has_all, begin, close))
+                # the best places in ascending order: pairs come by (start, end), a stable sort by score keeps that for ties
+                ts, te = (np.sort(np.argsort(-x[:, :n], axis=1, kind="stable")[:, :n_best], axis=1) for x, n in ((sl, ns), (el, ne)))
+                s = np.repeat(ts, te.shape[1], axis=1)
+                e = np.tile(te, (1, ts.shape[1]))
+                ok = (np.take_along_axis(has, s, 1) & np.take_along_axis(has, e, 1) & (e >= s) & (e - s + 1 <= max_answer_len)).astype(bool)
+                if use_max_context:
+                    mc = padded(context, marks, some, wide).astype(bool)
+                    ok &= np.take_along_axis(mc, s, 1) | ~given[some, None]
+                sc = np.take_along_axis(sl, s, 1) + np.take_along_axis(el, e, 1)
+                order = np.argsort(np.where(ok, -sc, np.inf), axis=1, kind="stable")[:, :n_best]
+                # a sum that is no number sorts behind the pairs that don't count: bring those that do to the front
+                order = np.take_along_axis(order, np.argsort(~np.take_along_axis(ok, order, 1), axis=1, kind="stable"), 1)
+                s, e, sc, ok = (np.take_along_axis(x, order, 1) for x in (s, e, sc, ok))
+                zero, one = np.zeros((len(some), 1), np.int64), np.ones((len(some), 1), np.int64)
+                none = np.full((len(some), 1), np.nan, np.float32)
+                s0, e0 = (sl[:, :1], el[:, :1]) if ns and ne else (none, none)
+                keep = np.concatenate([ok, one.astype(bool)], axis=1)
+                cols = [np.concatenate(x, axis=1)[keep] for x in (
+                    (np.zeros_like(s), one), (s, zero), (e, zero), (sc, s0 + e0), (np.take_along_axis(sl, s, 1), s0), (np.take_along_axis(el, e, 1), e0),
+                    (np.take_along_axis(ost, s, 1), zero), (np.take_along_axis(oen, e, 1), zero))]
+                parts.append((np.repeat(some, keep.sum(axis=1)), cols))
         kinds = [np.float32 if isinstance(t, T.FloatType) else np.int32 for _, t in _CAND_FIELDS]
-        cols = [pa.array(np.concatenate(c).astype(t) if out else np.zeros(0, t)) for c, t in zip(zip(*out) if out else [()] * len(kinds), kinds)]
-        at = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        row = np.concatenate([r for r, _ in parts]) if parts else np.zeros(0, np.int64)
+        back = np.argsort(row, kind="stable")
+        cols = [pa.array((np.concatenate([c[k] for _, c in parts]) if parts else np.zeros(0))[back].astype(t)) for k, t in enumerate(kinds)]
+        at = pa.array(np.searchsorted(row[back], np.arange(len(starts) + 1)).astype(np.int32))
         return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(cols, names=[n for n, _ in _CAND_FIELDS]))
     return cands
 
