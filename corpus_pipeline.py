@@ -8,6 +8,7 @@ again as the next one's input.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,23 @@ def chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return once.unionByName(unpacked(of(copies).groupBy("key").agg(F.max_by("row", F.to_json("row")).alias("row"))))
 
 
+#: Rows of an Arrow batch: whole texts go to Python workers and back, so batches are kept to a few megabytes.
+ARROW_ROWS = 2000
+
+
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with Arrow batches of at most ARROW_ROWS rows, unless the session asks for another size than Spark's own."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name, own = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+        if spark.conf.get(name, own) == own:
+            spark.conf.set(name, str(ARROW_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@bounded
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (``und``: null text or no letter) go, all others stay."""
     held = common.crc_of_id(F.col("doc_id")) % 3 == 1
@@ -55,23 +73,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return named.where("lang_pred != 'und'").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
+@bounded
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of texts that are equal but for white space: the longest text, then the smallest id; null ids last."""
     groups = exact_dedup.exact_dedup(keyed(docs), "key")
     return chosen(docs, groups.where("kept").select(F.col("keep_id").alias("key")))
 
 
+@bounded
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every SimHash group: that with the smallest id, null ids last."""
     groups = simhash.simhash_dedup(keyed(docs), "key", words=4, bits=4)
     return chosen(docs, groups.where("doc_id <=> component_id").select(F.col("component_id").alias("key")))
 
 
+@bounded
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources at their target weights; a document taken more than once is there more than once."""
     return mixing.mixed_documents(docs)
 
 
+@bounded
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
     return bpe.encode_decode(docs, tokenizer_path())
