@@ -71,7 +71,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     known = need(labels, id_col, label).where(train & F.col(label).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     texts = need(docs, id_col, text).where(train & F.col(text).isNotNull()).toDF("id", "text")
-    out = stored(texts.join(known, "id").select("id", "text", (F.col("y") > 0).cast("int").alias("y")), "labelled")
+    # labels grow with the documents: a merge join at every size, whose hot ids adaptive execution splits
+    out = stored(texts.join(known.hint("merge"), "id").select("id", "text", (F.col("y") > 0).cast("int").alias("y")), "labelled")
     release(docs.sparkSession)
     return out
 
