@@ -52,7 +52,7 @@ def anchors(passages: DataFrame, item_id: str, passage: str) -> DataFrame:
 def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
     """The low ``bits`` bits of every hash as set bits of a table of 2^bits."""
     low = F.col("hash").bitwiseAND((1 << bits) - 1)
-    words = (hashes.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(hash & 63 as int))").alias("b"))
+    words = (hashes.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("b"))
                    .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
     out = np.zeros(max(1, (1 << bits) >> 6), dtype=np.uint64)
     out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
