@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.slices import in_slices
 from .metrics_table import as_list, safe_ratio, to_long
 
 ENTITY_TYPE = "array<struct<type:string,start:int,end:int>>"
@@ -88,11 +89,13 @@ def _chunk_lists(tags: pa.Array, suffix: bool) -> pa.Array:
 
 
 @F.arrow_udf(_CHUNKS_TYPE)
+@in_slices
 def _chunks_prefix(tags: pa.Array) -> pa.Array:
     return _chunk_lists(tags, False)
 
 
 @F.arrow_udf(_CHUNKS_TYPE)
+@in_slices
 def _chunks_suffix(tags: pa.Array) -> pa.Array:
     return _chunk_lists(tags, True)
 
@@ -211,6 +214,7 @@ def _agreeing(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 @F.arrow_udf(T.LongType())
+@in_slices
 def _equal_positions(a: pa.Array, b: pa.Array) -> pa.Array:
     """Number of positions where two tag sequences agree (vectorised over the batch)."""
     return pa.array(_agreeing(a, b).astype(np.int64))
@@ -222,6 +226,7 @@ _COUNTS_TYPE = T.ArrayType(T.StructType([T.StructField("type", T.StringType())]
 
 def _tag_counts_udf(suffix: bool):
     @F.arrow_udf(_COUNTS_TYPE)
+    @in_slices
     def counts(gold: pa.Array, pred: pa.Array) -> pa.Array:
         """Per row: gold, predicted and matching chunks of each type, then of all types with agreeing and all positions."""
         rows = len(gold)
@@ -260,25 +265,62 @@ def tag_counts(df: DataFrame, gold_tags: str, pred_tags: str, by=None, weight: s
     return x.groupBy(*by, F.col("_e.type").alias("type")).agg(*(F.sum(F.col("_w") * F.col(f"_e.{c}")).alias(n) for n, c in named.items()))
 
 
+_PAIR_FIELDS = ("g", "p", "tp")
+_PAIRS_TYPE = T.ArrayType(T.StructType([T.StructField("type", T.StringType())] + [T.StructField(c, T.LongType()) for c in _PAIR_FIELDS]))
+
+
+@F.arrow_udf(_PAIRS_TYPE)
+@in_slices
+def _entity_pairs(gold: pa.Array, pred: pa.Array) -> pa.Array:
+    """J10 per row: gold entities, predicted ones and distinct common ones of each type, then of all types ("overall").
+    Entities are equal when all their fields are (nulls too); a row without either list has no counts."""
+    rows = len(gold)
+    lens = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (gold, pred)]
+    row = np.concatenate([np.repeat(np.arange(rows), n) for n in lens])
+    ents = pa.concat_arrays([gold.flatten(), pred.flatten()])
+    side = np.arange(len(row)) >= lens[0].sum()
+
+    def numbered(x: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        coded = x.dictionary_encode(null_encoding="encode")
+        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+    # an entity as one number: the row, then every field, numbered anew after each
+    fields = {f.name: numbered(pc.struct_field(ents, f.name)) for f in ents.type}
+    key = row * 2 + ents.is_valid().to_numpy(zero_copy_only=False)
+    for code, names in fields.values():
+        key = np.unique(key * max(len(names), 1) + code, return_inverse=True)[1]
+    typ, names = fields["type"]
+    shared, at, _ = np.intersect1d(key[~side], key[side], return_indices=True)
+    common = np.flatnonzero(~side)[at] if len(shared) else np.zeros(0, np.int64)
+    width = len(names) + 1
+    both = (pc.is_valid(gold).to_numpy(zero_copy_only=False) & pc.is_valid(pred).to_numpy(zero_copy_only=False))[row]
+    picks = [np.flatnonzero(~side & both), np.flatnonzero(side & both), common[both[common]]]
+    slot = [np.concatenate([row[k] * width + typ[k], row[k] * width + width - 1]) for k in picks]
+    used, place = np.unique(np.concatenate(slot), return_inverse=True)
+    cuts = np.cumsum([0, *(len(x) for x in slot)])
+    cols = [np.bincount(place[cuts[k]:cuts[k + 1]], minlength=len(used)).astype(np.int64) for k in range(3)]
+    every = pa.concat_arrays([names.cast(pa.string()), pa.array(["overall"], pa.string())])
+    made = pa.StructArray.from_arrays([every.take(pa.array(used % width)), *(pa.array(c) for c in cols)], names=["type", *_PAIR_FIELDS])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(used // width, np.arange(rows + 1)).astype(np.int32)), made)
+
+
 def entity_counts(df: DataFrame, gold: str, pred: str, by=None, weight: str | None = None,
                   gold_tags: str | None = None, pred_tags: str | None = None) -> DataFrame:
     """Per (by, type) — plus type ``overall`` — gold, pred and true-positive entity counts (J10 as a
     per-row set intersection), and with tag columns the token hits/total (N5), all in ONE explode and
-    one partially aggregated ``groupBy``. With ``weight`` a sentence counts with its weight (N7)."""
+    one partially aggregated ``groupBy``. With ``weight`` a sentence counts with its weight (N7).
+
+    A row leaves a few counts a type (one kernel over slices of an Arrow batch), never a row per entity."""
     by = as_list(by)
-    tp = F.array_intersect(F.col(gold), F.col(pred))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     zero = F.lit(0.0)
 
     def rec(typ, g, p, t, hit=zero, n=zero):
         return F.struct(typ.alias("type"), g.alias("g"), p.alias("p"), t.alias("tp"), hit.alias("hit"), n.alias("n"))
 
-    def emit(c, g, p, t, overall):
-        return F.transform(c, lambda e: rec(F.lit("overall") if overall else e["type"], w * g, w * p, w * t))
-
-    parts = [emit(c, g, p, t, overall)
-             for c, g, p, t in ((F.col(gold), 1.0, 0.0, 0.0), (F.col(pred), 0.0, 1.0, 0.0), (tp, 0.0, 0.0, 1.0))
-             for overall in (False, True)]
+    found = F.when(F.col(gold).isNotNull() & F.col(pred).isNotNull(), F.transform(
+        _entity_pairs(F.col(gold), F.col(pred)), lambda e: rec(e["type"], w * e["g"], w * e["p"], w * e["tp"])))
+    parts = [found]
     if gold_tags and pred_tags:
         hits = _equal_positions(F.col(gold_tags), F.col(pred_tags)).cast("double")
         parts.append(F.array(rec(F.lit("overall"), zero, zero, zero, w * hits, w * F.size(F.col(gold_tags)))))
