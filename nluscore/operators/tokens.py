@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.slices import in_slices
 from .labels import IGNORED
 
 # Python's str.isspace() set (the whitespace of str.split()); all of it lies at or below U+3000
@@ -38,6 +39,7 @@ def word_edges(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 @F.arrow_udf(OFFSETS_TYPE)
+@in_slices
 def token_offsets(text: pa.Array) -> pa.Array:
     """0-based ``[start, end)`` code-point offsets of whitespace-separated tokens."""
     starts, ends, bounds, _ = word_edges(text.to_pylist())
@@ -187,6 +189,7 @@ _PIECES_TYPE = T.StructType([T.StructField("word_id", T.ArrayType(T.IntegerType(
 
 def _pieces_udf(piece_len: int):
     @F.arrow_udf(_PIECES_TYPE)
+    @in_slices
     def pieces(words: pa.Array, tags: pa.Array) -> pa.Array:
         """Sub-token layout of a row, [CLS] and [SEP] included (word_id = piece = -1 there), of all rows at once."""
         n_words = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)

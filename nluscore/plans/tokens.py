@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.slices import in_slices
 from ..functions.text import split_ws
 from ..operators import labels as L
 from ..operators import seq as S
@@ -35,6 +36,7 @@ def _upper_case() -> np.ndarray:
 
 def _word_tags_udf(min_lens: dict[str, int]):
     @F.arrow_udf("struct<" + ", ".join(f"{n}: array<string>" for n in min_lens) + ">")
+    @in_slices
     def tags(text: pa.Array, lang: pa.Array) -> pa.Array:
         starts, ends, bounds, first = T.word_edges(text.to_pylist())
         types = lang.fill_null("_").dictionary_encode()

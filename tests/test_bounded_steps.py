@@ -42,3 +42,14 @@ def test_entity_counts_leave_no_row_per_entity(spark):
     df = spark.createDataFrame([(["B-x"] * 40, ["B-x"] * 40)], "g array<string>, p array<string>")
     df = S.extract_entities(S.extract_entities(df, "g", "ge"), "p", "pe")
     assert "array_intersect" not in plan(S.entity_counts(df, "ge", "pe", gold_tags="g", pred_tags="p"))
+
+
+@pytest.mark.parametrize("step", ["tags", "pieces", "offsets", "counts"])
+def test_kernels_need_little_beside_their_batch(step):
+    texts = pa.array(["Some words of Text and more" * 3] * 60_000)
+    words = pa.array([["Some", "words", "of", "Text"] * 4] * 60_000)
+    tags = pa.array([["B-en", "O", "O", "I-en"] * 4] * 60_000)
+    run = {"tags": lambda: TP._word_tags_udf({"gold": 0, "pred": 3}).func(texts, pa.array(["en"] * len(texts))),
+           "pieces": lambda: T._pieces_udf(4).func(words, tags), "offsets": lambda: T.token_offsets.func(texts),
+           "counts": lambda: S._tag_counts_udf(False).func(tags, tags)}[step]
+    assert peak_mb(run) < 20
