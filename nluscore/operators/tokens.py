@@ -218,13 +218,24 @@ def _pieces_udf(piece_len: int):
     return pieces
 
 
+def _with_ids(rows: DataFrame, tag: str, ids: DataFrame, most: int) -> DataFrame:
+    """Rows left-joined with the ids of their tag. Most words share one tag ("O"), so rows never meet in a partition per tag:
+    up to ``most`` ids are broadcast (counted), more are repeated for 64 numbers that rows take in turn."""
+    if ids.count() <= most:
+        return rows.join(F.broadcast(ids), tag, "left")
+    ways = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_way")
+    x = rows.withColumn("_way", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int"))
+    return x.join(ids.select("*", ways), [tag, "_way"], "left").drop("_way")
+
+
 def align_tags(df: DataFrame, words: str, tags: str, piece_len: int, vocab: DataFrame,
-               b2i: DataFrame | None = None) -> DataFrame:
+               b2i: DataFrame | None = None, broadcast_labels: int = 1_000_000) -> DataFrame:
     """Sub-token labels. Words are cut into pieces of ``piece_len`` characters between [CLS] and
     [SEP]; specials → -100; the first piece of a word → its tag id; other pieces → -100
     (``label_id``) or the tag's B→I id (``label_all_id``, L8).
 
-    The piece layout of a row is one vectorised numpy step; the vocabulary is a counted broadcast.
+    The piece layout of a row is one vectorised numpy step; the vocabulary is a counted broadcast up to
+    ``broadcast_labels`` labels.
     Returns one row per sub-token: ``(..., pos, word_id, piece, label_id, label_all_id)``.
     """
     keep = [c for c in df.columns if c not in (words, tags)]
@@ -237,7 +248,7 @@ def align_tags(df: DataFrame, words: str, tags: str, piece_len: int, vocab: Data
                        F.when(~special, F.col("_t.piece")).alias("piece"), F.col("_t.tag").alias("_tag"))
     v = (b2i if b2i is not None else vocab.withColumn("label_all_id", F.col("label_id")))
     v = v.select(F.col("label").alias("_tag"), F.col("label_id").alias("_id"), F.col("label_all_id").alias("_all"))
-    y = rows.join(v, "_tag", "left")
+    y = _with_ids(rows, "_tag", v, broadcast_labels)
     lab = F.when(F.col("word_id").isNull(), F.lit(IGNORED)).when(F.col("piece") == 0, F.col("_id")).otherwise(F.lit(IGNORED))
     lab_all = F.when(F.col("word_id").isNull(), F.lit(IGNORED)).when(F.col("piece") == 0, F.col("_id")).otherwise(F.col("_all"))
     return y.select(*keep, "pos", "word_id", "piece", lab.cast("long").alias("label_id"),

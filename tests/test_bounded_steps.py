@@ -53,3 +53,20 @@ def test_kernels_need_little_beside_their_batch(step):
            "pieces": lambda: T._pieces_udf(4).func(words, tags), "offsets": lambda: T.token_offsets.func(texts),
            "counts": lambda: S._tag_counts_udf(False).func(tags, tags)}[step]
     assert peak_mb(run) < 20
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_tags_meet_their_ids_without_a_partition_per_tag(spark, most):
+    df = spark.createDataFrame([(i, ["ab", "cdefg", "h"], ["O", "B-x", None]) for i in range(30)], "id int, w array<string>, t array<string>")
+    vocab = L.label_list(spark.createDataFrame([(["O", "B-x", "I-x"],)], "t array<string>"), "t", multi=True)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = T.align_tags(df, "w", "t", 4, vocab, L.b_to_i(vocab), broadcast_labels=most)
+        assert ("BroadcastHashJoin [_tag#" in plan(out)) == (most > 0)
+        assert ("_way" in plan(out)) == (most == 0)
+        got = sorted((r["pos"], r["label_id"], r["label_all_id"]) for r in out.filter("id = 7").collect() if r["pos"] < 4)
+        assert out.count() == 30 * 6 and "_way" not in out.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == [(0, -100, -100), (1, 2, 2), (2, 0, 0), (3, -100, 1)]
