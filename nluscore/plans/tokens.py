@@ -87,18 +87,21 @@ def span_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user turn and the assistant turn after it, cut together to 24 tokens less three special ones."""
-    conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", split_ws("text").alias("words"))
-    first = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("words").alias("first"))
-    second = conv.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("second"))
-    pairs = first.join(second, ["conv_id", "turn"])
-    out = None
-    for strategy in ("longest_first", "only_second", "only_first"):
-        t = T.truncate_pair(pairs, "first", "second", 24, strategy, special=3)
-        t = t.select("conv_id", "turn", F.lit(strategy).alias("strategy"), F.array_join("first", " ").alias("first"),
-                     F.array_join("second", " ").alias("second"), "truncation_error")
-        out = t if out is None else out.unionByName(t)
-    return out
+    """A user turn and the assistant turn after it, cut together to 24 tokens less three special ones.
+
+    The texts are shuffled, not their words, and meet once for all strategies."""
+    conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    first = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("first"))
+    second = conv.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("second"))
+    pairs = first.join(second, ["conv_id", "turn"]).select("conv_id", "turn", split_ws("first").alias("first"), split_ws("second").alias("second"))
+    cut = []
+    for k, strategy in enumerate(("longest_first", "only_second", "only_first")):
+        a, b, error = f"first{k}", f"second{k}", f"error{k}"
+        pairs = T.truncate_pair(pairs.withColumns({a: F.col("first"), b: F.col("second")}), a, b, 24, strategy, special=3)
+        pairs = pairs.withColumnRenamed("truncation_error", error)
+        cut.append(F.struct(F.lit(strategy).alias("strategy"), F.array_join(a, " ").alias("first"), F.array_join(b, " ").alias("second"),
+                            F.col(error).alias("truncation_error")))
+    return pairs.select("conv_id", "turn", F.inline_outer(F.array(*cut)))
 
 
 def _tagged_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,16 @@ def test_tags_meet_their_ids_without_a_partition_per_tag(spark, most):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert got == [(0, -100, -100), (1, 2, 2), (2, 0, 0), (3, -100, 1)]
+
+
+def test_pairs_meet_once_for_all_strategies(spark, tmp_dir):
+    rows = [(1, 0, "user", "a " * 30), (1, 1, "assistant", "b " * 9), (2, 0, "user", "x"), (2, 1, "assistant", None), (None, 0, "user", "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_dir}/conversations.parquet")
+    out = TP.pair_truncation(spark, tmp_dir)
+    assert plan(out).split("== Initial Plan ==")[-1].count("Join ") == 1
+    got = {(r["conv_id"], r["strategy"]): (r["first"], r["second"], r["truncation_error"]) for r in out.collect()}
+    assert len(got) == 6
+    assert got[1, "longest_first"] == (" ".join("a" * 12), " ".join("b" * 9), False)
+    assert got[1, "only_second"] == (" ".join("a" * 30), " ".join("b" * 9), True)
+    assert got[1, "only_first"] == (" ".join("a" * 12), " ".join("b" * 9), False)
+    assert got[2, "only_first"][1] is None
