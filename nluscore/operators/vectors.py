@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from ..functions.vectors import EPS_NORM
 
 # bytes of one side of a cell (as doubles), rows below which the corpus isn't cut for parallelism's sake, tile of a product
-DEFAULT_CHUNK_BYTES = 64 << 20
+DEFAULT_CHUNK_BYTES = 8 << 20
 BLOCK_ROWS = 4096
-TILE = (1024, 4096)
+TILE = (512, 2048)
 
 
 def _matrix(col: pa.Array, n: int) -> np.ndarray:
@@ -162,16 +162,17 @@ def merge_top_k(parts: list[DataFrame], k: int, tie: str = "id") -> DataFrame:
     return rank_top_k(u, k, tie=tie)
 
 
-def vector_blocks(df: DataFrame, vec: str, chunk_bytes: int | None = None, spread: bool = False) -> int:
-    """Blocks of at most ``chunk_bytes`` (or the session setting ``spark.nluscore.topk.chunkBytes``, default 64 MB) that hold the
-    vectors as doubles; with ``spread``, also enough blocks of BLOCK_ROWS rows to use the shuffle partitions."""
+def vector_blocks(df: DataFrame, vec: str, chunk_bytes: int | None = None, across: int | None = None) -> int:
+    """Blocks of at most ``chunk_bytes`` (or the session setting ``spark.nluscore.topk.chunkBytes``, default 8 MB) that hold the
+    vectors as doubles; with ``across``, the blocks of the other side, also enough blocks of BLOCK_ROWS rows for a cell per
+    shuffle partition. Both sides are cut alike, so repeats grow by the root of the cells."""
     conf = df.sparkSession.conf
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.col(vec))).alias("dim")).first()
     n, dim = int(stats["n"]), max(int(stats["dim"] or 0), 1)
     budget = chunk_bytes or int(conf.get("spark.nluscore.topk.chunkBytes", str(DEFAULT_CHUNK_BYTES)))
     blocks = max(1, math.ceil(n * dim * 8 / budget))
-    if spread:
-        blocks = max(blocks, min(int(conf.get("spark.sql.shuffle.partitions")), math.ceil(n / BLOCK_ROWS)))
+    if across:
+        blocks = max(blocks, min(math.ceil(int(conf.get("spark.sql.shuffle.partitions")) / across), math.ceil(n / BLOCK_ROWS)))
     return blocks
 
 
@@ -197,7 +198,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, qid: str = "qid",
     q = queries.filter(F.col(qid).isNotNull()).select(F.col(qid).alias("qid"), F.col(qvec or vec).alias("qv"), *pay_q)
     d = corpus.filter(F.col(docid).isNotNull()).select(F.col(docid).alias("docid"), F.col(vec).alias("dv"), *pay_d)
     nq = query_blocks or vector_blocks(q, "qv", chunk_bytes)
-    nd = vector_blocks(d, "dv", chunk_bytes, spread=True)
+    nd = vector_blocks(d, "dv", chunk_bytes, across=nq)
     q = q.withColumn("cell", F.explode(F.sequence(F.pmod(F.xxhash64("qid", "qv"), F.lit(nq)) * nd, F.pmod(F.xxhash64("qid", "qv"), F.lit(nq)) * nd + (nd - 1))))
     d = d.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda i: i * nd + F.pmod(F.xxhash64("docid", "dv"), F.lit(nd)))))
     kinds = {"qid": ("qid", q), "docid": ("docid", d), "qpayload": ("qp", q), "dpayload": ("dp", d)}

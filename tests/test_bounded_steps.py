@@ -83,3 +83,11 @@ def test_pairs_meet_once_for_all_strategies(spark, tmp_dir):
     assert got[1, "only_second"] == (" ".join("a" * 30), " ".join("b" * 9), True)
     assert got[1, "only_first"] == (" ".join("a" * 12), " ".join("b" * 9), False)
     assert got[2, "only_first"][1] is None
+
+
+def test_search_cells_stay_small_and_both_sides_are_cut(spark):
+    df = spark.range(40_000).select(F.array_repeat(F.lit(0.5), 64).alias("v"))
+    assert V.vector_blocks(df, "v") == 3
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert V.vector_blocks(df, "v", across=1) == min(parts, 10)
+    assert V.vector_blocks(df, "v", across=3) == 3
