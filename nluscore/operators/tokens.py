@@ -108,12 +108,13 @@ def truncate_pair(df: DataFrame, first: str, second: str, max_len: int, strategy
 
 
 def window_tokens(df: DataFrame, n_tokens: str, max_len: int, overlap: int, reserved: int = 0,
-                  starts: str = "starts", ends: str = "ends") -> DataFrame:
+                  starts: str = "starts", ends: str = "ends", given: str | None = None) -> DataFrame:
     """Overlapping windows; ``overlap`` tokens are shared by consecutive windows (stride is the
     overlap, not the step); windows stop at the first one reaching the end.
 
     Adds ``window_id``, ``tok_start`` (inclusive) and ``tok_end`` (exclusive); ``starts`` and ``ends``, where
-    there, become the window's own slices.
+    there, become the window's own slices. ``given``: an array of structs with a ``window_id`` each, what is known of the
+    text's windows; then a row is made per entry that names one of them, with the entry's other fields, in place of the array.
     """
     size = max_len - reserved
     step = size - overlap
@@ -122,10 +123,19 @@ def window_tokens(df: DataFrame, n_tokens: str, max_len: int, overlap: int, rese
     n = F.col(n_tokens)
     nw = 1 + F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int")
     sliced = [c for c in (starts, ends) if c in df.columns]
-    window = F.transform(F.sequence(F.lit(0), nw - 1), lambda i: F.struct(
-        i.alias("window_id"), (i * step).cast("int").alias("tok_start"), F.least(i * step + size, n).cast("int").alias("tok_end"),
-        *(F.slice(F.col(c), i * step + 1, F.lit(size)).alias(c) for c in sliced)))
-    keep = [c for c in df.columns if c not in sliced]
+    more = [f.name for f in df.schema[given].dataType.elementType if f.name != "window_id"] if given else []
+
+    def made(i: Column, *fields: Column) -> Column:
+        return F.struct(i.alias("window_id"), (i * step).cast("int").alias("tok_start"), F.least(i * step + size, n).cast("int").alias("tok_end"),
+                        *(F.slice(F.col(c), i * step + 1, F.lit(size)).alias(c) for c in sliced), *fields)
+
+    keep = [c for c in df.columns if c not in sliced and c != given]
+    if given:
+        own = F.filter(F.col(given), lambda g: g["window_id"] < nw)
+        window = F.transform(own, lambda g: made(g["window_id"], *(g[c].alias(c) for c in more)))
+        w = df.select(*keep, F.explode_outer(window).alias("_w")).filter(F.col("_w").isNotNull())
+        return w.select(*keep, "_w.window_id", "_w.tok_start", "_w.tok_end", *(f"_w.{c}" for c in [*sliced, *more]))
+    window = F.transform(F.sequence(F.lit(0), nw - 1), lambda i: made(i))
     # nw >= 1, so the outer form emits the same rows without an inferred size filter
     w = df.select(*keep, F.explode_outer(window).alias("_w"))
     return w.select(*keep, "_w.window_id", "_w.tok_start", "_w.tok_end", *(f"_w.{c}" for c in sliced))

@@ -82,11 +82,15 @@ def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     last window's tokens need."""
     e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), F.col("text").alias("context"))
-    w = T.window_tokens(T.tokenize_offsets(docs, "context"), "n_tokens", SPAN_WINDOW, SPAN_OVERLAP)
-    w = w.select("example_id", F.col("window_id").alias("feature"), T.window_offsets().alias("offsets"),
-                 F.pmod(F.col("example_id") + 7 * F.col("window_id"), F.lit(e.count())).alias("vec_id"))
-    feats = w.join(e, "vec_id").select("example_id", "feature", F.col("embedding").alias("start_logits"),
-                                       F.reverse("embedding").alias("end_logits"), "offsets")
+    # only the windows' numbers go to the vectors, and the vectors to the text: the windows of an example stay together
+    sizes = T.tokenize_offsets(docs, "context").groupBy("example_id").agg(F.max("n_tokens").alias("n_tokens"))
+    asked = T.window_tokens(sizes, "n_tokens", SPAN_WINDOW, SPAN_OVERLAP).select(
+        "example_id", "window_id", F.pmod(F.col("example_id") + 7 * F.col("window_id"), F.lit(e.count())).alias("vec_id"))
+    logits = asked.join(e, "vec_id").groupBy("example_id").agg(F.collect_list(F.struct("window_id", "embedding")).alias("logits"))
+    x = T.tokenize_offsets(docs.join(logits, "example_id"), "context")
+    w = T.window_tokens(x.drop("context"), "n_tokens", SPAN_WINDOW, SPAN_OVERLAP, given="logits")
+    feats = w.select("example_id", F.col("window_id").alias("feature"), F.col("embedding").alias("start_logits"),
+                     F.reverse("embedding").alias("end_logits"), T.window_offsets().alias("offsets"))
     return feats, docs
 
 
