@@ -10,6 +10,7 @@ from nluscore.operators import labels as L
 from nluscore.operators import seq as S
 from nluscore.operators import tokens as T
 from nluscore.operators import vectors as V
+from nluscore.plans import qa as QP
 from nluscore.plans import tokens as TP
 
 
@@ -91,3 +92,30 @@ def test_search_cells_stay_small_and_both_sides_are_cut(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert V.vector_blocks(df, "v", across=1) == min(parts, 10)
     assert V.vector_blocks(df, "v", across=3) == 3
+
+
+def test_windows_of_known_numbers(spark):
+    """Entries name windows of a text: repeats give rows, numbers beyond the text none; slices are those of all windows."""
+    df = spark.createDataFrame([(1, "a b c d e f g", [(0, "x"), (2, "y"), (2, "z"), (9, "w")]), (2, None, [(0, "n"), (1, "m")]), (3, "a", None)],
+                               "id int, text string, known array<struct<window_id:int,v:string>>")
+    tok = T.tokenize_offsets(df).drop("text")
+    every = {(r["id"], r["window_id"]): r for r in T.window_tokens(tok.drop("known"), "n_tokens", 3, 1).collect()}
+    got = T.window_tokens(tok, "n_tokens", 3, 1, given="known").collect()
+    assert sorted((r["id"], r["window_id"], r["v"]) for r in got) == [(1, 0, "x"), (1, 2, "y"), (1, 2, "z"), (2, 0, "n")]
+    for r in got:
+        assert all(r[c] == every[r["id"], r["window_id"]][c] for c in ("tok_start", "tok_end", "starts", "ends"))
+
+
+def test_offsets_stay_with_their_text(spark, tmp_dir):
+    """Window numbers alone are dealt by vector: no exchange of the features carries offsets."""
+    words = " ".join(f"w{i}" for i in range(150))
+    spark.createDataFrame([(7, words), (7, "one two"), (8, None), (None, "x")], "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([(i, [float(i)] * 64) for i in range(5)] + [(0, [9.0] * 64)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    feats, _ = QP._features(spark, tmp_dir)
+    for line in feats._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        assert "Join" not in line or "vec_id" not in line or "offsets" not in line
+    below = feats._jdf.queryExecution().optimizedPlan().toString().split("vec_id#")
+    assert "offsets#" not in below[-1] and "feature" not in below[-1]
+    got = sorted((r["example_id"], r["feature"], r["start_logits"][0], len(r["offsets"] or [])) for r in feats.collect())
+    # six vectors are counted: window w of document d has vector (d + 7 w) mod 6, and vector 0 is there twice
+    assert got == [(7, 0, 1.0, 4), (7, 0, 1.0, 64), (7, 1, 2.0, 64), (7, 2, 3.0, 60), (8, 0, 2.0, 0)]
